@@ -16,6 +16,8 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that part plain tokens: ASCII that is neither letter nor digit.
+PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
@@ -71,13 +73,13 @@ def slices(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 21) -> Iterat
 class Words:
     """Words of a slice: ``start`` and ``end`` in its bytes, ``hash``, and ``at``, the first word of each row (and the end)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _LOWER):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR):
         n = len(data)
         if n == 0:
             self.start = self.end = np.empty(0, np.int64)
             self.hash, self.at = np.empty(0, U64), np.zeros(len(offsets), np.int64)
             return
-        inside = ~_SEPARATOR[data]
+        inside = ~separator[data]
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
         before = np.empty(n, bool)
@@ -88,7 +90,7 @@ class Words:
         self.end = np.flatnonzero(inside & (after | cut[1:])) + 1
         up, down = powers(n + 1)
         total = np.zeros(n + 1, U64)
-        np.cumsum((fold[data].astype(U64) + U64(1)) * up[:n], out=total[1:])
+        np.cumsum((_LOWER[data].astype(U64) + U64(1)) * up[:n], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
         self.at = np.searchsorted(self.start, offsets)
 
