@@ -5,6 +5,7 @@ from __future__ import annotations
 from kithlink.llm.decontaminate import op1_decontamination
 from kithlink.llm.html_text import op3_html_text
 from kithlink.llm.media import op9_media
+from kithlink.llm.near_dups import op7_near_dups
 from kithlink.llm.packing import op5_packing
 from kithlink.llm.quality import op4_quality
 from kithlink.llm.token_files import op10_token_files
@@ -13,7 +14,7 @@ from kithlink.llm.warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict:
-    found = (op1_decontamination, op2_warc, op3_html_text, op4_quality, op5_packing, op8_toxicity, op9_media, op10_token_files)
+    found = (op1_decontamination, op2_warc, op3_html_text, op4_quality, op5_packing, op7_near_dups, op8_toxicity, op9_media, op10_token_files)
     return {f.__name__: f for f in found}
 
 
