@@ -1,22 +1,65 @@
-"""A corpus from documents: quality, near-duplicates, repeated passages, benchmark leaks, packing."""
+"""A corpus from documents: quality, near-duplicates, repeated passages, benchmark leaks, packing.
+
+Each stage works on what the one before it kept. A stage's tables in the shared folder are deleted when the next one
+begins, as its result has been written by then.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from kithlink.llm import packing, shared
+from kithlink.llm import decontaminate, near_dups, packing, quality, shared, suffix_dedup
+
+_before: list[str] = []
+
+
+def _stage(build: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shared.delete(spark, _before)
+        _before.clear()
+        there = set(shared.made())
+        out = build(spark, docs, sf_dir)
+        _before.extend(x for x in shared.made() if x not in there)
+        return out
+
+    return stage
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return near_dups.drop_near_duplicates(docs)
+
+
+def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes that stand earlier in the corpus are cut out."""
+    return suffix_dedup.cut_documents(docs)
+
+
+def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token ids in sequences of 2048."""
     return packing.pack_tokens(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [(f.__name__, _stage(f)) for f in (good_quality, one_of_each, no_repeats, no_leaks, pack)]
+#: No SQL for the classifier; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = shared.settle(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs = shared.settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -147,26 +147,41 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", neighbours:
     return fit_space(counts, table.column("label").to_numpy(), rank)
 
 
+def batch_scores(texts, space: Space, k: int, power: float) -> np.ndarray:
+    """Scores of a column of texts."""
+    out = []
+    for _, _, data, at in slices(*utf8(texts)):
+        for i in range(0, len(at) - 1, 256):
+            part = at[i : i + 257]
+            counts = features(data[part[0] : part[-1]], part - part[0])
+            found = space.vote(space.embed(counts), k, power)
+            found[~counts.any(axis=1)] = space.share
+            out.append(found)
+    return np.clip(np.concatenate(out), 0, 1) if out else np.empty(0)
+
+
 def score(docs: DataFrame, space: Space, k: int = 25, power: float = 8.0) -> DataFrame:
     """doc_id and score of every document."""
     held = docs.sparkSession.sparkContext.broadcast(space)
 
     def work(batches):
-        space = held.value
         for batch in batches:
-            out = []
-            for _, _, data, at in slices(*utf8(batch.column("text"))):
-                for i in range(0, len(at) - 1, 256):
-                    part = at[i : i + 257]
-                    counts = features(data[part[0] : part[-1]], part - part[0])
-                    found = space.vote(space.embed(counts), k, power)
-                    found[~counts.any(axis=1)] = space.share
-                    out.append(found)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(np.clip(np.concatenate(out), 0, 1) if out else np.empty(0))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(batch_scores(batch.column("text"), held.value, k, power))})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, space: Space, threshold: float = THRESHOLD, k: int = 25, power: float = 8.0) -> DataFrame:
+    """``docs`` without the rows that score below the threshold."""
+    held = docs.sparkSession.sparkContext.broadcast(space)
+
+    def work(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(batch_scores(batch.column("text"), held.value, k, power) >= threshold))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))

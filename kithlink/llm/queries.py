@@ -8,13 +8,14 @@ from kithlink.llm.media import op9_media
 from kithlink.llm.near_dups import op7_near_dups
 from kithlink.llm.packing import op5_packing
 from kithlink.llm.quality import op4_quality
+from kithlink.llm.suffix_dedup import op6_suffix_dedup
 from kithlink.llm.token_files import op10_token_files
 from kithlink.llm.toxicity import op8_toxicity
 from kithlink.llm.warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict:
-    found = (op1_decontamination, op2_warc, op3_html_text, op4_quality, op5_packing, op7_near_dups, op8_toxicity, op9_media, op10_token_files)
+    found = (op1_decontamination, op2_warc, op3_html_text, op4_quality, op5_packing, op6_suffix_dedup, op7_near_dups, op8_toxicity, op9_media, op10_token_files)
     return {f.__name__: f for f in found}
 
 

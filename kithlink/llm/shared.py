@@ -13,7 +13,7 @@ import uuid
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-#: Work folders made by this process and not yet released.
+#: Work folders made by this process and not yet deleted.
 _made: list[str] = []
 
 
@@ -36,17 +36,18 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the work folders made so far, but for the last ``keep``.
+def made() -> list[str]:
+    """The work folders of this process."""
+    return list(_made)
 
-    Only for callers that have written what they read from them.
-    """
-    gone = _made[: len(_made) - keep]
-    del _made[: len(gone)]
+
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    """Delete work folders. Only for callers that have written what they read from them."""
     jvm = spark.sparkContext._jvm
-    for uri in gone:
+    for uri in folders:
         path = jvm.org.apache.hadoop.fs.Path(uri)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _made.remove(uri)
 
 
 def settle(df: DataFrame, name: str, **options) -> DataFrame:
