@@ -17,6 +17,10 @@ def _false(x: Column) -> Column:
     return F.coalesce(x, F.lit(False))
 
 
+def _some_close(elements: Column, value: Column, close) -> Column:
+    return F.exists(elements, lambda e: close(value, e))
+
+
 def missing(schema: Schema, c: Comparison, side: str) -> Column:
     """Whether the comparison has nothing to read on a side."""
     nulls = [F.col(f"{side}_{n}").isNull() for n in c.columns]
@@ -73,7 +77,7 @@ def level_holds(schema: Schema, c: Comparison, v: Level) -> Column:
     if v.type == "list_contains":
         tests = [F.array_contains(x, s) for s, x in sides]
     else:
-        tests = [F.exists(x, lambda e, s=s: close(s, e)) for s, x in sides]
+        tests = [_some_close(x, s, close) for s, x in sides]
     return reduce(Column.__or__, map(_false, tests))
 
 
