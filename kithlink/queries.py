@@ -302,8 +302,8 @@ def levels_list_fuzzy(spark, sf_dir):
 
 @query(f"""WITH d AS ({_LISTS}), e AS (SELECT v, l[1] AS s, l FROM (SELECT v, string_split(v, ' ') AS l FROM d)),
 p AS (SELECT a.v AS a, b.v AS b, list_contains(b.l, a.s) OR list_contains(a.l, b.s) AS c,
- least(list_min(list_transform(b.l, x -> levenshtein(a.s, x))), list_min(list_transform(a.l, x -> levenshtein(b.s, x)))) AS d,
- greatest(list_max(list_transform(b.l, x -> jaro_winkler_similarity(a.s, x))), list_max(list_transform(a.l, x -> jaro_winkler_similarity(b.s, x)))) AS j FROM e a JOIN e b ON a.v < b.v)
+ least(list_min(list_transform(b.l, lambda x: levenshtein(a.s, x))), list_min(list_transform(a.l, lambda x: levenshtein(b.s, x)))) AS d,
+ greatest(list_max(list_transform(b.l, lambda x: jaro_winkler_similarity(a.s, x))), list_max(list_transform(a.l, lambda x: jaro_winkler_similarity(b.s, x)))) AS j FROM e a JOIN e b ON a.v < b.v)
 SELECT a, b, CASE WHEN c THEN 1 WHEN d <= 3 THEN 2 WHEN j >= 0.7 THEN 3 ELSE 4 END AS s FROM p""")
 def levels_contains(spark, sf_dir):
     ladder = [{"type": "null"}, {"type": "list_contains"}, {"type": "contains_levenshtein", "threshold": 3}, {"type": "contains_jaro_winkler", "threshold": 0.7}, {"type": "else"}]
