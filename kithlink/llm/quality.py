@@ -80,8 +80,8 @@ class Space:
     share: float
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
-        v = scaled(counts, self.weight) @ self.projection
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        """Unit vectors of counts, which are used up."""
+        return unit(scaled(counts, self.weight) @ self.projection)
 
     def vote(self, vectors: np.ndarray, k: int, power: float) -> np.ndarray:
         """Scores of a block of vectors."""
@@ -97,21 +97,27 @@ class Space:
 
 
 def scaled(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Trigram weights as a unit vector beside the weighted levels."""
-    x = np.log1p(counts)
-    x *= weight
-    head = x[:, : 1 << BITS]
-    head /= np.maximum(np.linalg.norm(head, axis=1, keepdims=True), 1e-9)
-    x[:, 1 << BITS :] = counts[:, 1 << BITS :] * np.float32(SHAPE_WEIGHT)
-    return x
+    """Trigram weights as a unit vector beside the weighted levels; ``counts`` is used up."""
+    shape = slice(1 << BITS, None)
+    levels = counts[:, shape] * np.float32(SHAPE_WEIGHT)
+    np.log1p(counts, out=counts)
+    counts *= weight
+    head = counts[:, : 1 << BITS]
+    head /= np.maximum(np.sqrt(np.einsum("ij,ij->i", head, head)), 1e-9)[:, None]
+    counts[:, shape] = levels
+    return counts
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
 
 
 def fit_space(counts: np.ndarray, labels: np.ndarray, rank: int = 48, rounds: int = 4) -> Space:
-    """Weights and truncated decomposition by randomised subspace iteration with a fixed seed."""
+    """Weights and truncated decomposition by randomised subspace iteration with a fixed seed; ``counts`` is used up, so the driver holds one matrix."""
     n = len(counts)
     if not n:
         return Space(np.ones(WIDTH, np.float32), np.zeros((WIDTH, rank), np.float32), np.empty((0, rank), np.float32), np.empty(0), 0.5)
-    seen = (counts > 0).sum(axis=0)
+    seen = np.count_nonzero(counts, axis=0)
     weight = np.log((1 + n) / (1 + seen)).astype(np.float32) + np.float32(1)
     x = scaled(counts, weight)
     q = np.random.default_rng(1).standard_normal((x.shape[1], min(rank + 16, n))).astype(np.float32)
@@ -119,9 +125,7 @@ def fit_space(counts: np.ndarray, labels: np.ndarray, rank: int = 48, rounds: in
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
     projection = np.ascontiguousarray((q @ vt.T)[:, :rank], np.float32)
-    space = Space(weight, projection, np.empty((0, rank), np.float32), np.asarray(labels, np.float64), float(np.mean(labels)))
-    space.vectors = space.embed(counts).astype(np.float32)
-    return space
+    return Space(weight, projection, unit(x @ projection).astype(np.float32), np.asarray(labels, np.float64), float(np.mean(labels)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", neighbours: int = 6000, rank: int = 48) -> Space:
@@ -139,12 +143,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", neighbours:
                 })
 
     table = labelled.sample(docs, labels, label, neighbours).mapInArrow(vectors, "label int, feature array<smallint>, n array<int>").toArrow()
-    counts = np.zeros((table.num_rows, WIDTH), np.float32)
-    lists = table.column("feature").combine_chunks() if table.num_rows else None
-    if lists is not None:
-        row = np.repeat(np.arange(table.num_rows), lists.value_lengths().to_numpy())
-        counts[row, lists.flatten().to_numpy()] = table.column("n").combine_chunks().flatten().to_numpy()
-    return fit_space(counts, table.column("label").to_numpy(), rank)
+    counts, done = np.zeros((table.num_rows, WIDTH), np.float32), 0
+    labels = table.column("label").to_numpy()
+    for batch in table.to_batches():
+        lists = batch.column("feature")
+        row = done + np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+        counts[row, lists.flatten().to_numpy()] = batch.column("n").flatten().to_numpy()
+        done += batch.num_rows
+    del table
+    pa.default_memory_pool().release_unused()
+    return fit_space(counts, labels, rank)
 
 
 def batch_scores(texts, space: Space, k: int, power: float) -> np.ndarray:
@@ -154,8 +162,9 @@ def batch_scores(texts, space: Space, k: int, power: float) -> np.ndarray:
         for i in range(0, len(at) - 1, 256):
             part = at[i : i + 257]
             counts = features(data[part[0] : part[-1]], part - part[0])
+            bare = ~counts.any(axis=1)
             found = space.vote(space.embed(counts), k, power)
-            found[~counts.any(axis=1)] = space.share
+            found[bare] = space.share
             out.append(found)
     return np.clip(np.concatenate(out), 0, 1) if out else np.empty(0)
 

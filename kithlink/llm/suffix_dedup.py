@@ -33,7 +33,9 @@ from kithlink.llm.suffixes import permuted_prefixes, suffix_array
 from kithlink.llm.textvec import U64, mix, powers, slices, utf8
 
 GRAM = 32
-SHARD = 4 << 20
+SHARD = 1 << 20
+#: Bytes of text within which a map task tells repeats before the shuffle.
+TOLD = 8 << 20
 #: Rows between the stages: an anchor's segment, or (meta < 0) a run that is known to be repeated.
 SEGMENTS = "anchor long, segment long, doc_id long, meta long"
 
@@ -110,24 +112,32 @@ def _batch(anchor, segment, doc, meta) -> pa.RecordBatch:
 
 
 def _first_stage(length: int):
+    def told(parts):
+        doc, anchor, segment, a, p, more = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if not len(doc):
+            return
+        order = np.lexsort((a, doc, segment, anchor))
+        doc, anchor, segment, a, p, more = (x[order] for x in (doc, anchor, segment, a, p, more))
+        again = np.append(False, (anchor[1:] == anchor[:-1]) & (segment[1:] == segment[:-1]))
+        new = ~again
+        yield _batch(anchor[new], segment[new], doc[new], pack_meta(a, p, more)[new])
+        d, s, n = merge_runs(doc[again], a[again], more[again] + length)
+        if len(d):
+            yield _batch(mix(d.astype(U64)).view(np.int64), np.zeros(len(d)), d, pack_run(s, n))
+
     def work(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            parts = []
+            parts, size = [], 0
             for i, _, data, at in slices(*utf8(batch.column("text"))):
                 row, *rest = segments(data, at, length)
                 parts.append((ids[i + row], *rest))
-            doc, anchor, segment, a, p, more = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.empty(0, np.int64)] * 6
-            if not len(doc):
-                continue
-            order = np.lexsort((a, doc, segment, anchor))
-            doc, anchor, segment, a, p, more = (x[order] for x in (doc, anchor, segment, a, p, more))
-            again = np.append(False, (anchor[1:] == anchor[:-1]) & (segment[1:] == segment[:-1]))
-            new = ~again
-            yield _batch(anchor[new], segment[new], doc[new], pack_meta(a, p, more)[new])
-            d, s, n = merge_runs(doc[again], a[again], more[again] + length)
-            if len(d):
-                yield _batch(mix(d.astype(U64)).view(np.int64), np.zeros(len(d)), d, pack_run(s, n))
+                size += len(data)
+                if size >= TOLD:
+                    yield from told(parts)
+                    parts, size = [], 0
+            if parts:
+                yield from told(parts)
 
     return work
 
