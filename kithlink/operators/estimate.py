@@ -285,29 +285,29 @@ def fit_interactions(schema: Schema, merged: list, model: Model, random: tuple[n
     for a in range(len(m)):
         for b in range(a + 1, len(m)):
             shape = (len(m[a]), len(m[b]))
-            signs, joint, mass = [], np.zeros(shape), 0.0
+            drawn = np.zeros(shape)
+            np.add.at(drawn, (u_levels[:, a], u_levels[:, b]), u_counts)
+            joints: list[tuple[np.ndarray, float]] = []
             for session, free, sm, levels, counts, lambda_ in merged:
-                if a not in free or b not in free:
-                    continue
-                r = match_posterior(levels, sm, u, lambda_, free) * counts
-                own = np.zeros(shape)
-                np.add.at(own, (levels[:, a], levels[:, b]), r)
-                joint, mass = joint + own, mass + session.matches
-                gap = own / max(own.sum(), FLOOR) - np.outer(sm[a], sm[b])
-                signs.append(np.sign((gap * np.outer(sm[a], sm[b])).sum() if gap.size else 0) or np.sign(gap[0, 0]))
-            if len(signs) < options.min_interaction_sessions or len({s for s in signs if s}) > 1 or not mass:
+                if a in free and b in free:
+                    own = np.zeros(shape)
+                    np.add.at(own, (levels[:, a], levels[:, b]), match_posterior(levels, sm, u, lambda_, free) * counts)
+                    joints.append((own, session.matches))
+            mass = sum(x for _, x in joints)
+            if len(joints) < options.min_interaction_sessions or not mass:
                 continue
-            random_joint = np.zeros(shape)
-            np.add.at(random_joint, (u_levels[:, a], u_levels[:, b]), u_counts)
-            share = joint / mass
-            contamination = model.lambda_ * draws * share / np.maximum(random_joint, 0.5)
-            if float((share * contamination).sum()) > 0.5 and draws < 1 / max(model.lambda_, FLOOR):
+            share = sum(j for j, _ in joints) / mass
+            matches = model.lambda_ * draws * share  # what the random pairs hold of matches, cell by cell
+            if float((share * matches / np.maximum(drawn, 0.5)).sum()) > 0.5:
                 continue
-            clean = np.maximum(random_joint - model.lambda_ * draws * share, 0)
-            bits, effect = interaction_bits(joint, clean, m[a], m[b], u[a], u[b], draws, mass, options.interaction_clamp)
+            clean = np.maximum(drawn - matches, 0)
+            leans = {np.sign(interaction_bits(j, clean, m[a], m[b], u[a], u[b], x, options.interaction_clamp)[2]) for j, x in joints} - {0.0}
+            if len(leans) > 1:
+                continue
+            bits, effect, _ = interaction_bits(share * mass, clean, m[a], m[b], u[a], u[b], mass, options.interaction_clamp)
             if effect >= options.interaction_bits:
                 left, right = model.comparisons[a], model.comparisons[b]
-                found.append(Interaction(left.name, right.name, *shape, bits.ravel().tolist(), [], effect, len(signs)))
+                found.append(Interaction(left.name, right.name, *shape, bits.ravel().tolist(), [], effect, len(joints)))
     return sorted(found, key=lambda t: -t.effect)[: options.max_interactions]
 
 
