@@ -5,7 +5,7 @@ the tags met in it, and the container it stands in. A line's text-to-tag ratio i
 Gaussian, and a two-means threshold parts content from clutter. The lines above the threshold vote, with their text,
 for their nearest article-like container; the winner is the content region, and all its lines that stand in no
 menu, header, footer, sidebar, notice, advert, form, script, style or comment section are the text. Pages that mark
-no article get the runs of lines above the threshold themselves.
+no article get the innermost element with most of the lines above the threshold, or these lines and the headings before them.
 
 ``extract`` is the function, ``extract_pages`` its column form. Null or empty html gives empty text; nothing is
 capped; unclosed and cut-off markup is read as far as it goes; repeated rows stay; other columns are ignored.
@@ -45,10 +45,11 @@ SIGMA = 1.5
 
 
 class Line:
-    __slots__ = ("clutter", "length", "path", "tags", "text")
+    __slots__ = ("clutter", "heading", "inside", "length", "path", "tags", "text")
 
-    def __init__(self, text: str, tags: int, path: tuple[int, ...], clutter: bool):
+    def __init__(self, text: str, tags: int, path: tuple[int, ...], clutter: bool, inside: tuple[int, ...], heading: bool):
         self.text, self.tags, self.path, self.clutter, self.length = text, tags, path, clutter, len(text)
+        self.inside, self.heading = inside, heading
 
 
 class Events(HTMLParser):
@@ -56,7 +57,8 @@ class Events(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # name, clutter, article container or 0
+        self.stack: list[tuple[str, bool, int, int]] = []  # name, clutter, article container or 0, number
+        self.opened = 0
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -66,8 +68,10 @@ class Events(HTMLParser):
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            path = tuple(c for _, _, c in self.stack if c)
-            self.lines.append(Line(text, self.tags, path, any(c for _, c, _ in self.stack)))
+            path = tuple(e[2] for e in self.stack if e[2])
+            inside = tuple(e[3] for e in self.stack if e[0] not in ("html", "body"))
+            heading = bool(self.stack) and self.stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
+            self.lines.append(Line(text, self.tags, path, any(e[1] for e in self.stack), inside, heading))
             self.tags = 0
         self.parts = []
 
@@ -84,7 +88,7 @@ class Events(HTMLParser):
             self._close(OWN_KIND[tag], OWN_KIND[tag], {"ul", "ol", "dl", "table"} if tag not in ("td", "th") else {"tr", "table"})
         if tag in VOID:
             return
-        inside = any(c for _, _, c in self.stack)
+        inside = any(e[2] for e in self.stack)
         clutter = tag in DROPPED or tag == "header" and not inside
         article = tag in ("article", "main")
         for name, value in attrs:
@@ -100,7 +104,8 @@ class Events(HTMLParser):
             self.containers += 1
             container = self.containers
             self.marked[container] = tag
-        self.stack.append((tag, clutter, container))
+        self.opened += 1
+        self.stack.append((tag, clutter, container, self.opened))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -160,6 +165,23 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def unmarked(lines: list[Line], content: list[Line], total: int) -> list[Line]:
+    """The lines of a page that marks no article: those of the innermost element with most of the content, else the content and the headings before it."""
+    votes: dict[int, int] = {}
+    for x in content:
+        for e in x.inside:
+            votes[e] = votes.get(e, 0) + x.length
+    region = max((e for e, n in votes.items() if 4 * n >= 3 * total), default=0)
+    own = [x for x in lines if not x.clutter and region in x.inside]
+    if region and len(own) > 1:
+        return own
+    chosen = set(map(id, content))
+    for x, following in reversed(list(zip(lines, lines[1:], strict=False))):
+        if x.heading and not x.clutter and id(following) in chosen:
+            chosen.add(id(x))
+    return [x for x in lines if id(x) in chosen]
+
+
 def extract(html: str | None) -> str:
     """The page's main text."""
     if not html:
@@ -187,6 +209,8 @@ def extract(html: str | None) -> str:
         content = [x for x in lines if not x.clutter and chosen & set(x.path)]
     elif any(events.marked[c] == "article" for c in votes):
         content = [x for x in lines if not x.clutter and any(events.marked[c] == "article" for c in x.path)]
+    else:
+        content = unmarked(lines, content, total)
     return "\n\n".join(x.text for x in content)
 
 

@@ -19,6 +19,8 @@ def test_main_text():
     assert [html_text.extract(x) for x in (None, "", "<div>", "plain", "<p>just text")] == ["", "", "", "plain", "just text"]
     plain = "<body><div class=nav>a b</div><div><p>" + "long text here. " * 20 + "</p><p>" + "more words " * 30 + "</p></div><div class=footer>x</div>"
     assert html_text.extract(plain).count("long text") == 20 and "a b" not in html_text.extract(plain)
+    bare = "<body><ul><li><a href=x>a</a><li><a href=y>b</a></ul><div id=x1><h1>Head</h1><p>" + "long text here. " * 20 + "</p><p>Short.</p><p>" + "more words " * 30 + "</p></div><div>&copy; 2020</div></body>"
+    assert html_text.extract(bare).startswith("Head\n\nlong") and "Short." in html_text.extract(bare) and "2020" not in html_text.extract(bare)
 
 
 def test_pages_column(spark):
