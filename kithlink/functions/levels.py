@@ -36,8 +36,20 @@ def read_column(schema: Schema, c: Comparison, v: Level) -> str:
     return c.columns[0]
 
 
-def level_holds(schema: Schema, c: Comparison, v: Level) -> Column:
-    """True where the level fires; never null."""
+def similarity_bound(name: str) -> Column:
+    """What the masks and lengths of both sides allow Jaro-Winkler to be."""
+    args = [F.col(f"{s}_{name}__{k}") for k in "mn" for s in "ab"]
+    return text.jaro_winkler_upper_bound(*args, text.common_prefix(F.col(f"a_{name}"), F.col(f"b_{name}")))
+
+
+def bound_columns(schema: Schema) -> dict[str, Column]:
+    """Masks and lengths of the text columns that fuzzy levels read, for bounds on pairs."""
+    names = {read_column(schema, c, v) for c in schema.comparisons for v in c.levels if v.type in ("levenshtein", "jaro_winkler")}
+    return {f"{n}__m": text.char_mask(F.col(n)) for n in sorted(names)} | {f"{n}__n": F.length(n) for n in sorted(names)}
+
+
+def level_holds(schema: Schema, c: Comparison, v: Level, masked: bool = False) -> Column:
+    """True where the level fires; never null. With ``masked`` the pair has the bound columns, and the similarity is computed only where they allow it."""
     t = v.threshold
     if v.type == "else":
         return F.lit(True)
@@ -50,7 +62,8 @@ def level_holds(schema: Schema, c: Comparison, v: Level) -> Column:
     if v.type == "levenshtein":
         return _false(F.levenshtein(a, b, int(t)) >= 0)
     if v.type == "jaro_winkler":
-        return _false(text.jaro_winkler(a, b) >= t)
+        fires = text.jaro_winkler(a, b) >= t
+        return _false(F.when(similarity_bound(name) >= t - 1e-9, fires) if masked else fires)
     if v.type == "date_within":
         if v.direction == "forward":
             ahead = F.when(F.col("a___ds") < F.col("b___ds"), F.datediff(b, a)).when(F.col("a___ds") > F.col("b___ds"), F.datediff(a, b)).otherwise(F.abs(F.datediff(a, b)))
@@ -81,24 +94,27 @@ def level_holds(schema: Schema, c: Comparison, v: Level) -> Column:
     return reduce(Column.__or__, map(_false, tests))
 
 
-def level_index(schema: Schema, c: Comparison) -> Column:
-    """The first level that fires. Ladders of one similarity compute it once."""
+def level_index(schema: Schema, c: Comparison, masked: bool = False) -> Column:
+    """The first level that fires. Ladders of one similarity compute it once, and with ``masked`` only where a rung is within the bound."""
     jaro = [v for v in c.levels if v.type == "jaro_winkler"]
     if len(jaro) > 1 and len({read_column(schema, c, v) for v in jaro}) == 1:
         name = read_column(schema, c, jaro[0])
         a, b = F.col(f"a_{name}"), F.col(f"b_{name}")
         first = next(i for i, v in enumerate(c.levels) if v.type == "jaro_winkler")
         # levels before the first rung decide without it; then one similarity serves all rungs
-        ladder = F.transform(F.array(text.jaro_winkler(a, b)), lambda s: _case(schema, c, c.levels[first:], first, {id(v): _false(s >= v.threshold) for v in jaro}))[0]
-        return _case(schema, c, c.levels[:first], 0, {}, ladder)
-    return _case(schema, c, c.levels, 0, {})
+        value = text.jaro_winkler(a, b)
+        if masked:
+            value = F.when(similarity_bound(name) >= min(v.threshold for v in jaro) - 1e-9, value).otherwise(0.0)
+        ladder = F.transform(F.array(value), lambda s: _case(schema, c, c.levels[first:], first, {id(v): _false(s >= v.threshold) for v in jaro}))[0]
+        return _case(schema, c, c.levels[:first], 0, {}, ladder, masked)
+    return _case(schema, c, c.levels, 0, {}, None, masked)
 
 
-def _case(schema: Schema, c: Comparison, levels, start: int, known: dict, last: Column | None = None) -> Column:
+def _case(schema: Schema, c: Comparison, levels, start: int, known: dict, last: Column | None = None, masked: bool = False) -> Column:
     out = None
     for i, v in enumerate(levels, start):
         test = known.get(id(v))
-        test = level_holds(schema, c, v) if test is None else test
+        test = level_holds(schema, c, v, masked) if test is None else test
         if v.type == "else":
             return F.lit(i) if out is None else out.otherwise(F.lit(i))
         out = F.when(test, F.lit(i)) if out is None else out.when(test, F.lit(i))
@@ -117,10 +133,9 @@ def best_possible(schema: Schema, c: Comparison, weights: list[float]) -> Column
             return level_holds(schema, c, v)
         if v.type in ("levenshtein", "jaro_winkler"):
             name = read_column(schema, c, v)
-            args = [F.col(f"{s}_{name}__{k}") for k in "mn" for s in "ab"]
             if v.type == "levenshtein":
-                return _false(text.levenshtein_lower_bound(*args) <= int(v.threshold))
-            return _false(text.jaro_winkler_upper_bound(*args) >= v.threshold - 1e-9)
+                return _false(text.levenshtein_lower_bound(*(F.col(f"{s}_{name}__{k}") for k in "mn" for s in "ab")) <= int(v.threshold))
+            return _false(similarity_bound(name) >= v.threshold - 1e-9)
         return F.lit(True)
 
     # from the ladder's end: a cheap level that holds ends it, a fuzzy one that is possible may or may not
@@ -136,8 +151,9 @@ def code(schema: Schema, indexes: list[Column]) -> Column:
     return reduce(lambda x, y: x + y, parts) if parts else F.lit(0).cast("long")
 
 
-def agreement(schema: Schema) -> Column:
-    return code(schema, [level_index(schema, c) for c in schema.comparisons])
+def agreement(schema: Schema, masked: bool = False) -> Column:
+    """A pair's code."""
+    return code(schema, [level_index(schema, c, masked) for c in schema.comparisons])
 
 
 def level_of(schema: Schema, k: int, gamma: Column | str = "gamma") -> Column:

@@ -89,12 +89,18 @@ def jaro(a: Column, b: Column) -> Column:
     return F.element_at(F.transform(F.array(matched), similarity), 1)  # bound once, so the fold runs once
 
 
-def jaro_winkler(a: Column, b: Column) -> Column:
-    """Jaro, raised by a tenth of the rest for each of up to four equal leading characters if it is 0.7 or more."""
-    prefix = F.lit(0)
+def common_prefix(a: Column, b: Column) -> Column:
+    """Equal leading characters, four at most."""
+    out = None
     for k in range(4, 0, -1):
         same = (F.length(a) >= k) & (F.length(b) >= k) & (F.substring(a, 1, k) == F.substring(b, 1, k))
-        prefix = F.when(same & (prefix == 0), F.lit(k)).otherwise(prefix)
+        out = F.when(same, k) if out is None else out.when(same, k)
+    return out.otherwise(0)
+
+
+def jaro_winkler(a: Column, b: Column) -> Column:
+    """Jaro, raised by a tenth of the rest for each of up to four equal leading characters if it is 0.7 or more."""
+    prefix = common_prefix(a, b)
     raised = F.element_at(F.transform(F.array(jaro(a, b)), lambda j: F.when(j >= 0.7, j + prefix * 0.1 * (1 - j)).otherwise(j)), 1)
     return F.when(a == b, F.lit(1.0)).otherwise(raised)
 
@@ -111,11 +117,11 @@ def levenshtein_lower_bound(mask_a: Column, mask_b: Column, la: Column, lb: Colu
     return F.greatest(F.abs(la - lb), only_a, only_b)
 
 
-def jaro_winkler_upper_bound(mask_a: Column, mask_b: Column, la: Column, lb: Column) -> Column:
-    """No similarity is above this: characters of kinds that the other side lacks cannot match."""
+def jaro_winkler_upper_bound(mask_a: Column, mask_b: Column, la: Column, lb: Column, prefix: Column | int = 4) -> Column:
+    """No similarity is above this: characters of kinds that the other side lacks cannot match. The prefix, if known, makes it tighter."""
     m = F.least(la - F.bit_count(mask_a.bitwiseAND(F.bitwise_not(mask_b))), lb - F.bit_count(mask_b.bitwiseAND(F.bitwise_not(mask_a))))
     j = F.when((la == 0) & (lb == 0), F.lit(1.0)).when(m <= 0, F.lit(0.0)).otherwise((m / F.greatest(la, F.lit(1)) + m / F.greatest(lb, F.lit(1)) + 1) / 3)
-    return F.when(j >= 0.7, j + 0.4 * (1 - j)).otherwise(j)
+    return F.when(j >= 0.7, j + prefix * F.lit(0.1) * (1 - j)).otherwise(j)
 
 
 def haversine_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:

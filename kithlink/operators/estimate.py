@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kithlink.functions.levels import agreement, level_holds, read_column
+from kithlink.functions.levels import agreement, bound_columns, level_holds, read_column
 from kithlink.operators.blocking import Blocking
 from kithlink.plans.model import ComparisonFit, Interaction, LevelFit, Model
 from kithlink.plans.numerics import FLOOR, Fit, em, initial_m, interaction_bits, match_posterior, measure_fit
@@ -76,7 +76,7 @@ def random_pairs(store: Store, count: int, seed: int, columns: list[str]) -> Dat
     a, b = (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(s)), F.lit(n)) for s in (1, 2))
     draws = draws.select(a.alias("x"), b.alias("y")).where("x <> y")
     draws = draws.select(F.least("x", "y").alias("a___row"), F.greatest("x", "y").alias("b___row"))
-    frame = store.frame.select("__row", "__ds", *columns)
+    frame = store.frame.withColumns(bound_columns(store.schema)).select("__row", "__ds", *columns, *bound_columns(store.schema))
     left, right = (frame.select(*(F.col(c).alias(f"{s}_{c}") for c in frame.columns)) for s in "ab")
     out = draws.join(left, "a___row").join(right, "b___row")
     return out.where("a___ds <> b___ds") if store.cross else out
@@ -88,7 +88,8 @@ def compared_columns(schema: Schema) -> list[str]:
 
 def histogram(pairs: DataFrame, schema: Schema) -> tuple[np.ndarray, np.ndarray]:
     """(levels of each pattern, count): partial counts in the join's own stage, one small shuffle."""
-    rows = pairs.select(agreement(schema).alias("gamma")).groupBy("gamma").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gamma").collect()
+    masked = all(f"a_{n}" in pairs.columns for n in bound_columns(schema))
+    rows = pairs.select(agreement(schema, masked).alias("gamma")).groupBy("gamma").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gamma").collect()
     levels = np.array([schema.unpack(r.gamma) for r in rows], np.int64).reshape(len(rows), len(schema.comparisons))
     return levels, np.array([r.n for r in rows], np.float64)
 
@@ -212,7 +213,8 @@ def estimate(store: Store, options: EstimateOptions | None = None, all_pairs: bo
     by_column: dict[str, list[int]] = {}
     for i, b in enumerate(blocking.bound):
         by_column.setdefault(b.source.column if b.source.em_safe else "(all pairs)", []).append(i)
-    needed = compared_columns(schema)
+    masks = bound_columns(schema)
+    needed, masked = [*compared_columns(schema), *masks], blocking.frame.withColumns(masks)
     tied = {frozenset((a, b)) for a, b, _ in report.ties}
     merged: list[tuple[Session, list[int], list[np.ndarray], np.ndarray, np.ndarray, float]] = []
     basis: tuple[float, str] | None = None
@@ -225,7 +227,7 @@ def estimate(store: Store, options: EstimateOptions | None = None, all_pairs: bo
             session.skipped = "its free comparisons have fewer pattern cells than parameters"
             continue
         total = sum(blocking.counts(i)["pairs"] for i in selected)
-        pairs = blocking.pairs(needed, selected)
+        pairs = blocking.pairs(needed, selected, masked)
         rate = min(1.0, options.session_pairs / total) if total else 1.0
         if rate < 1:
             pairs = pairs.where(hash_share(rate, options.seed, "a___row", "b___row"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithlink.functions import text
-from kithlink.functions.levels import agreement, best_possible, level_index, level_of, read_column
+from kithlink.functions.levels import agreement, best_possible, bound_columns, level_index, level_of, read_column
 from kithlink.operators.blocking import Blocking
 from kithlink.operators.estimate import ball_masses, compared_columns, hash_share
 from kithlink.plans.model import Model
@@ -137,12 +137,6 @@ class Scorer:
         return out.withColumn("match_probability", text.probability_of(F.col("match_weight")))
 
 
-def bound_columns(schema: Schema) -> dict[str, Column]:
-    """Masks and lengths that the ceiling reads."""
-    names = {read_column(schema, c, v) for c in schema.comparisons for v in c.levels if v.type in ("levenshtein", "jaro_winkler")}
-    return {f"{n}__m": text.char_mask(F.col(n)) for n in names} | {f"{n}__n": F.length(n) for n in names}
-
-
 def in_bits(threshold: float | None, probability: float | None) -> float | None:
     return text.weight_of(probability) if probability is not None else threshold
 
@@ -153,15 +147,14 @@ def scored_pairs(store: Store, model: Model, threshold: float | None = None, all
     scorer = Scorer(store, model, damping, fuzzy_tf, interactions, ball_budget)
     blocking = Blocking(store, schema.blocking)
     columns = [*compared_columns(schema), *(extra or [])]
-    frame = None
-    if ceiling and threshold is not None:
-        masks = bound_columns(schema)
-        frame = blocking.frame.withColumns(masks) if masks else blocking.frame
+    frame, masks = None, bound_columns(schema) if ceiling else {}
+    if masks:
+        frame = blocking.frame.withColumns(masks)
         columns += list(masks)
     pairs = blocking.pairs(columns, frame=frame)
     if ceiling and threshold is not None:
         pairs = pairs.where(scorer.ceiling() >= threshold - 1e-9)
-    coded = pairs.withColumn("gamma", agreement(schema))
+    coded = pairs.withColumn("gamma", agreement(schema, bool(masks)))
     return scorer.weighed(scorer.based(coded, threshold, bounds)), scorer
 
 

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kithlink.functions import text
-from kithlink.functions.levels import agreement
+from kithlink.functions.levels import agreement, bound_columns
 from kithlink.operators.estimate import compared_columns
-from kithlink.operators.predict import Scorer, bound_columns, in_bits
+from kithlink.operators.predict import Scorer, in_bits
 from kithlink.plans.model import Model
 from kithlink.sources.store import Store
 
@@ -105,7 +105,7 @@ def search(store: Store, fields, model: Model, k: int = 10, threshold: float | N
     met = rows.join(F.broadcast(one))  # one row
     if least is not None:
         met = met.where(scorer.ceiling() >= least - 1e-9)
-    scored = scorer.weighed(scorer.based(met.withColumn("gamma", agreement(store.schema)), least, True))
+    scored = scorer.weighed(scorer.based(met.withColumn("gamma", agreement(store.schema, bool(masks))), least, True))
     if least is not None:
         scored = scored.where(F.col("match_weight") >= least)
     best = scored.orderBy(F.desc("match_weight"), "a___row").limit(k)

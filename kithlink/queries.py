@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kithlink.diagnostics import columns, coverage, draft, ladders
 from kithlink.functions import text
-from kithlink.functions.levels import agreement, level_index
+from kithlink.functions.levels import agreement, bound_columns, level_index
 from kithlink.operators import cluster as clustering
 from kithlink.operators import explain, search, viewer
 from kithlink.operators.blocking import Blocking
@@ -218,8 +218,9 @@ def text_distances(spark, sf_dir):
 @query(f"SELECT gamma, count(*) AS pairs FROM (SELECT (l1 + (l2 << 3) + (l3 << 5))::BIGINT AS gamma FROM ({_CODED})) GROUP BY 1")
 def pattern_histogram(spark, sf_dir):
     store = part_store(spark, sf_dir)
-    pairs = Blocking(store, store.schema.blocking).pairs(["p_name", "p_type", "p_retailprice"])
-    return pairs.groupBy(agreement(store.schema).alias("gamma")).agg(F.count("*").alias("pairs"))
+    blocking, masks = Blocking(store, store.schema.blocking), bound_columns(store.schema)
+    pairs = blocking.pairs(["p_name", "p_type", "p_retailprice", *masks], frame=blocking.frame.withColumns(masks))
+    return pairs.groupBy(agreement(store.schema, True).alias("gamma")).agg(F.count("*").alias("pairs"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS comparison, l{k} AS level, count(*) AS pairs FROM ({_CODED}) GROUP BY 2" for k, n in ((1, "p_name"), (2, "p_type"), (3, "p_retailprice"))))
