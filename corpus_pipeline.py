@@ -13,12 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from kithlink.llm import decontaminate, near_dups, packing, quality, shared, suffix_dedup
 
 _before: list[str] = []
+#: Rows in an Arrow batch, at most: documents are long, and a worker holds a batch and its copies.
+BATCH_ROWS = 2000
 
 
 def _stage(build: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         shared.delete(spark, _before)
         _before.clear()
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         there = set(shared.made())
         out = build(spark, docs, sf_dir)
         _before.extend(x for x in shared.made() if x not in there)
