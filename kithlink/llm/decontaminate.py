@@ -2,9 +2,10 @@
 
 A token is a run of letters, digits and non-ASCII bytes, A-Z lower-cased. Each mask takes some positions of a window of
 tokens and ignores the others, so a hash over the taken ones survives substitutions at the ignored ones. The seeds of
-the test items meet those of the documents; around each hit the item is laid over the document on that diagonal and
-the best run is scored (+1 a match, -3 a mismatch), so single substitutions are bridged. A document is contaminated
-by an item if the run matches 12 tokens at least, or 60 % of the item if that is less; items under ten tokens must match whole.
+the test items meet those of the documents; around each hit the item is laid over the document on that diagonal and the
+equal tokens are counted, wherever they stand. A document is contaminated by an item if 12 tokens are equal at least, or
+60 % of the item if that is less; items under ten tokens must match whole. In an item of over 30 tokens the 12 must stand
+within 30, as equal common words add up by chance in a long overlap; 60 % of any item always does that.
 
 The test items are taken in blocks of at most ``block_tokens`` tokens; one block's seeds are broadcast (their size is
 bounded by that parameter) and all documents are scanned for it, so a test set of any size works.
@@ -25,9 +26,12 @@ from pyspark.sql import functions as F
 
 from kithlink.llm.textvec import PUNCTUATED, U64, Words, mix, slices, utf8
 
-#: Taken (1) and ignored (0) positions. The short ones serve items of few tokens.
-MASKS = ("111011", "11101011", "110110101", "1101100111")
-SHORT = ("111",)
+#: Taken (1) and ignored (0) positions. Three taken ones meet every item of which 60 % is equal, however it is spread.
+MASKS = ("111", "1101", "1011", "10101", "110011")
+#: The least number of equal tokens stands within so many times as many tokens.
+SPREAD = 2.5
+#: Tokens that are compared at once, at most (a longer overlap stands alone).
+COMPARED = 1 << 20
 OVERLAPS = "row_doc long, item_id long, hits long, matched long, item_tokens long, overlap double, doc_start long, doc_end long"
 
 
@@ -51,15 +55,11 @@ class Index:
         words = Words(*utf8(texts), PUNCTUATED)
         self.ids = np.array([i for i, _ in items], np.int64)
         self.at, self.words = words.at, words.hash
-        size = np.diff(words.at)
         keys, item, place = [], [], []
-        self.masks = list(MASKS) + [m for m in SHORT if len(size) and (size[size >= 3] < 10).any()]
-        for k, mask in enumerate(self.masks):
+        for k, mask in enumerate(MASKS):
             found = seeds(words.hash, mask, k)
             own = np.searchsorted(words.at, np.arange(len(found)), "right") - 1
             fits = np.arange(len(found)) + len(mask) <= words.at[own + 1]
-            if mask in SHORT:
-                fits &= size[own] < 10
             at = np.flatnonzero(fits)
             keys.append(found[at])
             item.append(own[at])
@@ -74,7 +74,7 @@ class Index:
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, diagonal) of seed hits; a diagonal is the place in the slice's words where the item would begin."""
         out = []
-        for k, mask in enumerate(self.masks):
+        for k, mask in enumerate(MASKS):
             found = seeds(words.hash, mask, k)
             maybe = np.flatnonzero(self.filter[(found & U64((1 << self.bits) - 1)).astype(np.int64)])
             low, high = np.searchsorted(self.keys, found[maybe]), np.searchsorted(self.keys, found[maybe], "right")
@@ -87,15 +87,21 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def best_run(same: np.ndarray) -> tuple[int, int, int]:
-    """(matches, first, end) of the best-scoring run."""
-    score = np.concatenate(([0], np.cumsum(np.where(same, 1, -3))))
-    gain = score - np.minimum.accumulate(score)
-    end = int(gain.argmax())
-    first = int(score[: end + 1].argmin()) if end else 0
-    if end:  # the last of equal minima, so the run is the shortest
-        first = end - int(score[: end + 1][::-1].argmin())
-    return int(same[first:end].sum()), first, end
+def equal_tokens(same: np.ndarray, size: np.ndarray, window: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(matches, first, end) per overlap; ``same`` holds one overlap after the other, of ``size`` each. They span all windows with
+    ``least`` matches, from the first match in one to the last; without such a window all is 0."""
+    begin = np.cumsum(size) - size
+    before = np.concatenate(([0], np.cumsum(same)))
+    at, own = np.arange(len(same)), np.repeat(np.arange(len(size)), size)
+    stop = np.minimum(at + window[own], (begin + size)[own])
+    found = np.flatnonzero(same & (before[stop] - before[at] >= least[own]))
+    which, here = np.unique(own[found], return_index=True)
+    places = np.flatnonzero(same)
+    low = found[here]
+    high = places[before[stop[found[np.append(here[1:], len(found)) - 1]]] - 1] + 1 if len(which) else low
+    matches, first, end = (np.zeros(len(size), np.int64) for _ in range(3))
+    matches[which], first[which], end[which] = before[high] - before[low], low - begin[which], high - begin[which]
+    return matches, first, end
 
 
 def overlaps(index: Index, words: Words, least: int, share: float) -> list[tuple]:
@@ -103,16 +109,28 @@ def overlaps(index: Index, words: Words, least: int, share: float) -> list[tuple
     row, item, diagonal = index.hits(words)
     if not len(row):
         return []
-    found, counts = np.unique(np.stack((row, item, diagonal)), axis=1, return_counts=True)
+    order = np.lexsort((diagonal, item, row))
+    row, item, diagonal = row[order], item[order], diagonal[order]
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(diagonal) != 0))))
+    counts = np.diff(np.append(new, len(row)))
+    row, item, diagonal = row[new], item[new], diagonal[new]
+    tokens = np.diff(index.at)[item]
+    need = np.where(tokens < 10, tokens, np.minimum(least, np.ceil(share * tokens).astype(np.int64)))
+    low, high = np.maximum(diagonal, words.at[row]), np.minimum(diagonal + tokens, words.at[row + 1])
+    enough = np.flatnonzero(high - low >= need)
+    part = np.cumsum((high - low)[enough]) // COMPARED
     best: dict[tuple[int, int], tuple] = {}
-    for r, i, d, n in zip(*found.tolist(), counts.tolist(), strict=True):
-        own = index.words[index.at[i] : index.at[i + 1]]
-        a, b = max(d, int(words.at[r])), min(d + len(own), int(words.at[r + 1]))
-        m, first, end = best_run(words.hash[a:b] == own[a - d : b - d])
-        if m >= (min(least, math.ceil(share * len(own))) if len(own) >= 10 else len(own)):
-            start = a + first - int(words.at[r])
-            new = (m, n, len(own), m / len(own), start, start + end - first)
-            best[r, i] = max(best.get((r, i), (0,)), new)
+    for some in np.split(enough, np.flatnonzero(np.diff(part)) + 1):
+        size = (high - low)[some]
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        same = words.hash[np.repeat(low[some], size) + at] == index.words[np.repeat((index.at[item] + low - diagonal)[some], size) + at]
+        matches, first, end = equal_tokens(same, size, np.full(len(some), math.ceil(SPREAD * least)), need[some])
+        for k in np.flatnonzero(matches).tolist():
+            j = some[k]
+            start = int(low[j] - words.at[row[j]] + first[k])
+            met = (int(matches[k]), int(counts[j]), int(tokens[j]), float(matches[k] / tokens[j]), start, start + int(end[k] - first[k]))
+            pair = int(row[j]), int(item[j])
+            best[pair] = max(best.get(pair, (0,)), met)
     return [(r, int(index.ids[i]), x[1], x[0], *x[2:]) for (r, i), x in sorted(best.items())]
 
 
