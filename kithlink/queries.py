@@ -485,8 +485,7 @@ def profile_columns(spark, sf_dir):
 @query("""SELECT count(*) AS pairs, count(*) FILTER (a.p_type = b.p_type) AS same_type FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
 JOIN (SELECT p_name, p_brand FROM part GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 64) g ON g.p_name = a.p_name AND g.p_brand = a.p_brand""")
 def profile_anchor(spark, sf_dir):
-    pairs = columns.anchor_pairs(part_store(spark, sf_dir), ["p_name", "p_brand"])
-    return pairs.agg(F.count("*").alias("pairs"), F.count_if(F.col("a_p_type") == F.col("b_p_type")).alias("same_type"))
+    return columns.anchor_counts(part_store(spark, sf_dir), ["p_name", "p_brand"], "p_type").withColumnRenamed("same", "same_type")
 
 
 @query("""WITH t AS (SELECT a.p_brand = b.p_brand AS x, a.p_size = b.p_size AS y FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey JOIN (SELECT min(p_partkey) AS k FROM part GROUP BY p_name) f ON f.k = a.p_partkey)
