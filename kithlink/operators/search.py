@@ -1,4 +1,4 @@
-"""Top-k search: one described record against all stored ones.
+"""Top-k search: one described record, or a frame of them (``search_many``), against all stored ones.
 
 The query is a one-row frame of side b; the stored rows are side a, so term frequencies are those of the stored value.
 No blocking and no join of rows: the query's values are broadcast (a single row), a bound drops rows that cannot enter, and the best k come from
@@ -25,6 +25,10 @@ from kithlink.sources.store import Store
 SPARK_TYPES = {"string": "string", "string_list": "array<string>", "date": "date", "double": "double", "boolean": "boolean"}
 
 
+#: Each side of a search by many queries is dealt into so many blocks.
+BLOCKS = 16
+
+
 def parse_field(stated: str) -> tuple[str, str]:
     """``column=value``."""
     name, mark, value = stated.partition("=")
@@ -89,6 +93,54 @@ def with_prior(model: Model, records: int, expected_matches: float | None = None
     return model
 
 
+def search_many(store: Store, queries: DataFrame, model: Model, k: int = 10, damping: float = 1.0, fuzzy_tf: bool = False, interactions: bool = True) -> DataFrame:
+    """``query, rank, unique_id, gamma, match_weight, match_probability, row`` of the k best of each query, ties to the lower row.
+
+    ``queries`` has ``query`` and the plain columns of the schema that are asked for, typed as in the store; others count as null.
+    Weights follow from values, so distinct values of the queries meet distinct values of the store, block by block, and of
+    a value only its k lowest rows can be among the best.
+    """
+    if len(store.names) > 1:
+        raise ValueError("search reads one input")
+    schema = store.schema
+    scorer = Scorer(store, model, damping, fuzzy_tf, interactions)
+    columns = compared_columns(schema)
+    masks = bound_columns(schema)
+    asked = {c.name for c in schema.columns if (c.source or c.name) in queries.columns}
+    idle = set(columns) - {n for c in schema.comparisons if asked & set(c.columns) for n in c.columns}
+    kinds = {c.name: SPARK_TYPES[schema.type_of(c.name)] for c in schema.columns}
+    plain = [F.col(c.name) if c.name in queries.columns else F.lit(None).cast(kinds[c.name]).alias(c.name) for c in schema.columns if not c.source]
+    derived = {c.name: text.transformed(F.col(c.source), c.transforms) for c in schema.columns if c.source}
+    given = queries.select("query", *plain).withColumns(derived).select("query", F.struct(*columns).alias("__values"))
+    # what no query asks for is null on both sides, so it does not tell values apart
+    values = F.struct(*(F.lit(None).cast(kinds[c]).alias(c) if c in idle else F.col(c) for c in columns))
+    stored = store.frame.select("__row", "__ds", "__id", values.alias("__values"))
+    first = stored.groupBy("__values").agg(F.min("__row").alias("a___row"), F.min("__ds").alias("a___ds"))
+
+    def side(df: DataFrame, s: str, *more: str) -> DataFrame:
+        flat = df.select("__values", *more, *(F.col(f"__values.`{c}`").alias(c) for c in columns)).withColumns(masks)
+        return flat.select(F.col("__values").alias(f"{s}__values"), *more, *(F.col(c).alias(f"{s}_{c}") for c in [*columns, *masks]))
+
+    def best(by: str, row: str):
+        return Window.partitionBy(by).orderBy(F.desc("match_weight"), row)
+
+    a = side(first, "a", "a___row", "a___ds")
+    b = side(given.select("__values").distinct(), "b").withColumn("b___ds", F.lit(0))
+    # every value of the store meets every value asked for: both sides in blocks, each pair of blocks by one key
+    n, every = BLOCKS, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long")))
+    a = a.withColumn("__i", F.pmod(F.xxhash64("a___row"), F.lit(n))).withColumn("__j", every)
+    b = b.withColumn("__j", F.pmod(F.xxhash64("b__values"), F.lit(n))).withColumn("__i", every)
+    met = a.join(b.hint("shuffle_hash"), ["__i", "__j"]).drop("__i", "__j")
+    scored = scorer.weighed(scorer.based(met.withColumn("gamma", agreement(schema, bool(masks))), None, True))
+    top = scored.withColumn("__n", F.row_number().over(best("b__values", "a___row"))).where(F.col("__n") <= k)
+    top = top.select("a__values", "b__values", "gamma", "match_weight", "match_probability")
+    lowest = stored.withColumn("__n", F.row_number().over(Window.partitionBy("__values").orderBy("__row"))).where(F.col("__n") <= k)
+    lowest = lowest.select(F.col("__values").alias("l__values"), F.col("__row").alias("row"), F.col("__id").alias("unique_id"))
+    found = top.join(lowest, F.col("a__values").eqNullSafe(F.col("l__values")))
+    found = found.withColumn("rank", F.row_number().over(best("b__values", "row"))).where(F.col("rank") <= k)
+    return given.join(found, F.col("__values").eqNullSafe(F.col("b__values"))).select("query", "rank", "unique_id", "gamma", "match_weight", "match_probability", "row")
+
+
 def search(store: Store, fields, model: Model, k: int = 10, threshold: float | None = None, probability: float | None = None, expected_matches: float | None = None, prior_weight: float | None = None, clusters: DataFrame | None = None, damping: float = 1.0, fuzzy_tf: bool = False, interactions: bool = True) -> DataFrame:
     """``rank, unique_id, gamma, match_weight, match_probability, row`` of the k best, ties to the lower row; with clusters, ``cluster_id`` and ``best_of_cluster``."""
     if len(store.names) > 1:

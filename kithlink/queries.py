@@ -461,6 +461,20 @@ def search_part(spark, sf_dir):
     return found.select(F.col("unique_id").cast("long"), "gamma", F.round("match_weight", 6).alias("match_weight"), "rank")
 
 
+@query(f"""WITH v AS (SELECT p_name, p_type, count(*) AS n FROM part GROUP BY 1, 2), t AS (SELECT p_name AS v, count(*) AS tf FROM part GROUP BY 1),
+c AS (SELECT a.p_name AS an, a.p_type AS at, b.p_name AS bn, b.p_type AS bt, {_L1} AS l1, {_L2} AS l2, 0 AS l3 FROM v a, (SELECT DISTINCT p_name, p_type FROM part WHERE p_partkey % 50 = 0) b),
+w AS (SELECT c.*, (l1 + (l2 << 3) + (l3 << 5))::BIGINT AS gamma, log2({LAMBDA} / (1 - {LAMBDA})) + {_w(0)} + {_w(1)} + log2(1.0) + CASE WHEN l1 = 1 THEN log2({U[0][1]} * (SELECT count(*) FROM part) / tf) ELSE 0 END AS w FROM c JOIN t ON t.v = c.an)
+SELECT query, unique_id, gamma, round(w, 6) AS match_weight, rank FROM (
+ SELECT q.p_partkey AS query, a.p_partkey AS unique_id, gamma, w, row_number() OVER (PARTITION BY q.p_partkey ORDER BY w DESC, a.p_partkey)::INT AS rank
+ FROM part q JOIN w ON w.bn = q.p_name AND w.bt = q.p_type JOIN part a ON a.p_name = w.an AND a.p_type = w.at WHERE q.p_partkey % 50 = 0) WHERE rank <= 10""")
+def search_part_many(spark, sf_dir):
+    """Every part whose key is divisible by 50, by the fields of ``search_part``, against all parts."""
+    store = part_store(spark, sf_dir)
+    asked = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query"), "p_name", "p_type")
+    found = search.search_many(store, asked, part_model(store), k=10)
+    return found.select("query", F.col("unique_id").cast("long"), "gamma", F.round("match_weight", 6).alias("match_weight"), "rank")
+
+
 # -- diagnostics
 
 
