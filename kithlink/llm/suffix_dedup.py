@@ -4,18 +4,23 @@ Every byte that lies in a ``length``-byte string which also starts earlier (smal
 earlier start) is removed; strings are judged on the input.
 
 1. Each window of ``length`` bytes has an anchor, the 32-byte gram in it with the least hash, so equal windows have equal
-   anchors in equal places. Windows in a row with one anchor make a segment. Equal segments are told by their hash,
-   in the map task first: all but the first occurrence are repeats as a whole, and only firsts are shuffled.
-2. Anchors that occur in different segments send these to suffix-array shards. A segment is cut in two by the anchor's
-   place in the window, and routed by a hash of the bytes that all windows of the part share, so that a very common
-   passage in many surroundings does not come together in one shard.
-3. A shard joins the distinct strings that share a route, sorts their suffixes by induced sorting and takes the permuted
-   common prefixes: neighbours with a common prefix of ``length`` bytes are equal windows. The earliest stays.
-4. Repeated windows are joined to runs per document and cut out.
+   anchors. Windows in a row with one anchor make a segment. Anchors that occur once cannot hold a repeat and drop out; any
+   other has a home, the smallest doc_id that it occurs in. Hashes serve for this routing only; none decides a match.
+2. A document's windows in a row with one home make a string of its bytes, which goes to the home's shard; so a copy
+   travels as one string, and equal windows always meet.
+3. A shard sorts the suffixes of its strings by recursive induced sorting and takes the permuted common prefixes:
+   neighbours with a common prefix of ``length`` bytes are equal windows. The earliest stays.
+4. A home with more than ``HOME`` bytes of strings, as a common passage or thousands of copies have, is dealt over several
+   shards. What is not repeated within its shard is dealt again, over fewer, until a home fits one shard. Where
+   that no longer halves (one passage in very many surroundings), the windows that are left are grouped by a 128-bit
+   digest each. No string is longer than ``PIECE`` windows; a longer one is cut with the overlap that windows need.
+5. Repeated windows are joined to runs per document and cut out.
 
 Text is UTF-8 bytes. Nulls: a null text is empty; a row without doc_id is left whole and no source. Rows of one doc_id
-are one document; if their texts differ, the smallest text stands for it and rows with other texts are left whole. Texts shorter than ``length`` stay whole; empty tables give
-empty results; other columns are ignored. ``repeated_runs`` gives the runs, ``cut_texts`` the texts without them.
+are one document; if their texts differ, the smallest text stands for it and rows with other texts are left whole. Ties: of equal
+strings in one document the first start stays. Texts shorter than ``length`` stay whole; very long texts are read in one piece and sorted in
+strings of ``PIECE`` windows; empty tables give empty results; other columns, whatever their names, are ignored.
+``repeated_runs`` gives the runs, ``cut_texts`` the texts without them.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithlink.llm import shared
@@ -33,46 +38,33 @@ from kithlink.llm.suffixes import permuted_prefixes, suffix_array
 from kithlink.llm.textvec import U64, mix, powers, slices, utf8
 
 GRAM = 32
-SHARD = 1 << 20
-#: Bytes of text within which a map task tells repeats before the shuffle.
-TOLD = 8 << 20
-#: Rows between the stages: an anchor's segment, or (meta < 0) a run that is known to be repeated.
-SEGMENTS = "anchor long, segment long, doc_id long, meta long"
-
-
-def pack_meta(first: np.ndarray, place: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """First window's start, the anchor's place in it, and how many windows follow."""
-    return first << 16 | place << 8 | more
+#: Bytes that a shard gathers before it sorts, bytes of one home in a shard, windows of one string.
+SHARD, HOME, PIECE = 1 << 20, 1 << 20, 1 << 18
+SEGMENTS = "anchor long, doc_id long, meta long"
+PARTS = "home long, doc_id long, start long, bytes binary"
+#: A shard's rows: runs (no bytes), and what is left of homes in several shards (no size).
+SHARDED = "home long, doc_id long, start long, size long, bytes binary"
 
 
 def pack_run(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return -1 - (start << 31 | size)
+    return start << 31 | size
 
 
 def unpack_run(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = -1 - meta
-    return both >> 31, both & (1 << 31) - 1
-
-
-class Hashes:
-    """Hashes of any part of a slice's bytes."""
-
-    def __init__(self, data: np.ndarray):
-        self.up, self.down = powers(len(data) + 1)
-        self.total = np.zeros(len(data) + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * self.up[: len(data)], out=self.total[1:])
-
-    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self.total[b] - self.total[a]) * self.down[a])
+    return meta >> 31, meta & (1 << 31) - 1
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(row, anchor, segment, first window, anchor's place in it, windows after it) of a slice; places within the row."""
+    """(row, anchor, first window, windows after it) of a slice; places within the row."""
     n, span = len(data), length - GRAM + 1
-    if n < length:
-        return tuple(np.empty(0, np.int64) for _ in range(6))
-    h = Hashes(data)
-    grams = mix((h.total[GRAM:] - h.total[:-GRAM]) * h.down[: n - GRAM + 1])
+    sizes = np.diff(offsets)
+    counts = np.maximum(sizes - length + 1, 0)
+    if not counts.any():
+        return tuple(np.empty(0, np.int64) for _ in range(4))
+    up, down = powers(n + 1)
+    total = np.zeros(n + 1, U64)
+    np.cumsum((data.astype(U64) + U64(1)) * up[:n], out=total[1:])
+    grams = mix((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
     # least hash over ``span`` grams, the leftmost of equals, by doubling
     value, place, width = (grams >> U64(32)).astype(np.uint32), np.arange(len(grams), dtype=np.int32), 1
     while width < span:
@@ -80,16 +72,12 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
         better = value[step:] < value[:-step]
         value, place = np.where(better, value[step:], value[:-step]), np.where(better, place[step:], place[:-step])
         width += step
-    sizes = np.diff(offsets)
-    counts = np.maximum(sizes - length + 1, 0)
     row = np.repeat(np.arange(len(sizes)), counts)
     window = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(offsets[:-1], counts)
     anchor = place[window].astype(np.int64)
-    first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))) if len(row) else np.empty(0, np.int64)
-    last = np.append(first[1:], len(row)) - 1 if len(row) else first
-    a, b, p = window[first], window[last], anchor[first]
-    segment = mix(h.of(a, b + length) + (p - a).astype(U64) * U64(0x2545F4914F6CDD1D) + (b - a).astype(U64))
-    return row[first], grams[p].view(np.int64), segment.view(np.int64), a - offsets[row[first]], p - a, b - a
+    first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])))
+    last = np.append(first[1:], len(row)) - 1
+    return row[first], grams[anchor[first]].view(np.int64), window[first] - offsets[row[first]], last - first
 
 
 def merge_runs(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,114 +95,49 @@ def merge_runs(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np
     return doc[at], start[at], reach[ends] - start[at]
 
 
-def _batch(anchor, segment, doc, meta) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (anchor, segment, doc, meta)], ["anchor", "segment", "doc_id", "meta"])
-
-
 def _first_stage(length: int):
-    def told(parts):
-        doc, anchor, segment, a, p, more = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if not len(doc):
-            return
-        order = np.lexsort((a, doc, segment, anchor))
-        doc, anchor, segment, a, p, more = (x[order] for x in (doc, anchor, segment, a, p, more))
-        again = np.append(False, (anchor[1:] == anchor[:-1]) & (segment[1:] == segment[:-1]))
-        new = ~again
-        yield _batch(anchor[new], segment[new], doc[new], pack_meta(a, p, more)[new])
-        d, s, n = merge_runs(doc[again], a[again], more[again] + length)
-        if len(d):
-            yield _batch(mix(d.astype(U64)).view(np.int64), np.zeros(len(d)), d, pack_run(s, n))
-
     def work(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            parts, size = [], 0
             for i, _, data, at in slices(*utf8(batch.column("text"))):
-                row, *rest = segments(data, at, length)
-                parts.append((ids[i + row], *rest))
-                size += len(data)
-                if size >= TOLD:
-                    yield from told(parts)
-                    parts, size = [], 0
-            if parts:
-                yield from told(parts)
-
-    return work
-
-
-def _second_stage(length: int):
-    """Over rows sorted by anchor, segment, doc_id and meta: runs as they are, repeats of a segment as runs, and the firsts of anchors with several segments."""
-
-    def work(batches: Iterator[pa.RecordBatch]):
-        before = None  # anchor and segment of the last row
-        waiting = None  # the last anchor's first row, as long as it has shown one segment only
-        for batch in batches:
-            rows = [batch.column(c).to_numpy() for c in ("anchor", "segment", "doc_id", "meta")]
-            run = rows[3] < 0
-            if run.any():
-                yield _batch(*(x[run] for x in rows))
-                rows = [x[~run] for x in rows]
-            anchor, segment, doc, meta = rows
-            if not len(anchor):
-                continue
-            goes_on = before is not None and anchor[0] == before[0]
-            again = np.append(goes_on and segment[0] == before[1], (anchor[1:] == anchor[:-1]) & (segment[1:] == segment[:-1]))
-            if again.any():
-                d, s, n = merge_runs(doc[again], meta[again] >> 16, (meta[again] & 0xFF) + length)
-                yield _batch(np.zeros(len(d)), np.zeros(len(d)), d, pack_run(s, n))
-            before = int(anchor[-1]), int(segment[-1])
-            rows = [x[~again] for x in rows]
-            if not len(rows[0]):
-                continue
-            if waiting is not None:
-                rows, goes_on = [np.append(w, x) for w, x in zip(waiting, rows, strict=True)], False
-            same = rows[0][1:] == rows[0][:-1]
-            ask = np.append(goes_on, same) | np.append(same, False)
-            waiting = None if ask[-1] else [x[-1] for x in rows]
-            yield _batch(*(x[ask] for x in rows))
+                row, anchor, first, more = segments(data, at, length)
+                yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchor), "doc_id": pa.array(ids[i + row]), "meta": pa.array(first << 8 | more)})
 
     return work
 
 
-PARTS = "route long, doc_id long, start int, bytes binary"
-
-
 def _slice_stage(length: int):
-    """A document's asked-for segments as one or two strings each, with their routes."""
-    half = (length - GRAM + 1) // 2
+    """A document's asked-for windows as strings: windows in a row with one home, ``PIECE`` at most."""
 
     def work(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            texts, docs, asked = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("metas").to_pylist()
-            route, doc, start, parts = [], [], [], []
-            for t, d, metas in zip(texts, docs, asked, strict=True):
-                raw = (t or "").encode()
-                data = np.frombuffer(raw, np.uint8)
-                h = Hashes(data)
-                m = np.array(metas, np.int64)
-                first, place, more = m >> 16, m >> 8 & 0xFF, m & 0xFF
-                p = first + place
-                # windows whose anchor lies at ``half`` or later, then those before; all of a part share the bytes [low, high)
-                for a, b, low, high in ((first, np.minimum(first + more, p - half), p - half, None), (np.maximum(first, p - half + 1), first + more, None, p + length - half + 1)):
-                    ok = a <= b
-                    a, b, q = a[ok], b[ok], p[ok]
-                    if low is not None:
-                        lo, hi = low[ok], q - (length - GRAM) + length
-                    else:
-                        lo, hi = q, high[ok]
-                    key = mix(h.of(lo, hi) + U64(low is not None)).view(np.int64)
-                    route += key.tolist()
-                    doc += [d] * len(a)
-                    start += a.tolist()
-                    parts += [raw[x : y + length] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-            if route:
-                yield pa.RecordBatch.from_pydict({"route": pa.array(route, pa.int64()), "doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int32()), "bytes": pa.array(parts, pa.binary())})
+            out: tuple[list, ...] = ([], [], [], [])
+            held = 0
+            for text, doc, asked in zip(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("asked"), strict=True):
+                raw = text.encode()
+                asked = asked.values
+                home, meta = (asked.field(k).to_numpy() for k in ("home", "meta"))
+                order = np.argsort(meta)
+                home, first, last = home[order], meta[order] >> 8, (meta[order] >> 8) + (meta[order] & 0xFF)
+                new = np.append(True, (home[1:] != home[:-1]) | (first[1:] != last[:-1] + 1))
+                begin = np.flatnonzero(new)
+                for h, a, b in zip(home[begin].tolist(), first[begin].tolist(), last[np.append(begin[1:], len(home)) - 1].tolist(), strict=True):
+                    for x in range(a, b + 1, PIECE):
+                        part = raw[x : min(b, x + PIECE - 1) + length]
+                        for column, value in zip(out, (h, doc, x, part), strict=True):
+                            column.append(value)
+                        held += len(part)
+                if held >= 8 << 20:
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["home", "doc_id", "start", "bytes"])
+                    out, held = ([], [], [], []), 0
+            if held:
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["home", "doc_id", "start", "bytes"])
 
     return work
 
 
-def shard_repeats(doc: np.ndarray, start: np.ndarray, strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of the windows of a shard that are not the first of their kind."""
+def shard_repeats(doc: np.ndarray, start: np.ndarray, strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each place in the strings (each with an end): its string, its place there, and 2 where a window starts, 3 where that is not the first of its kind."""
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     text = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8).astype(np.int64) + 1
     ends = np.cumsum(sizes + 1) - 1
@@ -222,91 +145,139 @@ def shard_repeats(doc: np.ndarray, start: np.ndarray, strings: list[bytes], leng
     array = suffix_array(text)
     prefix = permuted_prefixes(text, array, length)
     owner = np.repeat(np.arange(len(strings)), sizes + 1)
-    room = ends[owner] - np.arange(len(text))
-    array = array[room[array] >= length]
-    linked = np.append(False, prefix[array[1:]] >= length)
+    within = np.arange(len(text)) - (ends - sizes)[owner]
+    window = (sizes + 1)[owner] - within > length
+    array = array[window[array]]
+    linked = np.append(False, prefix[array[1:]] >= length)[: len(array)]
     kind = np.cumsum(~linked)
-    at = start[owner[array]] + array - (ends - sizes)[owner[array]]
-    own = doc[owner[array]]
-    order = np.lexsort((at, own, kind))
-    kind, at, own = kind[order], at[order], own[order]
-    later = np.append(False, kind[1:] == kind[:-1])
-    return own[later], at[later]
+    order = np.lexsort(((start[owner] + within)[array], doc[owner[array]], kind))
+    kind, array = kind[order], array[order]
+    mark = np.where(window, 2, 0).astype(np.int8)
+    mark[array[1:][kind[1:] == kind[:-1]]] = 3
+    return owner, within, mark
+
+
+def _stretches(mask: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) of the stretches of marked places of one owner."""
+    at = np.flatnonzero(mask)
+    new = np.append(True, (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]]))[: len(at)]
+    first = np.flatnonzero(new)
+    return at[first], at[np.append(first[1:], len(at)) - 1] if len(at) else at
 
 
 def _shard_stage(length: int):
-    """Over rows sorted by route: strings that share a route, joined to shards."""
+    """Over rows sorted by home and shard: the strings of whole groups, joined to about ``SHARD`` bytes, sorted, and what they repeat."""
 
     def work(batches: Iterator[pa.RecordBatch]):
-        group: dict[bytes, tuple[int, int]] = {}
+        group: list[tuple] = []
+        ready: list[tuple] = []  # home, whether it is dealt over several shards, doc, start, bytes
+        size = {"group": 0, "ready": 0}
         current = None
-        doc, start, strings, size = [], [], [], 0
-        whole: list[tuple[int, int, int]] = []
-
-        def close_group():
-            nonlocal size
-            if len(group) > 1:
-                for s, (d, a) in group.items():
-                    doc.append(d)
-                    start.append(a)
-                    strings.append(s)
-                    size += len(s) + 1
-            group.clear()
 
         def flush():
-            nonlocal size
-            d, a, n = (np.array(x, np.int64) for x in zip(*whole, strict=True)) if whole else [np.empty(0, np.int64)] * 3
-            if strings:
-                own, at = shard_repeats(np.array(doc, np.int64), np.array(start, np.int64), strings, length)
-                d, a, n = np.concatenate((d, own)), np.concatenate((a, at)), np.concatenate((n, np.full(len(own), length)))
-            d, a, n = merge_runs(d, a, n)
-            for x in (doc, start, strings, whole):
-                x.clear()
-            size = 0
-            return _batch(np.zeros(len(d)), np.zeros(len(d)), d, pack_run(a, n))
+            home, several, doc, start, strings = zip(*ready, strict=True)
+            home, several, doc, start = np.array(home, np.int64), np.array(several, bool), np.array(doc, np.int64), np.array(start, np.int64)
+            owner, within, mark = shard_repeats(doc, start, strings, length)
+            first, last = _stretches(mark == 3, owner)
+            own = owner[first]
+            d, a, n = merge_runs(doc[own], start[own] + within[first], last - first + length)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(d), pa.int64()), pa.array(d), pa.array(a), pa.array(n), pa.nulls(len(d), pa.binary())], ["home", "doc_id", "start", "size", "bytes"])
+            if several.any():
+                first, last = _stretches((mark == 2) & several[owner], owner)
+                own = owner[first]
+                parts = [strings[k][x : x + n + length] for k, x, n in zip(own.tolist(), within[first].tolist(), (last - first).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(home[own]), pa.array(doc[own]), pa.array(start[own] + within[first]), pa.nulls(len(own), pa.int64()), pa.array(parts, pa.binary())], ["home", "doc_id", "start", "size", "bytes"])
+            ready.clear()
+            size["ready"] = 0
+
+        def close():
+            ready.extend(group)
+            size["ready"] += size["group"]
+            group.clear()
+            size["group"] = 0
 
         for batch in batches:
-            for route, d, a, s in zip(*(batch.column(c).to_pylist() for c in ("route", "doc_id", "start", "bytes")), strict=True):
-                if route != current:
-                    close_group()
-                    current = route
-                    if size >= SHARD or len(whole) >= 1 << 18:
-                        yield flush()
-                held = group.get(s)
-                if held is None:
-                    group[s] = (d, a)
-                else:  # an equal string: all its windows repeat the earlier one's
-                    later = max(held, (d, a))
-                    group[s] = min(held, (d, a))
-                    whole.append((*later, len(s)))
-        close_group()
-        yield flush()
+            for home, shards, shard, *rest in zip(*(batch.column(c).to_pylist() for c in ("home", "shards", "shard", "doc_id", "start", "bytes")), strict=True):
+                if (home, shard) != current:
+                    close()
+                    current = home, shard
+                    if size["ready"] >= SHARD:
+                        yield from flush()
+                group.append((home, shards > 1, *rest))
+                size["group"] += len(rest[-1]) + 1
+        close()
+        if ready:
+            yield from flush()
 
     return work
 
 
-def _one_text_each(docs: DataFrame) -> DataFrame:
+def _digests(left: DataFrame, length: int) -> DataFrame:
+    """(doc_id, meta) of the windows that an earlier equal one stands for, window by window."""
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for doc, start, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "bytes")), strict=True):
+                n = len(part) - length + 1
+                yield pa.RecordBatch.from_pydict({"digest": pa.array([hashlib.blake2b(part[i : i + length], digest_size=16).digest() for i in range(n)], pa.binary()), "doc_id": pa.array(np.full(n, doc)), "start": pa.array(start + np.arange(n))})
+
+    windows = shared.settle(left.select("doc_id", "start", "bytes").mapInArrow(work, "digest binary, doc_id long, start long"), "windows")
+    at = F.struct("doc_id", "start")
+    first = shared.settle(windows.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "first-windows")
+    return windows.join(first, "digest").where(at != F.col("first")).select("doc_id", (F.shiftleft("start", 31) + length).alias("meta"))
+
+
+def named(column: str) -> Column:
+    """A column whose name may hold anything."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def repeated_ids(docs: DataFrame) -> DataFrame | None:
+    """The doc_ids of several rows, if there are any."""
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    found = shared.settle(found, "repeated-ids")
+    return None if found.isEmpty() else found
+
+
+def _one_text_each(docs: DataFrame, repeated: DataFrame | None) -> DataFrame:
     """(doc_id, text) with one text for a doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if docs.select("doc_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+    if repeated is None:
         return docs
     single = docs.join(repeated, "doc_id", "left_anti")
     return single.unionByName(docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
 
 
-def repeated_runs(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(doc_id, meta) with a packed run each; runs of a document may overlap."""
+def repeated_runs(docs: DataFrame, length: int = 100, repeated: DataFrame | None = None) -> DataFrame:
+    """(doc_id, meta) with a packed run each; runs of a document may overlap. ``repeated`` are the doc_ids of several rows."""
     if not GRAM + 8 <= length < 256:
         raise ValueError("length must lie between 40 and 255")
-    texts = _one_text_each(docs)
-    found = texts.mapInArrow(_first_stage(length), SEGMENTS).repartition("anchor").sortWithinPartitions("anchor", "segment", "doc_id", "meta")
-    found = shared.settle(found.mapInArrow(_second_stage(length), SEGMENTS), "segments", compression="zstd")
-    asked = found.where("meta >= 0").groupBy("doc_id").agg(F.collect_list("meta").alias("metas"))  # bounded by the document's own length
-    parts = texts.join(asked, "doc_id").mapInArrow(_slice_stage(length), PARTS)
-    dealt = parts.repartition("route").sortWithinPartitions("route")
-    runs = shared.settle(dealt.mapInArrow(_shard_stage(length), SEGMENTS).select("doc_id", "meta"), "suffix-runs", compression="zstd")
-    return found.where("meta < 0").select("doc_id", "meta").unionByName(runs)
+    texts = _one_text_each(docs, repeated)
+    found = shared.settle(texts.mapInArrow(_first_stage(length), SEGMENTS), "segments", compression="zstd")
+    homes = found.groupBy("anchor").agg(F.min("doc_id").alias("home"), F.count("*").alias("n")).where("n > 1").select("anchor", "home")
+    homes = shared.settle(homes, "homes", compression="zstd")
+    asked = found.join(homes, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("home", "meta")).alias("asked"))  # bounded by the document's own length
+    left = shared.settle(texts.join(asked, "doc_id").mapInArrow(_slice_stage(length), PARTS), "strings", compression="zstd")
+    runs = None
+    before = None
+    while True:
+        sizes = left.groupBy("home").agg(F.sum(F.octet_length("bytes")).alias("size")).where(F.col("size") > HOME)
+        large = shared.settle(sizes.select("home", "size", F.ceil(F.col("size") / HOME).cast("long").alias("shards")), "large-homes")
+        total = large.agg(F.sum("size")).first()[0] or 0
+        if before is not None and 2 * total > before:
+            some = _digests(left.join(large, "home", "left_semi"), length)
+            runs, left = runs.unionByName(some), left.join(large, "home", "left_anti")
+            large, total = large.limit(0), 0
+        before = total
+        shards = F.coalesce("shards", F.lit(1).cast("long"))
+        dealt = left.join(large, "home", "left").select("home", shards.alias("shards"), F.pmod(F.xxhash64("doc_id", "start"), shards).alias("shard"), "doc_id", "start", "bytes")
+        done = dealt.repartition("home", "shard").sortWithinPartitions("home", "shard").mapInArrow(_shard_stage(length), SHARDED)
+        done = shared.settle(done, "suffix-runs", compression="zstd")
+        some = done.where("bytes IS NULL").select("doc_id", (F.shiftleft("start", 31) + F.col("size")).alias("meta"))
+        runs = some if runs is None else runs.unionByName(some)
+        if not total:
+            return runs
+        left = done.where("bytes IS NOT NULL").select("home", "doc_id", "start", "bytes")
 
 
 CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
@@ -317,11 +288,11 @@ def cut_texts(docs: DataFrame, length: int = 100, with_text: bool = True, carry:
 
     Columns named in ``carry`` come along as a struct ``row``.
     """
-    runs = repeated_runs(docs, length).groupBy("doc_id").agg(F.collect_list("meta").alias("metas"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*carry).alias("row") if carry else F.lit(0).alias("row"))
-    repeated = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    repeated = repeated_ids(docs)
+    runs = repeated_runs(docs, length, repeated).groupBy("doc_id").agg(F.collect_list("meta").alias("metas"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*map(named, carry)).alias("row") if carry else F.lit(0).alias("row"))
     joined = rows.join(runs, "doc_id", "left")
-    if not repeated.isEmpty():  # rows whose text is not the one that stands for the doc_id stay whole
+    if repeated is not None:  # rows whose text is not the one that stands for the doc_id stay whole
         least = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("stands"))
         joined = joined.join(least, "doc_id", "left").withColumn("metas", F.when(F.col("stands").isNull() | (F.col("stands") == F.col("text")), F.col("metas"))).drop("stands")
 
@@ -356,7 +327,7 @@ def cut_documents(docs: DataFrame, length: int = 100) -> DataFrame:
     other = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
     cut = cut_texts(docs, length, True, other)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return cut.select(*(new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))
+    return cut.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

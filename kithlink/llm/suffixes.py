@@ -1,9 +1,12 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
+"""Suffix arrays by recursive induced sorting, and permuted common prefixes, in numpy.
 
 ``suffix_array`` classifies suffixes (smaller or larger than the one after), takes the leftmost-smaller ones, sorts
-their substrings by inducing and names them, orders them by their names, and induces the whole array from them in two
-linear passes. A pass goes through the 257 buckets, each in whole-array steps. The shorter string of names has
-too many buckets for that; where names repeat, it is ordered by doubling ranks over it.
+their substrings by inducing and names them, sorts the string of names by the same way, recursively, until no name
+repeats, and induces the whole array from the sorted leftmost-smaller suffixes in two linear sweeps.
+
+A sweep goes through the buckets in whole-array steps. A step takes as many buckets as can be done at once: none of
+them may get a suffix from another bucket of the step. With few symbols that is a bucket or two, with the many names of
+the recursion some hundreds. Runs of one symbol are laid out at once, so they cost no steps.
 
 ``permuted_prefixes`` gives, in text order, the common prefix of each suffix with the one before it in the array: only
 irreducible places are compared, the others follow from their left neighbour.
@@ -21,113 +24,116 @@ def smaller_types(s: np.ndarray) -> np.ndarray:
     step = np.diff(s)
     change = np.flatnonzero(step)
     if len(change):
-        following = np.searchsorted(change, np.arange(n - 1))
-        up[:-1] = step[change[np.minimum(following, len(change) - 1)]] > 0
+        up[: change[-1] + 1] = np.repeat(step[change] > 0, np.diff(np.append(-1, change)))
     up[-1] = True
     return up
 
 
-class _Buckets:
-    def __init__(self, s: np.ndarray, size: int):
-        self.counts = np.bincount(s, minlength=size)
-        self.ends = np.cumsum(self.counts)
-        self.heads = self.ends - self.counts
-
-
-def _deal(out: np.ndarray, at: np.ndarray, places: np.ndarray, chars: np.ndarray, forward: bool) -> None:
-    """Put ``places`` into their characters' buckets in order, from ``at`` on."""
-    order = np.argsort(chars, kind="stable")
-    places, chars = places[order], chars[order]
-    first = np.flatnonzero(np.append(True, chars[1:] != chars[:-1]))
-    sizes = np.diff(np.append(first, len(chars)))
-    rank = np.arange(len(chars)) - np.repeat(first, sizes)
-    own = chars[first]
-    out[np.repeat(at[own], sizes) + rank if forward else np.repeat(at[own], sizes) - 1 - rank] = places
-    at[own] += sizes if forward else -sizes
-
-
-def induce(s: np.ndarray, up: np.ndarray, seeds: np.ndarray, buckets: _Buckets) -> np.ndarray:
-    """The array induced from the leftmost-smaller suffixes ``seeds`` in their order."""
-    n, size = len(s), len(buckets.counts)
-    # larger suffixes, left to right
-    out = np.full(n, -1, np.int64)
-    heads = buckets.heads.copy()
-    seed_chars = s[seeds]
-    seed_at = np.searchsorted(seed_chars, np.arange(size + 1))
-    for c in np.flatnonzero(buckets.counts).tolist():
-        at = int(buckets.heads[c])
-        while at < heads[c]:  # what this bucket has got so far; it may give itself more
-            batch = out[at : heads[c]]
-            at = int(heads[c])
-            before = batch[batch > 0] - 1
-            before = before[~up[before]]
-            if len(before):
-                _deal(out, heads, before, s[before], True)
-        batch = seeds[seed_at[c] : seed_at[c + 1]]
-        before = batch[batch > 0] - 1
+def runs_before(s: np.ndarray) -> np.ndarray:
+    """How many places before each one hold its symbol without a break."""
+    first = np.append(0, np.flatnonzero(s[1:] != s[:-1]) + 1)
+    sizes = np.diff(np.append(first, len(s)))
+    return np.arange(len(s)) - np.repeat(first, sizes)
+
+
+def _rank_within(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rank within its key, keys, their counts) of ascending keys."""
+    first = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])[: len(sorted_keys)])
+    sizes = np.diff(np.append(first, len(sorted_keys)))
+    return np.arange(len(sorted_keys)) - np.repeat(first, sizes), sorted_keys[first], sizes
+
+
+def _sweep(s: np.ndarray, wanted: np.ndarray, run: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
+    """The ``wanted`` suffixes in ascending order, induced from the others' ``seeds`` (ascending); a wanted one comes before seeds of its symbol."""
+    counts = np.bincount(s[wanted], minlength=size)
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    fill = ends[:-1].copy()
+    out = np.full(int(ends[-1]), -1, np.int64)
+    seed_at = np.searchsorted(s[seeds], np.arange(size + 1))
+    total = ends + seed_at
+    c, step = 0, 256
+    while c < size:
+        to = min(size, max(c + 1, int(np.searchsorted(total, total[c] + step, "right")) - 1))
+        own = out[ends[c] : ends[to]]
+        own = own[own >= 0]
+        more = run[own]
+        if more.any():  # a symbol's run: each place follows from the one after it, all of a distance in a row
+            which = np.repeat(np.arange(len(own)), more + 1)
+            back = np.arange(len(which)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+            own = own[which] - back
+            own = own[np.lexsort((back, s[own]))]
+        both, place = np.concatenate((own, seeds[seed_at[c] : seed_at[to]])), None
+        if to - c > 1:
+            place = s[both]
+            order = np.argsort(place, kind="stable")
+            both, place = both[order], place[order]
+        before = both - 1
+        use = np.flatnonzero((before >= 0) & wanted[before] & (s[before] != s[both]))
+        before = before[use]
+        target = s[before]
+        if len(target) and place is not None:
+            least = int(target.min())
+            if least < to:  # buckets from there on are not complete yet
+                to = least
+                kept = int(np.searchsorted(place[use], to))
+                before, target = before[:kept], target[:kept]
+                own = own[: int(np.searchsorted(s[own], to))]
+        done = int(total[to] - total[c])
+        out[ends[c] : ends[to]] = own
         if len(before):
-            _deal(out, heads, before, s[before], True)
-    # smaller suffixes, right to left
-    tails = buckets.ends.copy()
-    for c in np.flatnonzero(buckets.counts)[::-1].tolist():
-        at = int(buckets.ends[c])
-        while at > tails[c]:
-            batch = out[tails[c] : at][::-1]
-            at = int(tails[c])
-            before = batch[batch > 0] - 1
-            before = before[up[before]]
-            if len(before):
-                _deal(out, tails, before, s[before], False)
-        batch = out[buckets.heads[c] : heads[c]][::-1]
-        before = batch[batch > 0] - 1
-        before = before[up[before]]
-        if len(before):
-            _deal(out, tails, before, s[before], False)
-    out[0] = n - 1
+            order = np.argsort(target, kind="stable")
+            before, target = before[order], target[order]
+            rank, keys, sizes = _rank_within(target)
+            out[fill[target] + rank] = before
+            fill[keys] += sizes
+        c, step = to, max(64, 2 * done)
     return out
 
 
-def _order_names(names: np.ndarray) -> np.ndarray:
-    """The suffix array of a string of names, by doubling."""
-    n, rank, step = len(names), names.astype(np.int64), 1
-    while True:
-        key = rank * (n + 1)
-        key[:-step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.append(0, sorted_key[1:] != sorted_key[:-1]))
-        rank, step = new, step * 2
-        if rank[order[-1]] == n - 1 or step >= n:
-            return order
+def induce(s: np.ndarray, up: np.ndarray, run: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
+    """The array induced from the leftmost-smaller suffixes ``seeds`` in their order."""
+    larger = _sweep(s, ~up, run, seeds, size)
+    induced = up.copy()
+    induced[-1] = False  # nothing comes after the end
+    smaller = _sweep(size - 1 - s, induced, run, larger[::-1], size)
+    counts = np.bincount(s, minlength=size)
+    ends = np.cumsum(counts)
+    out = np.full(len(s), len(s) - 1, np.int64)
+    symbol = s[larger]
+    out[(ends - counts)[symbol] + _rank_within(symbol)[0]] = larger
+    symbol = s[smaller]
+    out[ends[symbol] - 1 - _rank_within(size - 1 - symbol)[0]] = smaller
+    return out
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """The suffix array of small non-negative integers; an end below all of them is implied."""
-    if len(text) == 0:
-        return np.empty(0, np.int64)
-    s = np.append(text.astype(np.int64) + 1, 0)
-    size = int(s.max()) + 1
-    up, buckets = smaller_types(s), _Buckets(s, size)
-    least = np.flatnonzero(up[1:] & ~up[:-1]) + 1  # leftmost-smaller places in text order
+def _sorted(s: np.ndarray, size: int) -> np.ndarray:
+    """The suffix array of ``s``, whose last symbol is its only least one; symbols are below ``size``."""
+    up, run = smaller_types(s), runs_before(s)
+    least = np.flatnonzero(up[1:] & ~up[:-1]) + 1  # leftmost-smaller places in text order; the last is the end
     if len(least) > 1:
         # sort their substrings: seeds in bucket order induce them
-        order = induce(s, up, least[np.argsort(s[least], kind="stable")], buckets)
-        is_least = np.zeros(len(s), bool)
-        is_least[least] = True
-        ranked = order[is_least[order]]
-        number = np.empty(len(s), np.int64)
+        order = induce(s, up, run, least[np.argsort(s[least], kind="stable")], size)
+        number = np.full(len(s), -1, np.int64)
         number[least] = np.arange(len(least))
+        name_at = number[order]
+        name_at = name_at[name_at >= 0]
         ends = np.append(least[1:], len(s) - 1)
-        name_at = number[ranked]
         begin, length = least[name_at], ends[name_at] - least[name_at] + 1
+        rank = np.cumsum(np.append(0, ~_same(s, begin[:-1], length[:-1], begin[1:], length[1:])))
         names = np.empty(len(least), np.int64)
-        names[name_at] = np.cumsum(np.append(0, ~_same(s, begin[:-1], length[:-1], begin[1:], length[1:])))
-        if names[name_at[-1]] < len(least) - 1:
-            ranked = least[_order_names(names)]
+        names[name_at] = rank
+        seeds = least[_sorted(names, int(rank[-1]) + 1)] if rank[-1] < len(least) - 1 else least[name_at]
     else:
-        ranked = least
-    return induce(s, up, ranked, buckets)[1:]
+        seeds = least
+    return induce(s, up, run, seeds, size)
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """The suffix array of small non-negative integers; an end below all of them is implied."""
+    if len(text) == 0:
+        return np.empty(0, np.int64)
+    s = np.append(text.astype(np.int64) + 1, 0)
+    return _sorted(s, int(s.max()) + 1)[1:]
 
 
 def _same(s: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:

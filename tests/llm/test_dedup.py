@@ -60,9 +60,9 @@ def test_near_duplicates_of_nothing(spark):
 
 def test_suffix_arrays():
     rng = np.random.default_rng(0)
-    for trial in range(150):
+    for trial in range(300):
         t = rng.integers(0, rng.integers(1, 5), rng.integers(1, 50))
-        t = np.tile(t, 1 + trial % 3)
+        t = np.tile(t, 1 + trial % 4)
         array, s = suffix_array(t), t.tolist()
         assert array.tolist() == sorted(range(len(s)), key=lambda i: s[i:])
         prefix = permuted_prefixes(t, array, 6)
@@ -100,6 +100,28 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.cut_texts(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("home", [1 << 20, 20_000])
+def test_suffix_dedup_of_all_documents(spark, monkeypatch, home):
+    """All of sf0.01 by brute force, with whole homes and with homes dealt over shards."""
+    monkeypatch.setattr(suffix_dedup, "HOME", home)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    expected = cut([(r.doc_id, r.text) for r in docs.collect()])
+    got = {g.doc_id: tuple(g)[1:5] for g in suffix_dedup.cut_texts(docs, with_text=False).collect()}
+    assert got == expected
+
+
+def test_one_passage_in_many_surroundings(spark, monkeypatch):
+    """A home that dealing does not make smaller is settled window by window; names that clash or have dots do no harm."""
+    monkeypatch.setattr(suffix_dedup, "HOME", 3000)
+    rng = __import__("random").Random(8)
+    passage = words(rng, 25)
+    rows = [(i, words(rng, 9) + passage + words(rng, 9), "m") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.home` string").withColumnRenamed("a.home", "me.ta`s")
+    expected = cut([r[:2] for r in rows])
+    out = suffix_dedup.cut_texts(docs.repartition(4), carry=("me.ta`s",)).collect()
+    assert {g.doc_id: tuple(g)[1:5] for g in out} == expected and {g.row[0] for g in out} == {"m"}
+
+
 def test_rows_of_one_doc_id_with_other_texts(spark):
     a, b = "same words again and again " * 10, "zz other words " * 20
     got = suffix_dedup.cut_texts(frame(spark, [(1, b, None, None, None, None), (1, a, None, None, None, None), (2, a, None, None, None, None)])).collect()
