@@ -1,14 +1,16 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's streaming parser gives events; block-level tags cut them into lines, each with its text length,
-the tags met in it, and the container it stands in. A line's text-to-tag ratio is smoothed over its neighbours with a
-Gaussian, and a two-means threshold parts content from clutter. The lines above the threshold vote, with their text,
-for their nearest article-like container; the winner is the content region, and all its lines that stand in no
-menu, header, footer, sidebar, notice, advert, form, script, style or comment section are the text. Pages that mark
-no article get the innermost element with most of the lines above the threshold, or these lines and the headings before them.
-
-``extract`` is the function, ``extract_pages`` its column form. Null or empty html gives empty text; nothing is
-capped; unclosed and cut-off markup is read as far as it goes; repeated rows stay; other columns are ignored.
+the tags met in it, and the element it stands in. A line's text-to-tag ratio is smoothed over its neighbours with a
+Gaussian; two-means clustering of the logarithms parts content from clutter. A line gains by what its smoothed ratio lies
+above that threshold and loses by what it lies below. The content region is the element whose lines gain most together,
+so short lines between long ones are kept and menus beside it are not (a line that the page repeats counts once); on pages that wrap the content in no element of its own it
+is the stretch of lines that gains most. Tag names and words of class, id and role only remove what is never content: menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and comment sections.
+
+``extract`` is the function, ``extract_pages`` its column form. Null or empty html gives empty text; very long pages are read whole, in
+time linear in their length, and nothing is capped; unclosed, cut-off and broken markup is read as far as it goes; of elements that gain alike the innermost wins;
+repeated rows stay; an empty table gives an empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -36,45 +38,75 @@ CLUTTER = frozenset(
     "footer foot sidebar sidebars side aside rail widget widgets cookie cookies consent gdpr notice notices alert alerts toolbar masthead comment comments discussion disqus respond replies reply responses "
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay paywall pagination pager skip search contentinfo complementary".split()
 )
+#: A class word with one of these says that the element is what the page is about, whatever other words it has.
 ARTICLE_WORDS = frozenset("article content post entry story main body articlebody".split())
+#: A clutter word after one of these names what the element lacks or is beside.
+BESIDE = frozenset("no not has have with without".split())
 #: Opening one of these ends an open paragraph; opening one of an element's own kind ends it.
 ENDS_P = BLOCKS - {"button", "option", "select", "template", "noscript", "body", "html", "head", "title", "td", "th", "tr"}
-OWN_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+OWN_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_comment_end = re.compile(r"--\s*!?>")
+_opens = re.compile(r"<[A-Za-z/!?]")
 _word = re.compile(r"[a-z]+")
+_hidden = re.compile(r"display\s*:\s*none")
 SIGMA = 1.5
+#: By how much more than the whole page a stretch of lines must gain to be taken instead.
+WRAPPED = 2.0
 
 
 class Line:
-    __slots__ = ("clutter", "heading", "inside", "length", "path", "tags", "text")
+    __slots__ = ("clutter", "inside", "tags", "text")
 
-    def __init__(self, text: str, tags: int, path: tuple[int, ...], clutter: bool, inside: tuple[int, ...], heading: bool):
-        self.text, self.tags, self.path, self.clutter, self.length = text, tags, path, clutter, len(text)
-        self.inside, self.heading = inside, heading
+    def __init__(self, text: str, tags: int, inside: int, clutter: bool):
+        self.text, self.tags, self.inside, self.clutter = text, tags, inside, clutter
 
 
 class Events(HTMLParser):
-    """Parser events to lines."""
+    """Parser events to lines. Element 0 is the page; ``parents`` holds each element's parent, which has a lower number."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, int]] = []  # name, clutter, article container or 0, number
-        self.opened = 0
+        self.stack: list[tuple[str, int, bool]] = []  # name, number, whether it or one around it is clutter
+        self.where: dict[str, list[int]] = {}  # places of each name in the stack
+        self.parents = [0]
+        self.outer = {0}  # the page, its html and body
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = 0
-        self.containers = 0
-        self.marked: dict[int, str] = {}
+
+    def read(self, html: str) -> None:
+        """All of a page. A tag that the page's end cuts off is dropped with what follows, so the parser never looks for its end again and again."""
+        upto = html.rfind(">") + 1
+        self.last_comment = max((m.end() for m in _comment_end.finditer(html)), default=-1)
+        self.feed(html[:upto] + _opens.split(html[upto:], maxsplit=1)[0])
+        self.last_comment = -1
+        self.close()
+        self.cut()
+
+    def parse_comment(self, i, report=1):
+        return super().parse_comment(i, report) if i < self.last_comment else -1
+
+    def parse_marked_section(self, i, report=1):
+        """``<![`` of any kind is a comment up to the next ``>``."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
 
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            path = tuple(e[2] for e in self.stack if e[2])
-            inside = tuple(e[3] for e in self.stack if e[0] not in ("html", "body"))
-            heading = bool(self.stack) and self.stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
-            self.lines.append(Line(text, self.tags, path, any(e[1] for e in self.stack), inside, heading))
+            _, inside, clutter = self.stack[-1] if self.stack else ("", 0, False)
+            self.lines.append(Line(text, self.tags, inside, clutter))
             self.tags = 0
         self.parts = []
 
+    def _pop(self, to: int) -> None:
+        for name, _, _ in self.stack[to:]:
+            self.where[name].pop()
+        del self.stack[to:]
+
+    def _nearest(self, names: tuple[str, ...]) -> int:
+        return max((self.where[n][-1] for n in names if self.where.get(n)), default=-1)
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag not in BLOCKS and tag not in DROPPED:
@@ -82,66 +114,50 @@ class Events(HTMLParser):
                 self.parts.append(" ")
             return
         self.cut()
-        if tag in ENDS_P:
-            self._close({"p"}, {"p"})
+        if tag in ENDS_P and self.stack and self.stack[-1][0] == "p":
+            self._pop(len(self.stack) - 1)
         if tag in OWN_KIND:
-            self._close(OWN_KIND[tag], OWN_KIND[tag], {"ul", "ol", "dl", "table"} if tag not in ("td", "th") else {"tr", "table"})
+            at = self._nearest(OWN_KIND[tag])
+            if at > self._nearest(("tr", "table") if tag in ("td", "th") else ("ul", "ol", "dl", "table")):
+                self._pop(at)
         if tag in VOID:
             return
-        inside = any(e[2] for e in self.stack)
-        clutter = tag in DROPPED or tag == "header" and not inside
-        article = tag in ("article", "main")
+        clutter = bool(self.stack) and self.stack[-1][2] or tag in DROPPED or tag == "header" and self._nearest(("article", "main")) < 0
         for name, value in attrs:
-            if name in ("class", "id", "role", "itemprop") and value:
-                words = set(_word.findall(value.lower()))
-                if tag not in ("body", "html", "article", "main"):
-                    clutter = clutter or bool(words & CLUTTER)
-                article = article or tag in ("div", "section") and bool(words & ARTICLE_WORDS) and not clutter
-            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
+            if name in ("class", "id", "role", "itemprop") and value and tag not in ("body", "html", "article", "main"):
+                words = _word.findall(value.lower())
+                named = {w for w, before in zip(words, ["", *words], strict=False) if before not in BESIDE}
+                clutter = clutter or bool(named & CLUTTER) and not named & ARTICLE_WORDS
+            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and _hidden.search(value):
                 clutter = True
-        container = 0
-        if article and not clutter:
-            self.containers += 1
-            container = self.containers
-            self.marked[container] = tag
-        self.opened += 1
-        self.stack.append((tag, clutter, container, self.opened))
+        self.parents.append(self.stack[-1][1] if self.stack else 0)
+        if tag in ("html", "body"):
+            self.outer.add(len(self.parents) - 1)
+        self.where.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, len(self.parents) - 1, clutter))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag in ("script", "style"):
             self.handle_endtag(tag)
 
-    def _close(self, names: set[str], through: set[str], stop: frozenset | set = BLOCKS) -> None:
-        """Pop up to the nearest of ``names``, unless one of ``stop`` stands before it."""
-        for k in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[k][0]
-            if name in names:
-                del self.stack[k:]
-                return
-            if name in stop and name not in through:
-                return
-
     def handle_endtag(self, tag):
         self.tags += 1
         if tag not in BLOCKS and tag not in DROPPED:
             return
         self.cut()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
-            if tag == "p" and self.stack[k][0] != "p":
-                return
+        at = self._nearest((tag,))
+        if at >= 0 and (tag != "p" or at == len(self.stack) - 1):
+            self._pop(at)
 
     def handle_data(self, data):
         self.parts.append(data)
 
 
 def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
-    """Gaussian smoothing, the kernel cut at three sigma and renormalised at the ends."""
+    """Gaussian smoothing, the kernel cut at three sigma and renormalised at the ends; 0 smooths nothing."""
     reach = math.ceil(3 * sigma)
-    kernel = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-reach, reach + 1)]
+    kernel = [math.exp(-(d * d) / (2 * sigma * sigma)) if d else 1.0 for d in range(-reach, reach + 1)]
     out = []
     for i in range(len(ratios)):
         a, b = max(0, i - reach), min(len(ratios), i + reach + 1)
@@ -165,53 +181,53 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
-def unmarked(lines: list[Line], content: list[Line], total: int) -> list[Line]:
-    """The lines of a page that marks no article: those of the innermost element with most of the content, else the content and the headings before it."""
-    votes: dict[int, int] = {}
-    for x in content:
-        for e in x.inside:
-            votes[e] = votes.get(e, 0) + x.length
-    region = max((e for e, n in votes.items() if 4 * n >= 3 * total), default=0)
-    own = [x for x in lines if not x.clutter and region in x.inside]
-    if region and len(own) > 1:
-        return own
-    chosen = set(map(id, content))
-    for x, following in reversed(list(zip(lines, lines[1:], strict=False))):
-        if x.heading and not x.clutter and id(following) in chosen:
-            chosen.add(id(x))
-    return [x for x in lines if id(x) in chosen]
-
-
-def extract(html: str | None) -> str:
-    """The page's main text."""
+def best_stretch(gains: list[float]) -> tuple[float, int, int]:
+    """(sum, first, end) of the stretch with the largest sum."""
+    best, first, total = (0.0, 0, 0), 0, 0.0
+    for i, g in enumerate(gains):
+        if total <= 0:
+            first, total = i, 0.0
+        total += g
+        if total > best[0]:
+            best = (total, first, i + 1)
+    return best
+
+
+def region(events: Events, sigma: float = SIGMA, clustered: bool = True) -> list[Line]:
+    """The lines of the content region; what is removed by its name takes part in the clustering only."""
+    lines, parents = events.lines, events.parents
+    values = [math.log1p(r) for r in smoothed([len(x.text) / max(1, x.tags) for x in lines], sigma)]
+    met: set[str] = set()
+    fresh = [not (x.text in met or met.add(x.text)) for x in lines]
+    least = threshold([v for v, new in zip(values, fresh, strict=True) if new]) if clustered else 0.0
+    own = [(x, v - least if new else 0.0) for x, v, new in zip(lines, values, fresh, strict=True) if not x.clutter]
+    sums, several = [0.0] * len(parents), [0] * len(parents)
+    for x, gain in own:
+        sums[x.inside] += gain
+        several[x.inside] += gain != 0
+    for e in range(len(parents) - 1, 0, -1):
+        sums[parents[e]] += sums[e]
+        several[parents[e]] += several[e]
+    # a line alone is no region, unless the page has but one
+    best = max((e for e in range(len(parents)) if several[e] >= min(2, several[0])), key=lambda e: (round(sums[e], 9), e if several[0] > 1 else -e))
+    total, first, end = best_stretch([g for _, g in own])
+    if best in events.outer and total > WRAPPED * max(sums[best], 0.0) and sum(g > 0 for _, g in own[first:end]) > 1:
+        return [x for x, _ in own[first:end]]
+    inside = [False] * len(parents)
+    for e in range(best, len(parents)):
+        inside[e] = e == best or inside[parents[e]]
+    return [x for x, _ in own if inside[x.inside]]
+
+
+def extract(html: str | None, sigma: float = SIGMA, clustered: bool = True) -> str:
+    """The page's main text. Without smoothing (sigma 0) or clustering it shows what these are worth."""
     if not html:
         return ""
     events = Events()
-    events.feed(html)
-    events.close()
-    events.cut()
-    lines = events.lines
-    if not lines:
+    events.read(html)
+    if not events.lines:
         return ""
-    ratios = smoothed([0.0 if x.clutter else x.length / max(1, x.tags) for x in lines])
-    least = threshold(ratios)
-    content = [x for x, r in zip(lines, ratios, strict=True) if r >= least and not x.clutter] or [x for x in lines if not x.clutter]
-    votes: dict[int, int] = {}
-    for x in content:
-        for c in x.path:
-            votes[c] = votes.get(c, 0) + x.length
-    total = sum(x.length for x in content)
-    # the innermost container with most of the content's text; an article element before others, siblings of it join it
-    best = max((c for c in votes if 2 * votes[c] >= total), key=lambda c: (events.marked[c] == "article", votes[c], c), default=0)
-    if best:
-        tag = events.marked[best]
-        chosen = {c for c in events.marked if c == best or tag == "article" and events.marked[c] == "article" and c in votes}
-        content = [x for x in lines if not x.clutter and chosen & set(x.path)]
-    elif any(events.marked[c] == "article" for c in votes):
-        content = [x for x in lines if not x.clutter and any(events.marked[c] == "article" for c in x.path)]
-    else:
-        content = unmarked(lines, content, total)
-    return "\n\n".join(x.text for x in content)
+    return "\n\n".join(x.text for x in region(events, sigma, clustered))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

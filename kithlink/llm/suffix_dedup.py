@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kithlink.llm import shared
 from kithlink.llm.suffixes import permuted_prefixes, suffix_array
@@ -317,7 +318,7 @@ def cut_texts(docs: DataFrame, length: int = 100, with_text: bool = True, carry:
                 keep = 5 if with_text else 4
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays[:keep], part.column("row")], ["doc_id", *names[:keep], "row"])
 
-    schema = "doc_id long, " + (CUT if with_text else CUT.removesuffix(", text string")) + f", row {rows.schema['row'].dataType.simpleString()}"
+    schema = StructType.fromDDL("doc_id long, " + (CUT if with_text else CUT.removesuffix(", text string"))).add(rows.schema["row"])
     out = joined.select("doc_id", "text", "metas", "row").mapInArrow(cut, schema)
     return out if carry else out.drop("row")
 

@@ -1,11 +1,13 @@
 """Whole-batch text primitives in numpy: UTF-8 bytes of an Arrow column, words, word hashes and shingle sets.
 
-A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased. Hashes are 64-bit polynomial
-hashes, all words of a slice at once from one prefix sum, finished by a mixer.
+A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased. Its hash takes in eight bytes at a
+time and mixes after each, so it is linear in nothing; words of over ``LONG`` bytes are hashed by blake2b. Hashes of
+several words chain those of the words in the same way. Two seeds give two independent hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +23,13 @@ PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
+LONG = 256
+#: The low k bytes of a 64-bit number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < n at least."""
+    """B**i and B**-i modulo 2**64 for i < n at least, for hashes that only route."""
     if not _powers or len(_powers[0]) < n:
         size = max(1 << 20, 1 << int(n - 1).bit_length())
         inverse = pow(_BASE, -1, 1 << 64)
@@ -44,6 +49,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
+def chained(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The hash of each ``data[start:end]``."""
+    size = end - start
+    out = mix(size.astype(U64) + U64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
+    alive = np.flatnonzero((size > 0) & (size <= LONG))
+    t = 0
+    while len(alive):
+        left = size[alive] - t
+        out[alive] = mix(out[alive] ^ (eight[start[alive] + t] & _LOW[np.minimum(left, 8)]))
+        t += 8
+        alive = alive[left > 8]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -73,7 +96,7 @@ def slices(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterat
 class Words:
     """Words of a slice: ``start`` and ``end`` in its bytes, ``hash``, and ``at``, the first word of each row (and the end)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR, seed: int = 0):
         n = len(data)
         if n == 0:
             self.start = self.end = np.empty(0, np.int64)
@@ -88,10 +111,7 @@ class Words:
         after[-1], after[:-1] = True, ~inside[1:]
         self.start = np.flatnonzero(inside & (before | cut[:-1]))
         self.end = np.flatnonzero(inside & (after | cut[1:])) + 1
-        up, down = powers(n + 1)
-        total = np.zeros(n + 1, U64)
-        np.cumsum((_LOWER[data].astype(U64) + U64(1)) * up[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
+        self.hash = chained(_LOWER[data], self.start, self.end, seed)
         self.at = np.searchsorted(self.start, offsets)
 
 
@@ -100,10 +120,10 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, U64)
-    out = np.zeros(n, U64)
+    out = np.full(n, k, U64)
     for i in range(k):
-        out = out * U64(0xD6E8FEB86659FD93) + hashes[i : i + n]
-    return mix(out)
+        out = mix(out + U64(0xD6E8FEB86659FD93) ^ hashes[i : i + n])
+    return out
 
 
 def shingle_sets(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -122,10 +142,7 @@ def shingle_sets(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     where = np.arange(len(out)) - np.repeat(first, n) + np.repeat(words.at[:-1], n)
     out[long] = whole[where[long]]
     for i in np.flatnonzero((counts > 0) & (counts < k)):
-        part, h = words.hash[words.at[i] : words.at[i + 1]], 0
-        for w in part.tolist():
-            h = (h * 0xD6E8FEB86659FD93 + w) % (1 << 64)
-        out[first[i]] = mix(np.array([h + len(part) * 0x2545F4914F6CDD1D & (1 << 64) - 1], U64))[0]
+        out[first[i]] = runs(words.hash[words.at[i] : words.at[i + 1]], int(counts[i]))[0]
     order = np.lexsort((out, row))
     out, row = out[order], row[order]
     fresh = np.ones(len(out), bool)

@@ -2,19 +2,21 @@
 
 Byte-level BPE never merges across pre-tokens, so a text's ids are those of its pre-tokens in a row. The pre-tokens
 of a slice are cut in numpy by the byte-level rule (contractions, letters, digits, others, each with one leading
-space, then white space); those not seen before are given to the library's model. Every text is encoded whole.
+space, then white space); those not seen before are given to the library's model. What is remembered is keyed by the
+pre-token itself, never by a hash of it. Every text is encoded whole, the strings of added tokens become their ids as in the library
+(``special_as_text``: they are ordinary text). Files of other kinds than plain byte-level BPE go through the library text by text.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
+import re
 import unicodedata
 
 import numpy as np
 
-from kithlink.llm.textvec import U64, mix, powers
-
 LETTER, DIGIT, OTHER, SPACE, EDGE = range(5)
 #: The contractions of the byte-level pre-tokeniser.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -65,23 +67,32 @@ def pretokens(points: np.ndarray, ends: np.ndarray, joined: str) -> tuple[np.nda
 
 
 class Encoder:
-    """Whole texts to ids. ``memo`` bounds the pre-tokens remembered; beyond it the memory starts anew."""
+    """Whole texts to ids. ``memo`` bounds the characters of the pre-tokens remembered; beyond it the memory starts anew."""
 
-    def __init__(self, path: str, memo: int = 3_000_000):
+    def __init__(self, path: str, memo: int = 4_000_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special_as_text
         self.memo = memo
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # these bytes stand for themselves, others for the code points from 256
         self.spelling = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
         self.dtype = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        cutter = form.get("pre_tokenizer") or {}
+        self.known = form["model"].get("type", "BPE") == "BPE" and not form.get("normalizer") and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
+        added = {i: x for i, x in self.library.get_added_tokens_decoder().items() if not (special_as_text and x.special)}
+        self.known &= not any(x.single_word or x.lstrip or x.rstrip or x.normalized for x in added.values())
+        self.added = {x.content: i for i, x in added.items()}
+        self.mark = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.begin = np.empty(0, U64), np.empty(0, np.int64)
-        self.length, self.ids = np.empty(0, np.int64), np.empty(0, self.dtype)
+        self.number: dict[str, int] = {}
+        self.held = 0
+        self.begin, self.length, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.dtype)
 
     def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, length) of each pre-token, by the library's model on the byte-level spelling."""
@@ -91,6 +102,30 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts): the ids of all texts in a row, and how many each has."""
+        if not self.known:
+            found = [self.library.encode(t, add_special_tokens=False).ids for t in texts]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(itertools.chain.from_iterable(found), self.dtype, int(counts.sum())), counts
+        if self.mark is None or not any(map(self.mark.search, texts)):
+            return self._plain(texts)
+        parts, owner, ids, after = [], [], [], []  # texts cut at added tokens; the tokens and how many parts stand before each
+        for k, t in enumerate(texts):
+            at = 0
+            for m in self.mark.finditer(t):
+                parts.append(t[at : m.start()])
+                owner.append(k)
+                ids.append(self.added[m.group()])
+                after.append(len(parts))
+                at = m.end()
+            parts.append(t[at:])
+            owner.append(k)
+        plain, counts = self._plain(parts)
+        upto = np.concatenate(([0], np.cumsum(counts)))
+        whole = np.bincount(owner, counts, len(texts)).astype(np.int64) + np.bincount(np.array(owner)[np.array(after) - 1], minlength=len(texts))
+        return np.insert(plain, upto[after], np.array(ids, self.dtype)), whole
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, for texts without added tokens."""
         if not any(texts):
             return np.empty(0, self.dtype), np.zeros(len(texts), np.int64)
         joined = "\0".join(texts) + "\0"
@@ -98,24 +133,18 @@ class Encoder:
         ends = np.cumsum(lengths + 1) - 1
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         start, end = pretokens(points, ends, joined)
-        up, down = powers(len(points) + 1)
-        total = np.zeros(len(points) + 1, U64)
-        np.cumsum((points + np.uint32(1)) * up[: len(points)], out=total[1:])
-        keys, at, which = np.unique(mix((total[end] - total[start]) * down[start]), return_index=True, return_inverse=True)
-        if len(self.keys) > self.memo:
+        words = [joined[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        if self.held > self.memo:
             self._forget()
-        place = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == keys[inside]
-        if not known.all():
-            new = np.flatnonzero(~known)
-            ids, length = self._library([joined[a:b] for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
-            begin = len(self.ids) + np.cumsum(length) - length
-            self.ids = np.concatenate((self.ids, ids))
-            self.keys, self.begin, self.length = (np.insert(old, place[new], x) for old, x in ((self.keys, keys[new]), (self.begin, begin), (self.length, length)))
-            place = np.searchsorted(self.keys, keys)
-        begin, length = self.begin[place][which], self.length[place][which]
+        new = list(set(words).difference(self.number))
+        if new:
+            ids, length = self._library(new)
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self.held += sum(map(len, new))
+            self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(length) - length))
+            self.ids, self.length = np.concatenate((self.ids, ids)), np.concatenate((self.length, length))
+        which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        begin, length = self.begin[which], self.length[which]
         upto = np.cumsum(length)
         out = self.ids[np.repeat(begin - (upto - length), length) + np.arange(int(upto[-1]))]
         bounds = np.concatenate(([0], upto))[np.searchsorted(start, np.concatenate(([0], ends)))]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -39,8 +40,6 @@ def components(rows):
 
 @pytest.mark.parametrize("chunk", [512, 8])
 def test_near_duplicates(spark, chunk):
-    import random
-
     rng = random.Random(9)
     rows = [r for r in nasty_rows() if r[0] is not None]
     # a family in which links form chains, larger than a chunk
@@ -113,10 +112,10 @@ def test_suffix_dedup_of_all_documents(spark, monkeypatch, home):
 def test_one_passage_in_many_surroundings(spark, monkeypatch):
     """A home that dealing does not make smaller is settled window by window; names that clash or have dots do no harm."""
     monkeypatch.setattr(suffix_dedup, "HOME", 3000)
-    rng = __import__("random").Random(8)
+    rng = random.Random(8)
     passage = words(rng, 25)
     rows = [(i, words(rng, 9) + passage + words(rng, 9), "m") for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.home` string").withColumnRenamed("a.home", "me.ta`s")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string").withColumnRenamed("mark", "me.ta`s")
     expected = cut([r[:2] for r in rows])
     out = suffix_dedup.cut_texts(docs.repartition(4), carry=("me.ta`s",)).collect()
     assert {g.doc_id: tuple(g)[1:5] for g in out} == expected and {g.row[0] for g in out} == {"m"}

@@ -1,8 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import re
+import time
 import zlib
+from collections import Counter
+from html import unescape
 
+import pyarrow.parquet as pq
 import pytest
 
 from kithlink.llm import html_text, media, warc
@@ -23,6 +29,55 @@ def test_main_text():
     assert html_text.extract(bare).startswith("Head\n\nlong") and "Short." in html_text.extract(bare) and "2020" not in html_text.extract(bare)
 
 
+def article(page):
+    """The article's blocks, read by the page's own mark of it."""
+    inner = re.search(r"<article>(.*?)(</article>|<footer|$)", page, re.DOTALL).group(1)
+    blocks = re.split(r"</?(?:h1|p|article)>", inner.replace("<br>", " "))
+    texts = (" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks)
+    return "\n\n".join(t for t in texts if t)
+
+
+def overlap(got, want):
+    a, b = Counter(got.split()), Counter(want.split())
+    return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+
+def test_region_comes_from_ratios():
+    """All pages of sf0.1: exact with and without the article's tag; with no telling tag or class at all, ratios and smoothing still find it."""
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet").column("html").to_pylist()
+    truth = [article(p) for p in pages]
+    renamed = [re.sub(r"<(/?)article>", r"<\1div>", p) for p in pages]
+    bare = [re.sub(r"<(/?)(article|nav|footer|ul)>", r"<\1div>", p.replace(' class="ad"', "")).replace("<li>", "<p>").replace("</li>", "</p>") for p in pages]
+    assert [html_text.extract(p) for p in pages] == truth
+    assert [html_text.extract(p) for p in renamed] == truth
+
+    def found(**how):
+        return sum(overlap(html_text.extract(p, **how), t) for p, t in zip(bare, truth, strict=True)) / len(truth)
+
+    whole, raw, unclustered = found(), found(sigma=0), found(clustered=False)
+    assert whole > 0.975 and whole > raw + 0.003 and whole > unclustered + 0.03
+    assert sum(html_text.extract(p) == t for p, t in zip(bare, truth, strict=True)) > 0.85 * len(truth)
+    assert not any(html_text.extract(p, clustered=False) == t for p, t in zip(bare, truth, strict=True))
+
+
+@pytest.mark.parametrize("broken", ["<p>a<![foo[ b</p>", "<div>x y" * 100_000, "<!-- " * 100_000, "<a " * 100_000, "<" * 100_000, "<!-- a>" * 50_000, "<![CDATA[" * 50_000, "<td><table>" + "<div>" * 50_000 + "<td></td>" * 50_000, "</section>" * 50_000 + "<div>" * 50_000 + "</p>" * 50_000, "word " * 400_000])
+def test_broken_and_long_pages_end_soon(broken):
+    began = time.time()
+    html_text.extract(broken)
+    assert time.time() - began < 10
+
+
+def test_clutter_words_beside_article_words():
+    body = "<p>" + "long text here. " * 20 + "</p><p>" + "more words " * 30 + "</p>"
+    for mark in ("entry-content no-sidebar", "post has-comments", "content with-share"):
+        assert "long text" in html_text.extract(f"<body><nav>a b</nav><div class='{mark}'>{body}</div></body>"), mark
+    assert html_text.extract(f"<body><div class='comments'>{body}</div></body>") == ""
+    rng = random.Random(5)
+    pieces = ["<", ">", "!", "[", "-", "--", "p", "div", " ", "=", '"', "'", "/", "&", "#", "x", "CDATA[", "]]>", "script", "?", "a", "li", "table", "tr", "td"]
+    for _ in range(3000):
+        html_text.extract("".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))))
+
+
 def test_pages_column(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5), (None, "v", "", 5)], "page_id long, url string, html string, n_chars int")
     got = {r.page_id: (r.n_chars, len(r.text)) for r in html_text.extract_pages(pages).collect()}

@@ -6,6 +6,7 @@ from array import array
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from kithlink.llm import packing, token_files, tokens
 from tests.llm.helpers import frame, nasty_rows
@@ -13,11 +14,19 @@ from tests.llm.helpers import frame, nasty_rows
 
 @pytest.fixture(scope="module")
 def library():
-    return tokens.Encoder(tokens.default_path())
+    return Tokenizer.from_file(tokens.default_path())
 
 
 def want(library, text):
-    return library.library.encode(text or "", add_special_tokens=False).ids
+    return library.encode(text or "", add_special_tokens=False).ids
+
+
+def thue_morse(n):
+    """Two words of n letters whose polynomial hashes agree for any odd base modulo a power of two."""
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
 
 
 def crc(ids):
@@ -28,12 +37,22 @@ def test_ids_are_the_library_s(library):
     rng = random.Random(1)
     texts = ["", " ", "  x", " \n x", "it's don't we'll'd x'sy 's", "''s", "x\n\n\ny", "½ ² x²y __a_b", "　 y", "'S", "<|endoftext|>", "\0a\0", "😀 😀x"]
     texts += ["".join(rng.choice("ab 's\n\t' .,1²é日  llred") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
-    ids, counts = library.encode(texts)
+    texts += ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", " <|endoftext|> x", *thue_morse(1024), *thue_morse(2048), "ab" * 500_000]
+    encoder = tokens.Encoder(tokens.default_path(), memo=20_000)  # forgets on the way
+    found = [encoder.encode(texts[i : i + 500]) for i in range(0, len(texts), 500)]
+    ids, counts = (np.concatenate(x) for x in zip(*found, strict=True))
     ends = np.cumsum(counts)
     for t, e, n in zip(texts, ends.tolist(), counts.tolist(), strict=True):
         assert ids[e - n : e].tolist() == want(library, t), t
 
 
+def test_added_tokens_as_text():
+    plain = Tokenizer.from_file(tokens.default_path())
+    plain.encode_special_tokens = True
+    ids, counts = tokens.Encoder(tokens.default_path(), special_as_text=True).encode(["a<|endoftext|>b", "c"])
+    assert ids.tolist() == plain.encode("a<|endoftext|>b", add_special_tokens=False).ids + plain.encode("c", add_special_tokens=False).ids and counts.sum() == len(ids)
+
+
 def test_any_token_can_be_addressed():
     rng = np.random.default_rng(2)
     ids = np.concatenate((rng.integers(0, 300, 3000), rng.integers(0, 1 << 24, 3000), [0, 255, 256, 65535, 65536])).astype(np.uint32)
@@ -48,7 +67,7 @@ def test_any_token_can_be_addressed():
 
 
 def test_token_files(spark, library):
-    rows = nasty_rows()
+    rows = [*nasty_rows(), *((500 + i, w, None, None, None, None) for i, w in enumerate(thue_morse(1024)))]
     got = token_files.read_token_files(token_files.write_token_files(frame(spark, rows), most=1000)).orderBy("start").collect()
     assert len(got) == len(rows)
     at, keyed = 0, sorted(((-1 if r[0] is None else r[0]), r[1] or "") for r in rows)
@@ -63,7 +82,7 @@ def test_token_files(spark, library):
 
 def test_packing(spark, library):
     rows = [r for r in nasty_rows() if r[0] is not None]
-    rows = list({r[0]: r for r in rows}.values())
+    rows = [*{r[0]: r for r in rows}.values(), *((500 + i, w, None, None, None, None) for i, w in enumerate(thue_morse(1024)))]
     pieces = packing.pack_tokens(frame(spark, rows).repartition(3), window=64).collect()
     by_sequence: dict = {}
     for p in pieces:
