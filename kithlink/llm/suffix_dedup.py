@@ -40,7 +40,7 @@ from kithlink.llm.textvec import U64, mix, powers, slices, utf8
 
 GRAM = 32
 #: Bytes that a shard gathers before it sorts, bytes of one home in a shard, windows of one string.
-SHARD, HOME, PIECE = 1 << 20, 1 << 20, 1 << 18
+SHARD, HOME, PIECE = 1 << 19, 1 << 20, 1 << 18
 SEGMENTS = "anchor long, doc_id long, meta long"
 PARTS = "home long, doc_id long, start long, bytes binary"
 #: A shard's rows: runs (no bytes), and what is left of homes in several shards (no size).
@@ -137,8 +137,8 @@ def _slice_stage(length: int):
     return work
 
 
-def shard_repeats(doc: np.ndarray, start: np.ndarray, strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each place in the strings (each with an end): its string, its place there, and 2 where a window starts, 3 where that is not the first of its kind."""
+def shard_repeats(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each place in the strings, which come in (doc_id, start) order and have an end each: its string, its place there, and 2 where a window starts, 3 where that is not the first of its kind."""
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     text = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8).astype(np.int64) + 1
     ends = np.cumsum(sizes + 1) - 1
@@ -149,12 +149,11 @@ def shard_repeats(doc: np.ndarray, start: np.ndarray, strings: list[bytes], leng
     within = np.arange(len(text)) - (ends - sizes)[owner]
     window = (sizes + 1)[owner] - within > length
     array = array[window[array]]
-    linked = np.append(False, prefix[array[1:]] >= length)[: len(array)]
-    kind = np.cumsum(~linked)
-    order = np.lexsort(((start[owner] + within)[array], doc[owner[array]], kind))
-    kind, array = kind[order], array[order]
     mark = np.where(window, 2, 0).astype(np.int8)
-    mark[array[1:][kind[1:] == kind[:-1]]] = 3
+    if len(array):
+        kinds = np.flatnonzero(np.append(True, prefix[array[1:]] < length))
+        mark[array] = 3
+        mark[np.minimum.reduceat(array, kinds)] = 2
     return owner, within, mark
 
 
@@ -176,9 +175,10 @@ def _shard_stage(length: int):
         current = None
 
         def flush():
+            ready.sort(key=lambda x: x[2:4])
             home, several, doc, start, strings = zip(*ready, strict=True)
             home, several, doc, start = np.array(home, np.int64), np.array(several, bool), np.array(doc, np.int64), np.array(start, np.int64)
-            owner, within, mark = shard_repeats(doc, start, strings, length)
+            owner, within, mark = shard_repeats(strings, length)
             first, last = _stretches(mark == 3, owner)
             own = owner[first]
             d, a, n = merge_runs(doc[own], start[own] + within[first], last - first + length)
@@ -257,7 +257,7 @@ def repeated_runs(docs: DataFrame, length: int = 100, repeated: DataFrame | None
     found = shared.settle(texts.mapInArrow(_first_stage(length), SEGMENTS), "segments", compression="zstd")
     homes = found.groupBy("anchor").agg(F.min("doc_id").alias("home"), F.count("*").alias("n")).where("n > 1").select("anchor", "home")
     homes = shared.settle(homes, "homes", compression="zstd")
-    asked = found.join(homes, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("home", "meta")).alias("asked"))  # bounded by the document's own length
+    asked = found.join(homes.hint("merge"), "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("home", "meta")).alias("asked"))  # bounded by the document's own length
     left = shared.settle(texts.join(asked, "doc_id").mapInArrow(_slice_stage(length), PARTS), "strings", compression="zstd")
     runs = None
     before = None

@@ -36,11 +36,11 @@ def runs_before(s: np.ndarray) -> np.ndarray:
     return np.arange(len(s)) - np.repeat(first, sizes)
 
 
-def _rank_within(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rank within its key, keys, their counts) of ascending keys."""
+def _rank_within(sorted_keys: np.ndarray) -> np.ndarray:
+    """The rank of each of ascending keys within its equals."""
     first = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])[: len(sorted_keys)])
     sizes = np.diff(np.append(first, len(sorted_keys)))
-    return np.arange(len(sorted_keys)) - np.repeat(first, sizes), sorted_keys[first], sizes
+    return np.arange(len(sorted_keys)) - np.repeat(first, sizes)
 
 
 def _sweep(s: np.ndarray, wanted: np.ndarray, run: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
@@ -51,42 +51,46 @@ def _sweep(s: np.ndarray, wanted: np.ndarray, run: np.ndarray, seeds: np.ndarray
     out = np.full(int(ends[-1]), -1, np.int64)
     seed_at = np.searchsorted(s[seeds], np.arange(size + 1))
     total = ends + seed_at
+    gives = np.zeros(len(s), bool)  # whether the place before is wanted and has another symbol
+    gives[1:] = wanted[:-1] & (s[1:] != s[:-1])
+    runs = bool(run.any())
+    at, from_seeds, upto = ends.tolist(), seed_at.tolist(), total.tolist()
     c, step = 0, 256
     while c < size:
-        to = min(size, max(c + 1, int(np.searchsorted(total, total[c] + step, "right")) - 1))
-        own = out[ends[c] : ends[to]]
-        own = own[own >= 0]
-        more = run[own]
-        if more.any():  # a symbol's run: each place follows from the one after it, all of a distance in a row
+        to = min(size, max(c + 1, int(total.searchsorted(upto[c] + step, "right")) - 1))
+        own = out[at[c] : at[to]]
+        if to - c > 1:
+            own = own[own >= 0]
+        else:
+            own = own[: fill[c] - at[c]]
+        more = run[own] if runs else None
+        if runs and more.any():  # a symbol's run: each place follows from the one after it, all of a distance in a row
             which = np.repeat(np.arange(len(own)), more + 1)
             back = np.arange(len(which)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
             own = own[which] - back
             own = own[np.lexsort((back, s[own]))]
-        both, place = np.concatenate((own, seeds[seed_at[c] : seed_at[to]])), None
-        if to - c > 1:
-            place = s[both]
-            order = np.argsort(place, kind="stable")
-            both, place = both[order], place[order]
+        both = np.concatenate((own, seeds[from_seeds[c] : from_seeds[to]]))
+        both = both[gives[both]]
+        if to - c > 1 and len(both):
+            both = both[s[both].argsort(kind="stable")]
         before = both - 1
-        use = np.flatnonzero((before >= 0) & wanted[before] & (s[before] != s[both]))
-        before = before[use]
         target = s[before]
-        if len(target) and place is not None:
+        if to - c > 1 and len(target):
             least = int(target.min())
             if least < to:  # buckets from there on are not complete yet
                 to = least
-                kept = int(np.searchsorted(place[use], to))
+                kept = int(s[both].searchsorted(to))
                 before, target = before[:kept], target[:kept]
-                own = own[: int(np.searchsorted(s[own], to))]
-        done = int(total[to] - total[c])
-        out[ends[c] : ends[to]] = own
+                own = own[: int(s[own].searchsorted(to))]
+        out[at[c] : at[to]] = own
         if len(before):
-            order = np.argsort(target, kind="stable")
+            order = target.argsort(kind="stable")
             before, target = before[order], target[order]
-            rank, keys, sizes = _rank_within(target)
-            out[fill[target] + rank] = before
-            fill[keys] += sizes
-        c, step = to, max(64, 2 * done)
+            rank = np.arange(len(target)) - target.searchsorted(target) if len(target) < 2000 else _rank_within(target)
+            place = fill[target] + rank
+            out[place] = before
+            fill[target] = place + 1  # of equal targets the last one holds
+        c, step = to, max(64, 2 * (upto[to] - upto[c]))
     return out
 
 
@@ -100,9 +104,9 @@ def induce(s: np.ndarray, up: np.ndarray, run: np.ndarray, seeds: np.ndarray, si
     ends = np.cumsum(counts)
     out = np.full(len(s), len(s) - 1, np.int64)
     symbol = s[larger]
-    out[(ends - counts)[symbol] + _rank_within(symbol)[0]] = larger
+    out[(ends - counts)[symbol] + _rank_within(symbol)] = larger
     symbol = s[smaller]
-    out[ends[symbol] - 1 - _rank_within(size - 1 - symbol)[0]] = smaller
+    out[ends[symbol] - 1 - _rank_within(size - 1 - symbol)] = smaller
     return out
 
 
@@ -113,14 +117,14 @@ def _sorted(s: np.ndarray, size: int) -> np.ndarray:
     if len(least) > 1:
         # sort their substrings: seeds in bucket order induce them
         order = induce(s, up, run, least[np.argsort(s[least], kind="stable")], size)
-        number = np.full(len(s), -1, np.int64)
+        number = np.full(len(s), -1, np.int32)
         number[least] = np.arange(len(least))
         name_at = number[order]
         name_at = name_at[name_at >= 0]
         ends = np.append(least[1:], len(s) - 1)
         begin, length = least[name_at], ends[name_at] - least[name_at] + 1
         rank = np.cumsum(np.append(0, ~_same(s, begin[:-1], length[:-1], begin[1:], length[1:])))
-        names = np.empty(len(least), np.int64)
+        names = np.empty(len(least), np.int32)
         names[name_at] = rank
         seeds = least[_sorted(names, int(rank[-1]) + 1)] if rank[-1] < len(least) - 1 else least[name_at]
     else:
@@ -132,7 +136,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     """The suffix array of small non-negative integers; an end below all of them is implied."""
     if len(text) == 0:
         return np.empty(0, np.int64)
-    s = np.append(text.astype(np.int64) + 1, 0)
+    s = np.append(text.astype(np.int32) + np.int32(1), np.int32(0))
     return _sorted(s, int(s.max()) + 1)[1:]
 
 
@@ -157,29 +161,24 @@ def permuted_prefixes(text: np.ndarray, array: np.ndarray, most: int) -> np.ndar
     reducible = np.zeros(n, bool)
     i = np.flatnonzero(before[1:] > 0) + 1
     reducible[i] = text[i - 1] == text[before[i] - 1]
-    padded = np.concatenate((text.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)))
-    words = np.zeros(n + 4, np.uint64)  # four characters at each place, 16 bits each
-    for k in range(4):
-        words[:n] |= padded[k : n + k] << np.uint64(16 * k)
+    # symbols below 2**16, four at each place
+    padded = np.concatenate((text.astype(np.uint16) + np.uint16(1), np.zeros(8, np.uint16)))
+    words = np.ndarray(n + 4, "<u8", padded.data, strides=(2,))
     out = np.zeros(n, np.int64)
     alive, t = np.flatnonzero(~reducible & (before >= 0)), 0
     # an irreducible prefix may run on past ``most`` and is needed there: reducible ones after it count down from it
-    reach = np.zeros(n, np.int64)
     last = np.maximum.accumulate(np.where(reducible, -1, np.arange(n)))
-    np.maximum.at(reach, last[last >= 0], np.arange(n)[last >= 0])
-    bound = reach - np.arange(n) + most
+    starts = np.flatnonzero(~reducible)
+    bound = np.zeros(n, np.int64)
+    bound[starts] = np.diff(np.append(starts, n)) - 1 + most
     while len(alive):
-        a, b = np.minimum(alive + t, n), np.minimum(before[alive] + t, n)
-        x = words[a] ^ words[b]
-        equal = x == 0
-        equal &= (a < n) & (b < n)
-        low = (x & (~x + np.uint64(1))).astype(np.float64)
-        stop = ~equal
-        with np.errstate(divide="ignore"):
-            out[alive[stop]] = t + np.where(x[stop] == 0, 0, np.log2(np.maximum(low[stop], 1)) // 16).astype(np.int64)
+        x = words[np.minimum(alive + t, n)] ^ words[np.minimum(before[alive] + t, n)]
+        stop = x != 0
+        low = x[stop]
+        out[alive[stop]] = t + np.log2((low & (~low + np.uint64(1))).astype(np.float64)).astype(np.int64) // 16
         t += 4
-        out[alive[equal]] = t
-        alive = alive[equal]
+        alive = alive[~stop]
+        out[alive] = t
         alive = alive[bound[alive] > t]
     follows = np.flatnonzero(reducible & (last >= 0))
     out[follows] = np.maximum(out[last[follows]] - (follows - last[follows]), 0)
