@@ -11,7 +11,7 @@ earlier start) is removed; strings are judged on the input.
 3. A shard sorts the suffixes of its strings by recursive induced sorting and takes the permuted common prefixes:
    neighbours with a common prefix of ``length`` bytes are equal windows. The earliest stays.
 4. A home with more than ``HOME`` bytes of strings, as a common passage or thousands of copies have, is dealt over several
-   shards. What is not repeated within its shard is dealt again, over fewer, until a home fits one shard. Where
+   shards; in these, strings that are equal byte for byte are told first. What is not repeated within its shard is dealt again, over fewer, until a home fits one shard. Where
    that no longer halves (one passage in very many surroundings), the windows that are left are grouped by a 128-bit
    digest each. No string is longer than ``PIECE`` windows; a longer one is cut with the overlap that windows need.
 5. Repeated windows are joined to runs per document and cut out.
@@ -171,6 +171,7 @@ def _shard_stage(length: int):
     def work(batches: Iterator[pa.RecordBatch]):
         group: list[tuple] = []
         ready: list[tuple] = []  # home, whether it is dealt over several shards, doc, start, bytes
+        copies: list[tuple[int, int, int]] = []  # doc, start, size of strings that repeat another
         size = {"group": 0, "ready": 0}
         current = None
 
@@ -181,7 +182,8 @@ def _shard_stage(length: int):
             owner, within, mark = shard_repeats(strings, length)
             first, last = _stretches(mark == 3, owner)
             own = owner[first]
-            d, a, n = merge_runs(doc[own], start[own] + within[first], last - first + length)
+            more = np.array(copies, np.int64).reshape(-1, 3).T
+            d, a, n = merge_runs(*(np.concatenate(x) for x in zip((doc[own], start[own] + within[first], last - first + length), more, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.nulls(len(d), pa.int64()), pa.array(d), pa.array(a), pa.array(n), pa.nulls(len(d), pa.binary())], ["home", "doc_id", "start", "size", "bytes"])
             if several.any():
                 first, last = _stretches((mark == 2) & several[owner], owner)
@@ -189,9 +191,18 @@ def _shard_stage(length: int):
                 parts = [strings[k][x : x + n + length] for k, x, n in zip(own.tolist(), within[first].tolist(), (last - first).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(home[own]), pa.array(doc[own]), pa.array(start[own] + within[first]), pa.nulls(len(own), pa.int64()), pa.array(parts, pa.binary())], ["home", "doc_id", "start", "size", "bytes"])
             ready.clear()
+            copies.clear()
             size["ready"] = 0
 
         def close():
+            if group and group[0][1]:  # a hot home: of equal strings the first is sorted, the others repeat it
+                group.sort(key=lambda x: x[2:4])
+                first: dict[bytes, int] = {}
+                for k, x in enumerate(group):
+                    if first.setdefault(x[4], k) != k:
+                        copies.append((x[2], x[3], len(x[4])))
+                group[:] = [group[k] for k in first.values()]
+                size["group"] = sum(len(x[4]) + 1 for x in group)
             ready.extend(group)
             size["ready"] += size["group"]
             group.clear()
@@ -233,13 +244,6 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-def repeated_ids(docs: DataFrame) -> DataFrame | None:
-    """The doc_ids of several rows, if there are any."""
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    found = shared.settle(found, "repeated-ids")
-    return None if found.isEmpty() else found
-
-
 def _one_text_each(docs: DataFrame, repeated: DataFrame | None) -> DataFrame:
     """(doc_id, text) with one text for a doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
@@ -258,7 +262,7 @@ def repeated_runs(docs: DataFrame, length: int = 100, repeated: DataFrame | None
     homes = found.groupBy("anchor").agg(F.min("doc_id").alias("home"), F.count("*").alias("n")).where("n > 1").select("anchor", "home")
     homes = shared.settle(homes, "homes", compression="zstd")
     asked = found.join(homes.hint("merge"), "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("home", "meta")).alias("asked"))  # bounded by the document's own length
-    left = shared.settle(texts.join(asked, "doc_id").mapInArrow(_slice_stage(length), PARTS), "strings", compression="zstd")
+    left = shared.settle(texts.join(asked.hint("merge"), "doc_id").mapInArrow(_slice_stage(length), PARTS), "strings", compression="zstd")
     runs = None
     before = None
     while True:
@@ -289,10 +293,10 @@ def cut_texts(docs: DataFrame, length: int = 100, with_text: bool = True, carry:
 
     Columns named in ``carry`` come along as a struct ``row``.
     """
-    repeated = repeated_ids(docs)
+    repeated = shared.repeated_ids(docs)
     runs = repeated_runs(docs, length, repeated).groupBy("doc_id").agg(F.collect_list("meta").alias("metas"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*map(named, carry)).alias("row") if carry else F.lit(0).alias("row"))
-    joined = rows.join(runs, "doc_id", "left")
+    joined = rows.join(runs.hint("merge"), "doc_id", "left")
     if repeated is not None:  # rows whose text is not the one that stands for the doc_id stay whole
         least = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("stands"))
         joined = joined.join(least, "doc_id", "left").withColumn("metas", F.when(F.col("stands").isNull() | (F.col("stands") == F.col("text")), F.col("metas"))).drop("stands")
