@@ -4,19 +4,22 @@ A token is a run of letters, digits and non-ASCII bytes, A-Z lower-cased. Each m
 tokens and ignores the others, so a hash over the taken ones survives substitutions at the ignored ones. The seeds of
 the test items meet those of the documents; around each hit the item is laid over the document on that diagonal and the
 equal tokens are counted, wherever they stand. A document is contaminated by an item if 12 tokens are equal at least, or
-60 % of the item if that is less; items under ten tokens must match whole. In an item of over 30 tokens the 12 must stand
+60 % of the item if that is less; items under ten tokens must match whole, however short. In an item of over 30 tokens the 12 must stand
 within 30, as equal common words add up by chance in a long overlap; 60 % of any item always does that.
 
 The test items are taken in blocks of at most ``block_tokens`` tokens; one block's seeds are broadcast (their size is
-bounded by that parameter) and all documents are scanned for it, so a test set of any size works.
+bounded by that parameter) and all documents are scanned for it, so a test set of any size works. Hits are gathered in
+portions and reduced to their diagonals, so texts that repeat one word do not fill memory.
 
-Null or empty texts have no tokens and meet nothing; items under three tokens cannot be told from chance and are left out;
-repeated rows give repeated results for documents (a row each), one for repeated items; empty tables give an empty result; other columns are ignored.
+Null or empty texts have no tokens and meet nothing; very long texts and items are compared whole; of several places with equally many equal
+tokens the last counts; repeated rows give repeated results for documents (a row each), one for repeated items; empty tables give
+an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +31,13 @@ from kithlink.llm.textvec import PUNCTUATED, U64, Words, mix, slices, utf8
 
 #: Taken (1) and ignored (0) positions. Three taken ones meet every item of which 60 % is equal, however it is spread.
 MASKS = ("111", "1101", "1011", "10101", "110011")
+#: Items of one or two tokens have no window of three and are their own seed.
+TINY = ("1", "11")
 #: The least number of equal tokens stands within so many times as many tokens.
 SPREAD = 2.5
-#: Tokens that are compared at once, at most (a longer overlap stands alone).
-COMPARED = 1 << 20
+#: Tokens that are compared at once, at most (a longer overlap stands alone), and hits that are held at once.
+COMPARED = HELD = 1 << 20
+_token = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 OVERLAPS = "row_doc long, item_id long, hits long, matched long, item_tokens long, overlap double, doc_start long, doc_end long"
 
 
@@ -43,8 +49,8 @@ def seeds(words: np.ndarray, mask: str, which: int) -> np.ndarray:
     out = np.full(n, which + 1, U64)
     for i, taken in enumerate(mask):
         if taken == "1":
-            out = out * U64(0xD6E8FEB86659FD93) + words[i : i + n]
-    return mix(out)
+            out = mix(out + U64(0xD6E8FEB86659FD93) ^ words[i : i + n])
+    return out
 
 
 class Index:
@@ -56,10 +62,14 @@ class Index:
         self.ids = np.array([i for i, _ in items], np.int64)
         self.at, self.words = words.at, words.hash
         keys, item, place = [], [], []
-        for k, mask in enumerate(MASKS):
+        tokens = np.diff(words.at)
+        self.masks = [(k, m) for k, m in enumerate((*MASKS, *TINY)) if m in MASKS or (tokens == len(m)).any()]
+        for k, mask in self.masks:
             found = seeds(words.hash, mask, k)
             own = np.searchsorted(words.at, np.arange(len(found)), "right") - 1
             fits = np.arange(len(found)) + len(mask) <= words.at[own + 1]
+            if mask in TINY:
+                fits &= tokens[own] == len(mask)
             at = np.flatnonzero(fits)
             keys.append(found[at])
             item.append(own[at])
@@ -71,20 +81,33 @@ class Index:
         self.filter = np.zeros(1 << self.bits, bool)
         self.filter[(self.keys & U64((1 << self.bits) - 1)).astype(np.int64)] = True
 
-    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, item, diagonal) of seed hits; a diagonal is the place in the slice's words where the item would begin."""
-        out = []
-        for k, mask in enumerate(MASKS):
+    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, diagonal, seed hits) of the diagonals met, ascending; a diagonal is the place in the slice's words where the item would begin."""
+        out: list[tuple] = []
+        for k, mask in self.masks:
             found = seeds(words.hash, mask, k)
             maybe = np.flatnonzero(self.filter[(found & U64((1 << self.bits) - 1)).astype(np.int64)])
             low, high = np.searchsorted(self.keys, found[maybe]), np.searchsorted(self.keys, found[maybe], "right")
-            maybe, low, high = maybe[high > low], low[high > low], high[high > low]
             row = np.searchsorted(words.at, maybe, "right") - 1
-            inside = maybe + len(mask) <= words.at[row + 1]
-            maybe, low, n, row = maybe[inside], low[inside], (high - low)[inside], row[inside]
-            entry = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            out.append((np.repeat(row, n), self.item[entry], np.repeat(maybe, n) - self.place[entry]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            use = (high > low) & (maybe + len(mask) <= words.at[row + 1])
+            maybe, low, n, row = maybe[use], low[use], (high - low)[use], row[use]
+            for some in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // HELD)) + 1):
+                if len(some):
+                    m = n[some]
+                    entry = np.repeat(low[some], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+                    out.append(_counted(np.repeat(row[some], m), self.item[entry], np.repeat(maybe[some], m) - self.place[entry]))
+            if len(out) > 1:
+                out = [_counted(*(np.concatenate(x) for x in zip(*out, strict=True)))]
+        return out[0] if out else tuple(np.empty(0, np.int64) for _ in range(4))
+
+
+def _counted(row: np.ndarray, item: np.ndarray, diagonal: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct (row, item, diagonal), ascending, and the sums of their counts (1 each without)."""
+    order = np.lexsort((diagonal, item, row))
+    row, item, diagonal = row[order], item[order], diagonal[order]
+    new = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(diagonal) != 0))[: len(row)])
+    sums = np.diff(np.append(new, len(row))) if counts is None else np.add.reduceat(counts[order], new) if len(new) else counts
+    return row[new], item[new], diagonal[new], sums
 
 
 def equal_tokens(same: np.ndarray, size: np.ndarray, window: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,32 +129,29 @@ def equal_tokens(same: np.ndarray, size: np.ndarray, window: np.ndarray, least:
 
 def overlaps(index: Index, words: Words, least: int, share: float) -> list[tuple]:
     """Per contaminated (row, item): row, item id, hits, matched, item tokens, overlap, first and end token in the document."""
-    row, item, diagonal = index.hits(words)
+    row, item, diagonal, counts = index.hits(words)
     if not len(row):
         return []
-    order = np.lexsort((diagonal, item, row))
-    row, item, diagonal = row[order], item[order], diagonal[order]
-    new = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(diagonal) != 0))))
-    counts = np.diff(np.append(new, len(row)))
-    row, item, diagonal = row[new], item[new], diagonal[new]
     tokens = np.diff(index.at)[item]
     need = np.where(tokens < 10, tokens, np.minimum(least, np.ceil(share * tokens).astype(np.int64)))
     low, high = np.maximum(diagonal, words.at[row]), np.minimum(diagonal + tokens, words.at[row + 1])
     enough = np.flatnonzero(high - low >= need)
     part = np.cumsum((high - low)[enough]) // COMPARED
-    best: dict[tuple[int, int], tuple] = {}
+    met: list[np.ndarray] = []
     for some in np.split(enough, np.flatnonzero(np.diff(part)) + 1):
         size = (high - low)[some]
         at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         same = words.hash[np.repeat(low[some], size) + at] == index.words[np.repeat((index.at[item] + low - diagonal)[some], size) + at]
         matches, first, end = equal_tokens(same, size, np.full(len(some), math.ceil(SPREAD * least)), need[some])
-        for k in np.flatnonzero(matches).tolist():
-            j = some[k]
-            start = int(low[j] - words.at[row[j]] + first[k])
-            met = (int(matches[k]), int(counts[j]), int(tokens[j]), float(matches[k] / tokens[j]), start, start + int(end[k] - first[k]))
-            pair = int(row[j]), int(item[j])
-            best[pair] = max(best.get(pair, (0,)), met)
-    return [(r, int(index.ids[i]), x[1], x[0], *x[2:]) for (r, i), x in sorted(best.items())]
+        k = np.flatnonzero(matches)
+        j = some[k]
+        start = low[j] - words.at[row[j]] + first[k]
+        met.append(np.stack((row[j], item[j], matches[k], counts[j], start, start + end[k] - first[k])))
+    found = np.concatenate(met, axis=1)
+    found = found[:, np.lexsort(found[::-1])]
+    best = np.flatnonzero(np.append((np.diff(found[0]) != 0) | (np.diff(found[1]) != 0), True)[: found.shape[1]])  # the last of a row and item
+    tokens = np.diff(index.at)
+    return [(r, int(index.ids[i]), h, m, int(tokens[i]), m / int(tokens[i]), a, b) for r, i, m, h, a, b in found[:, best].T.tolist()]
 
 
 def blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
@@ -139,7 +159,7 @@ def blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
     held, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     for r in rows.toLocalIterator():
-        n = len(r.text.split())
+        n = len(_token.findall(r.text))
         if held and size + n > most:
             yield held
             held, size = [], 0

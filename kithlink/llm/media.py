@@ -6,8 +6,9 @@ gives codec, duration and the byte ranges of the key frames; a range is arithmet
 is looked at. ``payload`` joins the sample ranges.
 
 ``store_texts`` and ``media_features`` are the column forms. Null text is empty text; equal texts give equal bytes
-(no clock, no identifier inside); repeated rows stay; bytes that are no container give an error text in ``feature``
-and null elsewhere; an empty table gives an empty table; other columns are ignored.
+(no clock, no identifier inside); repeated rows stay; very long texts are one container each. Bytes that are no container, boxes
+nested however deep and tables that state more than the file holds give an error text in ``feature`` and null elsewhere; an empty
+table gives an empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -88,9 +89,15 @@ class Track:
         if not len(sizes) or not len(chunks) or not len(groups):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         spans = np.diff(np.append(groups[:, 0], len(chunks) + 1))
-        per = np.repeat(groups[:, 1], spans)
-        chunk = np.repeat(np.arange(len(chunks)), per)[: len(sizes)]
+        if (spans < 0).any() or groups[0, 0] != 1:
+            raise ValueError("the chunk groups are out of order")
+        per = np.minimum(np.repeat(groups[:, 1], spans), len(sizes))
+        upto = np.minimum(np.cumsum(per), len(sizes))  # no chunk holds samples beyond the last
+        per = np.diff(np.append(0, upto))
+        chunk = np.repeat(np.arange(len(chunks)), per)
         sizes = sizes[: len(chunk)]
+        if not len(sizes):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         upto = np.cumsum(sizes) - sizes
         first = np.searchsorted(chunk, np.arange(len(chunks)))
         return chunks[chunk] + upto - upto[np.minimum(first, len(sizes) - 1)][chunk], sizes
@@ -122,41 +129,48 @@ def boxes(blob: bytes, at: int, end: int):
 
 
 def walk(blob: bytes) -> list[Track]:
-    """The tracks of a container."""
+    """The tracks of a container. Open containers wait on a stack of their own, so depth costs no recursion."""
     tracks: list[Track] = []
 
-    def table(at: int, kind: str, width: int = 1) -> np.ndarray:
+    def table(at: int, end: int, kind: str, width: int = 1) -> np.ndarray:
         (n,) = struct.unpack_from(">I", blob, at + 4)
+        if n * width * np.dtype(kind).itemsize > end - at - 8:
+            raise ValueError("a table states more entries than its box holds")
         return np.frombuffer(blob, kind, n * width, at + 8).astype(np.int64)
 
-    def visit(at: int, end: int) -> None:
-        for kind, a, b in boxes(blob, at, end):
-            if kind == b"trak":
-                tracks.append(Track())
-            if kind in CONTAINERS:
-                visit(a, b)
-            elif not tracks:
-                continue
-            elif kind == b"mdhd":
-                form = ">IIII" if blob[a] == 0 else ">QQIQ"
-                _, _, tracks[-1].timescale, tracks[-1].duration = struct.unpack_from(form, blob, a + 4)
-            elif kind == b"hdlr":
-                tracks[-1].kind = blob[a + 8 : a + 12].decode("latin-1")
-            elif kind == b"stsd":
-                tracks[-1].codec = blob[a + 12 : a + 16].decode("latin-1")
-            elif kind == b"stts":
-                tracks[-1].tables["times"] = table(a, ">u4", 2).reshape(-1, 2)
-            elif kind == b"stss":
-                tracks[-1].tables["sync"] = table(a, ">u4")
-            elif kind == b"stsc":
-                tracks[-1].tables["groups"] = table(a, ">u4", 3).reshape(-1, 3)
-            elif kind == b"stsz":
-                each, n = struct.unpack_from(">II", blob, a + 4)
-                tracks[-1].tables["sizes"] = np.full(n, each, np.int64) if each else np.frombuffer(blob, ">u4", n, a + 12).astype(np.int64)
-            elif kind in (b"stco", b"co64"):
-                tracks[-1].tables["chunks"] = table(a, ">u4" if kind == b"stco" else ">u8")
-
-    visit(0, len(blob))
+    open_boxes = [boxes(blob, 0, len(blob))]
+    while open_boxes:
+        found = next(open_boxes[-1], None)
+        if found is None:
+            open_boxes.pop()
+            continue
+        kind, a, b = found
+        if kind == b"trak":
+            tracks.append(Track())
+        if kind in CONTAINERS:
+            open_boxes.append(boxes(blob, a, b))
+        elif not tracks:
+            continue
+        elif kind == b"mdhd":
+            form = ">IIII" if blob[a] == 0 else ">QQIQ"
+            _, _, tracks[-1].timescale, tracks[-1].duration = struct.unpack_from(form, blob, a + 4)
+        elif kind == b"hdlr":
+            tracks[-1].kind = blob[a + 8 : a + 12].decode("latin-1")
+        elif kind == b"stsd":
+            tracks[-1].codec = blob[a + 12 : a + 16].decode("latin-1")
+        elif kind == b"stts":
+            tracks[-1].tables["times"] = table(a, b, ">u4", 2).reshape(-1, 2)
+        elif kind == b"stss":
+            tracks[-1].tables["sync"] = table(a, b, ">u4")
+        elif kind == b"stsc":
+            tracks[-1].tables["groups"] = table(a, b, ">u4", 3).reshape(-1, 3)
+        elif kind == b"stsz":
+            each, n = struct.unpack_from(">II", blob, a + 4)
+            if each and n * each > len(blob) or not each and 4 * n > b - a - 12:
+                raise ValueError("more samples are stated than the file holds")
+            tracks[-1].tables["sizes"] = np.full(n, each, np.int64) if each else np.frombuffer(blob, ">u4", n, a + 12).astype(np.int64)
+        elif kind in (b"stco", b"co64"):
+            tracks[-1].tables["chunks"] = table(a, b, ">u4" if kind == b"stco" else ">u8")
     return tracks
 
 
@@ -165,6 +179,8 @@ def payload(blob: bytes, track: Track) -> bytes:
     offsets, sizes = track.ranges()
     if not len(sizes):
         return b""
+    if offsets.min() < 0 or (offsets + sizes).max() > len(blob):
+        raise ValueError("a sample lies outside of the file")
     fresh = np.append(True, offsets[1:] != offsets[:-1] + sizes[:-1])
     first = np.flatnonzero(fresh)
     ends = np.append(first[1:], len(sizes)) - 1
@@ -222,7 +238,7 @@ def media_features(media: DataFrame) -> DataFrame:
         try:
             d = describe(blob)
             data = payload(blob, d["track"])
-        except (ValueError, struct.error) as e:
+        except (ValueError, IndexError, struct.error) as e:
             return (doc, n, None, None, None, len(blob), hashlib.sha256(blob).hexdigest(), f"error: {e}", None, None, None)
         keys = [{"offset": a, "size": s} for a, s in d["keyframes"]]
         return (doc, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-SAMPLE:]), len(blob), hashlib.sha256(blob).hexdigest(), feature(d), d["codec"], d["duration_s"], keys)
@@ -240,4 +256,4 @@ def media_features(media: DataFrame) -> DataFrame:
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text through a container in storage and back."""
     kept = [c.split()[0] for c in FEATURES.split(", codec")[0].split(", ")]
-    return media_features(store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select(*kept, "codec", "duration_s", F.size("keyframes").alias("n_keyframes"))
+    return media_features(store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select(*kept, "codec", "duration_s", "keyframes")

@@ -3,27 +3,30 @@
 A document is its set of distinct five-word shingles. One permutation spreads the shingles over 2**20 places, a second
 one orders the places; shifted circularly by k it gives the k-th signature coordinate, so two permutations make all of
 them. Signatures are cut into bands; documents that share a band are candidates, and links are confirmed on full sets:
-100 * intersection >= 85 * union.
+100 * intersection >= 85 * union. The sets that confirm are of hashes with another seed than those that nominate.
 
 Work on hot groups stays bounded and no pair list is made:
 
 * Equal sets are one class from the start, found by a pre-aggregated fingerprint; its smallest doc_id stands for it.
-* A band's members are tied to its smallest member only; the components of these ties are the *families*, outside of
-  which no two documents share a band.
-* A family is dealt in chunks. A task takes the first chunk and one other, and walks breadth-first: a document is
-  compared with those not yet reached, at once, so a dense group costs a scan or two rather than its square.
-* If a family of several chunks is still in parts, the documents outside its largest part meet all chunks, block by
-  block, comparing only across parts. No link is lost to a cap.
+* The smallest member of a band is its hub. Every member is compared with its hubs, in chunks of ``chunk`` members; members of a
+  dense group share their hub in most bands, so that costs a comparison or a few for each.
+* A band whose members are in one component then is done. In any other, the members outside its largest
+  component meet all members, block by block, comparing only across components and a pair only in the first band that it
+  shares. No link is lost to a cap, and only documents that share a band ever meet.
 
+Joins that a hot class or band makes uneven are written as they are, so adaptive execution may split them.
 With 32 bands of 6, a pair at similarity 0.85 shares no band with probability 3e-7.
 
 Nulls: a document without text or words has an empty set and links with nothing; a row without doc_id has no component
-and is kept. Repeated rows of one doc_id are one document (its sets, if they differ, count as linked). Empty tables
-give empty results; other columns are ignored.
+and is kept. Repeated rows of one doc_id are one document (its sets, if they differ, count as linked, and each is compared). Ties: a
+component's smallest doc_id names it. Very long texts are read whole. Empty tables give empty results; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -71,18 +74,18 @@ _circulants: dict[tuple, Circulant] = {}
 
 
 def sign_documents(docs: DataFrame, k: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """``SIGNED`` of each row: set size, a 128-bit fingerprint of the set, band keys."""
+    """``SIGNED`` of each row: set size, a 128-bit fingerprint of the set from two independent hashes, band keys."""
 
     def sign(batches):
         c = _circulants.setdefault((bands, rows, seed), Circulant(bands, rows, seed))
         for batch in batches:
             for i, j, data, at in slices(*utf8(batch.column("text"))):
-                hashes, cut = shingle_sets(Words(data, at), k)
+                hashes, cut, others = shingle_sets(Words(data, at), k, Words(data, at, seed=1))
                 places = c.places(hashes)
                 full = np.flatnonzero(np.diff(cut))
                 signatures = [c.signature(places[cut[r] : cut[r + 1]]) for r in full]
                 keys = c.band_keys(np.stack(signatures)) if signatures else np.empty((0, bands), np.int64)
-                sums = [np.concatenate(([U64(0)], np.cumsum(mix(hashes ^ U64(s)), dtype=U64)))[cut] for s in (0x243F6A8885A308D3, 0x13198A2E03707344)]
+                sums = [np.concatenate(([U64(0)], np.cumsum(mix(h ^ U64(0x243F6A8885A308D3)), dtype=U64)))[cut] for h in (hashes, others)]
                 counts = np.zeros(j - i + 1, np.int32)
                 counts[full + 1] = bands
                 yield pa.RecordBatch.from_pydict({
@@ -94,28 +97,31 @@ def sign_documents(docs: DataFrame, k: int, bands: int, rows: int, seed: int) ->
 
 
 class Sets:
-    """The shingle sets of a group of documents."""
+    """The shingle sets of some documents."""
 
     def __init__(self, texts: list[str], k: int):
-        parts, self.sizes = [], []
+        parts, sizes = [np.empty(0, U64)], [np.empty(0, np.int64)]
         for _, _, data, at in slices(*utf8(pa.array(texts, pa.large_string()))):
-            hashes, cut = shingle_sets(Words(data, at), k)
+            hashes, cut, _ = shingle_sets(Words(data, at, seed=2), k)
             parts.append(hashes)
-            self.sizes.append(np.diff(cut))
-        self.flat, self.sizes = np.concatenate(parts), np.concatenate(self.sizes)
+            sizes.append(np.diff(cut))
+        self.flat, self.sizes = np.concatenate(parts), np.concatenate(sizes)
         self.at = np.concatenate(([0], np.cumsum(self.sizes)))
 
     def of(self, i: int) -> np.ndarray:
         return self.flat[self.at[i] : self.at[i + 1]]
 
+    def alike_in_size(self, i: int, others: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Those of ``others`` whose set's size allows a link with set i."""
+        sizes, n = self.sizes[others], int(self.sizes[i])
+        return others[(den * np.minimum(sizes, n) >= num * np.maximum(sizes, n)) & (sizes > 0)] if n else others[:0]
+
     def linked(self, i: int, others: np.ndarray, num: int, den: int) -> np.ndarray:
         """Those of ``others`` whose set is similar enough to set i."""
-        own, n = self.of(i), int(self.sizes[i])
-        sizes = self.sizes[others]
-        others = others[(den * np.minimum(sizes, n) >= num * np.maximum(sizes, n)) & (sizes > 0)] if n else others[:0]
+        others = self.alike_in_size(i, others, num, den)
         if not len(others):
             return others
-        sizes = self.sizes[others]
+        own, n, sizes = self.of(i), int(self.sizes[i]), self.sizes[others]
         where = np.repeat(self.at[others] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
         values = self.flat[where]
         place = np.searchsorted(own, values)
@@ -124,118 +130,129 @@ class Sets:
         return others[den * common >= num * (sizes + n - common)]
 
 
-def spanning_links(sets: Sets, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join what is linked, by breadth-first search; each reaches a new member."""
-    links = []
-    unreached = np.arange(len(sets.sizes))
-    while len(unreached):
-        queue, unreached = [int(unreached[0])], unreached[1:]
-        while queue and len(unreached):
-            i = queue.pop()
-            found = sets.linked(i, unreached, num, den)
-            links += [(i, int(j)) for j in found]
-            queue += found.tolist()
-            unreached = np.setdiff1d(unreached, found, assume_unique=True)
-    return links
-
-
-def crossing_links(sets: Sets, queries: np.ndarray, part: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links from ``queries`` to members of other parts, one for each two parts."""
-    links, met = [], set()
-    for i in queries.tolist():
-        others = np.flatnonzero(part != part[i])
-        for j in sets.linked(i, others, num, den).tolist():
-            pair = (min(part[i], part[j]), max(part[i], part[j]))
-            if pair not in met:
-                met.add(pair)
-                links.append((i, j))
-    return links
-
-
-def _by_task(batches, keys: list[str]):
-    """Rows of a sorted stream, task by task, as column lists."""
-    held, current = None, None
+def _tasks(batches: Iterator[pa.RecordBatch], keys: list[str], k: int, most: int = 1 << 20) -> Iterator[tuple[dict, Sets, list[tuple[int, int]]]]:
+    """Rows of a sorted stream as (columns, their sets, (first, end) of each task), some whole tasks at a time."""
+    held: dict[str, list] = {}
+    bounds: list[int] = []
+    current, size = None, 0
+
+    def give():
+        edges = [*bounds, len(held["text"])]
+        return held, Sets([t or "" for t in held["text"]], k), list(zip(edges, edges[1:], strict=False))
+
     for batch in batches:
         columns = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-        marks = list(zip(*(columns[k] for k in keys), strict=True))
-        first = 0
-        for i in range(1, len(marks) + 1):
-            if i == len(marks) or marks[i] != marks[first]:
-                if current != marks[first]:
-                    if held:
-                        yield held
-                    held, current = {n: [] for n in columns}, marks[first]
-                for n in columns:
-                    held[n] += columns[n][first:i]
-                first = i
-    if held:
-        yield held
-
-
-def _links_table(pairs: list[tuple[int, int]], ids: list[int]) -> pa.RecordBatch:
+        for i, mark in enumerate(zip(*(columns[x] for x in keys), strict=True)):
+            if mark != current:
+                if size >= most:
+                    yield give()
+                    held, bounds, size = {}, [], 0
+                bounds.append(len(held.get("text", ())))
+                current = mark
+            for n in columns:
+                held.setdefault(n, []).append(columns[n][i])
+            size += len(columns["text"][i] or "")
+    if bounds:
+        yield give()
+
+
+def _links(pairs: list[tuple[int, int]], ids: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"src": pa.array([ids[i] for i, _ in pairs], pa.int64()), "dst": pa.array([ids[j] for _, j in pairs], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, bands: int = 32, rows: int = 6, seed: int = 1, chunk: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, bands: int = 32, rows: int = 6, seed: int = 1, chunk: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row. The similarity must be at least num / den."""
     signed = shared.settle(sign_documents(docs, k, bands, rows, seed), "minhash")
+    repeated = shared.repeated_ids(docs)
+    key = ["key_a", "key_b", "n_shingles"]
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    placed = signed.join(classes, ["key_a", "key_b", "n_shingles"], "left")
-    banded = placed.where("doc_id = rep").select("rep", F.explode("bands").alias("band"))
-    ties = banded.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
-    ties = banded.join(ties.select("band", "least"), "band").where("rep <> least").select(F.col("least").alias("src"), F.col("rep").alias("dst")).distinct()
-    families = connected_components(ties).select(F.col("id").alias("rep"), F.col("component").alias("family"))
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    # (a single-chunk family's only chunk is 0)
-    members = families.join(sizes, "family").select("rep", "family", "chunks", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"))
-    members = shared.settle(members, "families")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep")
-    texts = shared.settle(texts.select("rep", "family", "chunks", "chunk", "text"), "family-texts")
-
-    def walk(batches):
-        for task in _by_task(batches, ["family", "task"]):
-            first = {r: i for i, r in reversed(list(enumerate(task["rep"])))}  # repeated rows once
-            at = sorted(first.values())
-            yield _links_table(spanning_links(Sets([task["text"][i] or "" for i in at], k), num, den), [task["rep"][i] for i in at])
-
-    # the first chunk goes to every task of its family, any other to its own
-    tasks = F.when(F.col("chunks") == 1, F.array(F.lit(0))).when(F.col("chunk") == 0, F.sequence(F.lit(1), F.col("chunks") - 1)).otherwise(F.array("chunk"))
-    dealt = texts.select("family", F.explode(tasks).alias("task"), "rep", "text").repartition("family", "task").sortWithinPartitions("family", "task")
-    links = shared.settle(dealt.mapInArrow(walk, "src long, dst long"), "links")
-
-    large = members.where("chunks > 1")
-    if not large.isEmpty():
-        links = links.unionByName(_across(texts, large, links, num, den, k, chunk))
-    own = some.join(classes, ["key_a", "key_b", "n_shingles"]).groupBy("doc_id").agg(F.min("rep").alias("src"), F.max("rep").alias("dst"), F.collect_set("rep").alias("reps")).where("src < dst")
-    links = links.unionByName(own.select("src", F.explode("reps").alias("dst")))
-    found = connected_components(links).select(F.col("id").alias("rep"), "component")
-    out = placed.join(found, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    classes = shared.settle(some.groupBy(*key).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "classes")
+    rep = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    own_bands = F.when(F.col("least").isNull() | (F.col("doc_id") == F.col("least")), F.col("bands"))
+    placed = shared.settle(signed.join(classes, key, "left").select("doc_id", "n_shingles", rep.alias("rep"), own_bands.alias("bands")), "classed")
+
+    banded = placed.where("rep IS NOT NULL").select("rep", F.explode("bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("most"), F.count("*").alias("n")).where("hub < most").drop("most")
+    tied = shared.settle(banded.join(shared.settle(hubs, "hubs"), "band"), "tied")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(tied.select("rep").distinct(), "rep", "left_semi")
+    if repeated is not None:
+        texts = texts.dropDuplicates(["rep", "text"])
+    texts = shared.settle(texts, "tied-texts")
+
+    links = shared.settle(_to_hubs(tied, texts, num, den, k, chunk), "links")
+    parts = connected_components(links).select(F.col("id").alias("rep"), F.col("component").alias("part"))
+    state = shared.settle(tied.join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep")), "tied-parts")
+    more = _across(state, texts, num, den, k, chunk)
+    vertices = state.select("rep", "part").distinct()
+    if repeated is not None:  # rows of one doc_id in several classes
+        own = placed.where("n_shingles > 0 AND rep IS NOT NULL").join(repeated, "doc_id").groupBy("doc_id").agg(F.min("rep").alias("src"), F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
+        own = shared.settle(own.select("src", F.explode("reps").alias("dst")), "own-links")
+        more = own if more is None else more.unionByName(own)
+        alone = own.select(F.explode(F.array("src", "dst")).alias("rep")).distinct().join(vertices, "rep", "left_anti")
+        vertices = vertices.unionByName(alone.select("rep", F.col("rep").alias("part")))
+    if more is not None:  # what was found since joins components
+        for end in ("src", "dst"):
+            more = more.join(vertices.withColumnsRenamed({"rep": end, "part": f"{end}_part"}), end)
+        joined = connected_components(more.select("src_part", "dst_part"), "src_part", "dst_part").select(F.col("id").alias("part"), "component")
+        vertices = vertices.join(joined, "part", "left").select("rep", F.coalesce("component", "part").alias("part"))
+    found = shared.settle(vertices.where("rep <> part"), "components")
+    out = placed.join(found, "rep", "left").select("doc_id", "n_shingles", F.coalesce("part", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _across(texts: DataFrame, members: DataFrame, links: DataFrame, num: int, den: int, k: int, chunk: int) -> DataFrame:
-    """Links between the parts that families of several chunks are still in."""
-    parts = connected_components(links.join(members.select(F.col("rep").alias("src")), "src", "left_semi"))
-    state = members.join(parts.select(F.col("id").alias("rep"), F.col("component").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-    sizes = state.groupBy("family", "part").count()
-    largest = sizes.groupBy("family").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    state = state.join(largest.select("family", "main"), "family")
-    outside = state.where("part <> main").groupBy("family").agg(F.ceil(F.count("*") / chunk).cast("int").alias("blocks"))
-    state = shared.settle(state.join(outside, "family").select("rep", "part", "blocks", (F.col("part") != F.col("main")).alias("outside")), "family-parts")
-    rows = texts.join(state, "rep")
-    block = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int")
-    every = rows.select("family", "rep", "part", "text", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("chunk").alias("other"))
-    asking = rows.where("outside").select("family", "rep", "part", "text", F.lit(True).alias("query"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = every.unionByName(asking).repartition("family", "block", "other").sortWithinPartitions("family", "block", "other")
-
-    def cross(batches):
-        for task in _by_task(batches, ["family", "block", "other"]):
-            queries = np.flatnonzero(task["query"])
-            if len(queries):
-                yield _links_table(crossing_links(Sets([t or "" for t in task["text"]], k), queries, np.array(task["part"]), num, den), task["rep"])
-
-    return shared.settle(dealt.mapInArrow(cross, "src long, dst long"), "links-across")
+def _to_hubs(tied: DataFrame, texts: DataFrame, num: int, den: int, k: int, chunk: int) -> DataFrame:
+    """Links of the members of bands with their hubs."""
+    asked = tied.where("rep <> hub").groupBy("rep", "hub").agg(F.max(F.ceil(F.col("n") / chunk)).cast("long").alias("chunks"))
+    asked = shared.settle(asked.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))), "asked")
+    task = ["hub", "chunks", "chunk"]
+    hubs = asked.select(*task).distinct().join(texts.withColumnRenamed("rep", "hub"), "hub").select(*task, F.col("hub").alias("rep"), "text")
+    members = asked.join(texts, "rep").select(*task, "rep", "text")
+
+    def compare(batches):
+        for columns, sets, tasks in _tasks(batches, task, k):
+            pairs = []
+            for a, b in tasks:
+                at, own = np.arange(a, b), np.array(columns["rep"][a:b]) == columns["hub"][a]
+                for i in at[own].tolist():
+                    pairs += [(i, int(j)) for j in sets.linked(i, at[~own], num, den)]
+            yield _links(pairs, columns["rep"])
+
+    return hubs.unionByName(members).repartition(*task).sortWithinPartitions(*task).mapInArrow(compare, "src long, dst long")
+
+
+def _across(state: DataFrame, texts: DataFrame, num: int, den: int, k: int, chunk: int) -> DataFrame | None:
+    """Links between the components that bands are still in; None if there is no such band."""
+    sizes = state.where("n > 2").groupBy("band", "part").agg(F.count("*").alias("n"))
+    bands = sizes.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("top"), F.sum("n").alias("total")).where("top < total")
+    blocks = [F.ceil(x / chunk).cast("long").alias(n) for x, n in ((F.col("total") - F.col("top"), "blocks"), (F.col("total"), "sides"))]
+    bands = shared.settle(bands.select("band", "main", *blocks), "open-bands")
+    if bands.isEmpty():
+        return None
+    rows = shared.settle(state.join(bands, "band").select("rep", "band", "part", "hub", "blocks", "sides", (F.col("part") != F.col("main")).alias("outside")).distinct(), "open-rows")
+    bands_of = rows.groupBy("rep").agg(F.collect_set("band").alias("bands"))
+    whole = rows.join(bands_of, "rep").join(texts, "rep")
+    kept = ["band", "rep", "part", "hub", "outside", "bands", "text"]
+    side, block = F.pmod(F.xxhash64("rep"), F.col("sides")), F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks"))
+    every = whole.select(*kept, F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), side.alias("side"))
+    asking = whole.where("outside").select(*kept, F.lit(True).alias("query"), block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)).alias("side"))
+    task = ["band", "block", "side"]
+
+    def compare(batches):
+        for columns, sets, tasks in _tasks(batches, task, k):
+            pairs = []
+            reps, parts, hubs, outside, query = (np.array(columns[n]) for n in ("rep", "part", "hub", "outside", "query"))
+            shares = list(map(frozenset, columns["bands"]))
+            for a, b in tasks:
+                band, at = columns["band"][a], np.arange(a, b)
+                # a hub has met all of its band; two members outside meet twice and are compared once
+                for i in at[query[a:b] & (reps[a:b] != hubs[a:b])].tolist():
+                    others = at[~query[a:b] & (parts[a:b] != parts[i]) & (reps[a:b] != hubs[a:b]) & (~outside[a:b] | (reps[a:b] > reps[i]))]
+                    others = [j for j in sets.alike_in_size(i, others, num, den).tolist() if min(shares[i] & shares[j]) == band]
+                    pairs += [(i, int(j)) for j in sets.linked(i, np.array(others, np.int64), num, den)]
+            yield _links(pairs, columns["rep"])
+
+    dealt = every.unionByName(asking).repartition(*task).sortWithinPartitions(*task)
+    return shared.settle(dealt.mapInArrow(compare, "src long, dst long"), "links-across")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

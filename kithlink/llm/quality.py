@@ -1,14 +1,14 @@
 """Quality by nearest neighbours in a latent semantic space.
 
-Features of a text are its hashed byte trigrams, damped and weighted by inverse document frequency, and the levels of
-three measures of shape: words that repeat the word before, capitals, and symbols. A truncated
+Features of a text are its hashed byte trigrams, damped and weighted by inverse document frequency. A truncated
 singular value decomposition of a labelled sample gives the latent space. The sample's vectors (at most
 ``neighbours`` rows of ``rank`` floats, the size bound of what is broadcast) are compared with every document's by
-exact blocked cosine products; the ``k`` nearest vote with weights that grow with their similarity. A neighbour with
-the very vector of the document, as the document itself has if it is in the sample, has no vote.
+exact blocked cosine products; the ``k`` nearest vote with weights that grow with their similarity. A document of the
+sample has no vote on itself; its copies have.
 
 ``fit`` and ``score`` are the operator. Null or empty texts have a zero vector and get the share of label 1 in the sample,
-as does every text if the sample is empty (0.5 then); repeated rows are scored each; documents stay whole; other columns are ignored.
+as does every text if the sample is empty (0.5 then); repeated rows are scored each; documents, however long, stay whole; of
+neighbours tied for the k-th place any may vote; empty tables give empty results; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithlink.llm import labelled
-from kithlink.llm.textvec import Words, slices, utf8
+from kithlink.llm.textvec import slices, utf8
 
 BITS = 12
 THRESHOLD = 0.3
@@ -41,34 +41,6 @@ def trigram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Lower bounds of the levels of each measure, and how much a level weighs against the trigrams.
-LEVELS = (0.02, 0.08, 0.2, 0.4)
-SHAPES = 3 * (len(LEVELS) + 1)
-SHAPE_WEIGHT = 0.6
-WIDTH = (1 << BITS) + SHAPES
-_capital = np.zeros(256, bool)
-_capital[65:91] = True
-_symbol = np.array([32 < b < 127 and not chr(b).isalnum() and chr(b) not in ".,'-" for b in range(256)])
-
-
-def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """rows x WIDTH: trigram counts, then 1 at the level of each measure."""
-    rows = len(offsets) - 1
-    out = np.concatenate((trigram_counts(data, offsets), np.zeros((rows, SHAPES), np.float32)), axis=1)
-    words = Words(data, offsets)
-    again = np.zeros(len(words.hash), bool)
-    again[1:] = words.hash[1:] == words.hash[:-1]
-    size, n = np.diff(offsets), np.diff(words.at)
-
-    def share(marks, at, of):
-        return np.diff(np.concatenate(([0], np.cumsum(marks)))[at]) / np.maximum(of, 1)
-
-    for k, measure in enumerate((share(again, words.at, n), share(_capital[data], offsets, size), share(_symbol[data], offsets, size))):
-        level = np.searchsorted(LEVELS, measure, "right")
-        out[np.arange(rows), (1 << BITS) + k * (len(LEVELS) + 1) + level] = n > 0
-    return out
-
-
 @dataclass
 class Space:
     """The fitted space: feature weights, projection, labelled vectors and labels."""
@@ -77,18 +49,21 @@ class Space:
     projection: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
+    ids: np.ndarray  # of the sample's documents, ascending
     share: float
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
         """Unit vectors of counts, which are used up."""
         return unit(scaled(counts, self.weight) @ self.projection)
 
-    def vote(self, vectors: np.ndarray, k: int, power: float) -> np.ndarray:
-        """Scores of a block of vectors."""
+    def vote(self, vectors: np.ndarray, ids: np.ndarray, k: int, power: float) -> np.ndarray:
+        """Scores of a block of vectors of the documents ``ids``."""
         if not len(self.vectors):
             return np.full(len(vectors), self.share)
         near = vectors @ self.vectors.T
-        near[near > 1 - 1e-6] = -1
+        own = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        itself = np.flatnonzero(self.ids[own] == ids)
+        near[itself, own[itself]] = -1
         k = min(k, near.shape[1])
         at = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
         weight = np.maximum(np.take_along_axis(near, at, 1), 0).astype(np.float64) ** power
@@ -97,14 +72,10 @@ class Space:
 
 
 def scaled(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Trigram weights as a unit vector beside the weighted levels; ``counts`` is used up."""
-    shape = slice(1 << BITS, None)
-    levels = counts[:, shape] * np.float32(SHAPE_WEIGHT)
+    """Damped, weighted trigram counts as unit vectors; ``counts`` is used up."""
     np.log1p(counts, out=counts)
     counts *= weight
-    head = counts[:, : 1 << BITS]
-    head /= np.maximum(np.sqrt(np.einsum("ij,ij->i", head, head)), 1e-9)[:, None]
-    counts[:, shape] = levels
+    counts /= np.maximum(np.sqrt(np.einsum("ij,ij->i", counts, counts)), 1e-9)[:, None]
     return counts
 
 
@@ -112,11 +83,11 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
 
 
-def fit_space(counts: np.ndarray, labels: np.ndarray, rank: int = 48, rounds: int = 4) -> Space:
+def fit_space(counts: np.ndarray, labels: np.ndarray, ids: np.ndarray, rank: int = 48, rounds: int = 4) -> Space:
     """Weights and truncated decomposition by randomised subspace iteration with a fixed seed; ``counts`` is used up, so the driver holds one matrix."""
     n = len(counts)
     if not n:
-        return Space(np.ones(WIDTH, np.float32), np.zeros((WIDTH, rank), np.float32), np.empty((0, rank), np.float32), np.empty(0), 0.5)
+        return Space(np.ones(1 << BITS, np.float32), np.zeros((1 << BITS, rank), np.float32), np.empty((0, rank), np.float32), np.empty(0), np.empty(0, np.int64), 0.5)
     seen = np.count_nonzero(counts, axis=0)
     weight = np.log((1 + n) / (1 + seen)).astype(np.float32) + np.float32(1)
     x = scaled(counts, weight)
@@ -125,45 +96,54 @@ def fit_space(counts: np.ndarray, labels: np.ndarray, rank: int = 48, rounds: in
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
     projection = np.ascontiguousarray((q @ vt.T)[:, :rank], np.float32)
-    return Space(weight, projection, unit(x @ projection).astype(np.float32), np.asarray(labels, np.float64), float(np.mean(labels)))
+    return Space(weight, projection, unit(x @ projection).astype(np.float32), np.asarray(labels, np.float64), ids, float(np.mean(labels)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", neighbours: int = 6000, rank: int = 48) -> Space:
-    """Fit on at most ``neighbours`` labelled documents."""
+    """Fit on at most ``neighbours`` labelled documents (and the bytes that ``labelled.sample`` allows)."""
 
     def vectors(batches):
         for batch in batches:
             for i, j, data, at in slices(*utf8(batch.column("text"))):
-                counts = features(data, at)
+                counts = trigram_counts(data, at)
                 row, feature = np.nonzero(counts)
                 cut = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({
-                    "label": batch.column("label").slice(i, j - i), "feature": pa.ListArray.from_arrays(cut, feature.astype(np.int16)),
-                    "n": pa.ListArray.from_arrays(cut, counts[row, feature].astype(np.int32)),
+                    "doc_id": batch.column("doc_id").slice(i, j - i), "label": batch.column("label").slice(i, j - i),
+                    "feature": pa.ListArray.from_arrays(cut, feature.astype(np.int16)), "n": pa.ListArray.from_arrays(cut, counts[row, feature].astype(np.int32)),
                 })
 
-    table = labelled.sample(docs, labels, label, neighbours).mapInArrow(vectors, "label int, feature array<smallint>, n array<int>").toArrow()
-    counts, done = np.zeros((table.num_rows, WIDTH), np.float32), 0
-    labels = table.column("label").to_numpy()
+    # at most ``neighbours`` rows of 2**BITS features
+    table = labelled.sample(docs, labels, label, neighbours).mapInArrow(vectors, "doc_id long, label int, feature array<smallint>, n array<int>").toArrow()
+    counts, done = np.zeros((table.num_rows, 1 << BITS), np.float32), 0
+    order = np.argsort(table.column("doc_id").to_numpy())
+    rank_of = np.argsort(order)
+    y, ids = table.column("label").to_numpy()[order], table.column("doc_id").to_numpy()[order]
     for batch in table.to_batches():
         lists = batch.column("feature")
-        row = done + np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+        row = rank_of[done + np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())]
         counts[row, lists.flatten().to_numpy()] = batch.column("n").flatten().to_numpy()
         done += batch.num_rows
     del table
     pa.default_memory_pool().release_unused()
-    return fit_space(counts, labels, rank)
+    return fit_space(counts, y, ids, rank)
 
 
-def batch_scores(texts, space: Space, k: int, power: float) -> np.ndarray:
-    """Scores of a column of texts."""
+def batch_scores(batch: pa.RecordBatch, space: Space, k: int, power: float) -> np.ndarray:
+    """Scores of a batch's texts; a null doc_id is in no sample."""
     out = []
-    for _, _, data, at in slices(*utf8(texts)):
+    null = np.array(batch.column("doc_id").is_null())
+    ids = np.array(batch.column("doc_id").fill_null(0)).astype(np.int64)
+    for first, _, data, at in slices(*utf8(batch.column("text"))):
         for i in range(0, len(at) - 1, 256):
             part = at[i : i + 257]
-            counts = features(data[part[0] : part[-1]], part - part[0])
+            counts = trigram_counts(data[part[0] : part[-1]], part - part[0])
             bare = ~counts.any(axis=1)
-            found = space.vote(space.embed(counts), k, power)
+            own = slice(first + i, first + i + len(part) - 1)
+            known = ids[own]
+            if null[own].any():  # no id of the sample
+                known = np.where(null[own], space.ids.max(initial=0) + 1, known)
+            found = space.vote(space.embed(counts), known, k, power)
             found[bare] = space.share
             out.append(found)
     return np.clip(np.concatenate(out), 0, 1) if out else np.empty(0)
@@ -175,7 +155,7 @@ def score(docs: DataFrame, space: Space, k: int = 25, power: float = 8.0) -> Dat
 
     def work(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(batch_scores(batch.column("text"), held.value, k, power))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(batch_scores(batch, held.value, k, power))})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, score double")
 
@@ -186,7 +166,7 @@ def keep_good(docs: DataFrame, space: Space, threshold: float = THRESHOLD, k: in
 
     def work(batches):
         for batch in batches:
-            yield batch.filter(pa.array(batch_scores(batch.column("text"), held.value, k, power) >= threshold))
+            yield batch.filter(pa.array(batch_scores(batch, held.value, k, power) >= threshold))
 
     return docs.mapInArrow(work, docs.schema)
 

@@ -12,6 +12,7 @@ import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Work folders made by this process and not yet deleted.
 _made: list[str] = []
@@ -58,17 +59,40 @@ def settle(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def repeated_ids(docs: DataFrame) -> DataFrame | None:
+    """The doc_ids of several rows, if there are any."""
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    found = settle(found, "repeated-ids")
+    return None if found.isEmpty() else found
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """For executors: the file system of ``uri`` and the path in it."""
+    """For executors: the file system of ``uri`` and the path in it. The Hadoop names of S3 are understood."""
+    for name in ("s3a://", "s3n://"):
+        if uri.startswith(name):
+            uri = "s3://" + uri.removeprefix(name)
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_file(uri: str, chunks) -> int:
-    """Write byte chunks to a new file; bytes written."""
+def create_file(uri: str):
+    """A new file to write to, folders included."""
     fs, path = filesystem(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    return fs.open_output_stream(path, compression=None)
+
+
+def pieces(uri: str, size: int):
+    """A file's bytes, ``size`` at a time."""
+    fs, path = filesystem(uri)
+    with fs.open_input_stream(path, compression=None) as src:
+        while chunk := src.read(size):
+            yield chunk
+
+
+def write_file(uri: str, chunks) -> int:
+    """Write byte chunks to a new file; bytes written."""
     total = 0
-    with fs.open_output_stream(path, compression=None) as out:
+    with create_file(uri) as out:
         for chunk in chunks:
             out.write(chunk)
             total += len(chunk)

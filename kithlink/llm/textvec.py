@@ -126,15 +126,11 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def shingle_sets(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, at): row i's distinct k-word shingles, ascending, are ``hashes[at[i]:at[i + 1]]``.
-
-    Fewer than k words: the whole sequence is the one shingle. No words: an empty set.
-    """
-    rows = len(words.at) - 1
+def shingle_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every k-word shingle; fewer than k words: the whole sequence is the one shingle."""
     counts = np.diff(words.at)
     n = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
-    row = np.repeat(np.arange(rows), n)
+    row = np.repeat(np.arange(len(counts)), n)
     whole = runs(words.hash, k)
     first = np.cumsum(n) - n
     out = np.empty(int(n.sum()), U64)
@@ -143,9 +139,19 @@ def shingle_sets(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     out[long] = whole[where[long]]
     for i in np.flatnonzero((counts > 0) & (counts < k)):
         out[first[i]] = runs(words.hash[words.at[i] : words.at[i + 1]], int(counts[i]))[0]
+    return row, out
+
+
+def shingle_sets(words: Words, k: int = 5, other: Words | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(hashes, at, others): row i's distinct k-word shingles, ascending, are ``hashes[at[i]:at[i + 1]]``; ``others`` are their hashes by ``other``.
+
+    Fewer than k words: the whole sequence is the one shingle. No words: an empty set.
+    """
+    row, out = shingle_hashes(words, k)
     order = np.lexsort((out, row))
     out, row = out[order], row[order]
     fresh = np.ones(len(out), bool)
     fresh[1:] = (out[1:] != out[:-1]) | (row[1:] != row[:-1])
+    others = shingle_hashes(other, k)[1][order[fresh]] if other is not None else None
     out, row = out[fresh], row[fresh]
-    return out, np.searchsorted(row, np.arange(rows + 1))
+    return out, np.searchsorted(row, np.arange(len(words.at))), others

@@ -2,13 +2,17 @@
 
 ``write_archives`` writes pages as archives that are one gzip stream each, as crawlers that compress a finished file
 leave them. ``normalise`` inflates such a stream once, front to back, gives every record a gzip member of its own and
-writes a sidecar index (offset, length, type, record id), so a record is one ranged read. ``read_archives`` reads
-records through the index.
+writes a sidecar index (offset, length, type, record id), so a record is one ranged read. It reads, inflates and writes piece by
+piece, so a task holds one record and one piece however large the archive or its ratio is; files of several gzip members are
+one stream. Of an archive that is cut off or damaged, the records before that place are kept and ``error`` says so.
+``read_archives`` reads records through the index; records of other writers and kinds have no page_id, and one whose payload is not
+what its header states has an ``error``.
 
 Payloads of at least ``least`` bytes that occur more than once are stored once: by the page with the largest page_id;
 the others are ``revisit`` records that name it. Nulls: a null html is an empty payload, a null url an empty target;
 a page with a null page_id is never the one that others refer to. Rows that repeat that page_id are all responses.
-An empty table makes no archive and no row. Other columns are ignored.
+Ties of the digest are settled by the largest page_id. Very long pages are records like others. An empty table makes no archive and
+no row. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +30,9 @@ from pyspark.sql import functions as F
 from kithlink.llm import shared
 
 DATE = "2024-01-01T00:00:00Z"
-SALTS = 32
-RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, archive string, record_offset long, record_length long"
+#: Bytes read, inflated or written at once, and the longest record header.
+PIECE = 1 << 20
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, archive string, record_offset long, record_length long, error string"
 
 
 def record_id(page_id) -> str:
@@ -35,8 +40,9 @@ def record_id(page_id) -> str:
 
 
 def page_of(urn: str):
+    """The page_id of a record that this module wrote."""
     inner = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(inner) if inner else None
+    return int(inner) if urn.startswith("<urn:page:") and inner.lstrip("-").isdigit() else None
 
 
 def record(kind: str, page_id, url: str, payload: bytes, digest: str, n: int, refers_to=None) -> bytes:
@@ -54,10 +60,10 @@ def record(kind: str, page_id, url: str, payload: bytes, digest: str, n: int, re
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     """(headers in lower case, block) of one record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     n = int(headers["content-length"])
     if rest[n : n + 4] != b"\r\n\r\n":
         raise ValueError("a record's end is missing")
@@ -72,11 +78,15 @@ def split_stream(chunks: Iterator[bytes]) -> Iterator[bytes]:
         held += chunk
         while True:
             if need < 0:
-                end = held.find(b"\r\n\r\n")
+                end = held.find(b"\r\n\r\n", 0, PIECE)
                 if end < 0:
+                    if len(held) >= PIECE:
+                        raise ValueError("a record's header does not end")
                     break
-                length = next(x for x in bytes(held[:end]).lower().split(b"\r\n") if x.startswith(b"content-length:"))
-                need = end + 4 + int(length.split(b":")[1]) + 4
+                length = [x for x in bytes(held[:end]).lower().split(b"\r\n") if x.startswith(b"content-length:")]
+                if not length or not length[0].split(b":")[1].strip().isdigit():
+                    raise ValueError("a record has no length")
+                need = end + 4 + int(length[0].split(b":")[1]) + 4
             if len(held) < need:
                 break
             yield bytes(held[:need])
@@ -86,72 +96,85 @@ def split_stream(chunks: Iterator[bytes]) -> Iterator[bytes]:
         raise ValueError("the stream ends inside a record")
 
 
-def inflate(blob: bytes, size: int = 1 << 20) -> Iterator[bytes]:
-    """The stream's bytes, inflated once from front to back."""
-    z = zlib.decompressobj(31)
-    for at in range(0, len(blob), size):
-        part = z.decompress(blob[at : at + size])
-        if part:
-            yield part
-    if not z.eof:
+def inflate(chunks: Iterator[bytes], most: int = PIECE) -> Iterator[bytes]:
+    """The stream's bytes, inflated once from front to back, at most ``most`` at a time; members follow each other."""
+    z = None
+    for data in chunks:
+        while True:
+            if z is None:
+                data = data.lstrip(b"\0")  # zeros may pad a member
+                if not data:
+                    break
+                z = zlib.decompressobj(31)
+            try:
+                part = z.decompress(data, most)
+            except zlib.error as e:
+                raise ValueError(f"the gzip stream is damaged: {e}") from e
+            if part:
+                yield part
+            if z.eof:
+                data, z = z.unused_data, None
+            else:
+                data = z.unconsumed_tail
+                if not data and len(part) < most:
+                    break
+    if z is not None:
         raise ValueError("the gzip stream is cut off")
 
 
-def rewrite(blob: bytes, level: int = 2) -> tuple[list[bytes], list[dict]]:
-    """(members, index) of a monolithic archive."""
-    members, index, at = [], [], 0
-    for raw in split_stream(inflate(blob)):
+def rewrite(chunks: Iterator[bytes], level: int = 2) -> Iterator[tuple[bytes, dict]]:
+    """(member, index entry) of each record of a monolithic archive, one after the other."""
+    at = 0
+    for raw in split_stream(inflate(chunks)):
         z = zlib.compressobj(level, zlib.DEFLATED, 31)
         member = z.compress(raw) + z.flush()
         headers, _ = parse(raw)
-        index.append({"offset": at, "length": len(member), "type": headers["warc-type"], "id": headers["warc-record-id"]})
-        members.append(member)
+        yield member, {"offset": at, "length": len(member), "type": headers.get("warc-type", ""), "id": headers.get("warc-record-id", "")}
         at += len(member)
-    return members, index
 
 
 def mark_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     """pages with payload_digest, payload_bytes, record_type, refers_to.
 
-    The repeated digests are found by a pre-aggregated count; a hot digest's pages are dealt over ``SALTS`` keys.
+    The repeated digests are found by a pre-aggregated count and written, so the join with them is a broadcast while they are few and
+    else one that adaptive execution splits at a hot digest.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumns({"payload_digest": F.sha1(F.encode("html", "UTF-8")), "payload_bytes": F.octet_length("html").cast("long")})
     large = F.col("payload_bytes") >= least
     holders = p.where(large).groupBy("payload_digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1 AND holder IS NOT NULL")
-    holders = holders.select("payload_digest", "holder", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    p = p.join(holders, ["payload_digest", "salt"], "left").drop("salt")
+    p = p.join(shared.settle(holders.drop("n"), "warc-holders"), "payload_digest", "left")
     again = large & F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
     return p.select("page_id", "url", "html", "payload_digest", "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("holder")).alias("refers_to"))
 
 
 def write_archives(marked: DataFrame, most: int = 1 << 26, level: int = 1) -> DataFrame:
-    """Monolithic archives of at most about ``most`` inflated bytes: (path, n_records)."""
+    """Monolithic archives of at most about ``most`` inflated bytes: (path, n_records). Written as they are deflated."""
     folder = shared.work_dir(marked.sparkSession, "warc")
 
     def write(batches):
-        seq, size, n, parts, z = 0, 0, 0, [], None
+        seq, size, n, z, out, path = 0, 0, 0, None, None, ""
 
-        def flush():
-            nonlocal seq, size, n, parts, z
-            parts.append(z.flush())
-            path = f"{folder}/{shared.attempt_name('crawl', seq)}.warc.gz"
-            shared.write_file(path, parts)
-            out = pa.RecordBatch.from_pydict({"path": [path], "n_records": pa.array([n], pa.int64())})
-            seq, size, n, parts, z = seq + 1, 0, 0, [], None
-            return out
+        def close():
+            nonlocal seq, size, n, z
+            out.write(z.flush())
+            out.close()
+            row = pa.RecordBatch.from_pydict({"path": [path], "n_records": pa.array([n], pa.int64())})
+            seq, size, n, z = seq + 1, 0, 0, None
+            return row
 
         for batch in batches:
             for page, url, html, digest, count, kind, refers in zip(*(batch.column(c).to_pylist() for c in COLUMNS), strict=True):
                 raw = record(kind, page, url.replace("\r", "").replace("\n", ""), html.encode(), digest, count, refers)
-                z = z or zlib.compressobj(level, zlib.DEFLATED, 31)
-                parts.append(z.compress(raw))
+                if z is None:
+                    path = f"{folder}/{shared.attempt_name('crawl', seq)}.warc.gz"
+                    z, out = zlib.compressobj(level, zlib.DEFLATED, 31), shared.create_file(path)
+                out.write(z.compress(raw))
                 size, n = size + len(raw), n + 1
                 if size >= most:
-                    yield flush()
+                    yield close()
         if n:
-            yield flush()
+            yield close()
 
     return shared.settle(marked.select(*COLUMNS).mapInArrow(write, "path string, n_records long"), "warc-manifest")
 
@@ -160,19 +183,25 @@ COLUMNS = ("page_id", "url", "html", "payload_digest", "payload_bytes", "record_
 
 
 def normalise(archives: DataFrame) -> DataFrame:
-    """Rewrite each monolithic archive beside itself with a member per record and a sidecar index: (path, index, n_records)."""
+    """Rewrite each monolithic archive (``path``) into the shared folder with a member per record and a sidecar index: (path, index, n_records, error)."""
+    folder = shared.work_dir(archives.sparkSession, "warc-members")
 
     def work(batches):
         for batch in batches:
-            for path in batch.column("path").to_pylist():
-                members, index = rewrite(shared.read_file(path))
-                stem = f"{path.removesuffix('.warc.gz')}-{shared.attempt_name('n')}"
-                shared.write_file(f"{stem}.warc.gz", members)
-                shared.write_file(f"{stem}.index.jsonl", [(json.dumps(x) + "\n").encode() for x in index])
-                yield pa.RecordBatch.from_pydict({"path": [f"{stem}.warc.gz"], "index": [f"{stem}.index.jsonl"], "n_records": pa.array([len(index)], pa.int64())})
+            for k, path in enumerate(batch.column("path").to_pylist()):
+                stem, n, error = f"{folder}/{shared.attempt_name('n', k)}", 0, None
+                with shared.create_file(f"{stem}.warc.gz") as members, shared.create_file(f"{stem}.index.jsonl") as index:
+                    try:
+                        for member, entry in rewrite(shared.pieces(path, PIECE)):
+                            members.write(member)
+                            index.write((json.dumps(entry) + "\n").encode())
+                            n += 1
+                    except ValueError as e:
+                        error = f"{path}: {e}"
+                yield pa.RecordBatch.from_pydict({"path": [f"{stem}.warc.gz"], "index": [f"{stem}.index.jsonl"], "n_records": pa.array([n], pa.int64()), "error": pa.array([error], pa.string())})
 
     spread = archives.repartition(max(1, archives.count()), "path")
-    return shared.settle(spread.select("path").mapInArrow(work, "path string, index string, n_records long"), "warc-normal")
+    return shared.settle(spread.select("path").mapInArrow(work, "path string, index string, n_records long, error string"), "warc-normal")
 
 
 def read_record(uri: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
@@ -184,20 +213,24 @@ def read_record(uri: str, offset: int, length: int) -> tuple[dict[str, str], byt
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """``RECORDS`` of every record, read member by member through the sidecar indexes; digests are checked against the payloads."""
+    """``RECORDS`` of every record, read member by member through the sidecar indexes; digests are those of the payloads read."""
 
     def describe(path, x, headers, block):
-        head, _, body = block.partition(b"\r\n\r\n")
-        stated = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
-        n = int(next(h for h in head.split(b"\r\n") if h.lower().startswith(b"content-length:")).split(b":")[1])
-        if headers["warc-type"] == "response":
-            n, found = len(body), hashlib.sha1(body).hexdigest()
-            if found != stated:
-                raise ValueError(f"{path} at {x['offset']}: the payload's digest differs")
-        refers = page_of(headers["warc-refers-to"]) if "warc-refers-to" in headers else None
-        return (page_of(headers["warc-record-id"]), n, stated, headers["warc-type"], refers, headers["warc-target-uri"], path, x["offset"], x["length"])
-
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        kind, error = headers.get("warc-type", ""), None
+        http = headers.get("content-type", "").startswith("application/http")
+        head, _, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+        label, _, code = headers.get("warc-payload-digest", "").partition(":")
+        stated = base64.b32decode(code).hex() if label == "sha1" and len(code) == 32 else None
+        n, found = len(body), hashlib.sha1(body).hexdigest()
+        if kind == "revisit":  # the payload is elsewhere
+            lengths = [h.split(b":")[1].strip() for h in head.split(b"\r\n") if h.lower().startswith(b"content-length:")]
+            n, found = int(lengths[0]) if lengths and lengths[0].isdigit() else None, stated
+        elif stated and stated != found:
+            error = "the payload's digest differs"
+        refers = page_of(headers.get("warc-refers-to", ""))
+        return (page_of(headers.get("warc-record-id", "")), n, found, kind, refers, headers.get("warc-target-uri"), path, x["offset"], x["length"], error)
+
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
     names = [c.split()[0] for c in RECORDS.split(", ")]
 
     def read(batches):

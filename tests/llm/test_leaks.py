@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -49,3 +50,54 @@ def test_long_items():
     fourth = ["other" if k % 4 == 3 else w for k, w in enumerate(item)]
     far = [w if k % 4 == 0 or k < 3 else "other" for k, w in enumerate([f"w{k}" for k in range(60)])]  # 17 equal, at most 10 of 30
     assert found([item], [["x", *fourth], far, fourth[:16], fourth[:12]]) == {(0, 0), (2, 0)}
+
+
+@pytest.mark.parametrize("size", range(1, 10))
+def test_short_items_match_whole(size):
+    rng = random.Random(size)
+    items = [[f"i{i}w{k}" for k in range(size)] for i in range(8)]
+    docs = [[*(f"a{k}" for k in range(rng.randint(0, 3))), *items[i], "end"] for i in range(8)]
+    docs += [[*item[: size // 2], "other", *item[size // 2 + 1 :]] for item in items]
+    assert found(items, docs) == leaks(items, docs) == {(i, i) for i in range(8)}
+
+
+def test_repeated_words_stay_bounded(monkeypatch):
+    """One word, many times, in item and document: hits are as many as pairs of places, diagonals only as places."""
+    monkeypatch.setattr(decontaminate, "HELD", 5000)
+    assert found([["a"] * 300], [["a"] * 20_000, ["b"] * 50]) == {(0, 0)}
+    items, docs = [["a", "b"] * 20, ["a"] * 15], [["a", "b"] * 500, ["a"] * 11 + ["c"] * 9, ["b", "a"] * 4]
+    assert found(items, docs) == leaks(items, docs)
+
+
+def test_all_documents_by_brute_force(spark):
+    """op1 on sf0.001 against every item laid over every document on every diagonal (numpy, token by token)."""
+    sf = "/root/testdata/sf0.001"
+    split = decontaminate._token.findall
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    number: dict[str, int] = {}
+
+    def coded(text):
+        return np.array([number.setdefault(w, len(number)) for w in split((text or "").translate(lower))], np.int64)
+
+    items = {r.item_id: coded(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    docs = {r.doc_id: coded(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    expected = set()
+    for d, doc in docs.items():
+        for i, item in items.items():
+            need = len(item) if len(item) < 10 else min(12, math.ceil(0.6 * len(item)))
+            common = np.isin(item, doc).sum()
+            if not len(item) or common < need:
+                continue
+            for at in range(1 - len(item), len(doc)):
+                a, b = max(at, 0), min(at + len(item), len(doc))
+                same = doc[a:b] == item[a - at : b - at]
+                if len(item) > 30:
+                    run = np.concatenate(([0], np.cumsum(same)))
+                    best = (run[np.minimum(np.arange(len(same)) + 30, len(same))] - run[:-1]).max(initial=0)
+                else:
+                    best = same.sum()
+                if best >= need:
+                    expected.add((d, i))
+                    break
+    got = decontaminate.op1_decontamination(spark, sf).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == expected and expected

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import struct
 import time
 import zlib
 from collections import Counter
@@ -87,14 +88,43 @@ def test_pages_column(spark):
 
 def test_normaliser_keeps_records():
     records = [warc.record("response", i, f"http://x/{i}", p, hashlib.sha1(p).hexdigest(), len(p)) for i, p in enumerate([b"", b"abc" * 1000, "é".encode()])]
-    z = zlib.compressobj(1, zlib.DEFLATED, 31)
-    blob = z.compress(b"".join(records)) + z.flush()
-    members, index = warc.rewrite(blob)
+    blob = packed(b"".join(records))
+    members, index = zip(*warc.rewrite(iter([blob])), strict=True)
     joined = b"".join(members)
     assert [zlib.decompress(joined[x["offset"] : x["offset"] + x["length"]], 31) for x in index] == records
     assert list(warc.split_stream(iter([b"".join(records)[i : i + 7] for i in range(0, sum(map(len, records)), 7)]))) == records
-    with pytest.raises(ValueError):
-        warc.rewrite(blob[:-9])
+    for broken in (blob[:-9], packed(b"".join(records)[:-5]), packed(b"WARC/1.1\r\nno length\r\n\r\n"), packed(b"x" * (3 << 20)), blob[:40] + b"\0\1\2" + blob[43:]):
+        with pytest.raises(ValueError):
+            list(warc.rewrite(iter([broken])))
+
+
+def packed(raw):
+    z = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return z.compress(raw) + z.flush()
+
+
+def test_streams_of_several_members_and_high_ratio():
+    records = [warc.record("response", i, f"http://x/{i}", p, hashlib.sha1(p).hexdigest(), len(p)) for i, p in enumerate([b"", b"abc" * 1000, bytes(40 << 20)])]
+    whole = packed(records[0]) + packed(records[1]) + b"\0" * 512 + packed(records[2])
+    for size in (1000, 1 << 20):
+        chunks = [whole[i : i + size] for i in range(0, len(whole), size)]
+        assert sum(map(len, warc.inflate(iter(chunks)))) == sum(map(len, records))
+        assert max(map(len, warc.inflate(iter(chunks)))) <= warc.PIECE
+        assert [zlib.decompress(m, 31) for m, _ in warc.rewrite(iter(chunks))] == records
+    assert list(warc.inflate(iter([]))) == [] == list(warc.rewrite(iter([b""])))
+
+
+def test_foreign_and_damaged_archives(spark, tmp_path):
+    """Records of other writers are kept without a page_id; of a cut-off archive what stands before the cut is kept."""
+    body = b"HTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\nhi"
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1-2>\r\nContent-Type: application/warc-fields\r\nContent-Length: 4\r\n\r\na: b\r\n\r\n"
+    page = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:3>\r\nWARC-Payload-Digest: sha1:" + b"A" * 32 + b"\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(packed(info) + packed(page))
+    (tmp_path / "b.warc.gz").write_bytes((packed(info) + packed(page))[:-4])
+    made = warc.normalise(spark.createDataFrame([(f"file://{tmp_path}/{n}.warc.gz",) for n in "ab"], "path string"))
+    assert sorted((r.n_records, r.error is None) for r in made.collect()) == [(1, False), (2, True)] or sorted((r.n_records, r.error is None) for r in made.collect()) == [(2, False), (2, True)]
+    got = [r for r in warc.read_archives(made).collect() if r.record_type == "response"]
+    assert got[0].page_id is None and got[0].payload_bytes == 2 and got[0].payload_digest == hashlib.sha1(b"hi").hexdigest() and got[0].error
 
 
 def test_archives(spark):
@@ -124,6 +154,47 @@ def test_containers_round_trip():
             media.describe(bad)
 
 
+def nested(depth):
+    out = b""
+    for _ in range(depth):
+        out = media.box(b"moov", out)
+    return out
+
+
+def test_containers_that_state_too_much(spark):
+    good = media.mux(bytes(64 * 200))
+    huge = good[: good.index(b"stsz") + 12] + b"\xff\xff\xff\xff" + good[good.index(b"stsz") + 16 :]
+    groups = good.index(b"stsc") + 12
+    many = good[: groups + 4] + b"\xff\xff\xff\xff" + good[groups + 8 :]
+    chunk = good.index(b"stco") + 12
+    outside = good[:chunk] + b"\xff\xff\xff\xff" + good[chunk + 4 :]
+    short = media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"mdhd"))))
+    bad = [nested(3000), huge, outside, short, good[:chunk] + good[chunk + 4 :], b"\0\0\0\1mdat" + b"\xff" * 8]
+    rows = spark.createDataFrame([(i, 0, bytearray(b)) for i, b in enumerate([*bad, many])], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media.media_features(rows).collect()}
+    assert all(got[i].feature.startswith("error") and got[i].payload_bytes is None for i in range(len(bad)))
+    assert not got[len(bad)].feature.startswith("error") or got[len(bad)].payload_bytes is None  # ends, whatever it says
+    rng = random.Random(7)
+    for _ in range(2000):
+        torn = bytearray(good[:2000])
+        for _ in range(rng.randint(1, 6)):
+            torn[rng.randrange(len(torn))] = rng.randrange(256)
+        try:
+            media.payload(bytes(torn), media.describe(bytes(torn))["track"])
+        except (ValueError, IndexError, struct.error):
+            pass
+
+
+def test_media_query_gives_key_ranges(spark):
+    got = media.op9_media(spark, "/root/testdata/sf0.001").collect()
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(got) == len(texts)
+    for g in got:
+        blob = media.mux(media.padded(texts[g.doc_id]))
+        assert hashlib.sha256(blob).hexdigest() == g.media_sha256 and len(blob) == g.media_bytes
+        assert [blob[k.offset : k.offset + k.size] for k in g.keyframes] == [media.padded(texts[g.doc_id])[i : i + 64] for i in range(0, g.payload_bytes, 1024)]
+
+
 def test_media_columns(spark):
     rows = nasty_rows()
     got = media.media_features(media.store_texts(frame(spark, rows))).collect()
