@@ -1,6 +1,7 @@
 """Quality by nearest neighbours in a latent semantic space.
 
-Features of a text are its hashed byte trigrams, damped and weighted by inverse document frequency. A truncated
+Features of a text are its hashed byte trigrams, damped and weighted by inverse document frequency, and the levels of
+three measures of shape that trigrams cannot show: words that repeat the word before, capitals, and symbols. A truncated
 singular value decomposition of a labelled sample gives the latent space. The sample's vectors (at most
 ``neighbours`` rows of ``rank`` floats, the size bound of what is broadcast) are compared with every document's by
 exact blocked cosine products; the ``k`` nearest vote with weights that grow with their similarity. A document of the
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithlink.llm import labelled
-from kithlink.llm.textvec import slices, utf8
+from kithlink.llm.textvec import Words, slices, utf8
 
 BITS = 12
 THRESHOLD = 0.3
@@ -41,6 +42,34 @@ def trigram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Lower bounds of the levels of each measure, and how much a level weighs against the trigrams.
+LEVELS = (0.02, 0.08, 0.2, 0.4)
+SHAPES = 3 * (len(LEVELS) + 1)
+SHAPE_WEIGHT = 0.6
+WIDTH = (1 << BITS) + SHAPES
+_capital = np.zeros(256, bool)
+_capital[65:91] = True
+_symbol = np.array([32 < b < 127 and not chr(b).isalnum() and chr(b) not in ".,'-" for b in range(256)])
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """rows x WIDTH: trigram counts, then 1 at the level of each measure."""
+    rows = len(offsets) - 1
+    out = np.concatenate((trigram_counts(data, offsets), np.zeros((rows, SHAPES), np.float32)), axis=1)
+    words = Words(data, offsets)
+    again = np.zeros(len(words.hash), bool)
+    again[1:] = words.hash[1:] == words.hash[:-1]
+    size, n = np.diff(offsets), np.diff(words.at)
+
+    def share(marks, at, of):
+        return np.diff(np.concatenate(([0], np.cumsum(marks)))[at]) / np.maximum(of, 1)
+
+    for k, measure in enumerate((share(again, words.at, n), share(_capital[data], offsets, size), share(_symbol[data], offsets, size))):
+        level = np.searchsorted(LEVELS, measure, "right")
+        out[np.arange(rows), (1 << BITS) + k * (len(LEVELS) + 1) + level] = n > 0
+    return out
+
+
 @dataclass
 class Space:
     """The fitted space: feature weights, projection, labelled vectors and labels."""
@@ -72,10 +101,14 @@ class Space:
 
 
 def scaled(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Damped, weighted trigram counts as unit vectors; ``counts`` is used up."""
+    """Trigram weights as a unit vector beside the weighted levels; ``counts`` is used up."""
+    shape = slice(1 << BITS, None)
+    levels = counts[:, shape] * np.float32(SHAPE_WEIGHT)
     np.log1p(counts, out=counts)
     counts *= weight
-    counts /= np.maximum(np.sqrt(np.einsum("ij,ij->i", counts, counts)), 1e-9)[:, None]
+    head = counts[:, : 1 << BITS]
+    head /= np.maximum(np.sqrt(np.einsum("ij,ij->i", head, head)), 1e-9)[:, None]
+    counts[:, shape] = levels
     return counts
 
 
@@ -87,7 +120,7 @@ def fit_space(counts: np.ndarray, labels: np.ndarray, ids: np.ndarray, rank: int
     """Weights and truncated decomposition by randomised subspace iteration with a fixed seed; ``counts`` is used up, so the driver holds one matrix."""
     n = len(counts)
     if not n:
-        return Space(np.ones(1 << BITS, np.float32), np.zeros((1 << BITS, rank), np.float32), np.empty((0, rank), np.float32), np.empty(0), np.empty(0, np.int64), 0.5)
+        return Space(np.ones(WIDTH, np.float32), np.zeros((WIDTH, rank), np.float32), np.empty((0, rank), np.float32), np.empty(0), np.empty(0, np.int64), 0.5)
     seen = np.count_nonzero(counts, axis=0)
     weight = np.log((1 + n) / (1 + seen)).astype(np.float32) + np.float32(1)
     x = scaled(counts, weight)
@@ -105,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", neighbours:
     def vectors(batches):
         for batch in batches:
             for i, j, data, at in slices(*utf8(batch.column("text"))):
-                counts = trigram_counts(data, at)
+                counts = features(data, at)
                 row, feature = np.nonzero(counts)
                 cut = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({
@@ -113,9 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", neighbours:
                     "feature": pa.ListArray.from_arrays(cut, feature.astype(np.int16)), "n": pa.ListArray.from_arrays(cut, counts[row, feature].astype(np.int32)),
                 })
 
-    # at most ``neighbours`` rows of 2**BITS features
+    # at most ``neighbours`` rows of WIDTH features
     table = labelled.sample(docs, labels, label, neighbours).mapInArrow(vectors, "doc_id long, label int, feature array<smallint>, n array<int>").toArrow()
-    counts, done = np.zeros((table.num_rows, 1 << BITS), np.float32), 0
+    counts, done = np.zeros((table.num_rows, WIDTH), np.float32), 0
     order = np.argsort(table.column("doc_id").to_numpy())
     rank_of = np.argsort(order)
     y, ids = table.column("label").to_numpy()[order], table.column("doc_id").to_numpy()[order]
@@ -137,7 +170,7 @@ def batch_scores(batch: pa.RecordBatch, space: Space, k: int, power: float) -> n
     for first, _, data, at in slices(*utf8(batch.column("text"))):
         for i in range(0, len(at) - 1, 256):
             part = at[i : i + 257]
-            counts = trigram_counts(data[part[0] : part[-1]], part - part[0])
+            counts = features(data[part[0] : part[-1]], part - part[0])
             bare = ~counts.any(axis=1)
             own = slice(first + i, first + i + len(part) - 1)
             known = ids[own]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from kithlink.llm import labelled, tokens
 
-LENGTHS = (3, 4, 5)
+LENGTHS = (3, 4, 5, 6)
 BITS = 20
 THRESHOLD = 0.5
 #: Tasks that count the sample's features: so many vectors of 2**BITS counts come to the driver.
