@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kithlink.functions.levels import agreement, level_holds
 from kithlink.operators.blocking import Blocking
+from kithlink.operators.grades import graded
 from kithlink.operators.estimate import compared_columns, hash_share
 from kithlink.plans.model import Model
 from kithlink.sources.store import Store
@@ -189,7 +190,8 @@ def completeness(store: Store, model: Model, all_pairs: bool = False, sample: fl
     if sample < 1:
         pairs = pairs.where(hash_share(sample, seed, "a___row", "b___row"))
     also = reduce(Column.__or__, [b.produces() for b in others], F.lit(False))
-    rows = pairs.select(agreement(schema).alias("gamma"), also.cast("int").alias("also")).groupBy("gamma").agg(F.count("*").alias("n"), F.sum("also").alias("also")).collect()
+    pairs, known = graded(store, pairs, schema)
+    rows = pairs.select(agreement(schema, False, known).alias("gamma"), also.cast("int").alias("also")).groupBy("gamma").agg(F.count("*").alias("n"), F.sum("also").alias("also")).collect()
     posterior = np.array([1 / (1 + 2.0 ** -model.base_weight(schema.unpack(r.gamma))) for r in rows])
     n, caught = np.array([r.n for r in rows], float), np.array([r.also for r in rows], float)
     matches = posterior * n

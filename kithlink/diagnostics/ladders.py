@@ -14,6 +14,7 @@ from kithlink.functions import text
 from kithlink.functions.levels import agreement
 from kithlink.operators.blocking import Blocking
 from kithlink.operators.estimate import compared_columns, hash_share
+from kithlink.operators.grades import blocked, graded
 from kithlink.plans.model import LevelFit, Model
 from kithlink.plans.schema import Comparison, Level, Schema
 from kithlink.sources.store import Store
@@ -57,13 +58,14 @@ def bin_of(metric: str, edges: list[float], a, b):
     return F.when(a == b, 0).otherwise(F.transform(F.array(text.jaro_winkler(a, b)), pick)[0])
 
 
-def u_curve(store: Store, column: str, metric: str, edges: list[float]) -> tuple[np.ndarray, float]:
+def u_curve(store: Store, column: str, metric: str, edges: list[float], budget: float = 4e10) -> tuple[np.ndarray, float]:
     """Exact shares of random pairs of records by bin, from a join of the dictionary with itself; and the number of draws."""
-    words = store.dictionary(column).withColumn("__s", F.pmod(F.xxhash64("value"), F.lit(16)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(15)))
-    left = words.select(F.col("value").alias("a"), F.col("tf").alias("ta"), F.col("__s").alias("x"), every.alias("y"))
-    right = words.select(F.col("value").alias("b"), F.col("tf").alias("tb"), F.col("__s").alias("y"), every.alias("x"))
-    met = left.join(right, ["x", "y"]).where("a < b")
+    words = store.dictionary(column)
+    size = words.count()
+    if size * (size - 1) / 2 > budget:
+        raise ValueError(f"the {size} values of {column!r} make more pairs than the budget of {budget:g}")
+    left, right = words.select(F.col("value").alias("a"), F.col("tf").alias("ta")), words.select(F.col("value").alias("b"), F.col("tf").alias("tb"))
+    met = blocked(left, right, size, "a", "b").where("a < b")
     rows = met.groupBy(bin_of(metric, edges, F.col("a"), F.col("b")).alias("bin")).agg(F.sum(F.col("ta").cast("double") * F.col("tb") * 2).alias("n")).collect()
     r = words.agg(F.sum("tf").alias("p"), F.sum(F.col("tf").cast("double") * (F.col("tf") - 1)).alias("same")).first()
     draws = float((r.p or 0) * ((r.p or 0) - 1))
@@ -205,7 +207,8 @@ def simplify(store: Store, model: Model, alpha: float = 0.01, min_gap: float = 0
     rate = min(1.0, pair_cap / total) if pair_cap and total else 1.0
     if rate < 1:
         pairs = pairs.where(hash_share(rate, seed, "a___row", "b___row"))
-    rows = pairs.groupBy(agreement(schema).alias("gamma")).agg(F.count("*").alias("n")).collect()
+    pairs, known = graded(store, pairs, schema)
+    rows = pairs.groupBy(agreement(schema, False, known).alias("gamma")).agg(F.count("*").alias("n")).collect()
     n = sum(r.n for r in rows) / rate
     scale_m = sum(r.n / (1 + 2.0 ** -model.base_weight(schema.unpack(r.gamma))) for r in rows) / rate
     scale_u = max(n - scale_m, 0.0)

@@ -48,6 +48,20 @@ def bound_columns(schema: Schema) -> dict[str, Column]:
     return {f"{n}__m": text.char_mask(F.col(n)) for n in sorted(names)} | {f"{n}__n": F.length(n) for n in sorted(names)}
 
 
+FUZZY = ("levenshtein", "jaro_winkler")
+
+
+def fuzzy_column(schema: Schema, c: Comparison) -> str | None:
+    """The text column that all fuzzy levels of a comparison read; None if there is none or several."""
+    names = {read_column(schema, c, v) for v in c.levels if v.type in FUZZY}
+    return names.pop() if len(names) == 1 else None
+
+
+def graded_column(schema: Schema, c: Comparison) -> str:
+    """A pair frame may have, under this name, the first fuzzy level of the comparison that the two values reach (null: none), from a table of value pairs."""
+    return f"__f{schema.comparisons.index(c)}"
+
+
 def level_holds(schema: Schema, c: Comparison, v: Level, masked: bool = False) -> Column:
     """True where the level fires; never null. With ``masked`` the pair has the bound columns, and the similarity is computed only where they allow it."""
     t = v.threshold
@@ -94,8 +108,12 @@ def level_holds(schema: Schema, c: Comparison, v: Level, masked: bool = False) -
     return reduce(Column.__or__, map(_false, tests))
 
 
-def level_index(schema: Schema, c: Comparison, masked: bool = False) -> Column:
-    """The first level that fires. Ladders of one similarity compute it once, and with ``masked`` only where a rung is within the bound."""
+def level_index(schema: Schema, c: Comparison, masked: bool = False, graded: frozenset | set = frozenset()) -> Column:
+    """The first level that fires. Ladders of one similarity compute it once, and with ``masked`` only where a rung is within the bound;
+    comparisons whose graded column is among ``graded`` look their fuzzy levels up."""
+    if graded_column(schema, c) in graded:
+        found = F.col(graded_column(schema, c))
+        return _case(schema, c, c.levels, 0, {id(v): _false(found == i) for i, v in enumerate(c.levels) if v.type in FUZZY})
     jaro = [v for v in c.levels if v.type == "jaro_winkler"]
     if len(jaro) > 1 and len({read_column(schema, c, v) for v in jaro}) == 1:
         name = read_column(schema, c, jaro[0])
@@ -121,13 +139,16 @@ def _case(schema: Schema, c: Comparison, levels, start: int, known: dict, last:
     return last if out is None else out.otherwise(last)
 
 
-def best_possible(schema: Schema, c: Comparison, weights: list[float]) -> Column:
+def best_possible(schema: Schema, c: Comparison, weights: list[float], graded: frozenset | set = frozenset()) -> Column:
     """The largest weight the pair can reach in this comparison, by bounds that cost little.
 
     A level that a bound rules out is passed over; the cheap levels are decided exactly. Needs the columns ``a_x__m``, ``a_x__n`` (mask and
     length) of text columns; without fuzzy levels it is the weight itself.
     """
 
+    if graded_column(schema, c) in graded and all(v.type in CHEAP or v.type in FUZZY for v in c.levels):
+        return F.element_at(F.array(*map(F.lit, weights)), level_index(schema, c, False, graded) + 1)
+
     def possible(v: Level) -> Column:
         if v.type in CHEAP:
             return level_holds(schema, c, v)
@@ -151,9 +172,9 @@ def code(schema: Schema, indexes: list[Column]) -> Column:
     return reduce(lambda x, y: x + y, parts) if parts else F.lit(0).cast("long")
 
 
-def agreement(schema: Schema, masked: bool = False) -> Column:
+def agreement(schema: Schema, masked: bool = False, graded: frozenset | set = frozenset()) -> Column:
     """A pair's code."""
-    return code(schema, [level_index(schema, c, masked) for c in schema.comparisons])
+    return code(schema, [level_index(schema, c, masked, graded) for c in schema.comparisons])
 
 
 def level_of(schema: Schema, k: int, gamma: Column | str = "gamma") -> Column:

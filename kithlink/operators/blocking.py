@@ -3,6 +3,9 @@
 A source gives every record a key (or, for a sorted neighbourhood, a rank); a pair is produced where the keys agree (the ranks
 lie within the window). Pairs are never collected, cached or made distinct: source k carries the keys of the
 earlier sources along and drops what they produce.
+
+A group of n records makes n * n / 2 pairs, so a group over ``CELL`` records is dealt over cells of about ``CELL`` by ``CELL`` records.
+The joins that make pairs keep their number of tasks: their input is small and their output is not, which adaptive execution cannot know.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ from kithlink.functions import text
 from kithlink.plans.schema import Source
 from kithlink.sources.store import Store
 
-#: Blocks a side for all pairs: rows meet block by block, so no side is broadcast.
-BLOCKS = 16
+#: Records a side of a cell, in a group of a key and when all records meet all.
+CELL, ALL_CELL = 512, 2048
 
 
 class Bound:
@@ -79,9 +82,42 @@ class Blocking:
                 frame = frame.join(ranks(store, s.column, f"__r{i}"), "__row", "left")
                 self.bound.append(Bound(s, s.name, rank=f"__r{i}"))
         self.frame = frame
+        self._large: dict[str, DataFrame | None] = {}
 
     # -- pairs
 
+    def tasks(self) -> int:
+        """Tasks of a join that makes pairs: as many as the session shuffles to, and two a core at least."""
+        return max(int(self.store.spark.conf.get("spark.sql.shuffle.partitions")), 2 * self.store.spark.sparkContext.defaultParallelism)
+
+    def large_groups(self, b: Bound) -> DataFrame | None:
+        """(key, cells a side) of the groups that are dealt over several cells; None if the source cannot have any."""
+        if b.key not in self._large:
+            found = None
+            if b.source.type != "rare_value" or not b.source.max_frequency or b.source.max_frequency > CELL:
+                sizes = self.frame.where(F.col(b.key).isNotNull()).groupBy(F.col(b.key).alias("__key")).agg(F.count("*").alias("n")).where(F.col("n") > CELL)
+                found = sizes.select("__key", F.ceil(F.col("n") / CELL).cast("int").alias("__cells")).checkpoint()
+                found = None if found.isEmpty() else found
+            self._large[b.key] = found
+        return self._large[b.key]
+
+    def _key_pairs(self, left: DataFrame, right: DataFrame, b: Bound) -> DataFrame:
+        """Rows with equal keys; those of large groups meet cell by cell."""
+        left, right = left.where(F.col(f"a_{b.key}").isNotNull()), right.where(F.col(f"b_{b.key}").isNotNull())
+        large, on = self.large_groups(b), F.col(f"a_{b.key}") == F.col(f"b_{b.key}")
+        if large is None:
+            left, right = left.repartition(self.tasks(), f"a_{b.key}"), right.repartition(self.tasks(), f"b_{b.key}")
+            return left.join(right, on)
+        cells = F.coalesce("__cells", F.lit(1))
+        every = F.explode(F.sequence(F.lit(0), cells - 1))
+        sides = []
+        for s, df, own, other in (("a", left, "x", "y"), ("b", right, "y", "x")):
+            df = df.join(large, F.col(f"{s}_{b.key}") == F.col("__key"), "left")
+            df = df.withColumn(f"{s}__{own}", F.pmod(f"{s}___row", cells).cast("int")).withColumn(f"{s}__{other}", every).drop("__key", "__cells")
+            sides.append(df.repartition(self.tasks(), f"{s}_{b.key}", f"{s}__x", f"{s}__y"))
+        on = on & (F.col("a__x") == F.col("b__x")) & (F.col("a__y") == F.col("b__y"))
+        return sides[0].join(sides[1], on).drop("a__x", "a__y", "b__x", "b__y")
+
     def side(self, prefix: str, columns: list[str], frame: DataFrame | None = None) -> DataFrame:
         keys = [x for b in self.bound for x in (b.key, b.rank) if x]
         frame = self.frame if frame is None else frame
@@ -99,7 +135,7 @@ class Blocking:
         b = self.bound[k]
         left, right = self.side("a", columns, frame), self.side("b", columns, frame)
         if b.key:
-            joined = left.where(F.col(f"a_{b.key}").isNotNull()).join(right, F.col(f"a_{b.key}") == F.col(f"b_{b.key}")).where(self.pair_ok())
+            joined = self._key_pairs(left, right, b).where(self.pair_ok())
         elif b.rank:
             joined = self._window_pairs(left, right, b)
         else:
@@ -120,12 +156,14 @@ class Blocking:
         return near.select(*(F.when(turn, F.col(f"b_{n}")).otherwise(F.col(f"a_{n}")).alias(f"a_{n}") for n in names), *(F.when(turn, F.col(f"a_{n}")).otherwise(F.col(f"b_{n}")).alias(f"b_{n}") for n in names))
 
     def _all_pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        own_a, own_b = F.pmod("a___row", F.lit(BLOCKS)), F.pmod("b___row", F.lit(BLOCKS))
-        every = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
-        a = left.withColumn("__x", own_a).withColumn("__y", F.explode(every))
-        b = right.withColumn("__y", own_b).withColumn("__x", F.explode(every))
-        a, b = a.withColumns({c: F.col(c).cast("int") for c in ("__x", "__y")}), b.withColumns({c: F.col(c).cast("int") for c in ("__x", "__y")})
-        return a.join(b, ["__x", "__y"]).drop("__x", "__y").where(self.pair_ok())
+        n = max(1, -(-self.store.records // ALL_CELL))
+        if n == 1:  # few records still spread over the cores
+            n = max(1, min(self.store.spark.sparkContext.defaultParallelism, self.store.records // 64))
+        every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        a = left.withColumn("__x", F.pmod("a___row", F.lit(n)).cast("int")).withColumn("__y", every)
+        b = right.withColumn("__y", F.pmod("b___row", F.lit(n)).cast("int")).withColumn("__x", every)
+        cells = min(n * n, 20_000)
+        return a.repartition(cells, "__x", "__y").join(b.repartition(cells, "__x", "__y"), ["__x", "__y"]).drop("__x", "__y").where(self.pair_ok())
 
     def pairs(self, columns: list[str] | None = None, selected: list[int] | None = None, frame: DataFrame | None = None) -> DataFrame:
         """The union of the selected sources, without duplicates; ``source`` is the place of the one that produced the pair."""
@@ -159,8 +197,16 @@ class Blocking:
         n = ranked.count()
         w = min(b.source.window, max(n - 1, 0))
         pairs = (n - w) * w + w * (w - 1) // 2 if n > 1 else 0
-        if self.store.cross:  # take off the pairs of one input, by the same join on two columns
-            slim = Blocking.__new__(Blocking)
-            slim.store, slim.bound, slim.frame = self.store, [b], ranked.select("__row", "__ds", "__id", b.rank)
-            pairs = slim.pairs_of(0, []).count()
+        if self.store.cross:  # take off the pairs of one input: for each record, those of its own input among the w before it
+            pairs -= self._own_window_pairs(ranked, b, w)
         return {"pairs": pairs, "largest": w + 1 if n else 0}
+
+    def _own_window_pairs(self, ranked: DataFrame, b: Bound, w: int) -> int:
+        """Pairs within the window whose records are of one input, by running counts of the inputs over stretches of ranks; no pair is made."""
+        stretch = F.floor(F.col(b.rank) / F.lit(max(w, 4096)))
+        rows = ranked.select("__ds", F.col(b.rank).alias("r"), stretch.alias("z"))
+        # a stretch is counted with the one before it, which holds all that lies in the window
+        both = rows.select("__ds", "r", F.lit(True).alias("own"), "z").unionByName(rows.select("__ds", "r", F.lit(False).alias("own"), (F.col("z") + 1).alias("z")))
+        before = Window.partitionBy("z", "__ds").orderBy("r").rangeBetween(-w, -1)
+        counted = both.withColumn("n", F.count("*").over(before)).where("own")
+        return int(counted.agg(F.sum("n")).first()[0] or 0)

@@ -12,8 +12,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kithlink.functions.levels import agreement, bound_columns, level_holds, read_column
+from kithlink.functions.levels import agreement, bound_columns, read_column
 from kithlink.operators.blocking import Blocking
+from kithlink.operators.grades import blocked, graded
 from kithlink.plans.model import ComparisonFit, Interaction, LevelFit, Model
 from kithlink.plans.numerics import FLOOR, Fit, em, initial_m, interaction_bits, match_posterior, measure_fit
 from kithlink.plans.schema import Schema
@@ -86,10 +87,11 @@ def compared_columns(schema: Schema) -> list[str]:
     return list(dict.fromkeys(n for c in schema.comparisons for n in c.columns))
 
 
-def histogram(pairs: DataFrame, schema: Schema) -> tuple[np.ndarray, np.ndarray]:
-    """(levels of each pattern, count): partial counts in the join's own stage, one small shuffle."""
+def histogram(pairs: DataFrame, schema: Schema, store: Store | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(levels of each pattern, count): partial counts in the join's own stage, one small shuffle. With the store, fuzzy levels come from tables of value pairs."""
     masked = all(f"a_{n}" in pairs.columns for n in bound_columns(schema))
-    rows = pairs.select(agreement(schema, masked).alias("gamma")).groupBy("gamma").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gamma").collect()
+    pairs, known = graded(store, pairs, schema) if store else (pairs, frozenset())
+    rows = pairs.select(agreement(schema, masked, known).alias("gamma")).groupBy("gamma").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gamma").collect()
     levels = np.array([schema.unpack(r.gamma) for r in rows], np.int64).reshape(len(rows), len(schema.comparisons))
     return levels, np.array([r.n for r in rows], np.float64)
 
@@ -142,10 +144,9 @@ def ball_masses(store: Store, k: int, budget: float = 4e10) -> DataFrame | None:
     if size * (size - 1) / 2 > budget:
         return None
     one = replace(schema, comparisons=(c,), _by_name={})
-    salted = words.withColumn("__s", F.pmod(F.xxhash64("value"), F.lit(16)).cast("int"))
-    left = salted.select(F.col("value").alias(f"a_{name}"), F.col("tf").alias("ta"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("y"), F.col("__s").alias("x"))
-    right = salted.select(F.col("value").alias(f"b_{name}"), F.col("tf").alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("x"), F.col("__s").alias("y"))
-    both = left.join(right, ["x", "y"]).where(F.col(f"a_{name}") < F.col(f"b_{name}"))
+    left = words.select(F.col("value").alias(f"a_{name}"), F.col("tf").alias("ta"))
+    right = words.select(F.col("value").alias(f"b_{name}"), F.col("tf").alias("tb"))
+    both = blocked(left, right, size, f"a_{name}", f"b_{name}").where(F.col(f"a_{name}") < F.col(f"b_{name}"))
     near = both.where(F.abs(F.length(f"a_{name}") - F.length(f"b_{name}")) <= max([int(c.levels[i].threshold) for i in fuzzy if c.levels[i].type == "levenshtein"], default=0)) if all(c.levels[i].type == "levenshtein" for i in fuzzy) else both
     coded = near.withColumn("level", agreement(one)).where(F.col("level").isin(fuzzy))
     ends = F.explode(F.array(F.struct(F.col(f"a_{name}").alias("value"), F.col("tb").alias("n")), F.struct(F.col(f"b_{name}").alias("value"), F.col("ta").alias("n"))))
@@ -172,7 +173,7 @@ def fuzzy_u(store: Store, budget: float) -> dict[tuple[int, int], float]:
 def random_u(store: Store, options: EstimateOptions) -> tuple[list[np.ndarray], dict, np.ndarray, np.ndarray]:
     """(u, exact levels, patterns, counts) : closed forms where there are any, the random pairs' shares scaled to the rest elsewhere."""
     schema = store.schema
-    levels, counts = histogram(random_pairs(store, options.u_sample, options.seed, compared_columns(schema)), schema)
+    levels, counts = histogram(random_pairs(store, options.u_sample, options.seed, compared_columns(schema)), schema, store)
     exact = exact_u(store)
     if options.fuzzy_u:
         exact |= fuzzy_u(store, options.ball_budget)
@@ -231,7 +232,7 @@ def estimate(store: Store, options: EstimateOptions | None = None, all_pairs: bo
         rate = min(1.0, options.session_pairs / total) if total else 1.0
         if rate < 1:
             pairs = pairs.where(hash_share(rate, options.seed, "a___row", "b___row"))
-        levels, counts = histogram(pairs, schema)
+        levels, counts = histogram(pairs, schema, store)
         session.pairs = int(counts.sum())
         if not session.pairs:
             session.skipped = "it has no pairs"
@@ -313,11 +314,9 @@ def fit_interactions(schema: Schema, merged: list, model: Model, random: tuple[n
     return sorted(found, key=lambda t: -t.effect)[: options.max_interactions]
 
 
-def level_shares(pairs: DataFrame, schema: Schema) -> DataFrame:
+def level_shares(pairs: DataFrame, schema: Schema, store: Store | None = None) -> DataFrame:
     """(comparison, level, pairs) of a pair frame, without leaving the cluster."""
-    coded = pairs.select(agreement(schema).alias("gamma")).groupBy("gamma").agg(F.count("*").alias("n"))
+    pairs, known = graded(store, pairs, schema) if store else (pairs, frozenset())
+    coded = pairs.select(agreement(schema, False, known).alias("gamma")).groupBy("gamma").agg(F.count("*").alias("n"))
     entries = [F.struct(F.lit(c.name).alias("comparison"), F.call_function("shiftright", F.col("gamma"), F.lit(s)).bitwiseAND((1 << c.bits) - 1).cast("int").alias("level")) for c, s in zip(schema.comparisons, schema.shifts, strict=True)]
     return coded.select(F.explode(F.array(*entries)).alias("e"), "n").groupBy("e.comparison", "e.level").agg(F.sum("n").alias("pairs"))
-
-
-__all__ = ["EstimateOptions", "EstimateReport", "Session", "ball_masses", "estimate", "exact_u", "fuzzy_u", "hash_share", "histogram", "identifiable", "level_holds", "level_shares", "random_pairs", "random_u"]

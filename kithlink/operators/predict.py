@@ -19,6 +19,7 @@ from kithlink.functions import text
 from kithlink.functions.levels import agreement, best_possible, bound_columns, level_index, level_of, read_column
 from kithlink.operators.blocking import Blocking
 from kithlink.operators.estimate import ball_masses, compared_columns, hash_share
+from kithlink.operators.grades import graded
 from kithlink.plans.model import Model
 from kithlink.plans.schema import Schema
 from kithlink.sources.store import Store
@@ -94,12 +95,12 @@ class Scorer:
             w = w + F.element_at(F.array(*map(F.lit, t.bits)), at[t.left] * t.right_levels + at[t.right] + 1)
         return w
 
-    def ceiling(self) -> Column:
+    def ceiling(self, graded: frozenset = frozenset()) -> Column:
         """No pair of a's and b's values can weigh more."""
         moves: dict[tuple[int, int], float] = {(a.comparison, a.level): max(a.high, 0.0) for a in self.adjustments}
         top = F.lit(self.model.prior + sum(max([0.0, *t.bits]) for t in self.model.interactions if self.with_interactions))
         for k, c in enumerate(self.store.schema.comparisons):
-            top = top + best_possible(self.store.schema, c, [v.weight + moves.get((k, i), 0.0) for i, v in enumerate(self.model.comparisons[k].levels)])
+            top = top + best_possible(self.store.schema, c, [v.weight + moves.get((k, i), 0.0) for i, v in enumerate(self.model.comparisons[k].levels)], graded)
         return top
 
     # -- frames
@@ -151,10 +152,10 @@ def scored_pairs(store: Store, model: Model, threshold: float | None = None, all
     if masks:
         frame = blocking.frame.withColumns(masks)
         columns += list(masks)
-    pairs = blocking.pairs(columns, frame=frame)
+    pairs, known = graded(store, blocking.pairs(columns, frame=frame), schema) if ceiling else (blocking.pairs(columns, frame=frame), frozenset())
     if ceiling and threshold is not None:
-        pairs = pairs.where(scorer.ceiling() >= threshold - 1e-9)
-    coded = pairs.withColumn("gamma", agreement(schema, bool(masks)))
+        pairs = pairs.where(scorer.ceiling(known) >= threshold - 1e-9)
+    coded = pairs.withColumn("gamma", agreement(schema, bool(masks), known))
     return scorer.weighed(scorer.based(coded, threshold, bounds)), scorer
 
 
@@ -253,6 +254,3 @@ def read_edges(spark, source) -> DataFrame:
         raise ValueError(f"the predictions have no column {lacking[0]!r}")
     kinds = {"gamma": "long", "match_weight": "double", "match_probability": "double"}
     return df.withColumns({c: F.col(c).cast(k) for c, k in kinds.items() if c in df.columns})
-
-
-__all__ = ["Path", "Scorer", "edges", "layout", "level_index", "merge_predictions", "predict", "read_edges", "rescore", "scored_pairs", "write_edges"]

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from kithlink.functions import text
 from kithlink.functions.levels import agreement, bound_columns
 from kithlink.operators.estimate import compared_columns
+from kithlink.operators.grades import blocked, graded
 from kithlink.operators.predict import Scorer, in_bits
 from kithlink.plans.model import Model
 from kithlink.sources.store import Store
@@ -25,10 +26,6 @@ from kithlink.sources.store import Store
 SPARK_TYPES = {"string": "string", "string_list": "array<string>", "date": "date", "double": "double", "boolean": "boolean"}
 
 
-#: Each side of a search by many queries is dealt into so many blocks.
-BLOCKS = 16
-
-
 def parse_field(stated: str) -> tuple[str, str]:
     """``column=value``."""
     name, mark, value = stated.partition("=")
@@ -126,12 +123,11 @@ def search_many(store: Store, queries: DataFrame, model: Model, k: int = 10, dam
 
     a = side(first, "a", "a___row", "a___ds")
     b = side(given.select("__values").distinct(), "b").withColumn("b___ds", F.lit(0))
-    # every value of the store meets every value asked for: both sides in blocks, each pair of blocks by one key
-    n, every = BLOCKS, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long")))
-    a = a.withColumn("__i", F.pmod(F.xxhash64("a___row"), F.lit(n))).withColumn("__j", every)
-    b = b.withColumn("__j", F.pmod(F.xxhash64("b__values"), F.lit(n))).withColumn("__i", every)
-    met = a.join(b.hint("shuffle_hash"), ["__i", "__j"]).drop("__i", "__j")
-    scored = scorer.weighed(scorer.based(met.withColumn("gamma", agreement(schema, bool(masks))), None, True))
+    # every value of the store meets every value asked for, block by block
+    a, b = a.checkpoint(), b.checkpoint()
+    met = blocked(a, b, max(a.count(), b.count()), "a___row", "b__values")
+    met, known = graded(store, met)
+    scored = scorer.weighed(scorer.based(met.withColumn("gamma", agreement(schema, bool(masks), known)), None, True))
     top = scored.withColumn("__n", F.row_number().over(best("b__values", "a___row"))).where(F.col("__n") <= k)
     top = top.select("a__values", "b__values", "gamma", "match_weight", "match_probability")
     lowest = stored.withColumn("__n", F.row_number().over(Window.partitionBy("__values").orderBy("__row"))).where(F.col("__n") <= k)

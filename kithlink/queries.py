@@ -11,8 +11,9 @@ from kithlink.functions.levels import agreement, bound_columns, level_index
 from kithlink.operators import cluster as clustering
 from kithlink.operators import explain, search, viewer
 from kithlink.operators.blocking import Blocking
-from kithlink.operators.components import connected_components
+from kithlink.operators.components import connected_components, ensure_checkpoint_dir
 from kithlink.operators.estimate import EstimateOptions, ball_masses, estimate, exact_u, level_shares
+from kithlink.operators.grades import blocked, graded
 from kithlink.operators.predict import predict, rescore
 from kithlink.plans.model import Model
 from kithlink.plans.schema import Schema
@@ -209,9 +210,10 @@ def price_blocking_link(spark, sf_dir):
 
 @query("""WITH d AS (SELECT DISTINCT p_name AS v FROM part) SELECT a.v AS a, b.v AS b, levenshtein(a.v, b.v) AS edits, round(jaro_similarity(a.v, b.v), 9) AS jaro, round(jaro_winkler_similarity(a.v, b.v), 9) AS winkler FROM d a JOIN d b ON a.v < b.v""")
 def text_distances(spark, sf_dir):
-    d = table(spark, sf_dir, "part").select(F.col("p_name").alias("v")).distinct()
-    both = d.select(F.col("v").alias("a")).join(d.select(F.col("v").alias("b")), F.col("a") < F.col("b"))
+    ensure_checkpoint_dir(spark)
+    d = table(spark, sf_dir, "part").select(F.col("p_name").alias("v")).distinct().checkpoint()
     a, b = F.col("a"), F.col("b")
+    both = blocked(d.select(F.col("v").alias("a")), d.select(F.col("v").alias("b")), d.count(), "a", "b").where(a < b)
     return both.select("a", "b", F.levenshtein(a, b).cast("long").alias("edits"), F.round(text.jaro(a, b), 9).alias("jaro"), F.round(text.jaro_winkler(a, b), 9).alias("winkler"))
 
 
@@ -220,13 +222,14 @@ def pattern_histogram(spark, sf_dir):
     store = part_store(spark, sf_dir)
     blocking, masks = Blocking(store, store.schema.blocking), bound_columns(store.schema)
     pairs = blocking.pairs(["p_name", "p_type", "p_retailprice", *masks], frame=blocking.frame.withColumns(masks))
-    return pairs.groupBy(agreement(store.schema, True).alias("gamma")).agg(F.count("*").alias("pairs"))
+    pairs, known = graded(store, pairs)
+    return pairs.groupBy(agreement(store.schema, True, known).alias("gamma")).agg(F.count("*").alias("pairs"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS comparison, l{k} AS level, count(*) AS pairs FROM ({_CODED}) GROUP BY 2" for k, n in ((1, "p_name"), (2, "p_type"), (3, "p_retailprice"))))
 def level_marginals(spark, sf_dir):
     store = part_store(spark, sf_dir)
-    return level_shares(Blocking(store, store.schema.blocking).pairs(["p_name", "p_type", "p_retailprice"]), store.schema).select("comparison", "level", "pairs")
+    return level_shares(Blocking(store, store.schema.blocking).pairs(["p_name", "p_type", "p_retailprice"]), store.schema, store).select("comparison", "level", "pairs")
 
 
 @query("SELECT CASE WHEN a.d = b.d THEN 1 WHEN abs(b.d - a.d) <= 30 THEN 2 WHEN abs(b.d - a.d) <= 365 THEN 3 ELSE 4 END AS level, count(*) AS pairs FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate::DATE AS d FROM orders) a JOIN (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate::DATE AS d FROM orders) b ON a.c = b.c AND a.k < b.k GROUP BY 1")
@@ -368,8 +371,6 @@ def predict_part(spark, sf_dir):
 
 @query(f"SELECT ka AS id_a, kb AS id_b, gamma, round(w, 6) AS match_weight FROM ({_SCORED}) WHERE w >= 4")
 def rescore_part(spark, sf_dir):
-    from kithlink.operators.components import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
     store = part_store(spark, sf_dir)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/spill"

@@ -85,6 +85,7 @@ class Store:
     mode: str
     sizes: list[int]
     _dictionaries: dict = field(default_factory=dict)
+    _tables: dict = field(default_factory=dict)
 
     @property
     def spark(self) -> SparkSession:
