@@ -8,10 +8,11 @@ earlier start) is removed; strings are judged on the input.
    other has a home, the smallest doc_id that it occurs in. Hashes serve for this routing only; none decides a match.
 2. A document's windows in a row with one home make a string of its bytes, which goes to the home's shard; so a copy
    travels as one string, and equal windows always meet.
-3. A shard sorts the suffixes of its strings by recursive induced sorting and takes the permuted common prefixes:
-   neighbours with a common prefix of ``length`` bytes are equal windows. The earliest stays.
+3. A shard keeps the first of strings that are equal byte for byte (whole copies), sorts the suffixes of its strings by
+   recursive induced sorting and takes the permuted common prefixes: neighbours with a common prefix of ``length`` bytes are equal
+   windows. The earliest stays.
 4. A home with more than ``HOME`` bytes of strings, as a common passage or thousands of copies have, is dealt over several
-   shards; in these, strings that are equal byte for byte are told first. What is not repeated within its shard is dealt again, over fewer, until a home fits one shard. Where
+   shards. What is not repeated within its shard is dealt again, over fewer, until a home fits one shard. Where
    that no longer halves (one passage in very many surroundings), the windows that are left are grouped by a 128-bit
    digest each. No string is longer than ``PIECE`` windows; a longer one is cut with the overlap that windows need.
 5. Repeated windows are joined to runs per document and cut out.
@@ -66,13 +67,13 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     total = np.zeros(n + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * up[:n], out=total[1:])
     grams = mix((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
-    # least hash over ``span`` grams, the leftmost of equals, by doubling
-    value, place, width = (grams >> U64(32)).astype(np.uint32), np.arange(len(grams), dtype=np.int32), 1
+    # least hash over ``span`` grams, the leftmost of equals, by doubling: hash and place in one number
+    least, width = grams >> U64(32) << U64(32) | np.arange(len(grams), dtype=U64), 1
     while width < span:
         step = min(width, span - width)
-        better = value[step:] < value[:-step]
-        value, place = np.where(better, value[step:], value[:-step]), np.where(better, place[step:], place[:-step])
+        least = np.minimum(least[step:], least[:-step])
         width += step
+    place = least & U64(0xFFFFFFFF)
     row = np.repeat(np.arange(len(sizes)), counts)
     window = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(offsets[:-1], counts)
     anchor = place[window].astype(np.int64)
@@ -195,7 +196,7 @@ def _shard_stage(length: int):
             size["ready"] = 0
 
         def close():
-            if group and group[0][1]:  # a hot home: of equal strings the first is sorted, the others repeat it
+            if len(group) > 1:  # of equal strings the first is sorted, the others repeat it
                 group.sort(key=lambda x: x[2:4])
                 first: dict[bytes, int] = {}
                 for k, x in enumerate(group):
