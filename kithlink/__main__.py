@@ -8,11 +8,13 @@ import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kithlink.linker import Linker, cluster_file, gen_sample, init, merge_predictions
+from kithlink.functions.levels import level_of
+from kithlink.linker import Linker, cluster_file, gen_sample, gen_two, init, merge_predictions
 from kithlink.operators.estimate import EstimateOptions
 from kithlink.operators.explain import code_layout
-from kithlink.operators.predict import _single
+from kithlink.operators.predict import _single, read_edges
 from kithlink.plans.schema import Schema
 
 
@@ -70,16 +72,20 @@ def parser() -> argparse.ArgumentParser:
     command("simplify", model=str, out=str, alpha=float, min_gap=float, pair_cap=int, seed=int)
     p = command("explain", "rows", "fuzzy-tf", "no-interactions", model=str, pairs=str, out=str, tf_damping=float, **cut)
     p.add_argument("--pair", nargs=2)
+    p.add_argument("--row-pairs", dest="row_pairs")
+    p.add_argument("--predictions")
+    p.add_argument("--json", action="store_true")
     command("explain-blocking", "count")
-    command("recall", "why", "count", truth=str)
+    p = command("recall", "why", "count", truth=str)
+    p.add_argument("--show-misses", dest="misses", type=int, default=0)
     command("completeness", "bound-only", "pair-weighting", model=str, sample=float, min_observed=int, seed=int)
     command("estimate", "no-tie-holdout", "interactions", "fuzzy-u", out=str, u_sample=int, session_pairs=int, iterations=int, lambda_=float, seed=int, tied_bits=float, tie_sample_rows=int, max_interactions=int, interaction_bits=float, interaction_clamp=float, min_interaction_sessions=int, ball_budget=float)
-    command("predict", "no-bounds", "no-ceiling", "no-interactions", "fuzzy-tf", model=str, out=str, limit=int, tf_damping=float, ball_budget=float, spill=str, spill_sample=float, **cut)
+    command("predict", "no-bounds", "no-ceiling", "no-interactions", "fuzzy-tf", "plan", "zones", model=str, out=str, limit=int, tf_damping=float, ball_budget=float, spill=str, spill_sample=float, **cut).add_argument("--format", choices=("csv", "parquet"))
     command("cluster", predictions=str, out=str, truth=str, min_size=int, **cut)
     command("merge-predictions", data=False, schema=False, shards=str, out=str, **cut)
     command("rescore", "no-bounds", "no-interactions", "fuzzy-tf", model=str, spill=str, out=str, limit=int, tf_damping=float, **cut)
-    command("gen-sample", data=False, schema=False, out=str, truth=str, rows=int, seed=int, duplicate_rate=float)
-    p = command("search", "fuzzy-tf", "no-interactions", model=str, k=int, clusters=str, expected_matches=float, prior_weight=float, tf_damping=float, **cut)
+    command("gen-sample", data=False, schema=False, out=str, out_b=str, truth=str, rows=int, seed=int, duplicate_rate=float)
+    p = command("search", "json", "explain", "fuzzy-tf", "no-interactions", model=str, k=int, clusters=str, expected_matches=float, prior_weight=float, tf_damping=float, **cut)
     p.add_argument("--field", action="append", default=[], metavar="COLUMN=VALUE")
     return top
 
@@ -100,8 +106,12 @@ def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("kithlink").getOrCreate()
     if a.command == "gen-sample":
-        records, truth = gen_sample(spark, **given(a, "rows", "duplicate_rate", "seed"))
-        write(records, a.out)
+        if a.out_b:
+            first, second, truth = gen_two(spark, **given(a, "rows", "duplicate_rate", "seed"))
+            write(second, a.out_b)
+        else:
+            first, truth = gen_sample(spark, **given(a, "rows", "duplicate_rate", "seed"))
+        write(first, a.out)
         return write(truth, a.truth) if a.truth else None
     if a.command == "merge-predictions":
         return show({"rows": merge_predictions(spark, a.shards, a.out, **given(a, "threshold", "probability"))})
@@ -125,13 +135,16 @@ def main(argv: list[str] | None = None) -> None:
         return show(report)
     if a.command == "explain":
         options = given(a, tf_damping="damping")
-        if a.pairs:
-            return write(linker.waterfalls(a.model, spark.read.option("header", True).csv(a.pairs), **options), a.out)
+        if a.pairs or a.row_pairs or a.predictions:
+            table = read_edges(spark, a.predictions) if a.predictions else spark.read.option("header", True).csv(a.pairs or a.row_pairs)
+            table = table.select(*(F.col(c).cast("long").alias(c) for c in ("row_a", "row_b"))) if a.row_pairs else table
+            found = linker.waterfalls(a.model, table, **options)
+            return show(found) if a.json else write(found, a.out)
         return show({"layout": code_layout(linker.store), "pair": linker.explain(*a.pair, a.model, a.rows, **(options if a.model else {}))})
     if a.command == "explain-blocking":
         return show(linker.explain_blocking(a.count))
     if a.command == "recall":
-        return show(linker.recall(a.truth, why=a.why, count=a.count))
+        return show(linker.recall(a.truth, why=a.why, count=a.count, misses=a.misses))
     if a.command == "completeness":
         return show(linker.completeness(a.model, bound_only=a.bound_only, pair_weighting=a.pair_weighting, **given(a, "sample", "min_observed", "seed")))
     if a.command == "estimate":
@@ -139,15 +152,27 @@ def main(argv: list[str] | None = None) -> None:
         model, report = linker.estimate(a.out, EstimateOptions(tie_holdout=not a.no_tie_holdout, **{n: getattr(a, n) for n in names if getattr(a, n, None) is not None}))
         return show({"model": model.to_dict(), "report": report})
     if a.command == "predict":
-        return write_if(linker.predict(a.model, a.out, **given(a, "threshold", "probability", "limit", "ball_budget", "spill", "spill_sample", tf_damping="damping")), a.out)
+        if a.plan:
+            return show(linker.plan(a.model, **given(a, "threshold", "probability", tf_damping="damping")))
+        if a.zones:
+            return show(linker.zones(a.model, **given(a, "threshold", "probability", "ball_budget", tf_damping="damping")))
+        found = linker.predict(a.model, a.out, **given(a, "threshold", "probability", "limit", "ball_budget", "spill", "spill_sample", tf_damping="damping", format="form"))
+        if linker.last_truncated:
+            print(f"more than {a.limit} predictions; the rest is left out")
+        return write_if(found, a.out)
     if a.command == "rescore":
         return write_if(linker.rescore(a.model, a.spill, a.out, **given(a, "threshold", "probability", "limit", tf_damping="damping")), a.out)
     if a.command == "cluster":
         found = linker.cluster(a.predictions, a.out, a.truth, **given(a, "threshold", "probability", "min_size"))
         show(linker.last_quality)
         return write_if(found.drop("row"), a.out)
-    clusters = spark.read.parquet(a.clusters) if a.clusters else None
-    return linker.search(a.field, a.model, clusters=clusters, **given(a, "k", "threshold", "probability", "expected_matches", "prior_weight", tf_damping="damping")).show(1000, False)
+    clusters = None
+    if a.clusters:
+        clusters = spark.read.option("header", True).csv(a.clusters) if a.clusters.endswith(".csv") else spark.read.parquet(a.clusters)
+    found = linker.search(a.field, a.model, clusters=clusters, **given(a, "k", "threshold", "probability", "expected_matches", "prior_weight", tf_damping="damping"))
+    if a.explain:
+        found = found.select("*", *(level_of(linker.schema, k).alias(f"{c.name}_level") for k, c in enumerate(linker.schema.comparisons)))
+    return show(found) if a.json else found.show(1000, False)
 
 
 def write_if(df: DataFrame, out: str | None) -> None:

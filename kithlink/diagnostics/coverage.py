@@ -62,6 +62,8 @@ class Recall:
     misses: dict[str, int] = field(default_factory=dict)
     window_gains: dict[int, int] = field(default_factory=dict)
     still_agree: dict[str, int] = field(default_factory=dict)
+    cap_gains: dict[str, int] = field(default_factory=dict)
+    listed: DataFrame | None = None
 
     @property
     def completeness(self) -> float:
@@ -84,8 +86,11 @@ def truth_frame(store: Store, blocking: Blocking, truth: DataFrame, extra: list[
     return rows.where("a___ds <> b___ds") if store.cross else rows
 
 
-def recall(store: Store, truth: DataFrame, all_pairs: bool = False, count: bool = False, why: bool = False) -> Recall:
-    """How many known pairs each source produces, produces first, and alone; with ``why``, what stood in the way of the others."""
+def recall(store: Store, truth: DataFrame, all_pairs: bool = False, count: bool = False, why: bool = False, misses: int = 0) -> Recall:
+    """How many known pairs each source produces, produces first, and alone; with ``why``, what stood in the way of the others.
+
+    ``misses`` of the pairs that no source produces are listed, by row, with their ids.
+    """
     blocking = Blocking(store, store.schema.for_purpose("predict", all_pairs).blocking)
     names = list(dict.fromkeys([*compared_columns(store.schema), *(b.source.column for b in blocking.bound if b.source.column)]))
     pairs = truth_frame(store, blocking, truth, names if why else []).checkpoint()
@@ -98,8 +103,24 @@ def recall(store: Store, truth: DataFrame, all_pairs: bool = False, count: bool
     prices = [blocking.counts(k)["pairs"] for k in range(len(tests))]
     per = [{"source": b.name, "pairs": prices[k], "found": r[f"all{k}"], "first": r[f"first{k}"], "only": r[f"only{k}"], "marginal_quality": r[f"first{k}"] / prices[k] if prices[k] else 0.0} for k, b in enumerate(blocking.bound)]
     out = Recall(r.truth, r.found, blocking.pairs([]).count() if count else sum(prices), store.pair_space, per)
+    missed = pairs.where(~any_of(tests))
     if why:
-        _why(store, blocking, pairs.where(~any_of(tests)), out)
+        _why(store, blocking, missed, out)
+    if misses:
+        out.listed = missed.select(F.col("a___row").alias("row_a"), F.col("b___row").alias("row_b"), F.col("a___id").alias("id_a"), F.col("b___id").alias("id_b")).orderBy("row_a", "row_b").limit(misses)
+    return out
+
+
+def _cap_gains(store: Store, blocking: Blocking, missed: DataFrame) -> dict[str, int]:
+    """Of the missed pairs, how many each capped source would produce with a cap of at most ten times its own."""
+    out = {}
+    for b in blocking.bound:
+        s = b.source
+        if s.type != "rare_value" or not s.max_frequency:
+            continue
+        agreed = missed.where(F.col(f"a_{s.column}") == F.col(f"b_{s.column}")).select(F.col(f"a_{s.column}").alias("value"))
+        within = agreed.join(store.dictionary(s.column), "value").where(F.col("tf").between(s.max_frequency + 1, 10 * s.max_frequency))
+        out[b.name] = within.count()
     return out
 
 
@@ -123,6 +144,7 @@ def _why(store: Store, blocking: Blocking, missed: DataFrame, out: Recall) -> No
             gap = F.abs(F.col(f"a_{b.rank}") - F.col(f"b_{b.rank}"))
             for times in (2, 5, 10, 100, 1000):
                 gains.setdefault(times, []).append(F.coalesce(gap <= times * b.source.window, F.lit(False)))
+    out.cap_gains = _cap_gains(store, blocking, missed)
     agree = {c.name: level_holds(store.schema, c, v) for c in store.schema.comparisons for v in c.levels if v.type == "exact"}
     columns = [*reasons, *(F.count_if(reduce(Column.__or__, x)).alias(f"w{t}") for t, x in gains.items()), *(F.count_if(x).alias(f"still {n}") for n, x in agree.items())]
     if not columns:

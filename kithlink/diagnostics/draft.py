@@ -12,39 +12,212 @@ from kithlink.sources.store import column_type
 
 #: The names that mean each role.
 NAMES = {
-    "id": "id unique_id uid record_id rec_id row_id rowid recid index row_number rownum",
-    "first_name": "first_name firstname first_names fname first given_name givenname given_names given forename forenames name_first prenom",
-    "middle_name": "middle_name middlename middle middle_initial mname second_name",
-    "surname": "surname surnames last_name lastname lname last family_name familyname name_last nom",
-    "full_name": "name full_name fullname person_name display_name first_and_surname forename_surname",
-    "gender": "gender sex",
-    "birth_date": "dob date_of_birth birth_date birthdate birthday born",
-    "date": "date",
-    "email": "email e_mail mail email_address emailaddress",
-    "phone": "phone telephone phone_number phonenumber tel mobile mobile_number cell cellphone cell_phone fax",
-    "postcode": "postcode post_code postal_code postalcode zip zipcode zip_code pincode pin_code",
-    "address": "address addr street street_address street_name address_line address_1 address1 address_tokens",
-    "city": "city town suburb locality municipality",
-    "region": "state county province region territory",
-    "country": "country nation country_code",
-    "national_id": "ssn soc_sec_id social_security_number nino ni_number national_id national_insurance_number nhs_number passport passport_number tax_id tin sin driver_licence drivers_license licence_number license_number",
-    "latitude": "lat latitude",
-    "longitude": "lon lng long longitude",
+    "id": [
+        "id",
+        "unique_id",
+        "uid",
+        "record_id",
+        "rec_id",
+        "row_id",
+        "rowid",
+        "recid",
+        "index",
+        "row_number",
+        "rownum",
+    ],
+    "first_name": [
+        "first_name",
+        "firstname",
+        "first_names",
+        "fname",
+        "first",
+        "given_name",
+        "givenname",
+        "given_names",
+        "given",
+        "forename",
+        "forenames",
+        "name_first",
+        "prenom",
+    ],
+    "middle_name": [
+        "middle_name",
+        "middlename",
+        "middle",
+        "middle_initial",
+        "mname",
+        "second_name",
+    ],
+    "surname": [
+        "surname",
+        "surnames",
+        "last_name",
+        "lastname",
+        "lname",
+        "last",
+        "family_name",
+        "familyname",
+        "name_last",
+        "nom",
+    ],
+    "full_name": [
+        "name",
+        "full_name",
+        "fullname",
+        "person_name",
+        "display_name",
+        "first_and_surname",
+        "forename_surname",
+    ],
+    "gender": [
+        "gender",
+        "sex",
+    ],
+    "birth_date": [
+        "dob",
+        "date_of_birth",
+        "birth_date",
+        "birthdate",
+        "birthday",
+        "born",
+    ],
+    "date": [
+        "date",
+    ],
+    "email": [
+        "email",
+        "e_mail",
+        "mail",
+        "email_address",
+        "emailaddress",
+    ],
+    "phone": [
+        "phone",
+        "telephone",
+        "phone_number",
+        "phonenumber",
+        "tel",
+        "mobile",
+        "mobile_number",
+        "cell",
+        "cellphone",
+        "cell_phone",
+        "fax",
+    ],
+    "postcode": [
+        "postcode",
+        "post_code",
+        "postal_code",
+        "postalcode",
+        "zip",
+        "zipcode",
+        "zip_code",
+        "pincode",
+        "pin_code",
+    ],
+    "address": [
+        "address",
+        "addr",
+        "street",
+        "street_address",
+        "street_name",
+        "address_line",
+        "address_1",
+        "address1",
+        "address_tokens",
+    ],
+    "city": [
+        "city",
+        "town",
+        "suburb",
+        "locality",
+        "municipality",
+    ],
+    "region": [
+        "state",
+        "county",
+        "province",
+        "region",
+        "territory",
+    ],
+    "country": [
+        "country",
+        "nation",
+        "country_code",
+    ],
+    "national_id": [
+        "ssn",
+        "soc_sec_id",
+        "social_security_number",
+        "nino",
+        "ni_number",
+        "national_id",
+        "national_insurance_number",
+        "nhs_number",
+        "passport",
+        "passport_number",
+        "tax_id",
+        "tin",
+        "sin",
+        "driver_licence",
+        "drivers_license",
+        "licence_number",
+        "license_number",
+    ],
+    "latitude": [
+        "lat",
+        "latitude",
+    ],
+    "longitude": [
+        "lon",
+        "lng",
+        "long",
+        "longitude",
+    ],
 }
 #: Parts of names, in the order they are tried.
 PARTS = (
-    ("email", "email"), ("e_mail", "email"), ("phone", "phone"), ("telephone", "phone"), ("mobile", "phone"), ("postcode", "postcode"), ("postal", "postcode"), ("zip", "postcode"), ("address", "address"),
-    ("street", "address"), ("birth", "birth_date"), ("dob", "birth_date"), ("gender", "gender"), ("ssn", "national_id"), ("passport", "national_id"), ("nino", "national_id"), ("licen", "national_id"),
-    ("latitude", "latitude"), ("longitude", "longitude"), ("country", "country"), ("city", "city"), ("county", "region"), ("state", "region"), ("province", "region"), ("middle", "middle_name"), ("first", "first_name"),
-    ("given", "first_name"), ("forename", "first_name"), ("surname", "surname"), ("last", "surname"), ("family", "surname"), ("date", "date"), ("name", "full_name"),
-)
+    ("email", "email"),
+    ("e_mail", "email"),
+    ("phone", "phone"),
+    ("telephone", "phone"),
+    ("mobile", "phone"),
+    ("postcode", "postcode"),
+    ("postal", "postcode"),
+    ("zip", "postcode"),
+    ("address", "address"),
+    ("street", "address"),
+    ("birth", "birth_date"),
+    ("dob", "birth_date"),
+    ("gender", "gender"),
+    ("ssn", "national_id"),
+    ("passport", "national_id"),
+    ("nino", "national_id"),
+    ("licen", "national_id"),
+    ("latitude", "latitude"),
+    ("longitude", "longitude"),
+    ("country", "country"),
+    ("city", "city"),
+    ("county", "region"),
+    ("state", "region"),
+    ("province", "region"),
+    ("middle", "middle_name"),
+    ("first", "first_name"),
+    ("given", "first_name"),
+    ("forename", "first_name"),
+    ("surname", "surname"),
+    ("last", "surname"),
+    ("family", "surname"),
+    ("date", "date"),
+    ("name", "full_name"),
+)
 ROLES = {*NAMES, "text", "number", "boolean", "list", "ignore"}
 
 
 def role_of(name: str, kind: str | None) -> str:
     """The role a name and a type suggest."""
     key = re.sub(r"[^a-z0-9]+", "_", re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name).lower()).strip("_")
-    named = next((r for r, words in NAMES.items() if key in words.split()), None) or next((r for part, r in PARTS if part in key), "text")
+    named = next((r for r, words in NAMES.items() if key in words), None) or next((r for part, r in PARTS if part in key), "text")
     if kind is None:
         return "ignore"
     if kind == "boolean":

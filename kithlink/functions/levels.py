@@ -90,12 +90,15 @@ def level_holds(schema: Schema, c: Comparison, v: Level, masked: bool = False) -
         return _false((a == b) | F.when(larger != 0, F.abs(a - b) / larger < t))
     if v.type == "geo_within":
         lat, lon = c.columns[:2]
-        return _false(text.haversine_km(*(F.col(f"{s}_{n}") for s in "ab" for n in (lat, lon))) <= t)
+        # parallels that lie apart by more (and a metre, for rounding) need no arc
+        apart = text.meridian_km(F.col(f"a_{lat}"), F.col(f"b_{lat}")) > t + 0.001
+        return _false(F.when(apart, F.lit(False)).otherwise(text.haversine_km(*(F.col(f"{s}_{n}") for s in "ab" for n in (lat, lon))) <= t))
     if v.type == "list_overlap":
-        return _false(F.size(F.array_intersect(a, b)) >= t)
+        return _false(F.when(F.least(F.size(a), F.size(b)) >= t, F.size(F.array_intersect(a, b)) >= t))
     if v.type == "list_jaccard":
-        union = F.size(F.array_union(a, b))
-        return _false(F.when(union > 0, F.size(F.array_intersect(a, b)) / union >= t))
+        smaller, larger = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+        common = F.transform(F.array(F.size(F.array_intersect(a, b))), lambda n: n / (F.size(a) + F.size(b) - n) >= t)[0]  # lists are sets
+        return _false(F.when((larger > 0) & (smaller >= t * larger - 1e-9), common))
     close = (lambda p, q: F.levenshtein(p, q, int(t)) >= 0) if v.type.endswith("levenshtein") else (lambda p, q: text.jaro_winkler(p, q) >= t)
     if v.type in ("list_levenshtein", "list_jaro_winkler"):
         return _false(F.arrays_overlap(a, b)) | _false(F.exists(a, lambda p: F.exists(b, lambda q: close(p, q))))

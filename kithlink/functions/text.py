@@ -117,6 +117,13 @@ def levenshtein_lower_bound(mask_a: Column, mask_b: Column, la: Column, lb: Colu
     return F.greatest(F.abs(la - lb), only_a, only_b)
 
 
+def jaro_winkler_length_bound(la: Column, lb: Column, prefix: Column | int = 4) -> Column:
+    """No similarity of texts of these lengths is above this: at best all of the shorter one matches, in order."""
+    shorter, longer = F.least(la, lb), F.greatest(la, lb)
+    j = F.when(longer == 0, F.lit(1.0)).when(shorter == 0, F.lit(0.0)).otherwise((shorter / F.greatest(longer, F.lit(1)) + 2) / 3)
+    return F.when(j >= 0.7, j + prefix * F.lit(0.1) * (1 - j)).otherwise(j)
+
+
 def jaro_winkler_upper_bound(mask_a: Column, mask_b: Column, la: Column, lb: Column, prefix: Column | int = 4) -> Column:
     """No similarity is above this: characters of kinds that the other side lacks cannot match. The prefix, if known, makes it tighter."""
     m = F.least(la - F.bit_count(mask_a.bitwiseAND(F.bitwise_not(mask_b))), lb - F.bit_count(mask_b.bitwiseAND(F.bitwise_not(mask_a))))
@@ -124,6 +131,11 @@ def jaro_winkler_upper_bound(mask_a: Column, mask_b: Column, la: Column, lb: Col
     return F.when(j >= 0.7, j + prefix * F.lit(0.1) * (1 - j)).otherwise(j)
 
 
+def meridian_km(lat_a: Column, lat_b: Column) -> Column:
+    """The distance of two parallels; no two points on them are nearer."""
+    return F.radians(F.abs(lat_a - lat_b)) * EARTH_KM
+
+
 def haversine_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:
     half = F.pow(F.sin(F.radians(lat_b - lat_a) / 2), 2) + F.cos(F.radians(lat_a)) * F.cos(F.radians(lat_b)) * F.pow(F.sin(F.radians(lon_b - lon_a) / 2), 2)
     return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(half)))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kithlink.diagnostics import columns, coverage, draft, ladders
 from kithlink.operators import cluster as clustering
@@ -32,7 +31,8 @@ class Linker:
         self.spark, self.all_pairs = spark, all_pairs
         self.store: Store = load(spark, data, schema, mode)
         self.schema = self.store.schema
-        self.last_report = self.last_predictions = self.last_clusters = self.last_quality = None
+        self.last_report = self.last_predictions = self.last_clusters = self.last_quality = self.last_truth = None
+        self.last_truncated = False
 
     @property
     def records(self) -> int:
@@ -50,7 +50,8 @@ class Linker:
     def truth(self, source) -> DataFrame:
         """Known pairs as rows, from a csv or parquet path or a frame with id_a and id_b."""
         table = source if isinstance(source, DataFrame) else self.spark.read.option("header", True).csv(source) if str(source).endswith(".csv") else self.spark.read.parquet(source)
-        return clustering.resolve_ids(self.store, table)[0].select("row_a", "row_b")
+        found, self.last_truth = clustering.resolve_ids(self.store, table)  # what was missing or ambiguous is counted there
+        return found.select("row_a", "row_b")
 
     def estimate(self, out: str | None = None, options: estimation.EstimateOptions | None = None, **settings) -> tuple[Model, estimation.EstimateReport]:
         options = options or estimation.EstimateOptions(**settings)
@@ -59,13 +60,21 @@ class Linker:
             model.save(out)
         return model, self.last_report
 
-    def predict(self, model: Model | str, out: str | None = None, threshold: float | None = None, probability: float | None = None, **options) -> DataFrame:
+    def predict(self, model: Model | str, out: str | None = None, threshold: float | None = None, probability: float | None = None, limit: int = 0, form: str | None = None, **options) -> DataFrame:
+        """Predictions; with a limit, ``last_truncated`` says whether there were more."""
         found = prediction.predict(self.store, _model(model), threshold, probability, all_pairs=self.all_pairs, **options)
+        found, self.last_truncated = prediction.truncated(found, limit) if limit else (found, False)
         if out:
-            prediction.write_edges(found, out)
+            prediction.write_edges(found, out, form)
         self.last_predictions = found
         return found
 
+    def plan(self, model: Model | str, **options) -> prediction.PlanReport:
+        return prediction.plan(self.store, _model(model), all_pairs=self.all_pairs, **options)
+
+    def zones(self, model: Model | str, **options) -> DataFrame:
+        return prediction.zones(self.store, _model(model), all_pairs=self.all_pairs, **options)
+
     def rescore(self, model: Model | str, spill: str, out: str | None = None, **options) -> DataFrame:
         found, self.last_warnings = prediction.rescore(self.store, _model(model), spill, **options)
         if out:
@@ -132,6 +141,7 @@ def cluster_file(spark: SparkSession, schema: Schema, data, predictions: str, **
 
 
 gen_sample = sample.people
+gen_two = sample.two_inputs
 init = draft.draft
 merge_predictions = prediction.merge_predictions
-__all__ = ["F", "Linker", "cluster_file", "gen_sample", "init", "merge_predictions"]
+__all__ = ["Linker", "cluster_file", "gen_sample", "gen_two", "init", "merge_predictions"]

@@ -201,6 +201,15 @@ class Blocking:
             pairs -= self._own_window_pairs(ranked, b, w)
         return {"pairs": pairs, "largest": w + 1 if n else 0}
 
+    def approximate_cross(self, k: int) -> float:
+        """Pairs of one source between inputs, as its pooled pairs times the share of all pairs that lie between inputs; no key is counted by input."""
+        b, n = self.bound[k], self.store.records
+        if not b.key:
+            return float(self.counts(k)["pairs"])
+        per = self.frame.where(F.col(b.key).isNotNull()).groupBy(b.key).agg(F.count("*").alias("n"))
+        pooled = per.agg(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("double"))).first()[0] or 0.0
+        return pooled * self.store.pair_space / max(n * (n - 1) / 2, 1)
+
     def _own_window_pairs(self, ranked: DataFrame, b: Bound, w: int) -> int:
         """Pairs within the window whose records are of one input, by running counts of the inputs over stretches of ranks; no pair is made."""
         stretch = F.floor(F.col(b.rank) / F.lit(max(w, 4096)))

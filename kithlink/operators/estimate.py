@@ -5,6 +5,7 @@ Only histograms (patterns and counts) come to the driver; pairs are joined, code
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass, field, replace
 
@@ -40,6 +41,7 @@ class EstimateOptions:
     interaction_bits: float = 0.25
     interaction_clamp: float = 6.0
     min_interaction_sessions: int = 2
+    pairs_per_parameter: float = 5.0
 
 
 @dataclass
@@ -72,10 +74,23 @@ def hash_share(rate: float, seed: int, *columns: str) -> Column:
 
 def random_pairs(store: Store, count: int, seed: int, columns: list[str]) -> DataFrame:
     """About ``count`` ordered random pairs that the mode admits: two hashed row numbers, two joins."""
-    n = store.records
     draws = store.spark.range(count)
-    a, b = (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(s)), F.lit(n)) for s in (1, 2))
-    draws = draws.select(a.alias("x"), b.alias("y")).where("x <> y")
+    drawn = lambda s, size: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(s)), size)
+    if store.cross:  # two inputs by how many pairs lie between them, then a row of each
+        starts = [sum(store.sizes[:i]) for i in range(len(store.sizes))]
+        between = [(i, j) for i in range(len(starts)) for j in range(i + 1, len(starts)) if store.sizes[i] and store.sizes[j]]
+        if not between:
+            between = [(0, 0)]
+        upto = list(itertools.accumulate(store.sizes[i] * store.sizes[j] for i, j in between))
+        place, first = drawn(3, F.lit(max(upto[-1], 1)).cast("long")), None
+        for (i, j), end in zip(between, upto, strict=True):
+            sides = F.struct(*(F.lit(x).cast("long").alias(n) for n, x in (("i", starts[i]), ("m", max(store.sizes[i], 1)), ("j", starts[j]), ("n", max(store.sizes[j], 1)))))
+            first = F.when(place < end, sides) if first is None else first.when(place < end, sides)
+        draws = draws.withColumn("__s", first)
+        draws = draws.select((F.col("__s.i") + drawn(1, F.col("__s.m"))).alias("x"), (F.col("__s.j") + drawn(2, F.col("__s.n"))).alias("y")).where("x <> y")
+    else:
+        n = F.lit(store.records)
+        draws = draws.select(drawn(1, n).alias("x"), drawn(2, n).alias("y")).where("x <> y")
     draws = draws.select(F.least("x", "y").alias("a___row"), F.greatest("x", "y").alias("b___row"))
     frame = store.frame.withColumns(bound_columns(store.schema)).select("__row", "__ds", *columns, *bound_columns(store.schema))
     left, right = (frame.select(*(F.col(c).alias(f"{s}_{c}") for c in frame.columns)) for s in "ab")
@@ -247,7 +262,11 @@ def estimate(store: Store, options: EstimateOptions | None = None, all_pairs: bo
         merged.append((session, free, result.m, levels, counts, result.lambda_))
         value = result.lambda_ * session.pairs / rate / max(store.pair_space, 1)
         if basis is None or value > basis[0]:
-            basis = (value, f"lower bound: session {column}")
+            basis = (value, f"session {column}" if column == "(all pairs)" else f"lower bound: session {column}")
+    for a, b, reason in report.ties:  # columns that vouch for each other in every session that was merged
+        both = [[k for k, c in enumerate(schema.comparisons) if any(schema.same_source(x, n) for n in c.columns)] for x in (a, b)]
+        if all(both) and merged and all(set(both[0]) & set(free) and set(both[1]) & set(free) for _, free, *_ in merged):
+            report.warnings.append(f"{a!r} and {b!r} are tied ({reason}) and no session holds one of them out")
     fits = []
     for k, c in enumerate(schema.comparisons):
         own = [(m[k], s.matches) for s, free, m, *_ in merged if k in free]
@@ -269,7 +288,8 @@ def estimate(store: Store, options: EstimateOptions | None = None, all_pairs: bo
         lambda_, why = options.lambda_, "given"
     elif basis is not None:
         lambda_, why = basis
-        report.warnings.append(f"lambda is a {why}")
+        if why.startswith("lower bound"):
+            report.warnings.append(f"lambda is a {why}")
     else:
         lambda_, why = 1 / max(store.pair_space, 2), "one match"
     model = Model(min(max(lambda_, FLOOR), 1 - FLOOR), fits, why, store.records)
@@ -299,6 +319,8 @@ def fit_interactions(schema: Schema, merged: list, model: Model, random: tuple[n
             mass = sum(x for _, x in joints)
             if len(joints) < options.min_interaction_sessions or not mass:
                 continue
+            if min(mass, draws) < options.pairs_per_parameter * (shape[0] - 1) * (shape[1] - 1):
+                continue  # too few pairs for the term's free cells
             share = sum(j for j, _ in joints) / mass
             matches = model.lambda_ * draws * share  # what the random pairs hold of matches, cell by cell
             if float((share * matches / np.maximum(drawn, 0.5)).sum()) > 0.5:

@@ -80,3 +80,29 @@ def graded(store: Store, pairs: DataFrame, schema: Schema | None = None) -> tupl
         pairs = pairs.withColumn(out, F.when(a == b, F.lit(first)).otherwise(F.col("__lv"))).drop("__lv")
         names.append(out)
     return pairs, frozenset(names)
+
+
+def graded_against(store: Store, pairs: DataFrame, record: dict) -> tuple[DataFrame, frozenset]:
+    """As ``graded`` for a frame whose side b is one record: each distinct value of a column is compared with the record's once."""
+    schema, names = store.schema, []
+    for c in schema.comparisons:
+        column = fuzzy_column(schema, c)
+        value = record.get(column) if column else None
+        if value is None:
+            continue
+        masks = {n: x for n, x in bound_columns(schema).items() if n.startswith(f"{column}__")}
+        words = store.dictionary(column).select(F.col("value").alias(column), F.lit(value).alias("__asked"))
+        a = words.withColumns(masks).select(*(F.col(n).alias(f"a_{n}") for n in (column, *masks)), F.col("__asked").alias(column))
+        both = a.withColumns(masks).select(*(f"a_{n}" for n in (column, *masks)), *(F.col(n).alias(f"b_{n}") for n in (column, *masks)))
+        level = None
+        for i, v in enumerate(c.levels):
+            if v.type in FUZZY:
+                test = level_holds(schema, c, v, True)
+                level = F.when(test, F.lit(i)) if level is None else level.when(test, F.lit(i))
+        found = both.select(F.col(f"a_{column}").alias("__va"), level.alias("__lv")).where("__lv IS NOT NULL").checkpoint()
+        if found.limit(ROWS + 1).count() > ROWS:
+            continue
+        pairs = pairs.join(F.broadcast(found), F.col(f"a_{column}") == F.col("__va"), "left").drop("__va")  # at most ROWS rows
+        pairs = pairs.withColumnRenamed("__lv", graded_column(schema, c))
+        names.append(graded_column(schema, c))
+    return pairs, frozenset(names)

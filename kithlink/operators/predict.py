@@ -9,7 +9,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +19,7 @@ from kithlink.functions import text
 from kithlink.functions.levels import agreement, best_possible, bound_columns, level_index, level_of, read_column
 from kithlink.operators.blocking import Blocking
 from kithlink.operators.estimate import ball_masses, compared_columns, hash_share
-from kithlink.operators.grades import graded
+from kithlink.operators.grades import graded, value_table
 from kithlink.plans.model import Model
 from kithlink.plans.schema import Schema
 from kithlink.sources.store import Store
@@ -73,6 +73,17 @@ class Scorer:
 
     # -- per code
 
+    def add_unseen(self, k: int, value: str) -> None:
+        """Give a value that no record holds its ball: the records whose value lies on each fuzzy level from it, one at least."""
+        schema, c = self.store.schema, self.store.schema.comparisons[k]
+        if k not in self.balls or not self.store.dictionary(c.columns[0]).where(F.col("value") == value).isEmpty():
+            return
+        name = c.columns[0]
+        words = self.store.dictionary(name).select(F.col("value").alias(f"a_{name}"), F.lit(value).alias(f"b_{name}"), "tf")
+        found = {r.level: r.n for r in words.groupBy(level_index(replace(schema, comparisons=(c,), _by_name={}), c).alias("level")).agg(F.sum("tf").alias("n")).collect()}  # a row a level
+        rows = [(value, i, max(int(found.get(i, 0)), 1)) for i, v in enumerate(c.levels) if v.type in ("levenshtein", "jaro_winkler")]
+        self.balls[k] = self.balls[k].select("value", "level", "records").unionByName(self.store.spark.createDataFrame(rows, "value string, level int, records long"))
+
     def codes(self) -> list[tuple[int, float, float, float]] | None:
         """(code, base weight, least move, greatest move) of every reachable code; None if there are too many."""
         schema = self.store.schema
@@ -159,6 +170,55 @@ def scored_pairs(store: Store, model: Model, threshold: float | None = None, all
     return scorer.weighed(scorer.based(coded, threshold, bounds)), scorer
 
 
+def zones(store: Store, model: Model, threshold: float | None = None, probability: float | None = None, all_pairs: bool = False, damping: float = 1.0, fuzzy_tf: bool = False, interactions: bool = True, ball_budget: float = 4e10) -> DataFrame:
+    """(zone, codes, pairs) of the candidates: by base weight and the range that term frequencies can move it in, a code's pairs are
+    certainly below the threshold (drop), certainly at it or above (certain), or in need of their term frequencies (check).
+
+    Beyond ``TABLE_CODES`` reachable codes every pair is in need of checking.
+    """
+    least = in_bits(threshold, probability)
+    least = 0.0 if least is None else least
+    schema = store.schema.for_purpose("predict", all_pairs)
+    scorer = Scorer(store, model, damping, fuzzy_tf, interactions, ball_budget)
+    blocking, masks = Blocking(store, schema.blocking), bound_columns(schema)
+    pairs, known = graded(store, blocking.pairs([*compared_columns(schema), *masks], frame=blocking.frame.withColumns(masks)), schema)
+    counted = pairs.groupBy(agreement(schema, True, known).alias("gamma")).agg(F.count("*").alias("n"))
+    table = scorer.codes()
+    if table is None:
+        return counted.agg(F.lit("check").alias("zone"), F.count("*").alias("codes"), F.sum("n").alias("pairs"))
+    rows = [(g, "drop" if base + high < least - 1e-9 else "certain" if base + low >= least else "check") for g, base, low, high in table]
+    named = F.broadcast(store.spark.createDataFrame(rows, "gamma long, zone string"))  # a row a code, at most TABLE_CODES
+    return counted.join(named, "gamma").groupBy("zone").agg(F.count("*").alias("codes"), F.sum("n").alias("pairs"))
+
+
+@dataclass
+class PlanReport:
+    """What a prediction will do, from key counts and the model alone: no pair is made."""
+
+    records: int
+    mode: str
+    pair_space: int
+    threshold: float
+    sources: list[tuple[str, int, int]]
+    codes: int | None
+    reachable: int | None
+    term_frequencies: list[str]
+    value_tables: list[str]
+
+
+def plan(store: Store, model: Model, threshold: float | None = None, probability: float | None = None, all_pairs: bool = False, damping: float = 1.0, fuzzy_tf: bool = False, interactions: bool = True) -> PlanReport:
+    """Sources with their pairs and largest groups, codes and those that can reach the threshold, columns with term frequencies, and columns whose fuzzy levels come from a table."""
+    least = in_bits(threshold, probability)
+    least = 0.0 if least is None else least
+    schema = store.schema.for_purpose("predict", all_pairs)
+    scorer, blocking = Scorer(store, model, damping, fuzzy_tf, interactions), Blocking(store, schema.blocking)
+    prices = [(b.name, c["pairs"], c["largest"]) for b, c in ((b, blocking.counts(k)) for k, b in enumerate(blocking.bound))]
+    table = scorer.codes()
+    tables = [c.columns[0] for c in schema.comparisons if value_table(store, c) is not None]
+    reach = None if table is None else sum(base + high >= least - 1e-9 for _, base, _, high in table)
+    return PlanReport(store.records, store.mode, store.pair_space, least, prices, None if table is None else len(table), reach, [a.column for a in scorer.adjustments], tables)
+
+
 def edges(store: Store, scored: DataFrame) -> DataFrame:
     """The prediction table's columns; data set names beside ids over several inputs."""
     ids = [F.col("a___id").alias("id_a"), F.col("b___id").alias("id_b")]
@@ -211,13 +271,19 @@ def rescore(store: Store, model: Model, spill: str, threshold: float | None = No
     return (out.limit(limit) if limit else out), warnings
 
 
-def write_edges(df: DataFrame, out: str) -> None:
-    """A directory of parquet, or one file where the name ends in .csv, .parquet or .pq."""
+def write_edges(df: DataFrame, out: str, form: str | None = None) -> None:
+    """A directory of parquet (or of ``form``), or one file where the name ends in .csv, .parquet or .pq; a file's name says its form, so stating one beside it is refused."""
+    if form and out.endswith((".csv", ".parquet", ".pq")):
+        raise ValueError(f"{out!r} is a file, whose name states its form; a form may be stated for a directory only")
+    if form not in (None, "csv", "parquet"):
+        raise ValueError(f"a form is csv or parquet, not {form!r}")
     wanted = df.drop("row_a", "row_b")
     if out.endswith(".csv"):
         _single(wanted.withColumns({"match_weight": F.format_string("%.6f", "match_weight"), "match_probability": F.format_string("%.9f", "match_probability")}), out, "csv")
     elif out.endswith((".parquet", ".pq")):
         _single(wanted, out, "parquet")
+    elif form == "csv":
+        wanted.write.mode("overwrite").option("header", True).csv(out)
     else:
         wanted.write.mode("overwrite").parquet(out)
 
@@ -236,6 +302,12 @@ def _single(df: DataFrame, out: str, form: str) -> None:
     fs.delete(path(folder), True)
 
 
+def truncated(found: DataFrame, limit: int) -> tuple[DataFrame, bool]:
+    """At most ``limit`` predictions, in no order, and whether there were more."""
+    held = found.limit(limit + 1).checkpoint()
+    return held.limit(limit), held.count() > limit
+
+
 def merge_predictions(spark, shards: str, out: str, threshold: float | None = None, probability: float | None = None) -> int:
     """A directory of predictions as one file; rows written."""
     df = read_edges(spark, shards)

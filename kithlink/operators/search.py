@@ -1,14 +1,15 @@
 """Top-k search: one described record, or a frame of them (``search_many``), against all stored ones.
 
 The query is a one-row frame of side b; the stored rows are side a, so term frequencies are those of the stored value.
-No blocking and no join of rows: the query's values are broadcast (a single row), a bound drops rows that cannot enter, and the best k come from
-a bounded heap per task.
+No blocking and no join of rows: the query's values are broadcast (a single row), each distinct value of a column is compared with the
+query's once, a bound drops rows that cannot enter, and the best k come from a bounded heap per task.
 """
 
 from __future__ import annotations
 
 import datetime
 import math
+import re
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 from kithlink.functions import text
 from kithlink.functions.levels import agreement, bound_columns
 from kithlink.operators.estimate import compared_columns
-from kithlink.operators.grades import blocked, graded
+from kithlink.operators.grades import blocked, graded, graded_against
 from kithlink.operators.predict import Scorer, in_bits
 from kithlink.plans.model import Model
 from kithlink.sources.store import Store
@@ -49,13 +50,15 @@ def query_record(store: Store, fields) -> dict:
         if value is None:
             continue
         if kind == "date":
+            if not isinstance(value, datetime.date) and not re.fullmatch(r"\d{4}-\d{2}-\d{2}", str(value)):
+                raise ValueError(f"{name!r} is a date such as 2020-12-31, not {value!r}")
             out[name] = value if isinstance(value, datetime.date) else datetime.date.fromisoformat(value)
         elif kind == "double":
             x = float(value)
             if not math.isnan(x):
                 out[name] = x
         elif kind == "boolean":
-            known = {"true": True, "1": True, "false": False, "0": False}
+            known = dict.fromkeys(("true", "t", "yes", "y", "1"), True) | dict.fromkeys(("false", "f", "no", "n", "0"), False)
             if not isinstance(value, bool) and str(value).lower() not in known:
                 raise ValueError(f"{name!r} is true or false, not {value!r}")
             out[name] = value if isinstance(value, bool) else known[str(value).lower()]
@@ -148,12 +151,17 @@ def search(store: Store, fields, model: Model, k: int = 10, threshold: float | N
     masks = bound_columns(store.schema)
     least = in_bits(threshold, probability)
     one = query_frame(store, record)
+    told = one.first()  # one row
+    for place in list(scorer.balls):
+        value = told[store.schema.comparisons[place].columns[0]]
+        if value is not None:
+            scorer.add_unseen(place, value)
     one = one.withColumns(masks).select(F.lit(0).alias("b___ds"), *(F.col(c).alias(f"b_{c}") for c in [*columns, *masks]))
     rows = store.frame.withColumns(masks).select(*(F.col(c).alias(f"a_{c}") for c in ["__row", "__ds", "__id", *columns, *masks]))
-    met = rows.join(F.broadcast(one))  # one row
+    met, known = graded_against(store, rows.join(F.broadcast(one)), told.asDict())  # one row
     if least is not None:
-        met = met.where(scorer.ceiling() >= least - 1e-9)
-    scored = scorer.weighed(scorer.based(met.withColumn("gamma", agreement(store.schema, bool(masks))), least, True))
+        met = met.where(scorer.ceiling(known) >= least - 1e-9)
+    scored = scorer.weighed(scorer.based(met.withColumn("gamma", agreement(store.schema, bool(masks), known)), least, True))
     if least is not None:
         scored = scored.where(F.col("match_weight") >= least)
     best = scored.orderBy(F.desc("match_weight"), "a___row").limit(k)

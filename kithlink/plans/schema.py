@@ -117,7 +117,7 @@ class Schema:
         if not self._by_name:
             self._by_name.update({c.name: c for c in self.columns})
         if name not in self._by_name:
-            raise SchemaError(f"column {name!r} is not declared")
+            raise SchemaError(f"there is no column {name!r} in the schema")
         return self._by_name[name]
 
     # -- layout of the agreement code
@@ -168,7 +168,7 @@ class Schema:
         columns = []
         for c in root["columns"]:
             if "derive" in c and "derived_from" in c:
-                raise SchemaError(f"column {c['name']!r} has both derive and derived_from")
+                raise SchemaError(f"column {c['name']!r} states its origin twice: by derive and by derived_from")
             d = c.get("derive")
             columns.append(Column(c["name"], c.get("type"), d["from"] if d else None, _texts(d["transform"]) if d else (), _texts(c.get("derived_from"))))
         comparisons = []
@@ -182,11 +182,11 @@ class Schema:
         for s in root.get("blocking", []):
             kind = s.get("type")
             if kind not in SOURCES:
-                raise SchemaError(f"unknown blocking type {kind!r}; it must be one of {', '.join(SOURCES)}")
+                raise SchemaError(f"{kind!r} is no way of blocking; there are {', '.join(SOURCES)}")
             if kind == "all_pairs" and "column" in s:
-                raise SchemaError("all_pairs takes no column")
+                raise SchemaError("all_pairs reads no column, so it names none")
             if kind != "all_pairs" and "column" not in s:
-                raise SchemaError(f"blocking source {kind} needs a column")
+                raise SchemaError(f"{kind} blocks on a column, and none is named")
             options = {k: max(0, int(s[k])) for k in ("max_frequency", "window", "bands", "rows_per_band", "ngram", "seed") if k in s}
             name = s.get("name") or ("all pairs" if kind == "all_pairs" else f"{s['column']} {kind}")
             sources.append(Source(kind, s.get("column"), name, use=s.get("use", "both"), **options))
@@ -257,7 +257,7 @@ class Schema:
                 return None
             wants, gives = TRANSFORMS[t]
             if wants != current:
-                raise SchemaError(f"column {c.name!r} applies {t} to a {current} value, which it cannot read")
+                raise SchemaError(f"{t} reads {wants}, but in column {c.name!r} it would meet {current}")
             current = gives
         return current
 
@@ -268,75 +268,75 @@ class Schema:
     def check(self) -> None:
         names = [c.name for c in self.columns]
         if len(set(names)) != len(names):
-            raise SchemaError("a column is declared twice")
+            raise SchemaError("two columns have one name")
         if self.unique_id in names:
-            raise SchemaError("the unique_id may not be a column as well")
+            raise SchemaError("the unique_id names records and is not compared, so it is no column")
         for c in self.columns:
             if c.type is not None and c.type not in TYPES:
-                raise SchemaError(f"column {c.name!r} has the unknown type {c.type!r}")
+                raise SchemaError(f"{c.type!r}, stated for column {c.name!r}, is no type")
             if c.source:
                 if c.source == c.name:
-                    raise SchemaError(f"column {c.name!r} derives from itself")
+                    raise SchemaError(f"column {c.name!r} is its own origin")
                 if self.column(c.source).source:
-                    raise SchemaError(f"column {c.name!r} derives from {c.source!r}, which is itself derived; chain the transforms instead")
+                    raise SchemaError(f"column {c.name!r} must start from data, and {c.source!r} is made from another column; give it that one and list all transforms")
                 if not c.transforms or any(t not in TRANSFORMS for t in c.transforms):
-                    raise SchemaError(f"column {c.name!r} has an unknown transform")
+                    raise SchemaError(f"column {c.name!r} names a transform that does not exist, or none")
                 self.derived_type(c)
         for c in self.comparisons:
             self._check_comparison(c)
         if self.total_bits > CODE_BITS:
-            raise SchemaError(f"the comparisons need {self.total_bits} bits; there are {CODE_BITS}")
+            raise SchemaError(f"a code has {CODE_BITS} bits, too few for the {self.total_bits} of these comparisons")
         for s in self.blocking:
             self._check_source(s)
 
     def _check_comparison(self, c: Comparison) -> None:
         kinds = [v.type for v in c.levels]
         if not kinds or kinds[-1] != "else" or kinds.count("else") != 1:
-            raise SchemaError(f"comparison {c.name!r} must end with its only else level")
+            raise SchemaError(f"the last level of {c.name!r}, and no other, has to be else")
         for v in c.levels:
             if v.type not in LEVELS:
-                raise SchemaError(f"comparison {c.name!r} has the unknown level {v.type!r}")
+                raise SchemaError(f"{v.type!r} in {c.name!r} is no level")
             if LEVELS[v.type][2] and v.threshold is None:
-                raise SchemaError(f"comparison {c.name!r} level {v.type} needs a threshold")
+                raise SchemaError(f"{v.type} in {c.name!r} lacks its threshold")
             if v.type == "percentage_within" and not 0 < v.threshold <= 1:
-                raise SchemaError("percentage_within needs a threshold in (0, 1]")
+                raise SchemaError("the threshold of percentage_within is a share: above 0, at most 1")
             if v.direction not in ("either", "forward") or v.direction == "forward" and v.type != "date_within":
-                raise SchemaError("direction is either or forward, and for date_within only")
+                raise SchemaError("only date_within has a direction: either, or forward")
             if v.column is not None and v.column not in c.columns:
-                raise SchemaError(f"comparison {c.name!r} level {v.type} names {v.column!r}, which the comparison does not")
+                raise SchemaError(f"{v.type} in {c.name!r} reads {v.column!r}, which is not among the comparison's columns")
         types = [self.type_of(n) for n in c.columns]
         if None in types:
             return
         mixed = self.scalar_and_list(c)
         if not mixed and len(set(types)) > 1:
-            raise SchemaError(f"comparison {c.name!r} mixes column types")
+            raise SchemaError(f"the columns of {c.name!r} are of several types")
         several = len(types) > 1 and set(types) == {"string"}
         for v in c.levels:
             accepts, needs, _ = LEVELS[v.type]
             fits = mixed if v.type in ("list_contains", "contains_levenshtein", "contains_jaro_winkler") else (needs <= 1 and any(t in accepts for t in types)) if mixed else all(t in accepts for t in types)
             if not fits:
-                raise SchemaError(f"comparison {c.name!r} applies {v.type} to {', '.join(types)}, which it cannot read")
+                raise SchemaError(f"{v.type} in {c.name!r} has no reading of {', '.join(types)}")
             if needs and needs != len(types) and not (needs == 1 and (mixed or several)):
-                raise SchemaError(f"comparison {c.name!r} level {v.type} reads {needs} column(s) and the comparison names {len(types)}")
+                raise SchemaError(f"{v.type} in {c.name!r} takes {needs} of columns, not {len(types)}")
             if v.column is not None and not (several and needs == 1):
-                raise SchemaError("only a one-column level over several string columns may name a column")
+                raise SchemaError("a level names a column only to pick one of several strings")
 
     def scalar_and_list(self, c: Comparison) -> bool:
         return [self.type_of(n) for n in c.columns] == ["string", "string_list"]
 
     def _check_source(self, s: Source) -> None:
         if s.use not in ("both", "estimate", "predict"):
-            raise SchemaError(f"source {s.name!r} has use {s.use!r}; it must be both, estimate or predict")
+            raise SchemaError(f"{s.name!r} is for {s.use!r}; a source is for estimate, predict or both")
         if s.type == "all_pairs":
             return
         kind = self.type_of(s.column)
         if s.type == "minhash" and not (s.bands and s.rows_per_band and s.ngram):
-            raise SchemaError(f"source {s.name!r} needs bands, rows_per_band and ngram above zero")
+            raise SchemaError(f"bands, rows_per_band and ngram of {s.name!r} start at one")
         if s.type == "sorted_neighbourhood" and not s.window:
-            raise SchemaError(f"source {s.name!r} needs a window above zero")
+            raise SchemaError(f"the window of {s.name!r} starts at one")
         if kind is None:
             return
         if kind in ("double", "string_list"):
-            raise SchemaError(f"source {s.name!r} is on a {kind} column; blocking needs one discrete value")
+            raise SchemaError(f"{s.name!r} cannot block on {kind}: a key is one value that can be equal")
         if s.type == "minhash" and kind != "string" or s.type == "sorted_neighbourhood" and kind == "boolean":
-            raise SchemaError(f"source {s.name!r} cannot be on a {kind} column")
+            raise SchemaError(f"{s.type} has no use for {kind}, so {s.name!r} cannot block on it")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from kithlink.operators.blocking import Blocking
 from kithlink.operators.components import connected_components, ensure_checkpoint_dir
 from kithlink.operators.estimate import EstimateOptions, ball_masses, estimate, exact_u, level_shares
 from kithlink.operators.grades import blocked, graded
-from kithlink.operators.predict import predict, rescore
+from kithlink.operators.predict import merge_predictions, predict, read_edges, rescore, write_edges, zones
 from kithlink.plans.model import Model
 from kithlink.plans.schema import Schema
 from kithlink.sources.sample import people
@@ -129,11 +131,30 @@ def transforms_email(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), text.email_username(e).alias("username"), text.email_domain(e).alias("domain"))
 
 
-@query()
+@query("""WITH l AS (SELECT p_partkey AS id, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS s FROM part),
+c AS (SELECT id, s, translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202') AS d FROM l), e AS (SELECT id, s, substr(d, 1, 1) || replace(substr(d, 2), '7', '') AS d FROM c),
+f AS (SELECT id, s, coalesce(list_aggregate(list_transform(range(2, length(d) + 1), lambda i: CASE WHEN substr(d, i::INT, 1) <> substr(d, i::INT - 1, 1) THEN substr(d, i::INT, 1) ELSE '' END), 'string_agg', ''), '') AS d FROM e)
+SELECT id, CASE WHEN s <> '' THEN substr(s, 1, 1) || rpad(substr(replace(d, '0', ''), 1, 3), 3, '0') END AS key FROM f""")
 def transforms_soundex(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.soundex(F.col("p_name")).alias("key"))
 
 
+@query("SELECT p_partkey AS id, list_aggregate(list_sort(string_split(" + _NORM.format(x="p_name || ' ' || p_type") + ", ' ')), 'string_agg', ' ') AS sorted FROM part")
+def transforms_chain(spark, sf_dir):
+    """A derived column by two transforms, through the schema."""
+    schema = {"unique_id": "p_partkey", "columns": [{"name": "both"}, {"name": "key", "derive": {"from": "both", "transform": ["normalize", "sorted_tokens"]}}]}
+    store = load(spark, table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("both")), Schema.parse(schema))
+    return store.frame.select(F.col("__id").cast("long").alias("id"), F.col("key").alias("sorted"))
+
+
+@query("SELECT 'p_retailprice' AS \"column\", 'double' AS type UNION ALL SELECT 'when', 'date' UNION ALL SELECT 'large', 'boolean' UNION ALL SELECT 'words', 'string_list' UNION ALL SELECT 'p_size', 'string' UNION ALL SELECT 'p_name', 'string'")
+def types_read(spark, sf_dir):
+    """The types a schema takes from the data."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice", F.split("p_name", " ").alias("words"), (F.col("p_size") > 25).alias("large"), F.date_from_unix_date("p_size").alias("when"))
+    store = load(spark, parts, Schema.parse({"unique_id": "p_partkey", "columns": [{"name": n} for n in parts.columns if n != "p_partkey"]}))
+    return spark.createDataFrame([(c.name, store.schema.type_of(c.name)) for c in store.schema.columns], "column string, type string")
+
+
 # -- blocking
 
 
@@ -205,9 +226,99 @@ def price_blocking_link(spark, sf_dir):
     return spark.createDataFrame([(s.source, s.pairs, s.largest_group) for s in report.sources], "source string, pairs long, largest long")
 
 
+@query("SELECT (SELECT count(*) FROM part) * ((SELECT count(*) FROM part) - 1) // 2 AS pair_space, count(*) AS pairs FROM part a JOIN part b ON (a.p_name = b.p_name OR a.p_size = b.p_size) AND a.p_partkey < b.p_partkey")
+def union_count(spark, sf_dir):
+    """How many pairs the sources make together."""
+    store = part_store(spark, sf_dir, blocking=[{"type": "exact_value", "column": "p_name"}, {"type": "exact_value", "column": "p_size"}])
+    report = coverage.explain_blocking(store, count=True)
+    return spark.createDataFrame([(report.pair_space, report.union)], "pair_space long, pairs long")
+
+
+@query("""WITH c AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1), b AS (SELECT coalesce(c.n, 0) + coalesce(s.n, 0) AS n FROM c FULL JOIN s USING (k)),
+t AS (SELECT (SELECT count(*) FROM customer)::DOUBLE AS x, (SELECT count(*) FROM supplier)::DOUBLE AS y) SELECT round((SELECT sum(n * (n - 1) / 2) FROM b) * x * y / ((x + y) * (x + y - 1) / 2), 6) AS pairs FROM t""")
+def approximate_cross(spark, sf_dir):
+    """A source's pairs between two inputs, from its pooled count alone."""
+    store = link_store(spark, sf_dir)
+    return spark.createDataFrame([(round(Blocking(store, store.schema.blocking).approximate_cross(0), 6),)], "pairs double")
+
+
+@query("""WITH r AS (SELECT k, d, row_number() OVER (ORDER BY v, d, k) AS n FROM (SELECT c_custkey AS k, 0 AS d, c_acctbal::INT::VARCHAR AS v FROM customer UNION ALL SELECT s_suppkey, 1, s_acctbal::INT::VARCHAR FROM supplier))
+SELECT count(*) AS pairs, 8 AS largest FROM r a JOIN r b ON b.n - a.n BETWEEN 1 AND 7 AND a.d <> b.d""")
+def price_window_link(spark, sf_dir):
+    """Pairs of a sorted neighbourhood between two inputs, counted without making them."""
+    frames = {n: table(spark, sf_dir, n).select(F.col(f"{c}_{k}").alias("id"), F.round(f"{c}_acctbal").cast("int").cast("string").alias("v")) for n, c, k in (("customer", "c", "custkey"), ("supplier", "s", "suppkey"))}
+    store = load(spark, frames, Schema.parse({"unique_id": "id", "columns": [{"name": "v"}], "blocking": [{"type": "sorted_neighbourhood", "column": "v", "window": 7}]}))
+    found = Blocking(store, store.schema.blocking).counts(0)
+    return spark.createDataFrame([(found["pairs"], found["largest"])], "pairs long, largest int")
+
+
 # -- levels
 
 
+HOLES = {
+    "unique_id": "p_partkey", "columns": [{"name": n} for n in ("p_name", "p_type", "price", "words", "large", "p_brand")], "blocking": [{"type": "exact_value", "column": "p_brand"}],
+    "comparisons": [
+        {"columns": ["p_type"], "levels": [{"type": "null"}, {"type": "exact"}, {"type": "levenshtein", "threshold": 5}, {"type": "jaro_winkler", "threshold": 0.7}, {"type": "else"}]},
+        {"columns": ["price"], "levels": [{"type": "null"}, {"type": "numeric_within", "threshold": 100}, {"type": "else"}]},
+        {"columns": ["words"], "levels": [{"type": "null"}, {"type": "exact"}, {"type": "list_overlap", "threshold": 1}, {"type": "else"}]},
+        {"columns": ["large"], "levels": [{"type": "null"}, {"type": "exact"}, {"type": "else"}]},
+    ],
+}
+_HOLES = """SELECT p_partkey AS k, p_brand, nullif(p_type, (SELECT min(p_type) FROM part)) AS t, CASE WHEN p_size > 10 THEN p_retailprice END AS x, CASE WHEN p_size > 5 THEN list_distinct(string_split(p_name, ' ')) END AS l, CASE WHEN p_size <> 7 THEN p_size > 25 END AS b FROM part"""
+_HOLES_CODED = f"""SELECT CASE WHEN a.t IS NULL OR b.t IS NULL THEN 0 WHEN a.t = b.t THEN 1 WHEN levenshtein(a.t, b.t) <= 5 THEN 2 WHEN jaro_winkler_similarity(a.t, b.t) >= 0.7 THEN 3 ELSE 4 END AS l1,
+ CASE WHEN a.x IS NULL OR b.x IS NULL THEN 0 WHEN abs(a.x - b.x) <= 100 THEN 1 ELSE 2 END AS l2,
+ CASE WHEN a.l IS NULL OR b.l IS NULL THEN 0 WHEN len(list_intersect(a.l, b.l)) = len(a.l) AND len(a.l) = len(b.l) THEN 1 WHEN len(list_intersect(a.l, b.l)) >= 1 THEN 2 ELSE 3 END AS l3,
+ CASE WHEN a.b IS NULL OR b.b IS NULL THEN 0 WHEN a.b = b.b THEN 1 ELSE 2 END AS l4 FROM ({_HOLES}) a JOIN ({_HOLES}) b ON a.p_brand = b.p_brand AND a.k < b.k"""
+
+
+def holes_store(spark: SparkSession, sf_dir: str) -> Store:
+    """Parts with nulls, NaN and empty lists in every compared column."""
+    parts = table(spark, sf_dir, "part")
+    least = parts.agg(F.min("p_type")).first()[0]
+    size = F.col("p_size")
+    words = F.when(size > 5, F.split("p_name", " ")).otherwise(F.expr("cast(array() as array<string>)"))
+    made = parts.select("p_partkey", "p_name", "p_brand", F.nullif("p_type", F.lit(least)).alias("p_type"), F.when(size > 10, F.col("p_retailprice")).otherwise(float("nan")).alias("price"), words.alias("words"), F.when(size != 7, size > 25).alias("large"))
+    return load(spark, made, Schema.parse(HOLES))
+
+
+@query(f"SELECT (l1 + (l2 << 3) + (l3 << 5) + (l4 << 7))::BIGINT AS gamma, count(*) AS pairs FROM ({_HOLES_CODED}) GROUP BY 1")
+def levels_with_holes(spark, sf_dir):
+    """Patterns where every compared column has nulls, and a boolean one."""
+    store = holes_store(spark, sf_dir)
+    pairs, known = graded(store, Blocking(store, store.schema.blocking).pairs(["p_type", "price", "words", "large"]))
+    return pairs.groupBy(agreement(store.schema, False, known).alias("gamma")).agg(F.count("*").alias("pairs"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS \"column\", count(*) - count({x}) AS null_values, count(DISTINCT {x}) AS distinct_values FROM ({_HOLES})" for n, x in (("p_type", "t"), ("price", "x"), ("large", "b"))))
+def inspect_with_holes(spark, sf_dir):
+    return columns.inspect(holes_store(spark, sf_dir)).where(F.col("column").isin("p_type", "price", "large")).select("column", "null_values", "distinct_values")
+
+
+@query(f"""WITH d AS (SELECT * FROM ({_HOLES})), n AS (SELECT count(*)::DOUBLE AS n FROM d), p AS (SELECT 'p_type' AS c, count(t)::DOUBLE AS p FROM d UNION ALL SELECT 'price', count(x) FROM d UNION ALL SELECT 'words', count(l) FROM d UNION ALL SELECT 'large', count(b) FROM d),
+e AS (SELECT 'p_type' AS c, sum(k * (k - 1)) AS s FROM (SELECT count(*)::DOUBLE AS k FROM d WHERE t IS NOT NULL GROUP BY t) UNION ALL SELECT 'large', sum(k * (k - 1)) FROM (SELECT count(*)::DOUBLE AS k FROM d WHERE b IS NOT NULL GROUP BY b))
+SELECT c AS comparison, 0 AS level, round(1 - p * (p - 1) / (n * (n - 1)), 12) AS u FROM p, n UNION ALL SELECT c, 1, round(s / (n * (n - 1)), 12) FROM e, n""")
+def exact_u_with_holes(spark, sf_dir):
+    """Closed-form u of null and exact levels where there are nulls."""
+    store = holes_store(spark, sf_dir)
+    names = [c.name for c in store.schema.comparisons]
+    return spark.createDataFrame([(names[k], i, u) for (k, i), u in exact_u(store).items()], "comparison string, level int, u double").withColumn("u", F.round("u", 12))
+
+
+@query("""WITH d AS (SELECT DISTINCT p_name AS v FROM part) SELECT count(*) AS pairs, count(*) AS edits_bounded, count(*) AS similarity_bounded, count(*) AS length_bounded FROM d a JOIN d b ON a.v < b.v""")
+def bounds_hold(spark, sf_dir):
+    """For how many value pairs each cheap bound is on its side of the exact value: all."""
+    ensure_checkpoint_dir(spark)
+    d = table(spark, sf_dir, "part").select(F.col("p_name").alias("v")).distinct().checkpoint()
+    side = lambda s: d.select(F.col("v").alias(s), text.char_mask(F.col("v")).alias(f"{s}m"), F.length("v").alias(f"{s}n"))
+    a, b, masks = F.col("a"), F.col("b"), [F.col(x) for x in ("am", "bm", "an", "bn")]
+    met = blocked(side("a"), side("b"), d.count(), "a", "b").where(a < b).withColumn("j", text.jaro_winkler(a, b))
+    return met.agg(
+        F.count("*").alias("pairs"), F.count_if(text.levenshtein_lower_bound(*masks) <= F.levenshtein(a, b)).alias("edits_bounded"),
+        F.count_if(text.jaro_winkler_upper_bound(*masks, text.common_prefix(a, b)) >= F.col("j") - 1e-9).alias("similarity_bounded"), F.count_if(text.jaro_winkler_length_bound(F.col("an"), F.col("bn")) >= F.col("j") - 1e-9).alias("length_bounded"),
+    )
+
+
+
 @query("""WITH d AS (SELECT DISTINCT p_name AS v FROM part) SELECT a.v AS a, b.v AS b, levenshtein(a.v, b.v) AS edits, round(jaro_similarity(a.v, b.v), 9) AS jaro, round(jaro_winkler_similarity(a.v, b.v), 9) AS winkler FROM d a JOIN d b ON a.v < b.v""")
 def text_distances(spark, sf_dir):
     ensure_checkpoint_dir(spark)
@@ -243,14 +354,14 @@ def levels_date(spark, sf_dir):
     return pairs.groupBy(level_index(store.schema, store.schema.comparisons[0]).alias("level")).agg(F.count("*").alias("pairs"))
 
 
-@query("SELECT CASE WHEN datediff('day', a.o_orderdate::DATE, b.o_orderdate::DATE) BETWEEN 0 AND 90 THEN 1 WHEN abs(datediff('day', a.o_orderdate::DATE, b.o_orderdate::DATE)) <= 90 THEN 2 ELSE 3 END AS level, count(*) AS pairs FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = 'O' GROUP BY 1")
+@query("SELECT CASE WHEN datediff('day', a.o_orderdate::DATE, b.o_orderdate::DATE) BETWEEN 0 AND 90 THEN 1 WHEN abs(datediff('day', a.o_orderdate::DATE, b.o_orderdate::DATE)) <= 90 THEN 2 ELSE 3 END AS level, count(*) AS pairs FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderstatus = 'F' AND b.o_orderstatus <> 'F' GROUP BY 1")
 def levels_date_forward(spark, sf_dir):
     schema = {
         "unique_id": "o_orderkey", "columns": [{"name": "o_orderdate"}, {"name": "o_custkey"}], "blocking": [{"type": "exact_value", "column": "o_custkey"}],
         "comparisons": [{"columns": ["o_orderdate"], "levels": [{"type": "null"}, {"type": "date_within", "threshold": 90, "direction": "forward"}, {"type": "date_within", "threshold": 90}, {"type": "else"}]}],
     }
     orders = table(spark, sf_dir, "orders")
-    store = load(spark, {"filled": orders.where("o_orderstatus = 'F'"), "open": orders.where("o_orderstatus = 'O'")}, Schema.parse(schema))
+    store = load(spark, {"filled": orders.where("o_orderstatus = 'F'"), "open": orders.where("o_orderstatus <> 'F'")}, Schema.parse(schema))
     pairs = Blocking(store, store.schema.blocking).pairs(["o_orderdate"])
     return pairs.groupBy(level_index(store.schema, store.schema.comparisons[0]).alias("level")).agg(F.count("*").alias("pairs"))
 
@@ -346,7 +457,7 @@ def fuzzy_neighbourhoods(spark, sf_dir):
 @query()
 def estimate_model(spark, sf_dir):
     blocking = [{"type": "exact_value", "column": "p_brand"}, {"type": "exact_value", "column": "p_size"}]
-    model, _ = estimate(part_store(spark, sf_dir, blocking=blocking), EstimateOptions(u_sample=100_000))
+    model, _ = estimate(part_store(spark, sf_dir, blocking=blocking), EstimateOptions())
     rows = [(c.name, v.label, v.m, v.u, v.weight) for c in model.comparisons for v in c.levels]
     return spark.createDataFrame(rows, "comparison string, level string, m double, u double, weight double")
 
@@ -354,7 +465,7 @@ def estimate_model(spark, sf_dir):
 @query()
 def estimate_interactions(spark, sf_dir):
     blocking = [{"type": "exact_value", "column": "p_brand"}, {"type": "exact_value", "column": "p_size"}]
-    model, report = estimate(part_store(spark, sf_dir, blocking=blocking), EstimateOptions(u_sample=100_000, interactions=True, interaction_bits=0.0))
+    model, report = estimate(part_store(spark, sf_dir, blocking=blocking), EstimateOptions(interactions=True, interaction_bits=0.0))
     rows = [("term", f"{t.left} x {t.right}", t.effect) for t in model.interactions] + [("fit", s.column, s.fit.bits) for s in report.sessions if s.fit]
     return spark.createDataFrame(rows, "kind string, name string, bits double")
 
@@ -373,12 +484,33 @@ def predict_part(spark, sf_dir):
 def rescore_part(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     store = part_store(spark, sf_dir)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/spill"
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/spill-{uuid.uuid4().hex[:12]}"
     predict(store, part_model(store), threshold=0.0, spill=folder)
     found, _ = rescore(store, part_model(store), folder, threshold=4.0)
     return found.select(F.col("id_a").cast("long"), F.col("id_b").cast("long"), "gamma", F.round("match_weight", 6).alias("match_weight"))
 
 
+@query(f"SELECT ka AS id_a, kb AS id_b, gamma, round(w, 6) AS match_weight FROM ({_SCORED}) WHERE w >= 0")
+def predictions_round_trip(spark, sf_dir):
+    """Predictions written as a directory of shards, merged to one file, and read back."""
+    ensure_checkpoint_dir(spark)
+    store = part_store(spark, sf_dir)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/predictions-{uuid.uuid4().hex[:12]}"
+    write_edges(predict(store, part_model(store), threshold=0.0), f"{folder}/shards")
+    merge_predictions(spark, f"{folder}/shards", f"{folder}/all.parquet")
+    return read_edges(spark, f"{folder}/all.parquet").select(F.col("id_a").cast("long"), F.col("id_b").cast("long"), "gamma", F.round("match_weight", 6).alias("match_weight"))
+
+
+@query(f"""WITH r AS (SELECT min(tf) AS lo, max(tf) AS hi FROM (SELECT count(*) AS tf FROM part GROUP BY p_name)), n AS (SELECT count(*) AS n FROM part),
+g AS (SELECT l1, l2, l3, count(*) AS pairs FROM ({_CODED}) GROUP BY 1, 2, 3),
+b AS (SELECT g.*, log2({LAMBDA} / (1 - {LAMBDA})) + {_w(0)} + {_w(1)} + {_w(2)} AS base, CASE WHEN l1 = 1 THEN least(log2({U[0][1]} * n / hi), 0) ELSE 0 END AS low, CASE WHEN l1 = 1 THEN greatest(log2({U[0][1]} * n / lo), 0) ELSE 0 END AS high FROM g, r, n)
+SELECT CASE WHEN base + high < 4 THEN 'drop' WHEN base + low >= 4 THEN 'certain' ELSE 'check' END AS zone, count(*) AS codes, sum(pairs)::BIGINT AS pairs FROM b GROUP BY 1""")
+def zones_part(spark, sf_dir):
+    """How many candidates are decided by their code alone."""
+    store = part_store(spark, sf_dir)
+    return zones(store, part_model(store), threshold=4.0)
+
+
 _NAME_BITS = f"round({_w(0)} + CASE WHEN l1 = 1 THEN log2({U[0][1]} * (SELECT count(*) FROM part) / (SELECT count(*) FROM part p WHERE p.p_name = na)) ELSE 0 END, 6)"
 
 
@@ -394,6 +526,16 @@ def waterfall_part(spark, sf_dir):
 # -- clusters
 
 
+@query("SELECT count(*) + 2 AS listed, count(*) AS resolved, 2 AS missing, 0 AS ambiguous FROM documents")
+def resolve_documents(spark, sf_dir):
+    """Ids to rows with only the ids loaded."""
+    docs = table(spark, sf_dir, "documents")
+    store = load(spark, docs, Schema.parse({"unique_id": "doc_id", "columns": [{"name": "text"}]}), ids_only=True)
+    named = docs.select(F.col("doc_id").cast("string").alias("id_a"), F.col("doc_id").cast("string").alias("id_b")).unionByName(spark.createDataFrame([("no such", "id"), ("-1", "-2")], "id_a string, id_b string"))
+    _, found = clustering.resolve_ids(store, named)
+    return spark.createDataFrame([(found.listed, found.resolved, found.missing, found.ambiguous)], "listed long, resolved long, missing int, ambiguous int")
+
+
 @query("SELECT doc_id AS unique_id, min(doc_id) OVER (PARTITION BY text) AS cluster_id, count(*) OVER (PARTITION BY text) AS cluster_size FROM documents QUALIFY count(*) OVER (PARTITION BY text) > 1")
 def cluster_documents(spark, sf_dir):
     store, edges = _document_edges(spark, sf_dir)
@@ -462,6 +604,25 @@ def search_part(spark, sf_dir):
     return found.select(F.col("unique_id").cast("long"), "gamma", F.round("match_weight", 6).alias("match_weight"), "rank")
 
 
+_HITS = f"""SELECT ka AS unique_id, na, log2({LAMBDA} / (1 - {LAMBDA})) + {_w(0)} + {_w(1)} + log2(1.0) + CASE WHEN l1 = 1 THEN log2({U[0][1]} * (SELECT count(*) FROM part) / (SELECT count(*) FROM part p WHERE p.p_name = na)) ELSE 0 END AS w
+ FROM (SELECT a.p_partkey AS ka, a.p_name AS na, {_L1} AS l1, {_L2} AS l2, 0 AS l3 FROM part a, (SELECT p_name, p_type FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part)) b)"""
+
+
+@query(f"""WITH h AS (SELECT * FROM ({_HITS}) WHERE w >= -6), c AS (SELECT p_name, min(p_partkey) AS cluster_id FROM part GROUP BY 1 HAVING count(*) > 1),
+b AS (SELECT h.unique_id, round(w, 6) AS match_weight, cluster_id, row_number() OVER (ORDER BY w DESC, h.unique_id)::INT AS rank FROM h LEFT JOIN c ON c.p_name = na QUALIFY rank <= 40)
+SELECT unique_id, match_weight, rank, cluster_id, row_number() OVER (PARTITION BY coalesce(cluster_id, -unique_id) ORDER BY rank) = 1 AS best_of_cluster FROM b""")
+def search_clusters(spark, sf_dir):
+    """Hits at a threshold, with the cluster of each and the best hit of every cluster; the clusters are written and read back."""
+    store = part_store(spark, sf_dir)
+    first = store.frame.groupBy("p_name").agg(F.min("__row").alias("row_a"))
+    links = store.frame.join(first, "p_name").where("__row <> row_a").select("row_a", F.col("__row").alias("row_b"), F.lit("").alias("id_a"), F.lit("").alias("id_b"), F.lit(1.0).alias("match_weight"))
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/clusters-{uuid.uuid4().hex[:12]}"
+    clustering.cluster(store, links).write.parquet(folder)
+    asked = store.frame.where("__row = 0").first()
+    found = search.search(store, {"p_name": asked.p_name, "p_type": asked.p_type}, part_model(store), k=40, threshold=-6.0, clusters=spark.read.parquet(folder))
+    return found.select(F.col("unique_id").cast("long"), F.round("match_weight", 6).alias("match_weight"), "rank", F.col("cluster_id").cast("long"), "best_of_cluster")
+
+
 @query(f"""WITH v AS (SELECT p_name, p_type, count(*) AS n FROM part GROUP BY 1, 2), t AS (SELECT p_name AS v, count(*) AS tf FROM part GROUP BY 1),
 c AS (SELECT a.p_name AS an, a.p_type AS at, b.p_name AS bn, b.p_type AS bt, {_L1} AS l1, {_L2} AS l2, 0 AS l3 FROM v a, (SELECT DISTINCT p_name, p_type FROM part WHERE p_partkey % 50 = 0) b),
 w AS (SELECT c.*, (l1 + (l2 << 3) + (l3 << 5))::BIGINT AS gamma, log2({LAMBDA} / (1 - {LAMBDA})) + {_w(0)} + {_w(1)} + log2(1.0) + CASE WHEN l1 = 1 THEN log2({U[0][1]} * (SELECT count(*) FROM part) / tf) ELSE 0 END AS w FROM c JOIN t ON t.v = c.an)
@@ -550,7 +711,7 @@ def draft_schema(spark, sf_dir):
 
 @query()
 def sample_people(spark, sf_dir):
-    records, truth = people(spark, 2_000, 0.1)
+    records, truth = people(spark, 10 * table(spark, sf_dir, "customer").count())  # as many as the scale asks for
     return records.join(truth.select(F.col("id_b").alias("id"), F.col("id_a").alias("original")), "id", "left")
 
 

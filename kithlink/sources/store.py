@@ -121,15 +121,28 @@ class Store:
         return F.concat(names[F.col(f"{prefix}_ds")], F.lit(":"), F.col(f"{prefix}_id"))
 
 
+def as_frame(spark: SparkSession, x) -> DataFrame:
+    """A Spark frame as it is, a parquet path, a pandas frame, or whatever streams Arrow batches (``__arrow_c_stream__``)."""
+    if isinstance(x, DataFrame):
+        return x
+    if isinstance(x, str):
+        return spark.read.parquet(x)
+    if hasattr(x, "__arrow_c_stream__"):
+        import pyarrow as pa
+
+        return spark.createDataFrame(pa.RecordBatchReader.from_stream(x).read_all())
+    return spark.createDataFrame(x)
+
+
 def load(spark: SparkSession, inputs, schema: Schema, mode: str | None = None, ids_only: bool = False) -> Store:
-    """Inputs are a frame or path, a list of them, or a dict by name. Only the schema's columns are read."""
+    """Inputs are a frame (of Spark, pandas or Arrow) or path, a list of them, or a dict by name. Only the schema's columns are read."""
     if isinstance(inputs, dict):
         names, frames = list(inputs), list(inputs.values())
     else:
         frames = list(inputs) if isinstance(inputs, (list, tuple)) else [inputs]
         paths = [x if isinstance(x, str) else f"input{i + 1}" for i, x in enumerate(frames)]
         names = dataset_names(paths)
-    frames = [spark.read.parquet(x) if isinstance(x, str) else x for x in frames]
+    frames = [as_frame(spark, x) for x in frames]
     mode = mode or ("link" if len(frames) > 1 else "dedup")
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")

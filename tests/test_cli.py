@@ -22,3 +22,14 @@ def test_commands(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["sources"][0]["source"] == "dob exact_value"
     main(["search", "--schema", at("s.json"), "--model", at("m.json"), "--field", "phone=1", "--k", "2", at("p.parquet")])
     assert "match_weight" in capsys.readouterr().out
+    main(["search", "--schema", at("s.json"), "--model", at("m.json"), "--field", "phone=1", "--k", "2", "--json", "--explain", at("p.parquet")])
+    assert "phone_level" in json.loads(capsys.readouterr().out)[0]
+    main(["explain", "--schema", at("s.json"), "--model", at("m.json"), "--predictions", at("e.parquet"), "--json", at("p.parquet")])
+    assert len(json.loads(capsys.readouterr().out)) == spark.read.parquet(at("e.parquet")).count()
+    (tmp_path / "rows.csv").write_text("row_a,row_b\n0,1\n2,5\n")
+    main(["explain", "--schema", at("s.json"), "--model", at("m.json"), "--row-pairs", at("rows.csv"), "--json", at("p.parquet")])
+    assert [(r["row_a"], r["row_b"]) for r in sorted(json.loads(capsys.readouterr().out), key=lambda r: r["row_a"])] == [(0, 1), (2, 5)]
+    main(["predict", "--schema", at("s.json"), "--model", at("m.json"), "--plan", at("p.parquet")])
+    assert json.loads(capsys.readouterr().out)["records"] == 400
+    main(["gen-sample", "--out", at("a.parquet"), "--out-b", at("b.parquet"), "--rows", "100"])
+    assert spark.read.parquet(at("a.parquet")).count() + spark.read.parquet(at("b.parquet")).count() == 100
