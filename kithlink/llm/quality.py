@@ -196,12 +196,15 @@ def score(docs: DataFrame, space: Space, k: int = 25, power: float = 8.0) -> Dat
 def keep_good(docs: DataFrame, space: Space, threshold: float = THRESHOLD, k: int = 25, power: float = 8.0) -> DataFrame:
     """``docs`` without the rows that score below the threshold."""
     held = docs.sparkSession.sparkContext.broadcast(space)
+    place = {name: i for i, name in enumerate(docs.columns)}
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # whatever the columns are called
 
     def work(batches):
         for batch in batches:
-            yield batch.filter(pa.array(batch_scores(batch, held.value, k, power) >= threshold))
+            asked = pa.RecordBatch.from_arrays([batch.column(place["doc_id"]).cast(pa.int64()), batch.column(place["text"])], ["doc_id", "text"])
+            yield batch.filter(pa.array(batch_scores(asked, held.value, k, power) >= threshold))
 
-    return docs.mapInArrow(work, docs.schema)
+    return plain.mapInArrow(work, plain.schema).toDF(*docs.columns)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,15 +7,16 @@ local mode) a temporary folder is chosen and set.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Work folders made by this process and not yet deleted.
-_made: list[str] = []
+_tracked = threading.local()
 
 
 def base_dir(spark: SparkSession) -> str:
@@ -25,6 +26,8 @@ def base_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kithlink-")
         spark.sparkContext.setCheckpointDir(found)
     return found if "://" in found or found.startswith("file:") else "file://" + found
@@ -33,13 +36,21 @@ def base_dir(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI below the shared folder."""
     path = f"{base_dir(spark).rstrip('/')}/kithlink/{name}-{uuid.uuid4().hex[:12]}"
-    _made.append(path)
+    for folders in getattr(_tracked, "lists", ()):
+        folders.append(path)
     return path
 
 
-def made() -> list[str]:
-    """The work folders of this process."""
-    return list(_made)
+@contextlib.contextmanager
+def tracking():
+    """The list of the work folders that this thread makes inside."""
+    lists = _tracked.__dict__.setdefault("lists", [])
+    folders: list[str] = []
+    lists.append(folders)
+    try:
+        yield folders
+    finally:
+        lists[:] = [x for x in lists if x is not folders]
 
 
 def delete(spark: SparkSession, folders: list[str]) -> None:
@@ -48,7 +59,6 @@ def delete(spark: SparkSession, folders: list[str]) -> None:
     for uri in folders:
         path = jvm.org.apache.hadoop.fs.Path(uri)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        _made.remove(uri)
 
 
 def settle(df: DataFrame, name: str, **options) -> DataFrame:

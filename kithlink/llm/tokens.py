@@ -3,7 +3,7 @@
 Byte-level BPE never merges across pre-tokens, so a text's ids are those of its pre-tokens in a row. The pre-tokens
 of a slice are cut in numpy by the byte-level rule (contractions, letters, digits, others, each with one leading
 space, then white space); those not seen before are given to the library's model. What is remembered is keyed by the
-pre-token itself, never by a hash of it. Every text is encoded whole, the strings of added tokens become their ids as in the library
+pre-token itself, never by a hash of it; within a slice, equal pre-tokens are gathered by a hash and compared. Every text is encoded whole, the strings of added tokens become their ids as in the library
 (``special_as_text``: they are ordinary text). Files of other kinds than plain byte-level BPE go through the library text by text.
 """
 
@@ -17,6 +17,8 @@ import unicodedata
 
 import numpy as np
 
+from kithlink.llm.textvec import chained
+
 LETTER, DIGIT, OTHER, SPACE, EDGE = range(5)
 #: The contractions of the byte-level pre-tokeniser.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -66,10 +68,27 @@ def pretokens(points: np.ndarray, ends: np.ndarray, joined: str) -> tuple[np.nda
     return s[order], e[order]
 
 
+def distinct(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one pre-token of each kind, the kind of every pre-token). Kinds are told by a hash, and each pre-token is then compared with the
+    one that stands for its kind, code point by code point; were two to differ, every one would be a kind of its own."""
+    keys = chained(points.view(np.uint8), 4 * start, 4 * end)
+    _, at, kind = np.unique(keys, return_index=True, return_inverse=True)
+    stands, size = at[kind], end - start
+    alive, t = np.flatnonzero(stands != np.arange(len(kind))), 0
+    same = bool((size == size[stands]).all())
+    while same and len(alive):
+        same = bool((points[start[alive] + t] == points[start[stands[alive]] + t]).all())
+        t += 1
+        alive = alive[size[alive] > t]
+    if not same:
+        return np.arange(len(start)), np.arange(len(start))
+    return at, kind
+
+
 class Encoder:
     """Whole texts to ids. ``memo`` bounds the characters of the pre-tokens remembered; beyond it the memory starts anew."""
 
-    def __init__(self, path: str, memo: int = 4_000_000, special_as_text: bool = False):
+    def __init__(self, path: str, memo: int = 12_000_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -133,17 +152,21 @@ class Encoder:
         ends = np.cumsum(lengths + 1) - 1
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         start, end = pretokens(points, ends, joined)
-        words = [joined[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        at, kind = distinct(points, start, end)
+        words = list(map(joined.__getitem__, map(slice, start[at].tolist(), end[at].tolist())))
         if self.held > self.memo:
             self._forget()
-        new = list(set(words).difference(self.number))
-        if new:
+        which = np.fromiter(map(self.number.get, words, itertools.repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(which < 0).tolist()
+        if unknown:
+            new = list({words[i]: None for i in unknown})
             ids, length = self._library(new)
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
             self.held += sum(map(len, new))
             self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(length) - length))
             self.ids, self.length = np.concatenate((self.ids, ids)), np.concatenate((self.length, length))
-        which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            which[unknown] = [self.number[words[i]] for i in unknown]
+        which = which[kind]
         begin, length = self.begin[which], self.length[which]
         upto = np.cumsum(length)
         out = self.ids[np.repeat(begin - (upto - length), length) + np.arange(int(upto[-1]))]

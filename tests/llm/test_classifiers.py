@@ -1,9 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
-from kithlink.llm import decontaminate, quality, toxicity
+from kithlink.llm import decontaminate, labelled, quality, toxicity
 from tests.llm.helpers import frame, nasty_rows, words
 
 SF = "/root/testdata/sf0.01"
@@ -53,3 +54,59 @@ def test_decontamination(spark):
         assert got == {(0, 0), (1, 0), (3, 2), (4, 3)}
     assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [2, 5, 6, 7]
     assert decontaminate.find_overlaps(docs, bench.limit(0)).count() == 0 and decontaminate.find_overlaps(docs.limit(0), bench).count() == 0
+
+
+def test_scores_by_brute_force(spark):
+    """op4 and op8 on sf0.001, document by document: every neighbour compared, every n-gram looked up."""
+    from tests.llm.test_pipeline import voted
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    space = quality.fit(docs, labels)
+    known = {r.doc_id for r in labels.collect()}
+    assert set(space.ids.tolist()) <= known and not any(zlib.crc32(str(i).encode()) % 5 == 0 for i in space.ids.tolist())
+    for r in quality.score(docs, space).collect():
+        assert abs(r.score - voted(space, r.doc_id, texts[r.doc_id])) < 1e-4
+    model = toxicity.fit(docs, labels)
+    z = {d: score_of(model, t) for d, t in texts.items()}
+    for r in toxicity.score(docs, model).collect():
+        assert abs(r.score - z[r.doc_id]) < 1e-6
+
+
+def score_of(model, text):
+    """The intercept and the weights of the distinct n-grams, each hashed by itself in plain integers."""
+    text, low = (text or "").lower(), (1 << 32) - 1
+    found = set()
+    for n in toxicity.LENGTHS:
+        for i in range(len(text) - n + 1):
+            h = 0
+            for c in text[i : i + n]:
+                h = (h * 0x9E3779B1 + ord(c) + 1) & low
+            f = h ^ h >> 15
+            found.add(((f * 0x85EBCA77 + n) & low) >> 32 - toxicity.BITS)
+    z = model.intercept + float(sum(model.weight[f] for f in found))
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+
+
+def test_copies_of_labelled_documents_vote(spark):
+    """A held-out copy of a labelled document takes its label; a labelled document does not vote on itself; ties are scored alike."""
+    rng = random.Random(6)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    out = [i for i in range(400) if not zlib.crc32(str(i).encode()) % 5]
+    odd = words(rng, 80).upper()
+    rows = [(i, words(rng, 60)) for i in ids[:60]] + [(ids[60], odd), (out[0], odd), (out[1], odd), (ids[61], None), (out[2], "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in ids[:60]] + [(ids[60], 0, 1), (out[0], 1, 0)], "doc_id long, quality int, toxic int")
+    space = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, space, k=1).collect()}
+    assert got[out[0]] == got[out[1]] == 0.0 and got[ids[60]] == 1.0 and got[out[2]] == got[ids[61]] == space.share
+
+
+def test_sample_is_bounded_by_rows_and_bytes(spark):
+    ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5][:100]
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in ids for _ in range(3)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
+    assert labelled.sample(docs, labels, "quality", 40).count() == 40
+    assert labelled.sample(docs, labels, "quality", 1000).count() == 100
+    assert labelled.sample(docs, labels, "quality", 1000, most_bytes=20_500).count() == 20

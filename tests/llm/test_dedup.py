@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -51,6 +53,49 @@ def test_near_duplicates(spark, chunk):
     assert got == components(rows)
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_near_duplicates_of_adversarial_words(spark):
+    """Words that a polynomial hash cannot tell apart share nothing; each set of a repeated doc_id is compared."""
+    (a, b), text = thue_morse(4096), words(random.Random(1), 60)
+    other = text.split()
+    other[3] = "changed"
+    rows = [(1, a), (2, b), (3, a + " x"), (4, b + " x"), (5, "quite another text"), (5, text), (8, " ".join(other))]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, rep int, band int")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in near_dups.near_duplicates(docs).collect()}
+    assert got == {(1, 1): 1, (2, 1): 2, (3, 1): 3, (4, 1): 4, (5, 1): 5, (5, 56): 5, (8, 56): 5}
+
+
+def test_near_duplicates_of_all_documents(spark):
+    """All of sf0.01 against every pair of texts whose sizes allow a link; so no link was lost."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    sets = {d: shingles(t) for d, t in rows}
+    holders: dict = {}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+    common = Counter(pair for ds in holders.values() if len(ds) > 1 for pair in combinations(sorted(ds), 2))
+    linked = {p for p, n in common.items() if 100 * n >= 85 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in sorted(linked):
+        a, b = root(x), root(y)
+        parent[max(a, b)] = min(a, b)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dups.near_duplicates(docs).collect()}
+    assert got == {d: (len(s), root(d), root(d) == d) for d, s in sets.items()} and len(linked) > 50
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dups.near_duplicates(frame(spark, [])).count() == 0
     kept = near_dups.drop_near_duplicates(frame(spark, nasty_rows()))
@@ -70,7 +115,8 @@ def test_suffix_arrays():
             assert min(int(prefix[i]), 6) == min(k, 6)
 
 
-def cut(rows, length=100):
+def cut(rows, length=100, kept=None):
+    """Per document: bytes, removed ones, runs, digest of the rest; the rest itself goes to ``kept``."""
     seen, out = set(), {}
     for d, text in sorted({(r[0], r[1] or "") for r in rows}):
         b = text.encode()
@@ -82,6 +128,8 @@ def cut(rows, length=100):
             else:
                 seen.add(w)
         spans = sum(1 for k in range(len(gone)) if gone[k] and not (k and gone[k - 1]))
+        if kept is not None:
+            kept[d] = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         out[d] = (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
     return out
 

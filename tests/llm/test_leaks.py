@@ -3,12 +3,12 @@ from __future__ import annotations
 import math
 import random
 
-import numpy as np
 import pyarrow as pa
 import pytest
 
 from kithlink.llm import decontaminate
 from kithlink.llm.textvec import PUNCTUATED, Words, utf8
+from tests.llm.helpers import leaked
 
 
 def leaks(items, docs):
@@ -70,34 +70,9 @@ def test_repeated_words_stay_bounded(monkeypatch):
 
 
 def test_all_documents_by_brute_force(spark):
-    """op1 on sf0.001 against every item laid over every document on every diagonal (numpy, token by token)."""
+    """op1 on sf0.001 against every item laid over every document on every diagonal."""
     sf = "/root/testdata/sf0.001"
-    split = decontaminate._token.findall
-    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    number: dict[str, int] = {}
-
-    def coded(text):
-        return np.array([number.setdefault(w, len(number)) for w in split((text or "").translate(lower))], np.int64)
-
-    items = {r.item_id: coded(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
-    docs = {r.doc_id: coded(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    expected = set()
-    for d, doc in docs.items():
-        for i, item in items.items():
-            need = len(item) if len(item) < 10 else min(12, math.ceil(0.6 * len(item)))
-            common = np.isin(item, doc).sum()
-            if not len(item) or common < need:
-                continue
-            for at in range(1 - len(item), len(doc)):
-                a, b = max(at, 0), min(at + len(item), len(doc))
-                same = doc[a:b] == item[a - at : b - at]
-                if len(item) > 30:
-                    run = np.concatenate(([0], np.cumsum(same)))
-                    best = (run[np.minimum(np.arange(len(same)) + 30, len(same))] - run[:-1]).max(initial=0)
-                else:
-                    best = same.sum()
-                if best >= need:
-                    expected.add((d, i))
-                    break
+    items, docs = ({r[0]: r.text for r in spark.read.parquet(f"{sf}/{t}.parquet").select(c, "text").collect()} for t, c in (("benchmark", "item_id"), ("documents", "doc_id")))
+    expected = leaked(docs, items)
     got = decontaminate.op1_decontamination(spark, sf).collect()
     assert {(r.doc_id, r.item_id) for r in got} == expected and expected

@@ -56,16 +56,35 @@ def test_added_tokens_as_text():
 def test_any_token_can_be_addressed():
     rng = np.random.default_rng(2)
     ids = np.concatenate((rng.integers(0, 300, 3000), rng.integers(0, 1 << 24, 3000), [0, 255, 256, 65535, 65536])).astype(np.uint32)
-    f = token_files.TokenFile(token_files.pack(ids, np.array([4, 9]), np.array([0, 2500])))
+    f = token_files.TokenFile.of(token_files.pack(ids, np.array([4, 9]), np.array([0, 2500])))
     assert f.ids().tolist() == ids.tolist()
     assert [f.token(i) for i in range(0, len(ids), 7)] == ids[::7].tolist()
     assert f.document(0) == ids[:2500].tolist() and f.document(1) == ids[2500:].tolist()
-    empty = token_files.TokenFile(token_files.pack(np.empty(0, np.uint32), np.empty(0), np.empty(0)))
+    empty = token_files.TokenFile.of(token_files.pack(np.empty(0, np.uint32), np.empty(0), np.empty(0)))
     assert empty.ids().tolist() == []
     with pytest.raises(IndexError):
         empty.token(0)
 
 
+def test_a_token_costs_a_few_bytes(tmp_path):
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 50_257, 200_000).astype(np.uint32)
+    (tmp_path / "f.dac").write_bytes(token_files.pack(ids, np.arange(2), np.array([0, 150_000])))
+    f = token_files.TokenFile.open(f"file://{tmp_path}/f.dac")
+    read, sizes = f._read, []
+    f._read = lambda at, size: sizes.append(size) or read(at, size)
+    for i in (0, 77, 149_999, 199_999):
+        assert f.token(i) == ids[i]
+    assert sum(sizes) < 4 * 2 * (1 + 64 + 8)
+    assert f.document(1)[-3:] == ids[-3:].tolist()
+
+
+def test_extreme_ids_are_not_null(spark):
+    rows = [(-(1 << 63), "least", None, None, None, None), (None, "none", None, None, None, None), ((1 << 63) - 1, "most", None, None, None, None), (0, "zero", None, None, None, None)]
+    got = token_files.read_token_files(token_files.write_token_files(frame(spark, rows))).orderBy("start").collect()
+    assert [g.doc_id for g in got] == [None, -(1 << 63), 0, (1 << 63) - 1]
+
+
 def test_token_files(spark, library):
     rows = [*nasty_rows(), *((500 + i, w, None, None, None, None) for i, w in enumerate(thue_morse(1024)))]
     got = token_files.read_token_files(token_files.write_token_files(frame(spark, rows), most=1000)).orderBy("start").collect()
