@@ -18,7 +18,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the session's ``spark.checkpoint.dir``; set a temporary one only where none is set."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="kithlink-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="kithlink-"))
 
 
 def _jump(pointers: DataFrame) -> DataFrame:

@@ -682,11 +682,14 @@ def firing_rate(spark, sf_dir):
     return spark.createDataFrame([(round(rate, 12),)], "fires double")
 
 
-@query()
+@query(f"""WITH t AS (SELECT p_name, count(*) AS tf FROM part GROUP BY 1), f AS (SELECT {M[0][1]} * coalesce(sum(CASE WHEN tf <= 100 THEN tf ELSE 0 END)::DOUBLE / sum(tf), 0) AS caught FROM t WHERE tf >= 2),
+r AS (SELECT p.*, row_number() OVER (ORDER BY p_type, p_partkey) AS n FROM part p), c AS (SELECT {_L1} AS l1, {_L2} AS l2, {_L3} AS l3, abs(a.n - b.n) <= 3 AS also FROM r a JOIN r b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey JOIN t ON t.p_name = a.p_name AND tf <= 100),
+s AS (SELECT also, 1 / (1 + pow(2, -(log2({LAMBDA} / (1 - {LAMBDA})) + {_w(0)} + {_w(1)} + {_w(2)}))) AS post FROM c), g AS (SELECT CASE WHEN count(*) >= 64 THEN sum(CASE WHEN also THEN post ELSE 0 END) / sum(post) ELSE 0 END AS pooled FROM s)
+SELECT round(caught, 9) AS bound, round(caught, 9) AS product, round(1 - (1 - caught) * (1 - pooled), 9) AS estimate FROM f, g""")
 def completeness_part(spark, sf_dir):
     store = part_store(spark, sf_dir, blocking=[{"type": "rare_value", "column": "p_name"}, {"type": "sorted_neighbourhood", "column": "p_type", "window": 3}])
     c = coverage.completeness(store, part_model(store))
-    return spark.createDataFrame([(c.bound, c.product, c.estimate)], "bound double, product double, estimate double")
+    return spark.createDataFrame([tuple(round(float(x), 9) for x in (c.bound, c.product, c.estimate))], "bound double, product double, estimate double")
 
 
 @query()
