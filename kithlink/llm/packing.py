@@ -33,9 +33,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         part, at = TaskContext.get().partitionId(), 0
         run = tokens.encoder(tokenizer)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for i, j in tokens.portions(texts):
-                ids, counts = run.encode(texts[i:j])
+            for i, j, texts in tokens.portions(batch.column("text")):
+                ids, counts = run.encode(texts)
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 counts = counts + 1
                 ends = np.cumsum(counts)

@@ -151,13 +151,12 @@ def _encode_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int):
     for batch in batches:
         null = np.array(batch.column("doc_id").is_null())
         docs = np.array(batch.column("doc_id").fill_null(0)).astype(np.int64)
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for i, j in tokens.portions(texts):
-            ids, counts = encode(texts[i:j])
+        for i, j, texts in tokens.portions(batch.column("text")):
+            ids, counts = encode(texts)
             yield docs[i:j], np.insert(ids, np.cumsum(counts), end_id), counts + 1, int(null[i:j].sum())
 
 
-def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, most: int = 1 << 25) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, most: int = 1 << 23) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into token files of at most about ``most`` ids; the manifest, one row a file.
 
     Rows are range-partitioned by doc_id, so files in (part, seq) order hold ascending doc_ids.

@@ -2,8 +2,8 @@
 
 Byte-level BPE never merges across pre-tokens, so a text's ids are those of its pre-tokens in a row. The pre-tokens
 of a slice are cut in numpy by the byte-level rule (contractions, letters, digits, others, each with one leading
-space, then white space); those not seen before are given to the library's model. What is remembered is keyed by the
-pre-token itself, never by a hash of it; within a slice, equal pre-tokens are gathered by a hash and compared. Every text is encoded whole, the strings of added tokens become their ids as in the library
+space, then white space); those not seen before are given to the library's model. Hashes only find the candidate for an equal
+pre-token; the two are then compared code point by code point. Every text is encoded whole, the strings of added tokens become their ids as in the library
 (``special_as_text``: they are ordinary text). Files of other kinds than plain byte-level BPE go through the library text by text.
 """
 
@@ -14,10 +14,13 @@ import json
 import os
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from kithlink.llm.textvec import chained
+from kithlink.llm.textvec import U64, chained
 
 LETTER, DIGIT, OTHER, SPACE, EDGE = range(5)
 #: The contractions of the byte-level pre-tokeniser.
@@ -68,36 +71,84 @@ def pretokens(points: np.ndarray, ends: np.ndarray, joined: str) -> tuple[np.nda
     return s[order], e[order]
 
 
-def distinct(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(one pre-token of each kind, the kind of every pre-token). Kinds are told by a hash, and each pre-token is then compared with the
-    one that stands for its kind, code point by code point; were two to differ, every one would be a kind of its own."""
+def distinct(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(one pre-token of each kind, the kind of every pre-token, the kinds' hashes). Kinds are told by the hash, and each pre-token is then
+    compared with the one that stands for its kind, code point by code point; those that differ are kinds of their own."""
     keys = chained(points.view(np.uint8), 4 * start, 4 * end)
     _, at, kind = np.unique(keys, return_index=True, return_inverse=True)
     stands, size = at[kind], end - start
-    alive, t = np.flatnonzero(stands != np.arange(len(kind))), 0
-    same = bool((size == size[stands]).all())
-    while same and len(alive):
-        same = bool((points[start[alive] + t] == points[start[stands[alive]] + t]).all())
+    alive, t, other = np.flatnonzero(stands != np.arange(len(kind))), 0, []
+    differs = size[alive] != size[stands[alive]]
+    while len(alive):
+        other.append(alive[differs])
+        alive = alive[~differs & (size[alive] > t)]
+        differs = points[start[alive] + t] != points[start[stands[alive]] + t]
         t += 1
-        alive = alive[size[alive] > t]
-    if not same:
-        return np.arange(len(start)), np.arange(len(start))
-    return at, kind
+    alone = np.concatenate(other) if other else np.empty(0, np.int64)
+    if len(alone):
+        kind[alone] = len(at) + np.arange(len(alone))
+        at = np.append(at, alone)
+    return at, kind, keys[at]
+
+
+class Memo:
+    """Pre-tokens and their ids, told by their code points: a sorted hash finds the one candidate, which is then compared.
+
+    ``most`` bounds the pre-tokens held; one takes some 70 bytes. It starts anew beyond that.
+    """
+
+    def __init__(self, most: int, dtype):
+        self.most, self.dtype = most, dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.slot = np.empty(0, U64), np.empty(0, np.int32)
+        self.begin, self.length = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.ids, self.points = np.empty(0, self.dtype), np.empty(0, np.uint32)
+
+    def find(self, keys: np.ndarray, points: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The entry of each pre-token; -1 where there is none, -2 where its hash is another one's."""
+        place = np.searchsorted(self.keys, keys)
+        met = np.flatnonzero(place < len(self.keys))
+        met = met[self.keys[place[met]] == keys[met]]
+        out = np.full(len(keys), -1, np.int64)
+        out[met] = self.slot[place[met]]
+        same = self.size[out[met]] == size[met]
+        out[met[~same]] = -2
+        alive, t = met[same], 0
+        alive = alive[size[alive] > 0]
+        while len(alive):
+            same = self.points[self.at[out[alive]] + t] == points[start[alive] + t]
+            out[alive[~same]] = -2
+            t += 1
+            alive = alive[same & (size[alive] > t)]
+        return out
+
+    def add(self, keys: np.ndarray, points: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """New pre-tokens with keys of their own, and the ids of all of them in a row."""
+        first, order = len(self.begin), np.argsort(keys)
+        place = np.searchsorted(self.keys, keys[order])
+        self.keys, self.slot = np.insert(self.keys, place, keys[order]), np.insert(self.slot, place, first + order)
+        self.begin, self.length = np.append(self.begin, len(self.ids) + np.cumsum(length) - length), np.append(self.length, length.astype(np.int32))
+        self.at, self.size = np.append(self.at, len(self.points) + np.cumsum(size) - size), np.append(self.size, size.astype(np.int32))
+        self.ids = np.append(self.ids, ids)
+        self.points = np.append(self.points, points[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))])
 
 
 class Encoder:
-    """Whole texts to ids. ``memo`` bounds the characters of the pre-tokens remembered; beyond it the memory starts anew."""
+    """Whole texts to ids. ``memo`` bounds the pre-tokens remembered."""
 
-    def __init__(self, path: str, memo: int = 12_000_000, special_as_text: bool = False):
+    def __init__(self, path: str, memo: int = 1_000_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = special_as_text
-        self.memo = memo
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # these bytes stand for themselves, others for the code points from 256
         self.spelling = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
         self.dtype = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        self.memo = Memo(memo, self.dtype)
         with open(path, encoding="utf-8") as f:
             form = json.load(f)
         cutter = form.get("pre_tokenizer") or {}
@@ -106,12 +157,6 @@ class Encoder:
         self.known &= not any(x.single_word or x.lstrip or x.rstrip or x.normalized for x in added.values())
         self.added = {x.content: i for i, x in added.items()}
         self.mark = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.held = 0
-        self.begin, self.length, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.dtype)
 
     def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, length) of each pre-token, by the library's model on the byte-level spelling."""
@@ -152,24 +197,27 @@ class Encoder:
         ends = np.cumsum(lengths + 1) - 1
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         start, end = pretokens(points, ends, joined)
-        at, kind = distinct(points, start, end)
-        words = list(map(joined.__getitem__, map(slice, start[at].tolist(), end[at].tolist())))
-        if self.held > self.memo:
-            self._forget()
-        which = np.fromiter(map(self.number.get, words, itertools.repeat(-1)), np.int64, len(words))
-        unknown = np.flatnonzero(which < 0).tolist()
-        if unknown:
-            new = list({words[i]: None for i in unknown})
-            ids, length = self._library(new)
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.held += sum(map(len, new))
-            self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(length) - length))
-            self.ids, self.length = np.concatenate((self.ids, ids)), np.concatenate((self.length, length))
-            which[unknown] = [self.number[words[i]] for i in unknown]
-        which = which[kind]
-        begin, length = self.begin[which], self.length[which]
+        at, kind, keys = distinct(points, start, end)
+        s, size, memo = start[at], (end - start)[at], self.memo
+        if len(memo.keys) > memo.most:
+            memo.clear()
+        which = memo.find(keys, points, s, size)
+        new = np.flatnonzero(which < 0)
+        begin, length, ids = np.empty(len(at), np.int64), np.empty(len(at), np.int64), memo.ids
+        if len(new):
+            found, counts = self._library([joined[a:b] for a, b in zip(s[new].tolist(), (s + size)[new].tolist(), strict=True)])
+            begin[new], length[new] = len(ids) + np.cumsum(counts) - counts, counts
+            fresh = which[new] == -1
+            if fresh.all():
+                memo.add(keys[new], points, s[new], size[new], found, counts)
+                ids = memo.ids
+            else:  # some share their hash with another pre-token: this time none is remembered
+                ids = np.append(ids, found)
+        old = which >= 0
+        begin[old], length[old] = memo.begin[which[old]], memo.length[which[old]]
+        begin, length = begin[kind], length[kind]
         upto = np.cumsum(length)
-        out = self.ids[np.repeat(begin - (upto - length), length) + np.arange(int(upto[-1]))]
+        out = ids[np.repeat(begin - (upto - length), length) + np.arange(int(upto[-1]))]
         bounds = np.concatenate(([0], upto))[np.searchsorted(start, np.concatenate(([0], ends)))]
         return out, np.diff(bounds)
 
@@ -190,13 +238,11 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def portions(texts: list[str], most: int = 1 << 20):
-    """(first, end) of runs of texts with about ``most`` characters; a longer text stands alone, whole."""
-    i, total = 0, 0
-    for j, t in enumerate(texts):
-        if j > i and total + len(t) > most:
-            yield i, j
-            i, total = j, 0
-        total += len(t)
-    if i < len(texts):
-        yield i, len(texts)
+def portions(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:
+    """(first, end, texts) of runs of rows with about ``most`` bytes, null as empty; a longer text stands alone, whole. Only one run is taken out of the column at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    upto, i, n = np.cumsum(sizes), 0, len(column)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + most, "right")))
+        yield i, min(j, n), [t or "" for t in column.slice(i, j - i).to_pylist()]
+        i = j

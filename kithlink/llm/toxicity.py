@@ -59,9 +59,8 @@ def grams(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None = None)
 
 def portions(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, code points, offsets) of runs of rows of about ``most`` characters; a longer row stands alone, whole."""
-    texts = batch.column("text").to_pylist()
-    for i, j in tokens.portions([t or "" for t in texts], most):
-        yield i, j, *code_points(texts[i:j])
+    for i, j, texts in tokens.portions(batch.column("text"), most):
+        yield i, j, *code_points(texts)
 
 
 @dataclass
