@@ -41,7 +41,7 @@ from kithlink.llm.textvec import U64, mix, powers, slices, utf8
 
 GRAM = 32
 #: Bytes that a shard gathers before it sorts, bytes of one home in a shard, windows of one string.
-SHARD, HOME, PIECE = 1 << 19, 1 << 20, 1 << 18
+SHARD, HOME, PIECE = 1 << 18, 1 << 19, 1 << 18
 SEGMENTS = "anchor long, doc_id long, meta long"
 PARTS = "home long, doc_id long, start long, bytes binary"
 #: A shard's rows: runs (no bytes), and what is left of homes in several shards (no size).
@@ -115,9 +115,8 @@ def _slice_stage(length: int):
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
             held = 0
-            for text, doc, asked in zip(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("asked"), strict=True):
-                raw = text.encode()
-                asked = asked.values
+            for i in range(batch.num_rows):  # a text at a time
+                raw, doc, asked = batch.column("text")[i].as_py().encode(), batch.column("doc_id")[i].as_py(), batch.column("asked")[i].values
                 home, meta = (asked.field(k).to_numpy() for k in ("home", "meta"))
                 order = np.argsort(meta)
                 home, first, last = home[order], meta[order] >> 8, (meta[order] >> 8) + (meta[order] & 0xFF)
@@ -129,7 +128,7 @@ def _slice_stage(length: int):
                         for column, value in zip(out, (h, doc, x, part), strict=True):
                             column.append(value)
                         held += len(part)
-                if held >= 8 << 20:
+                if held >= 2 << 20:
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["home", "doc_id", "start", "bytes"])
                     out, held = ([], [], [], []), 0
             if held:
@@ -304,8 +303,8 @@ def cut_texts(docs: DataFrame, length: int = 100, with_text: bool = True, carry:
 
     def cut(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for i in range(0, batch.num_rows, 250):
+                part = batch.slice(i, 250)
                 out = []
                 for t, metas in zip(part.column("text").to_pylist(), part.column("metas").to_pylist(), strict=True):
                     raw = t.encode()

@@ -147,7 +147,7 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.cut_texts(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("home", [1 << 20, 20_000])
+@pytest.mark.parametrize("home", [1 << 19, 20_000])
 def test_suffix_dedup_of_all_documents(spark, monkeypatch, home):
     """All of sf0.01 by brute force, with whole homes and with homes dealt over shards."""
     monkeypatch.setattr(suffix_dedup, "HOME", home)
