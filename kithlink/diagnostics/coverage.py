@@ -19,6 +19,10 @@ from kithlink.plans.model import Model
 from kithlink.sources.store import Store
 
 
+#: Blocked comparisons that an agreement table may have.
+MOST_TABLE = 10
+
+
 @dataclass
 class SourcePrice:
     source: str
@@ -164,6 +168,7 @@ class Completeness:
     pooled: float
     by_table: float | None = None
     refused: str = ""
+    two_way: list[tuple[str, str]] = field(default_factory=list)
 
 
 def firing_rates(store: Store, blocking: Blocking, pair_weighting: bool = False) -> dict[str, float]:
@@ -205,7 +210,8 @@ def completeness(store: Store, model: Model, all_pairs: bool = False, sample: fl
         return Completeness(bound, product, product, fires, 0.0)
     # analytic sources also meet through windows and minhash: how often, among pairs caught by a key
     analytic = [b for b in blocking.bound if b.key and b.source.type in ("exact_value", "rare_value")]
-    others = [b for b in blocking.bound if b not in analytic]
+    # a source on the same column fires for the same reason and is no second look
+    others = [b for b in blocking.bound if b not in analytic and not any(schema.same_source(b.source.column, x.source.column) for x in analytic)]
     pooled = 0.0
     keyed = [i for i, b in enumerate(blocking.bound) if b in analytic]
     pairs = blocking.pairs(compared_columns(schema), keyed)
@@ -220,32 +226,56 @@ def completeness(store: Store, model: Model, all_pairs: bool = False, sample: fl
     if n.sum() >= min_observed and matches.sum() > 0:
         pooled = float((posterior * caught).sum() / matches.sum())
     corrected = 1 - escape * (1 - pooled)
-    return Completeness(bound, corrected, product, fires, pooled, _by_table(schema, rows, matches, blocked, pooled))
+    table, two_way = _by_table(schema, rows, matches, blocked, pooled)
+    unlearnt = [c.name for k, c in enumerate(model.comparisons) if k in {k for k, _, _ in blocked} and not c.sessions]
+    refused = f"no session could learn {', '.join(unlearnt)}, on which the estimate rests" if unlearnt and any(c.sessions for c in model.comparisons) else ""
+    return Completeness(bound, corrected, product, fires, pooled, table, refused, two_way)
 
 
-def _by_table(schema, rows, matches: np.ndarray, blocked: list, pooled: float) -> float | None:
-    """Recall from a log-linear fit of the blocked comparisons' agreement table, whose all-disagree cell no key reaches."""
-    cells: dict[tuple[int, ...], float] = {}
+def _by_table(schema, rows, matches: np.ndarray, blocked: list, pooled: float) -> tuple[float | None, list[tuple[str, str]]]:
+    """Recall from a log-linear fit of the blocked comparisons' agreement table, whose all-disagree cell no key reaches, and the pairs of
+    comparisons that the fit lets depend on each other: independence first, then pair by pair, as long as BIC falls."""
+    d = len(blocked)
+    if d > MOST_TABLE:
+        return None, []
+    caught, seen = np.zeros((2,) * d), np.zeros((2,) * d)
     for r, x in zip(rows, matches, strict=True):
         levels = schema.unpack(r.gamma)
-        key = tuple(int(levels[k] == i) for k, i, _ in blocked)
-        if any(key):
-            cells[key] = cells.get(key, 0.0) + float(x)
-    d = len(blocked)
-    if len(cells) <= d + 1:
-        return None
-    seen = {k: v / max(1 - math.prod(1 - f for (_, _, f), y in zip(blocked, k, strict=True) if y), 1e-6) for k, v in cells.items()}
-    dark, shares = 0.0, np.full(d, 0.5)
-    for _ in range(200):  # EM: fill the dark cell under independence, refit the margins
-        total = sum(seen.values()) + dark
-        new = np.array([sum(v for k, v in seen.items() if k[j]) / max(total, 1e-12) for j in range(d)])
-        empty = total * float(np.prod(1 - new))
-        if abs(empty - dark) < 1e-9 and np.abs(new - shares).max() < 1e-12:
+        caught[tuple(int(levels[k] == i) for k, i, _ in blocked)] += float(x)
+    caught[(0,) * d] = 0.0
+    for cell in np.ndindex(caught.shape):  # a cell's pairs, had every source of its agreeing columns fired
+        seen[cell] = caught[cell] / max(1 - math.prod(1 - f for (_, _, f), y in zip(blocked, cell, strict=True) if y), 1e-6)
+    if np.count_nonzero(seen) <= d + 1:
+        return None, []
+    chosen, (fitted, best) = [], _log_linear(seen, [])
+    while True:
+        trials = [(p, _log_linear(seen, [*chosen, p])) for p in itertools.combinations(range(d), 2) if p not in chosen and 1 + d + len(chosen) + 1 < np.count_nonzero(seen)]
+        if not trials or min(x[1][1] for x in trials) >= best:
             break
-        dark, shares = empty, new
-    caught = sum(cells.values())
-    total = sum(seen.values()) + dark
-    return (caught + (total - caught) * pooled) / total if total else None
-
-
-__all__ = ["Completeness", "Recall", "completeness", "explain_blocking", "firing_rates", "itertools", "recall", "truth_frame"]
+        pair, (fitted, best) = min(trials, key=lambda x: x[1][1])
+        chosen.append(pair)
+    total = float(seen.sum() + fitted[(0,) * d])
+    names = [(schema.comparisons[blocked[i][0]].name, schema.comparisons[blocked[j][0]].name) for i, j in chosen]
+    return ((float(caught.sum()) + (total - float(caught.sum())) * pooled) / total if total else None), names
+
+
+def _log_linear(seen: np.ndarray, pairs: list[tuple[int, int]], rounds: int = 200, passes: int = 5) -> tuple[np.ndarray, float]:
+    """(fitted table, BIC) of main effects and the stated two-way margins. The first cell is not observed: it is filled with what the fit says and fitted again."""
+    d, dark = seen.ndim, (0,) * seen.ndim
+    covered = {i for p in pairs for i in p}
+    margins = [*pairs, *((i,) for i in range(d) if i not in covered)]
+    fitted, whole = np.full(seen.shape, max(seen.sum(), 1e-12) / seen.size), seen.copy()
+    for _ in range(rounds):
+        before = whole[dark]
+        whole[dark] = fitted[dark]
+        for _ in range(passes):
+            for margin in margins:
+                rest = tuple(i for i in range(d) if i not in margin)
+                have = fitted.sum(axis=rest, keepdims=True)
+                fitted = fitted * np.divide(whole.sum(axis=rest, keepdims=True), have, out=np.zeros_like(have), where=have > 0)
+        if abs(fitted[dark] - before) < 1e-9 * max(1.0, before):
+            break
+    told = (seen > 0) & (fitted > 0)
+    told[dark] = False
+    misfit = 2 * float((seen[told] * np.log(seen[told] / fitted[told])).sum())
+    return fitted, misfit + (1 + d + len(pairs)) * math.log(max(float(seen.sum()), 2.0))

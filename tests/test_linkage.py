@@ -4,6 +4,7 @@ import datetime
 import math
 from collections import Counter
 from itertools import combinations
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -12,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from kithlink import queries
+from kithlink.diagnostics import coverage
 from kithlink.functions.levels import level_index
 from kithlink.linker import Linker, gen_sample, gen_two, init
 from kithlink.operators import blocking as blocking_module
@@ -232,6 +234,31 @@ def test_truncation_and_forms(spark, tmp_path):
     assert {r.zone: r.pairs for r in linker.zones(model, threshold=4.0).collect()}["drop"] <= plan.sources[0][1]
 
 
+def test_agreement_tables_find_what_depends():
+    """The unseen cell of a table made from known chances: independent ones need no term, a tied pair needs its own and is found."""
+    rng = np.random.default_rng(5)
+
+    def table(chance):
+        p = np.array([chance(cell) for cell in np.ndindex((2,) * 4)]).reshape((2,) * 4)
+        return rng.poisson(p / p.sum() * 200_000).astype(float)
+
+    free = table(lambda c: math.prod(q if y else 1 - q for q, y in zip((0.7, 0.6, 0.5, 0.8), c, strict=True)))
+    tied = table(lambda c: (0.55 if c[0] and c[1] else 0.25 if not c[0] and not c[1] else 0.1) * math.prod(q if y else 1 - q for q, y in zip((0.5, 0.6), c[2:], strict=True)))
+    for whole, expected in ((free, []), (tied, [(0, 1)])):
+        seen = whole.copy()
+        seen[0, 0, 0, 0] = 0
+        plain, bic = coverage._log_linear(seen, [])
+        term, with_term = coverage._log_linear(seen, [(0, 1)])
+        assert (with_term < bic) == bool(expected)
+        best = term if expected else plain
+        assert best[0, 0, 0, 0] == pytest.approx(whole[0, 0, 0, 0], rel=0.05)
+        schema = Schema.parse({"columns": [{"name": f"c{k}", "type": "string"} for k in range(4)], "comparisons": [{"columns": [f"c{k}"], "levels": [{"type": "exact"}, {"type": "else"}]} for k in range(4)]})
+        rows = [SimpleNamespace(gamma=schema.pack([1 - y for y in cell])) for cell in np.ndindex((2,) * 4)]
+        recall, terms = coverage._by_table(schema, rows, np.array([whole[c] for c in np.ndindex((2,) * 4)]), [(k, 0, 1.0) for k in range(4)], 0.0)
+        assert terms == [(f"c{a}", f"c{b}") for a, b in expected]
+        assert recall == pytest.approx(1 - whole[0, 0, 0, 0] / whole.sum(), abs=0.01)
+
+
 def test_recall_says_what_would_help(spark):
     rows = [(i, f"v{i % 3}" if i < 30 else f"w{i}", f"z{i // 2:03d}") for i in range(40)]
     schema = Schema.parse({"unique_id": "i", "columns": [{"name": "v"}, {"name": "z"}], "blocking": [{"type": "rare_value", "column": "v", "max_frequency": 4}]})
