@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithlink.functions import text
 from kithlink.functions.levels import agreement, level_of
 from kithlink.operators.estimate import compared_columns
 from kithlink.operators.predict import Scorer
@@ -72,6 +71,3 @@ def code_layout(store: Store) -> list[dict]:
     """Where each comparison sits in a code."""
     schema = store.schema
     return [{"comparison": c.name, "shift": s, "bits": c.bits, "levels": [v.describe() for v in c.levels]} for c, s in zip(schema.comparisons, schema.shifts, strict=True)]
-
-
-__all__ = ["code_layout", "explain_rows", "pair_frame", "text", "waterfalls"]

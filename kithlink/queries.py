@@ -591,6 +591,22 @@ def viewer_list(spark, sf_dir):
     return page.select("cluster_id", "cluster_size", F.col("discord").cast("long").alias("discord"), "links")
 
 
+@query("SELECT count(*) AS clusters, sum(n)::BIGINT AS records, max(n) AS largest, sum(n - 1)::BIGINT AS predictions, 1.0::DOUBLE AS weakest FROM (SELECT count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1)")
+def viewer_summary(spark, sf_dir):
+    store, edges = _document_edges(spark, sf_dir)
+    return viewer.summary(clustering.cluster(store, edges), edges)
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT ka, kb, round(w, 6) AS w FROM ({_SCORED}) WHERE w >= -2), e AS (SELECT ka AS x, kb AS y FROM p WHERE w >= 1 UNION SELECT kb, ka FROM p WHERE w >= 1),
+r AS (SELECT x, x AS y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT ka AS id_a, kb AS id_b, w AS match_weight FROM p WHERE w < 1 AND NOT EXISTS (SELECT 1 FROM r WHERE r.x = ka AND r.y = kb)""")
+def viewer_rejected(spark, sf_dir):
+    """Predictions below the threshold whose ends are not in one cluster."""
+    store = part_store(spark, sf_dir)
+    found = predict(store, part_model(store), threshold=-2.0).checkpoint()
+    kept = viewer.rejected(clustering.cluster(store, found, threshold=1.0), found, 1.0)
+    return kept.select(F.col("id_a").cast("long"), F.col("id_b").cast("long"), F.round("match_weight", 6).alias("match_weight"))
+
+
 # -- search
 
 
