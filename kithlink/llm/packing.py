@@ -5,8 +5,9 @@ token totals (a row each) get prefix sums. Second pass: a document's place in th
 its place there; where a window boundary falls inside it, it is cut and the pieces recorded. Only the last sequence
 is not full. No row is shuffled.
 
-``pack_tokens`` returns the pieces with their ids. Null or empty texts are the end id alone; repeated rows are packed
-each; a null doc_id stays null; an empty table has no piece; other columns are ignored.
+``pack_tokens`` returns the pieces with their ids. Null or empty texts are the end id alone; very long texts are encoded whole and cut into as many
+pieces as windows ask for; repeated rows are packed each, in the order their partition has; a null doc_id stays null; an empty table has no
+piece; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ weight and ratio is what a feature adds to a text's score.
 
 ``fit`` and ``score`` are the operator. Executors count the features of the sample, one vector of counts a task, and then give the driver
 only those that are kept. Null or empty texts have no feature and score by the intercept alone; an empty or
-one-sided sample gives a constant score; repeated rows are scored each; texts, however long, stay whole; empty tables give empty
+one-sided sample gives a constant score; repeated rows are scored each and equal texts alike; texts, however long, stay whole; empty tables give empty
 results; other columns, whatever their names, are ignored.
 """
 
