@@ -14,7 +14,7 @@ from kithlink.operators import cluster as clustering
 from kithlink.operators import explain, search, viewer
 from kithlink.operators.blocking import Blocking
 from kithlink.operators.components import connected_components, ensure_checkpoint_dir
-from kithlink.operators.estimate import EstimateOptions, ball_masses, estimate, exact_u, level_shares
+from kithlink.operators.estimate import EstimateOptions, ball_masses, estimate, exact_u, fuzzy_u, level_shares
 from kithlink.operators.grades import blocked, graded
 from kithlink.operators.predict import merge_predictions, predict, read_edges, rescore, write_edges, zones
 from kithlink.plans.model import Model
@@ -454,6 +454,23 @@ def fuzzy_neighbourhoods(spark, sf_dir):
     return ball_masses(store, 0).select("value", "level", "records")
 
 
+@query("""WITH d AS (SELECT p_name AS v, count(*)::DOUBLE AS tf FROM part GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM part),
+p AS (SELECT CASE WHEN levenshtein(a.v, b.v) <= 2 THEN 2 WHEN jaro_winkler_similarity(a.v, b.v) >= 0.85 THEN 3 END AS level, a.tf * b.tf AS pairs FROM d a JOIN d b ON a.v <> b.v)
+SELECT l.level, round(coalesce(sum(pairs), 0) / (max(n) * (max(n) - 1)), 12) AS u FROM (SELECT unnest([2, 3]) AS level) l LEFT JOIN p USING (level), n GROUP BY 1""")
+def fuzzy_u_part(spark, sf_dir):
+    """u of fuzzy levels by each value's records times the records around it."""
+    found = fuzzy_u(part_store(spark, sf_dir), 4e10)
+    return spark.createDataFrame([(i, u) for (_, i), u in found.items()], "level int, u double").withColumn("u", F.round("u", 12))
+
+
+@query("SELECT 1 AS level, round(sum(n * (n - 1)) / ((SELECT count(*) FROM part) * ((SELECT count(*) FROM part) - 1)), 12) AS u FROM (SELECT count(*) AS n FROM part GROUP BY p_name) UNION ALL SELECT 0, 0.0")
+def exact_u_several(spark, sf_dir):
+    """A comparison over several strings: its first exact level, on one of them."""
+    levels = [{"type": "null"}, {"type": "exact", "column": "p_name"}, {"type": "exact", "column": "p_type"}, {"type": "else"}]
+    store = part_store(spark, sf_dir, comparisons=[{"columns": ["p_name", "p_type"], "levels": levels}])
+    return spark.createDataFrame([(i, u) for (_, i), u in exact_u(store).items()], "level int, u double").withColumn("u", F.round("u", 12))
+
+
 @query()
 def estimate_model(spark, sf_dir):
     blocking = [{"type": "exact_value", "column": "p_brand"}, {"type": "exact_value", "column": "p_size"}]
@@ -624,6 +641,15 @@ _HITS = f"""SELECT ka AS unique_id, na, log2({LAMBDA} / (1 - {LAMBDA})) + {_w(0)
  FROM (SELECT a.p_partkey AS ka, a.p_name AS na, {_L1} AS l1, {_L2} AS l2, 0 AS l3 FROM part a, (SELECT p_name, p_type FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part)) b)"""
 
 
+@query(f"""WITH n AS (SELECT 5.0::DOUBLE / count(*) AS share FROM part) SELECT unique_id, round(w - log2({LAMBDA} / (1 - {LAMBDA})) + log2(share / (1 - share)), 6) AS match_weight, row_number() OVER (ORDER BY w DESC, unique_id)::INT AS rank FROM ({_HITS}), n QUALIFY rank <= 10""")
+def search_prior(spark, sf_dir):
+    """Search with a prior of its own: five matches are expected."""
+    store = part_store(spark, sf_dir)
+    asked = store.frame.where("__row = 0").first()
+    found = search.search(store, [f"p_name={asked.p_name}", f"p_type={asked.p_type}"], part_model(store), k=10, expected_matches=5)
+    return found.select(F.col("unique_id").cast("long"), F.round("match_weight", 6).alias("match_weight"), "rank")
+
+
 @query(f"""WITH h AS (SELECT * FROM ({_HITS}) WHERE w >= -6), c AS (SELECT p_name, min(p_partkey) AS cluster_id FROM part GROUP BY 1 HAVING count(*) > 1),
 b AS (SELECT h.unique_id, round(w, 6) AS match_weight, cluster_id, row_number() OVER (ORDER BY w DESC, h.unique_id)::INT AS rank FROM h LEFT JOIN c ON c.p_name = na QUALIFY rank <= 40)
 SELECT unique_id, match_weight, rank, cluster_id, row_number() OVER (PARTITION BY coalesce(cluster_id, -unique_id) ORDER BY rank) = 1 AS best_of_cluster FROM b""")
@@ -722,10 +748,19 @@ def similarity_curve(spark, sf_dir):
     return spark.createDataFrame([(i, round(float(x), 12)) for i, x in enumerate(u) if x > 0], "bin int, u double")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('c_custkey', 'text', 'string'), ('c_name', 'full_name', 'string'), ('c_nationkey', 'text', 'string'), ('c_acctbal', 'number', 'double'), ('c_mktsegment', 'text', 'string')) AS v(\"column\", role, type)")
 def draft_schema(spark, sf_dir):
     schema, roles, _ = draft.draft(table(spark, sf_dir, "customer"))
-    return spark.createDataFrame([(c, r, schema.to_json()) for c, r in roles.items()], "column string, role string, schema string")
+    return spark.createDataFrame([(c, r, schema.type_of(c)) for c, r in roles.items()], "column string, role string, type string")
+
+
+@query("SELECT 10 * count(*) AS records, 10 * count(*) AS ids, floor(10 * count(*) * 0.08)::BIGINT AS copies, floor(10 * count(*) * 0.08)::BIGINT AS copies_of_someone FROM customer")
+def sample_counts(spark, sf_dir):
+    """What the made people hold: records, ids, copies, and copies whose original is there."""
+    records, truth = people(spark, 10 * table(spark, sf_dir, "customer").count(), 0.08)
+    known = truth.join(records.select(F.col("id").alias("id_a")), "id_a")
+    counts = records.agg(F.count("*").alias("records"), F.count_distinct("id").alias("ids")).first()
+    return spark.createDataFrame([(counts.records, counts.ids, truth.count(), known.count())], "records long, ids long, copies long, copies_of_someone long")
 
 
 @query()
