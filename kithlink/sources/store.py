@@ -61,8 +61,8 @@ def dataset_names(paths: list[str]) -> list[str]:
     return out if len(paths) > 1 else [""]
 
 
-def with_row_numbers(df: DataFrame, before: int = 0) -> DataFrame:
-    """``__row``: dense numbers in the frame's order, by a count per partition and one prefix sum over partitions."""
+def with_row_numbers(df: DataFrame, before: int = 0) -> tuple[DataFrame, int]:
+    """The frame with ``__row``, dense numbers in its order by a count per partition and one prefix sum over partitions; and its rows."""
     marked = df.withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()}).checkpoint()
     sizes = {r["__p"]: r["n"] for r in marked.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # a row a partition
     starts, at = [], before
@@ -70,9 +70,9 @@ def with_row_numbers(df: DataFrame, before: int = 0) -> DataFrame:
         starts.append((p, at))
         at += sizes[p]
     if not starts:
-        return marked.withColumn("__row", F.lit(0).cast("long")).drop("__p", "__m")
+        return marked.withColumn("__row", F.lit(0).cast("long")).drop("__p", "__m"), 0
     offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "__p int, __start long"))
-    return marked.join(offsets, "__p").withColumn("__row", F.col("__start") + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__p", "__m", "__start")
+    return marked.join(offsets, "__p").withColumn("__row", F.col("__start") + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__p", "__m", "__start"), at - before
 
 
 @dataclass
@@ -162,8 +162,8 @@ def load(spark: SparkSession, inputs, schema: Schema, mode: str | None = None, i
             raise SchemaError(f"input {names[i] or 1} has no column {lacking[0]!r}")
         identity = F.coalesce(F.col(f"`{schema.unique_id}`").cast("string"), F.lit("")) if schema.unique_id else F.lit(None).cast("string")
         part = df.select(F.lit(i).alias("__ds"), identity.alias("__id"), *(typed(n, kinds[n], schema.type_of(n)).alias(n) for n in used))
-        part = with_row_numbers(part, at)
-        sizes.append(part.count())
+        part, size = with_row_numbers(part, at)
+        sizes.append(size)
         at += sizes[-1]
         parts.append(part)
     frame = parts[0]
