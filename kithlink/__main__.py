@@ -80,7 +80,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--show-misses", dest="misses", type=int, default=0)
     command("completeness", "bound-only", "pair-weighting", model=str, sample=float, min_observed=int, seed=int)
     command("estimate", "no-tie-holdout", "interactions", "fuzzy-u", out=str, u_sample=int, session_pairs=int, iterations=int, lambda_=float, seed=int, tied_bits=float, tie_sample_rows=int, max_interactions=int, interaction_bits=float, interaction_clamp=float, min_interaction_sessions=int, ball_budget=float)
-    command("predict", "no-bounds", "no-ceiling", "no-interactions", "fuzzy-tf", "plan", "zones", model=str, out=str, limit=int, tf_damping=float, ball_budget=float, spill=str, spill_sample=float, **cut).add_argument("--format", choices=("csv", "parquet"))
+    command("predict", "no-bounds", "no-ceiling", "no-signatures", "no-ladders", "no-interactions", "fuzzy-tf", "plan", "zones", model=str, out=str, limit=int, tf_damping=float, ball_budget=float, spill=str, spill_sample=float, **cut).add_argument("--format", choices=("csv", "parquet"))
     command("cluster", predictions=str, out=str, truth=str, min_size=int, **cut)
     command("merge-predictions", data=False, schema=False, shards=str, out=str, **cut)
     command("rescore", "no-bounds", "no-interactions", "fuzzy-tf", model=str, spill=str, out=str, limit=int, tf_damping=float, **cut)
@@ -94,7 +94,7 @@ def given(a: argparse.Namespace, *names: str, **renamed: str) -> dict:
     """Options that were stated, under the names the functions use."""
     found = {n: getattr(a, n) for n in names} | {new: getattr(a, old) for old, new in renamed.items()}
     out = {n: v for n, v in found.items() if v is not None}
-    for flag in ("bounds", "ceiling", "interactions"):
+    for flag in ("bounds", "ceiling", "interactions", "signatures", "ladders"):
         if getattr(a, f"no_{flag}", False):
             out[flag] = False
     if getattr(a, "fuzzy_tf", False):

@@ -153,18 +153,21 @@ def in_bits(threshold: float | None, probability: float | None) -> float | None:
     return text.weight_of(probability) if probability is not None else threshold
 
 
-def scored_pairs(store: Store, model: Model, threshold: float | None = None, all_pairs: bool = False, ceiling: bool = True, bounds: bool = True, damping: float = 1.0, fuzzy_tf: bool = False, interactions: bool = True, ball_budget: float = 4e10, extra: list[str] | None = None) -> tuple[DataFrame, Scorer]:
-    """Candidate pairs with ``gamma``, ``match_weight`` and ``match_probability``; no threshold is applied beyond what the bounds may drop."""
+def scored_pairs(store: Store, model: Model, threshold: float | None = None, all_pairs: bool = False, ceiling: bool = True, bounds: bool = True, signatures: bool = True, ladders: bool = True, damping: float = 1.0, fuzzy_tf: bool = False, interactions: bool = True, ball_budget: float = 4e10, extra: list[str] | None = None) -> tuple[DataFrame, Scorer]:
+    """Candidate pairs with ``gamma``, ``match_weight`` and ``match_probability``; no threshold is applied beyond what the bounds may drop.
+
+    Results are the same without any of: ``signatures`` (masks and lengths before similarities), ``ladders`` (fuzzy levels from tables of value
+    pairs), ``ceiling`` (pairs that cannot reach the threshold go before they are coded; it needs the signatures), ``bounds`` (the same for codes).
+    """
     schema = store.schema.for_purpose("predict", all_pairs)
     scorer = Scorer(store, model, damping, fuzzy_tf, interactions, ball_budget)
     blocking = Blocking(store, schema.blocking)
-    columns = [*compared_columns(schema), *(extra or [])]
-    frame, masks = None, bound_columns(schema) if ceiling else {}
-    if masks:
-        frame = blocking.frame.withColumns(masks)
-        columns += list(masks)
-    pairs, known = graded(store, blocking.pairs(columns, frame=frame), schema) if ceiling else (blocking.pairs(columns, frame=frame), frozenset())
-    if ceiling and threshold is not None:
+    masks = bound_columns(schema) if signatures else {}
+    columns = [*compared_columns(schema), *(extra or []), *masks]
+    pairs, known = blocking.pairs(columns, frame=blocking.frame.withColumns(masks) if masks else None), frozenset()
+    if ladders:
+        pairs, known = graded(store, pairs, schema)
+    if ceiling and signatures and threshold is not None:
         pairs = pairs.where(scorer.ceiling(known) >= threshold - 1e-9)
     coded = pairs.withColumn("gamma", agreement(schema, bool(masks), known))
     return scorer.weighed(scorer.based(coded, threshold, bounds)), scorer

@@ -281,7 +281,7 @@ def test_bounds_change_nothing(spark):
     model = Model.given(schema, 0.05, [[0.01, 0.7, 0.1, 0.1, 0.09]], [[0.01, 0.1, 0.05, 0.05, 0.79]])
     pick = lambda **o: sorted((r.row_a, r.row_b, r.gamma, round(r.match_weight, 9)) for r in predict(store, model, threshold=-6.0, **o).collect())
     exact = pick(ceiling=False, bounds=False)
-    assert exact and pick() == exact == pick(ceiling=False)
+    assert exact and pick() == exact == pick(ceiling=False) == pick(signatures=False) == pick(ladders=False) == pick(signatures=False, ladders=False, bounds=False)
     assert pick(fuzzy_tf=True) == pick(fuzzy_tf=True, ceiling=False, bounds=False)
 
 
