@@ -13,7 +13,7 @@ earlier start) is removed; strings are judged on the input.
    windows. The earliest stays.
 4. A home with more than ``HOME`` bytes of strings, as a common passage or thousands of copies have, is dealt over several
    shards. What is not repeated within its shard is dealt again, over fewer, until a home fits one shard. Where
-   that no longer halves (one passage in very many surroundings), the windows that are left are grouped by a 128-bit
+   that no longer shrinks them (one passage in very many surroundings), the windows that are left are grouped by a 128-bit
    digest each. No string is longer than ``PIECE`` windows; a longer one is cut with the overlap that windows need.
 5. Repeated windows are joined to runs per document and cut out.
 
@@ -41,7 +41,7 @@ from kithlink.llm.textvec import U64, mix, powers, slices, utf8
 
 GRAM = 32
 #: Bytes that a shard gathers before it sorts, bytes of one home in a shard, windows of one string.
-SHARD, HOME, PIECE = 1 << 18, 1 << 19, 1 << 18
+SHARD, HOME, PIECE = 1 << 18, 1 << 20, 1 << 18
 SEGMENTS = "anchor long, doc_id long, meta long"
 PARTS = "home long, doc_id long, start long, bytes binary"
 #: A shard's rows: runs (no bytes), and what is left of homes in several shards (no size).
@@ -228,10 +228,25 @@ def _digests(left: DataFrame, length: int) -> DataFrame:
     """(doc_id, meta) of the windows that an earlier equal one stands for, window by window."""
 
     def work(batches: Iterator[pa.RecordBatch]):
+        digests: list[bytes] = []
+        places: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def give():
+            docs, starts = (np.concatenate(x) for x in zip(*places, strict=True))
+            out = pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.binary()), "doc_id": pa.array(docs), "start": pa.array(starts)})
+            digests.clear()
+            places.clear()
+            return out
+
         for batch in batches:
             for doc, start, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "bytes")), strict=True):
                 n = len(part) - length + 1
-                yield pa.RecordBatch.from_pydict({"digest": pa.array([hashlib.blake2b(part[i : i + length], digest_size=16).digest() for i in range(n)], pa.binary()), "doc_id": pa.array(np.full(n, doc)), "start": pa.array(start + np.arange(n))})
+                digests.extend(hashlib.blake2b(part[i : i + length], digest_size=16).digest() for i in range(n))
+                places.append((np.full(n, doc), start + np.arange(n)))
+                if len(digests) >= 1 << 14:
+                    yield give()
+        if digests:
+            yield give()
 
     windows = shared.settle(left.select("doc_id", "start", "bytes").mapInArrow(work, "digest binary, doc_id long, start long"), "windows")
     at = F.struct("doc_id", "start")
@@ -269,7 +284,7 @@ def repeated_runs(docs: DataFrame, length: int = 100, repeated: DataFrame | None
         sizes = left.groupBy("home").agg(F.sum(F.octet_length("bytes")).alias("size")).where(F.col("size") > HOME)
         large = shared.settle(sizes.select("home", "size", F.ceil(F.col("size") / HOME).cast("long").alias("shards")), "large-homes")
         total = large.agg(F.sum("size")).first()[0] or 0
-        if before is not None and 2 * total > before:
+        if before is not None and 10 * total > 9 * before:
             some = _digests(left.join(large, "home", "left_semi"), length)
             runs, left = runs.unionByName(some), left.join(large, "home", "left_anti")
             large, total = large.limit(0), 0
