@@ -268,8 +268,8 @@ def _one_text_each(docs: DataFrame, repeated: DataFrame | None) -> DataFrame:
     return single.unionByName(docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
 
 
-def repeated_runs(docs: DataFrame, length: int = 100, repeated: DataFrame | None = None, home: int | None = None) -> DataFrame:
-    """(doc_id, meta) with a packed run each; runs of a document may overlap. ``repeated`` are the doc_ids of several rows, ``home`` the bytes of one home in a shard (``HOME``)."""
+def repeated_runs(docs: DataFrame, length: int = 100, repeated: DataFrame | None = None, home: int | None = None, shrink: float = 0.9) -> DataFrame:
+    """(doc_id, meta) with a packed run each; runs of a document may overlap. ``repeated`` are the doc_ids of several rows, ``home`` the bytes of one home in a shard (``HOME``). Homes are dealt again while that leaves ``shrink`` of their bytes at most."""
     home = home or HOME
     if not GRAM + 8 <= length < 256:
         raise ValueError("length must lie between 40 and 255")
@@ -285,7 +285,7 @@ def repeated_runs(docs: DataFrame, length: int = 100, repeated: DataFrame | None
         sizes = left.groupBy("home").agg(F.sum(F.octet_length("bytes")).alias("size")).where(F.col("size") > home)
         large = shared.settle(sizes.select("home", "size", F.ceil(F.col("size") / home).cast("long").alias("shards")), "large-homes")
         total = large.agg(F.sum("size")).first()[0] or 0
-        if before is not None and 10 * total > 9 * before:
+        if before is not None and total > shrink * before:
             some = _digests(left.join(large, "home", "left_semi"), length)
             runs, left = runs.unionByName(some), left.join(large, "home", "left_anti")
             large, total = large.limit(0), 0
@@ -304,13 +304,13 @@ def repeated_runs(docs: DataFrame, length: int = 100, repeated: DataFrame | None
 CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
-def cut_texts(docs: DataFrame, length: int = 100, with_text: bool = True, carry: tuple[str, ...] = (), home: int | None = None) -> DataFrame:
+def cut_texts(docs: DataFrame, length: int = 100, with_text: bool = True, carry: tuple[str, ...] = (), home: int | None = None, shrink: float = 0.9) -> DataFrame:
     """doc_id and ``CUT`` of every row; ``text`` (if asked for) is what is left, without characters that lost a byte.
 
     Columns named in ``carry`` come along as a struct ``row``.
     """
     repeated = shared.repeated_ids(docs)
-    runs = repeated_runs(docs, length, repeated, home).groupBy("doc_id").agg(F.collect_list("meta").alias("metas"))
+    runs = repeated_runs(docs, length, repeated, home, shrink).groupBy("doc_id").agg(F.collect_list("meta").alias("metas"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*map(named, carry)).alias("row") if carry else F.lit(0).alias("row"))
     joined = rows.join(runs.hint("merge"), "doc_id", "left")
     if repeated is not None:  # rows whose text is not the one that stands for the doc_id stay whole
@@ -343,10 +343,10 @@ def cut_texts(docs: DataFrame, length: int = 100, with_text: bool = True, carry:
     return out if carry else out.drop("row")
 
 
-def cut_documents(docs: DataFrame, length: int = 100, home: int | None = None) -> DataFrame:
+def cut_documents(docs: DataFrame, length: int = 100, home: int | None = None, shrink: float = 0.9) -> DataFrame:
     """``docs`` with its columns as they are, but for ``text`` and ``n_chars``, which are of what is left. Rows whose text is used up stay, empty."""
     other = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    cut = cut_texts(docs, length, True, other, home)
+    cut = cut_texts(docs, length, True, other, home, shrink)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return cut.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
 
