@@ -1,8 +1,8 @@
 """Suffix arrays by recursive induced sorting, and permuted common prefixes, in numpy.
 
-``suffix_array`` classifies suffixes (smaller or larger than the one after), takes the leftmost-smaller ones, sorts
-their substrings by inducing and names them, sorts the string of names by the same way, recursively, until no name
-repeats, and induces the whole array from the sorted leftmost-smaller suffixes in two linear sweeps.
+``suffix_array`` classifies suffixes (smaller or larger than the one after), takes the leftmost-smaller ones, names
+their substrings by rank (as many symbols at a time as a key of 63 bits holds), sorts the string of names by the same way,
+recursively, until no name repeats, and induces the whole array from the sorted leftmost-smaller suffixes in two linear sweeps.
 
 A sweep goes through the buckets in whole-array steps. A step takes as many buckets as can be done at once: none of
 them may get a suffix from another bucket of the step. With few symbols that is a bucket or two, with the many names of
@@ -110,23 +110,51 @@ def induce(s: np.ndarray, up: np.ndarray, run: np.ndarray, seeds: np.ndarray, si
     return out
 
 
+def _names(s: np.ndarray, up: np.ndarray, least: np.ndarray, size: int) -> np.ndarray:
+    """The rank among their kinds of the substrings from each leftmost-smaller place to the next, by as many symbols at a time as 63 bits hold.
+
+    A symbol's type is its last bit, so no substring is the beginning of another, and of equal keys all end or none does.
+    """
+    bits = (2 * size - 1).bit_length()
+    per = 63 // bits
+    typed = np.concatenate((s.astype(np.uint64) << np.uint64(1) | up, np.zeros(per, np.uint64)))
+    word = typed[: len(s)].copy()
+    for k in range(1, per):
+        word <<= np.uint64(bits)
+        word |= typed[k : k + len(s)]
+    mask = np.array([(1 << bits * per) - (1 << bits * (per - k)) for k in range(per + 1)], np.uint64)
+    left = np.diff(np.append(least, len(s) - 1)) + 1
+    key = word[least] & mask[np.minimum(left, per)]
+    order = key.argsort()
+    key = key[order]
+    fresh = np.append(True, key[1:] != key[:-1])
+    place = np.arange(len(least))  # in the order; those of kinds that may part yet
+    done = per
+    while True:
+        alone = fresh[place] & np.append(fresh, True)[place + 1]
+        place = place[~alone & (left[order[place]] > done)]
+        if not len(place):
+            break
+        which = order[place]
+        key = word[least[which] + done] & mask[np.minimum(left[which] - done, per)]
+        kind = np.cumsum(fresh[place])
+        by = np.lexsort((key, kind))
+        order[place], key = which[by], key[by]
+        fresh[place[1:]] |= key[1:] != key[:-1]
+        done += per
+    names = np.empty(len(least), np.int32)
+    names[order] = np.cumsum(fresh) - 1
+    return names
+
+
 def _sorted(s: np.ndarray, size: int) -> np.ndarray:
     """The suffix array of ``s``, whose last symbol is its only least one; symbols are below ``size``."""
     up, run = smaller_types(s), runs_before(s)
     least = np.flatnonzero(up[1:] & ~up[:-1]) + 1  # leftmost-smaller places in text order; the last is the end
     if len(least) > 1:
-        # sort their substrings: seeds in bucket order induce them
-        order = induce(s, up, run, least[np.argsort(s[least], kind="stable")], size)
-        number = np.full(len(s), -1, np.int32)
-        number[least] = np.arange(len(least))
-        name_at = number[order]
-        name_at = name_at[name_at >= 0]
-        ends = np.append(least[1:], len(s) - 1)
-        begin, length = least[name_at], ends[name_at] - least[name_at] + 1
-        rank = np.cumsum(np.append(0, ~_same(s, begin[:-1], length[:-1], begin[1:], length[1:])))
-        names = np.empty(len(least), np.int32)
-        names[name_at] = rank
-        seeds = least[_sorted(names, int(rank[-1]) + 1)] if rank[-1] < len(least) - 1 else least[name_at]
+        names = _names(s, up, least, size)
+        kinds = int(names.max()) + 1
+        seeds = least[_sorted(names, kinds) if kinds < len(least) else names.argsort()]
     else:
         seeds = least
     return induce(s, up, run, seeds, size)
@@ -140,19 +168,6 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return _sorted(s, int(s.max()) + 1)[1:]
 
 
-def _same(s: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Whether s[a:a + na] equals s[b:b + nb], pair by pair."""
-    same = na == nb
-    alive, t = np.flatnonzero(same), 0
-    while len(alive):
-        equal = s[a[alive] + t] == s[b[alive] + t]
-        same[alive[~equal]] = False
-        t += 1
-        alive = alive[equal]
-        alive = alive[na[alive] > t]
-    return same
-
-
 def permuted_prefixes(text: np.ndarray, array: np.ndarray, most: int) -> np.ndarray:
     """In text order: the common prefix of suffix i with the one before it in the array, exact up to ``most``."""
     n = len(text)
@@ -161,9 +176,10 @@ def permuted_prefixes(text: np.ndarray, array: np.ndarray, most: int) -> np.ndar
     reducible = np.zeros(n, bool)
     i = np.flatnonzero(before[1:] > 0) + 1
     reducible[i] = text[i - 1] == text[before[i] - 1]
-    # symbols below 2**16, four at each place
-    padded = np.concatenate((text.astype(np.uint16) + np.uint16(1), np.zeros(8, np.uint16)))
-    words = np.ndarray(n + 4, "<u8", padded.data, strides=(2,))
+    # eight bytes at each place, or four symbols below 2**16
+    kind, per = (np.uint8, 8) if n and text.max() < 255 else (np.uint16, 4)
+    padded = np.concatenate((text.astype(kind) + kind(1), np.zeros(8, kind)))
+    words = np.ndarray(n + 1, "<u8", padded.data, strides=(8 // per,)).copy()
     out = np.zeros(n, np.int64)
     alive, t = np.flatnonzero(~reducible & (before >= 0)), 0
     # an irreducible prefix may run on past ``most`` and is needed there: reducible ones after it count down from it
@@ -175,8 +191,8 @@ def permuted_prefixes(text: np.ndarray, array: np.ndarray, most: int) -> np.ndar
         x = words[np.minimum(alive + t, n)] ^ words[np.minimum(before[alive] + t, n)]
         stop = x != 0
         low = x[stop]
-        out[alive[stop]] = t + np.log2((low & (~low + np.uint64(1))).astype(np.float64)).astype(np.int64) // 16
-        t += 4
+        out[alive[stop]] = t + np.log2((low & (~low + np.uint64(1))).astype(np.float64)).astype(np.int64) // (64 // per)
+        t += per
         alive = alive[~stop]
         out[alive] = t
         alive = alive[bound[alive] > t]

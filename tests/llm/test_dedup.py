@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from kithlink.llm import near_dups, suffix_dedup
+from kithlink.llm import near_dups, suffix_dedup, suffixes
 from kithlink.llm.suffixes import permuted_prefixes, suffix_array
 from tests.llm.helpers import frame, nasty_rows, words
 
@@ -115,6 +115,17 @@ def test_suffix_arrays():
             assert min(int(prefix[i]), 6) == min(k, 6)
 
 
+def test_each_level_induces_once(monkeypatch):
+    """Substrings of any length, of few and many symbols, are named by keys and not by inducing them as well."""
+    rng, sizes, induce = np.random.default_rng(4), [], suffixes.induce
+    monkeypatch.setattr(suffixes, "induce", lambda s, *rest: sizes.append(len(s)) or induce(s, *rest))
+    for trial in range(120):
+        t = np.tile(np.repeat(rng.integers(0, [2, 4, 300][trial % 3], 30), rng.integers(1, 25, 30)), 1 + trial % 4)
+        sizes.clear()
+        assert suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        assert len(sizes) == len(set(sizes))
+
+
 def cut(rows, length=100, kept=None):
     """Per document: bytes, removed ones, runs, digest of the rest; the rest itself goes to ``kept``."""
     seen, out = set(), {}
