@@ -8,15 +8,21 @@ local mode) a temporary folder is chosen and set.
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import tempfile
 import threading
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _tracked = threading.local()
+#: What a worker holds from task to task.
+_kept: list[dict] = []
 
 
 def base_dir(spark: SparkSession) -> str:
@@ -69,6 +75,36 @@ def settle(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(held: dict) -> dict:
+    """``held``, which a worker keeps from task to task until a task of another operator asks for its memory."""
+    _kept.append(held)
+    return held
+
+
+def let_go() -> None:
+    """Give back what this worker keeps, and the freed memory that the allocators of Arrow and C still hold."""
+    for held in _kept:
+        held.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` over batches in a worker that lets go of memory before and after."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]):
+        let_go()
+        try:
+            yield from work(batches)
+        finally:
+            let_go()
+
+    return run
+
+
 def repeated_ids(docs: DataFrame) -> DataFrame | None:
     """The doc_ids of several rows, if there are any."""
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")

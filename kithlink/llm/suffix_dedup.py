@@ -13,8 +13,10 @@ earlier start) is removed; strings are judged on the input.
    windows. The earliest stays.
 4. A home with more than ``HOME`` bytes of strings, as a common passage or thousands of copies have, is dealt over several
    shards. What is not repeated within its shard is dealt again, over fewer, until a home fits one shard. Where
-   that no longer shrinks them (one passage in very many surroundings), the windows that are left are grouped by a 128-bit
-   digest each. No string is longer than ``PIECE`` windows; a longer one is cut with the overlap that windows need.
+   that no longer shrinks them (passages in very many surroundings), homes are parted: each anchor becomes a home of its own,
+   and these are sorted and dealt as before. Where that no longer shrinks one (a single anchor in very many surroundings), the
+   windows that are left are grouped by a 128-bit digest each. No string is longer than ``PIECE`` windows; a longer one is cut
+   with the overlap that windows need.
 5. Repeated windows are joined to runs per document and cut out.
 
 Text is UTF-8 bytes. Nulls: a null text is empty; a row without doc_id is left whole and no source. Rows of one doc_id
@@ -48,6 +50,13 @@ PARTS = "home long, doc_id long, start long, bytes binary"
 SHARDED = "home long, doc_id long, start long, size long, bytes binary"
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], most: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, ``most`` at a time, as strings may be long."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, most):
+            yield batch.slice(i, most)
+
+
 def pack_run(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return start << 31 | size
 
@@ -98,6 +107,7 @@ def merge_runs(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np
 
 
 def _first_stage(length: int):
+    @shared.lean
     def work(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
@@ -111,6 +121,7 @@ def _first_stage(length: int):
 def _slice_stage(length: int):
     """A document's asked-for windows as strings: windows in a row with one home, ``PIECE`` at most."""
 
+    @shared.lean
     def work(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
@@ -168,6 +179,7 @@ def _stretches(mask: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _shard_stage(length: int):
     """Over rows sorted by home and shard: the strings of whole groups, joined to about ``SHARD`` bytes, sorted, and what they repeat."""
 
+    @shared.lean
     def work(batches: Iterator[pa.RecordBatch]):
         group: list[tuple] = []
         ready: list[tuple] = []  # home, whether it is dealt over several shards, doc, start, bytes
@@ -208,7 +220,7 @@ def _shard_stage(length: int):
             group.clear()
             size["group"] = 0
 
-        for batch in batches:
+        for batch in few_rows(batches):
             for home, shards, shard, *rest in zip(*(batch.column(c).to_pylist() for c in ("home", "shards", "shard", "doc_id", "start", "bytes")), strict=True):
                 if (home, shard) != current:
                     close()
@@ -224,9 +236,26 @@ def _shard_stage(length: int):
     return work
 
 
+def _anchor_stage(length: int):
+    """Strings as strings of their windows in a row with one anchor, which is the home of each."""
+
+    @shared.lean
+    def work(batches: Iterator[pa.RecordBatch]):
+        for batch in few_rows(batches):
+            docs, starts = (batch.column(c).to_numpy() for c in ("doc_id", "start"))
+            for i, _, data, at in slices(*utf8(batch.column("bytes").cast(pa.large_binary()).view(pa.large_string()))):
+                row, anchor, first, more = segments(data, at, length)
+                begin = at[row] + first
+                parts = [data[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + more + length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(docs[i + row]), pa.array(starts[i + row] + first), pa.array(parts, pa.binary())], ["home", "doc_id", "start", "bytes"])
+
+    return work
+
+
 def _digests(left: DataFrame, length: int) -> DataFrame:
     """(doc_id, meta) of the windows that an earlier equal one stands for, window by window."""
 
+    @shared.lean
     def work(batches: Iterator[pa.RecordBatch]):
         digests: list[bytes] = []
         places: list[tuple[np.ndarray, np.ndarray]] = []
@@ -238,7 +267,7 @@ def _digests(left: DataFrame, length: int) -> DataFrame:
             places.clear()
             return out
 
-        for batch in batches:
+        for batch in few_rows(batches):
             for doc, start, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "bytes")), strict=True):
                 n = len(part) - length + 1
                 digests.extend(hashlib.blake2b(part[i : i + length], digest_size=16).digest() for i in range(n))
@@ -269,7 +298,7 @@ def _one_text_each(docs: DataFrame, repeated: DataFrame | None) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, length: int = 100, repeated: DataFrame | None = None, home: int | None = None, shrink: float = 0.9) -> DataFrame:
-    """(doc_id, meta) with a packed run each; runs of a document may overlap. ``repeated`` are the doc_ids of several rows, ``home`` the bytes of one home in a shard (``HOME``). Homes are dealt again while that leaves ``shrink`` of their bytes at most."""
+    """(doc_id, meta) with a packed run each; runs of a document may overlap. ``repeated`` are the doc_ids of several rows, ``home`` the bytes of one home in a shard (``HOME``). Homes are dealt again while that leaves ``shrink`` of their bytes at most, then parted by their anchors and dealt once more."""
     home = home or HOME
     if not GRAM + 8 <= length < 256:
         raise ValueError("length must lie between 40 and 255")
@@ -280,14 +309,18 @@ def repeated_runs(docs: DataFrame, length: int = 100, repeated: DataFrame | None
     asked = found.join(homes.hint("merge"), "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("home", "meta")).alias("asked"))  # bounded by the document's own length
     left = shared.settle(texts.join(asked.hint("merge"), "doc_id").mapInArrow(_slice_stage(length), PARTS), "strings", compression="zstd")
     runs = None
-    before = None
+    before, parted = None, False
     while True:
         sizes = left.groupBy("home").agg(F.sum(F.octet_length("bytes")).alias("size")).where(F.col("size") > home)
         large = shared.settle(sizes.select("home", "size", F.ceil(F.col("size") / home).cast("long").alias("shards")), "large-homes")
         total = large.agg(F.sum("size")).first()[0] or 0
         if before is not None and total > shrink * before:
-            some = _digests(left.join(large, "home", "left_semi"), length)
-            runs, left = runs.unionByName(some), left.join(large, "home", "left_anti")
+            stuck, left = left.join(large, "home", "left_semi"), left.join(large, "home", "left_anti")
+            if not parted:  # equal windows have equal anchors
+                left = shared.settle(left.unionByName(stuck.mapInArrow(_anchor_stage(length), PARTS)), "parted", compression="zstd")
+                before, parted = None, True
+                continue
+            runs = runs.unionByName(_digests(stuck, length))
             large, total = large.limit(0), 0
         before = total
         shards = F.coalesce("shards", F.lit(1).cast("long"))
@@ -317,6 +350,7 @@ def cut_texts(docs: DataFrame, length: int = 100, with_text: bool = True, carry:
         least = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("stands"))
         joined = joined.join(least, "doc_id", "left").withColumn("metas", F.when(F.col("stands").isNull() | (F.col("stands") == F.col("text")), F.col("metas"))).drop("stands")
 
+    @shared.lean
     def cut(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for i in range(0, batch.num_rows, 250):

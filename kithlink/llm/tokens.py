@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from kithlink.llm import shared
 from kithlink.llm.textvec import U64, chained
 
 LETTER, DIGIT, OTHER, SPACE, EDGE = range(5)
@@ -222,7 +223,7 @@ class Encoder:
         return out, np.diff(bounds)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = shared.kept({})
 
 
 def encoder(path: str) -> Encoder:

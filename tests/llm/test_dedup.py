@@ -7,9 +7,10 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from kithlink.llm import near_dups, suffix_dedup, suffixes
+from kithlink.llm import near_dups, shared, suffix_dedup, suffixes, tokens
 from kithlink.llm.suffixes import permuted_prefixes, suffix_array
 from tests.llm.helpers import frame, nasty_rows, words
 
@@ -180,6 +181,40 @@ def test_one_passage_in_many_surroundings(spark, monkeypatch):
     assert {g.doc_id: tuple(g)[1:5] for g in out} == expected and {g.row[0] for g in out} == {"m"}
 
 
+def test_passages_that_first_stand_in_one_document(spark, monkeypatch):
+    """Their home is large and dealing does not make it smaller, but that of each passage is small: none is settled window by window."""
+    monkeypatch.setattr(suffix_dedup, "HOME", 12_000)
+    monkeypatch.setattr(suffix_dedup, "_digests", lambda *_: pytest.fail("windows were grouped by digests"))
+    rng = random.Random(12)
+    passages = [words(rng, 25) for _ in range(40)]
+    rows = [(0, " / ".join(passages))] + [(i, words(rng, 9) + passages[i % 40] + words(rng, 9)) for i in range(1, 400)]
+    expected = cut(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {g.doc_id: tuple(g)[1:5] for g in suffix_dedup.cut_texts(docs, with_text=False).collect()} == expected
+
+
+def test_workers_let_go_of_what_other_stages_left():
+    """A stage begins without the token encoder of an earlier one, and neither then nor at its end holds memory that is free."""
+
+    def held():
+        return sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon")) >> 10
+
+    def litter():
+        found = [bytearray(60_000) for _ in range(3000)]  # 180 MB, freed but for some that keep the rest from the system
+        return found[::100]
+
+    tokens.encoder(tokens.default_path())
+    shared.let_go()
+    before, scraps = held(), litter()
+    assert held() > before + 100
+    tokens.encoder(tokens.default_path())
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "text": pa.array(["some text " * 30])})
+    rest = iter(suffix_dedup._first_stage(100)(iter([batch])))
+    assert next(rest).num_rows and not tokens._encoders and held() < before + 60
+    scraps += litter()
+    assert not list(rest) and held() < before + 60 and len(scraps) == 60
+
+
 def test_rows_of_one_doc_id_with_other_texts(spark):
     a, b = "same words again and again " * 10, "zz other words " * 20
     got = suffix_dedup.cut_texts(frame(spark, [(1, b, None, None, None, None), (1, a, None, None, None, None), (2, a, None, None, None, None)])).collect()
