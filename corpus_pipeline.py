@@ -45,7 +45,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 100 bytes that stand earlier in the corpus are cut out. Shards are half as large as the operator's own, as workers still hold what earlier stages took."""
+    """Strings of 100 bytes that stand earlier in the corpus are cut out. Shards are half as large as the operator's own, beside an executor that earlier stages have filled."""
     return suffix_dedup.cut_documents(docs, home=1 << 19, shrink=0.5)
 
 
