@@ -27,7 +27,7 @@ def by_both(spark, folder, name, *tables):
     return sorted((tuple(r) for r in df.collect()), key=str), sorted(want, key=str)
 
 
-@pytest.mark.parametrize("name", ["cluster_documents", "cluster_sizes"])
+@pytest.mark.parametrize("name", ["cluster_documents", "cluster_sizes", "viewer_list", "viewer_summary"])
 def test_copies_are_named_by_their_least_id(spark, tmp_path, name):
     """The file with the larger ids is the larger one, and two documents have no text."""
     rows = [(i, None if i in (3, 41) else f"text {i % 17}" if i % 3 else f"long text {i} " * (50 if i > 20 else 1)) for i in range(120)]
