@@ -34,3 +34,12 @@ def test_copies_are_named_by_their_least_id(spark, tmp_path, name):
     in_files(spark, tmp_path, "documents", rows, DOCUMENTS, (20,))
     got, want = by_both(spark, tmp_path, name, "documents")
     assert got == want and got
+
+
+@pytest.mark.parametrize("copies", [1, 120])
+def test_prices_where_no_group_is_left(spark, tmp_path, copies):
+    """One name each, so no exact value is shared; one size for all, so none is rare."""
+    rows = [(i, f"name {i if copies == 1 else i % 9}", "b", "t", i if copies == 1 else 1, 1.0) for i in range(120)]
+    in_files(spark, tmp_path, "part", rows, PARTS)
+    got, want = by_both(spark, tmp_path, "price_blocking", "part")
+    assert got == want and None in [r[2] for r in got]
