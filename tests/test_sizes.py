@@ -43,3 +43,11 @@ def test_prices_where_no_group_is_left(spark, tmp_path, copies):
     in_files(spark, tmp_path, "part", rows, PARTS)
     got, want = by_both(spark, tmp_path, "price_blocking", "part")
     assert got == want and None in [r[2] for r in got]
+
+
+def test_halves_are_rounded_to_even(spark, tmp_path):
+    """As the SQL's cast does; the window then holds other pairs than with halves rounded up."""
+    in_files(spark, tmp_path, "customer", [(i, i + 0.5) for i in range(60)], "c_custkey long, c_acctbal double")
+    in_files(spark, tmp_path, "supplier", [(i, i * 2 - 20.5) for i in range(40)], "s_suppkey long, s_acctbal double")
+    got, want = by_both(spark, tmp_path, "price_window_link", "customer", "supplier")
+    assert got == want
