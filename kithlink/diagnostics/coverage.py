@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kithlink.functions.levels import agreement, level_holds
 from kithlink.operators.blocking import Blocking
+from kithlink.operators.classes import pair_count, weighted_pairs
 from kithlink.operators.grades import graded
 from kithlink.operators.estimate import compared_columns, hash_share
 from kithlink.plans.model import Model
@@ -53,7 +54,13 @@ def explain_blocking(store: Store, all_pairs: bool = False, count: bool = False)
     for k, b in enumerate(blocking.bound):
         c = blocking.counts(k)
         prices.append(SourcePrice(b.name, c["pairs"], c["largest"], b.source.em_safe))
-    return BlockingReport(store.pair_space, prices, blocking.pairs([]).count() if count else None)
+    return BlockingReport(store.pair_space, prices, union_count(blocking) if count else None)
+
+
+def union_count(blocking: Blocking) -> int:
+    """How many pairs the sources make together, by pairs of classes."""
+    pairs = weighted_pairs(blocking, [])
+    return pairs.agg(pair_count(pairs)).first()[0] or 0
 
 
 @dataclass
@@ -106,7 +113,7 @@ def recall(store: Store, truth: DataFrame, all_pairs: bool = False, count: bool
     r = pairs.agg(*columns).first()
     prices = [blocking.counts(k)["pairs"] for k in range(len(tests))]
     per = [{"source": b.name, "pairs": prices[k], "found": r[f"all{k}"], "first": r[f"first{k}"], "only": r[f"only{k}"], "marginal_quality": r[f"first{k}"] / prices[k] if prices[k] else 0.0} for k, b in enumerate(blocking.bound)]
-    out = Recall(r.truth, r.found, blocking.pairs([]).count() if count else sum(prices), store.pair_space, per)
+    out = Recall(r.truth, r.found, union_count(blocking) if count else sum(prices), store.pair_space, per)
     missed = pairs.where(~any_of(tests))
     if why:
         _why(store, blocking, missed, out)

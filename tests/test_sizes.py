@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 from kithlink import queries
+from kithlink.operators import blocking as blocking_module
+from kithlink.operators.classes import Classes
 
 DOCUMENTS = "doc_id long, text string"
 PARTS = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
@@ -51,3 +53,38 @@ def test_halves_are_rounded_to_even(spark, tmp_path):
     in_files(spark, tmp_path, "supplier", [(i, i * 2 - 20.5) for i in range(40)], "s_suppkey long, s_acctbal double")
     got, want = by_both(spark, tmp_path, "price_window_link", "customer", "supplier")
     assert got == want
+
+
+def repeated(spark, folder, monkeypatch):
+    """Tables whose rows repeat with other keys, so classes are far fewer than records; chunks are small."""
+    monkeypatch.setattr(blocking_module, "CELL", 3)
+    monkeypatch.setattr(blocking_module, "LARGE_CELL", 5)
+    names, types = ["blue ring", "blue rings", "old bolt", "old bolts", "hot plate"], ["SMALL", "LARGE", "ECONOMY", "SMALLER"]
+    parts = [(i, names[i * i % 5], f"Brand#{i % 3}", types[i % 12 // 4], (i * 5) % 15 + 1, 900.0 + 30 * (i % 3)) for i in range(240)]
+    in_files(spark, folder, "part", parts, PARTS, (60,))
+    in_files(spark, folder, "supplier", [(i, f"S{i}", i % 4, float(i % 6) * 700) for i in range(90)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double", (30,))
+    in_files(spark, folder, "customer", [(i, f"C{i}", i % 5, float(i % 7) * 690) for i in range(70)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double", (20,))
+
+
+PAIRED = ["block_exact_value", "block_union", "block_all_pairs", "block_link", "levels_number", "levels_geo", "pattern_histogram", "level_marginals", "levels_with_holes", "zones_part", "union_count"]
+
+
+@pytest.mark.parametrize("name", PAIRED)
+def test_classes_make_the_pairs_of_their_records(spark, tmp_path, monkeypatch, name):
+    repeated(spark, tmp_path, monkeypatch)
+    used = []
+    made = Classes.pairs
+    monkeypatch.setattr(Classes, "pairs", lambda self, *a, **k: used.append(self.count) or made(self, *a, **k))
+    got, want = by_both(spark, tmp_path, name, "part", "supplier", "customer")
+    assert got == want and got
+    assert used and max(used) <= 120  # classes meet, not 240 parts
+
+
+@pytest.mark.parametrize("name", ["block_minhash", "estimate_model", "estimate_interactions", "simplify_part"])
+def test_classes_change_no_result(spark, tmp_path, monkeypatch, name):
+    """Where there is no SQL: as with every record alone."""
+    repeated(spark, tmp_path, monkeypatch)
+    rounded = lambda: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()), key=str)
+    got = rounded()
+    monkeypatch.setattr(Classes, "of", staticmethod(lambda *a, **k: None))
+    assert got == rounded() and got
