@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from kithlink import queries
 from kithlink.operators import blocking as blocking_module
@@ -66,7 +67,7 @@ def repeated(spark, folder, monkeypatch):
     in_files(spark, folder, "customer", [(i, f"C{i}", i % 5, float(i % 7) * 690) for i in range(70)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double", (20,))
 
 
-PAIRED = ["block_exact_value", "block_union", "block_all_pairs", "block_link", "levels_number", "levels_geo", "pattern_histogram", "level_marginals", "levels_with_holes", "zones_part", "union_count"]
+PAIRED = ["block_exact_value", "block_union", "block_all_pairs", "block_link", "levels_number", "levels_geo", "pattern_histogram", "level_marginals", "levels_with_holes", "zones_part", "union_count", "predict_part", "rescore_part", "predictions_round_trip", "waterfall_part"]
 
 
 @pytest.mark.parametrize("name", PAIRED)
@@ -88,3 +89,13 @@ def test_classes_change_no_result(spark, tmp_path, monkeypatch, name):
     got = rounded()
     monkeypatch.setattr(Classes, "of", staticmethod(lambda *a, **k: None))
     assert got == rounded() and got
+
+
+@pytest.mark.parametrize("name", ["viewer_rejected", "waterfall_part"])
+def test_copies_of_parts(spark, tmp_path, name):
+    """Each part three times, with other keys."""
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    for i in range(3):
+        parts.withColumn("p_partkey", F.col("p_partkey") + 1000 * i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/part.parquet")
+    got, want = by_both(spark, tmp_path, name, "part")
+    assert got == want and got
