@@ -99,3 +99,14 @@ def test_copies_of_parts(spark, tmp_path, name):
         parts.withColumn("p_partkey", F.col("p_partkey") + 1000 * i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/part.parquet")
     got, want = by_both(spark, tmp_path, name, "part")
     assert got == want and got
+
+
+def test_components_need_no_pairs(spark, tmp_path, monkeypatch):
+    """As many edges as records at most, and the SQL's components: gaps at the limit and beyond, equal values, nulls and single records."""
+    values = [0.0, 2500.0, 5000.5, 5000.5, 7600.0, -3000.0, None, 12000.0]
+    in_files(spark, tmp_path, "supplier", [(i * 7 % 64, f"S{i}", i % 5 if i % 9 else None, values[i * i % 8]) for i in range(64)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double", (20,))
+    edges = []
+    made = queries.connected_components
+    monkeypatch.setattr(queries, "connected_components", lambda e, *ends: edges.append(e.count()) or made(e, *ends))
+    got, want = by_both(spark, tmp_path, "components", "supplier")
+    assert got == want and got and edges[0] < 64
